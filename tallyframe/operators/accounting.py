@@ -35,7 +35,7 @@ def remaining(units: DataFrame, confirmed: DataFrame, side: str) -> DataFrame:
     """Sums of what no active match uses: current (<side>_unmatched) and carried (<side>_carried)."""
     rest = units.join(confirmed.select("account", F.col(side).alias("record_number")), ["account", "record_number"], "left_anti")
     of = lambda carried: F.coalesce(F.sum(F.when(F.col("is_carried") == carried, F.col("amount"))), F.lit(0))
-    return rest.groupBy("account").agg(of(False).alias(f"{side}_unmatched"), of(True).alias(f"{side}_carried"), F.count("*").alias(f"{side}_open"))
+    return rest.groupBy("account").agg(of(False).alias(f"{side}_unmatched"), of(True).alias(f"{side}_carried"), F.count("*").alias(f"{side}_open_units"))
 
 
 def bridge(balances: DataFrame, sums: DataFrame, differences: DataFrame, states: DataFrame, searched: DataFrame) -> DataFrame:
