@@ -4,7 +4,7 @@ A shard file is a run of records in ascending key order:
 
     length   uint64 little-endian: bytes of the payload
     check    uint32: masked CRC-32 of the length field
-    payload  int64 key, then the ids as uint32, all little-endian
+    payload  int64 key, bytes of an id (2 or 4), then the ids, all little-endian
     check    uint32: masked CRC-32 of the payload
 
 A mask rotates the checksum and adds a constant, so that a record that itself holds checksums is not mistaken for
@@ -19,6 +19,7 @@ import os
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,9 +38,9 @@ def masked(data: bytes) -> int:
     return (((c >> 15) | (c << 17)) + _MASK) & 0xFFFFFFFF
 
 
-def frame(payload: bytes) -> bytes:
-    length = struct.pack("<Q", len(payload))
-    return length + struct.pack("<I", masked(length)) + payload + struct.pack("<I", masked(payload))
+def frame(data: bytes) -> bytes:
+    length = struct.pack("<Q", len(data))
+    return length + struct.pack("<I", masked(length)) + data + struct.pack("<I", masked(data))
 
 
 class BadRecord(ValueError):
@@ -55,13 +56,24 @@ def records(stream, where: str = "") -> Iterator[tuple[int, bytes]]:
         n, check = struct.unpack("<QI", head)
         if masked(head[:8]) != check:
             raise BadRecord(f"{where}: length at {at}")
-        payload, tail = stream.read(n), stream.read(4)
-        if len(payload) < n or len(tail) < 4 or masked(payload) != struct.unpack("<I", tail)[0]:
+        data, tail = stream.read(n), stream.read(4)
+        if len(data) < n or len(tail) < 4 or masked(data) != struct.unpack("<I", tail)[0]:
             raise BadRecord(f"{where}: payload at {at}")
-        yield at, payload
+        yield at, data
         at += 12 + n + 4
 
 
+def payload(key: int, ids: np.ndarray) -> bytes:
+    """Ids take two bytes where all of a sequence fit."""
+    width = 2 if not len(ids) or int(ids.max()) < 1 << 16 else 4
+    return struct.pack("<qB", key, width) + ids.astype(f"<u{width}").tobytes()
+
+
+def unpacked(data: bytes) -> tuple[int, np.ndarray]:
+    key, width = struct.unpack_from("<qB", data)
+    return key, np.frombuffer(data, dtype=f"<u{width}", offset=9).astype("<u4")
+
+
 def _open(folder: str):
     from pyarrow import fs
 
@@ -72,51 +84,68 @@ class WordEncoder:
     """The ids of texts by a tokenizer that drops white space, each distinct word encoded once.
 
     White space ends every piece of such a tokenizer, so a text's ids are its words' ids in turn. Words are cut at ASCII
-    white space alone; whatever else the tokenizer holds for white space lies inside a word and is left to it. New
-    words go to the tokenizer together, kept apart by a control character that has an id of its own; words with that
-    character or with `<|` (special tokens) are encoded one by one. At most `most` words are remembered.
+    white space alone; whatever else the tokenizer holds for white space lies inside a word and is left to it. A word
+    of Latin-1 letters is one piece that normalisation only lower-cases, so it goes straight to the tokenizer's model,
+    and stops behind it are a piece of their own; both are tried on probes first and not used if the tokenizer differs.
+    All other words are encoded whole. At most `most` words are remembered.
     """
 
-    MARK = "\x01"
+    PROBES = ("the", "Straße", "été", "ÀÉÎÕÜ", "x", "naïvetés", "antidisestablishmentarianism", "zwölftausend", "ñandú", "qqqzzz")
+    STOPS = b".,;:!?"
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {}
-        self.mark = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
+        bytewise = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {i: bytewise.pre_tokenize_str(chr(i))[0][0] for i in range(256) if chr(i).isalpha()}
+        self.direct = all(self._piece(w) == self._whole(w) and self._whole(w + ".,") == self._whole(w) + self._whole(".,") for w in self.PROBES)
 
-    def _one(self, text: str) -> list[int]:
+    def _whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _learn(self, words: list[bytes]) -> None:
-        if len(self.known) + len(words) > self.most:
-            self.known.clear()
-        plain = []
+    def _piece(self, word: str) -> list[int]:
+        return [t.id for t in self.tokenizer.model.tokenize(word.lower().translate(self.letters))]
+
+    def _learn(self, words: set[bytes]) -> None:
+        known, model, letters, rest = self.known, self.tokenizer.model, self.letters, []
+
+        def piece(w: bytes) -> bytes | None:
+            t = w.decode()
+            if t.isalpha() and (t.isascii() or max(t) <= "\xff"):
+                return array("I", [x.id for x in model.tokenize(t.lower().translate(letters))]).tobytes()
+            return None
+
         for w in words:
-            if b"\x01" in w or b"<|" in w or len(self.mark) != 1:
-                self.known[w] = np.array(self._one(w.decode()), dtype="<u4").tobytes()
+            got = piece(w) if self.direct else None
+            if got is None and self.direct and (core := w.rstrip(self.STOPS)) and core != w:
+                first = known.get(core) or piece(core)
+                if first is not None:
+                    stops = w[len(core) :]
+                    if stops not in known:
+                        known[stops] = array("I", self._whole(stops.decode())).tobytes()
+                    got = first + known[stops]
+            if got is None:
+                rest.append(w)
             else:
-                plain.append(w)
-        for i in range(0, len(plain), 512):
-            part = plain[i : i + 512]
-            ids = np.array(self.tokenizer.encode_batch_fast([f" {self.MARK} ".join(w.decode() for w in part)], add_special_tokens=False)[0].ids, dtype="<u4")
-            cut = np.flatnonzero(ids == self.mark[0])
-            starts, ends = [0, *(cut + 1).tolist()], [*cut.tolist(), len(ids)]
-            if len(starts) != len(part):
-                raise ValueError("the tokenizer does not keep words apart")
-            for w, a, b in zip(part, starts, ends):
-                self.known[w] = ids[a:b].tobytes()
+                known[w] = got
+        for i in range(0, len(rest), 1024):
+            part = rest[i : i + 1024]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast([x.decode() for x in part], add_special_tokens=False)):
+                known[w] = array("I", e.ids).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian uint32 ids of each text (null: none)."""
+        """Native uint32 ids of each text (null: none)."""
+        # special tokens keep their case; in other texts upper case is no other word
         split = [[] if x is None else (b.split() if b"<|" in (b := x.encode()) else b.lower().split()) for x in texts]
         new = {w for words in split for w in words}
-        new.difference_update(self.known)
-        if len(self.known) + len(new) > self.most:
-            new = {w for words in split for w in words}
+        fresh = new.difference(self.known)
+        if len(self.known) + len(fresh) > self.most:
             self.known.clear()
-        self._learn(list(new))
+            fresh = new
+        self._learn(fresh)
         get = self.known.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
@@ -150,7 +179,7 @@ def write_records(docs: DataFrame, tokenizer: str, end_id: int, key: str = "doc_
         from pyspark import TaskContext
 
         encode = encoder(tokenizer).encode
-        end = struct.pack("<I", end_id)
+        end = struct.pack("=I", end_id)
         part = TaskContext.get().partitionId()
         store, base = _open(folder)
         store.create_dir(base, recursive=True)
@@ -160,7 +189,7 @@ def write_records(docs: DataFrame, tokenizer: str, end_id: int, key: str = "doc_
         with store.open_output_stream(own) as out, store.open_output_stream(own + ".idx") as index:
             for batch in slices(frames, "t", 4_000_000):
                 for k, body in zip(batch["k"].tolist(), encode([None if pd.isna(x) else x for x in batch["t"]])):
-                    record = frame(struct.pack("<q", k) + body + end)
+                    record = frame(payload(k, np.frombuffer(body + end, dtype=np.uint32)))
                     out.write(record)
                     index.write(struct.pack(_ENTRY, k, at, len(record)))
                     n, ids, at = n + 1, ids + len(body) // 4 + 1, at + len(record)
@@ -199,11 +228,10 @@ def read_records(manifest: DataFrame) -> DataFrame:
                 store, base = _open(folder)
                 out = []
                 with store.open_input_stream(f"{base}/{name}", buffer_size=1 << 20) as stream:
-                    for at, payload in records(stream, path):
-                        n = len(payload) // 4 - 2
-                        key = struct.unpack_from("<q", payload)[0]
-                        out.append((key, start, n, zlib.crc32(memoryview(payload)[8:]), shard, at))
-                        start += n
+                    for at, data in records(stream, path):
+                        key, ids = unpacked(data)
+                        out.append((key, start, len(ids), zlib.crc32(ids.tobytes()), shard, at))
+                        start += len(ids)
                         if len(out) >= 20_000:
                             yield _rows(out)
                             out = []
@@ -221,8 +249,8 @@ def read_one(folder: str, name: str, at: int) -> tuple[int, np.ndarray]:
     store, base = _open(folder)
     with store.open_input_file(f"{base}/{name}") as f:
         f.seek(at)
-        _, payload = next(records(f, name))
-    return struct.unpack_from("<q", payload)[0], np.frombuffer(payload, dtype="<u4", offset=8)
+        _, data = next(records(f, name))
+    return unpacked(data)
 
 
 def read_index(folder: str, name: str) -> list[tuple[int, int, int]]:
