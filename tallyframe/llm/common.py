@@ -63,25 +63,33 @@ def slices(frames: Iterable[pd.DataFrame], column: str, chars: int) -> Iterator[
             yield frame[step == k]
 
 
-def tiles(frames: Iterable[pd.DataFrame], keys: list[str], work: Callable[[pd.DataFrame], Iterable[pd.DataFrame]]) -> Iterator[pd.DataFrame]:
-    """Calls work(tile) for each run of rows with equal keys in a partition sorted by them; holds one batch and one tile."""
+def whole_tiles(frames: Iterable[pd.DataFrame], keys: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """(rows, starts) with starts of the runs of equal keys, for a partition sorted by them; no run is ever cut. Holds
+    one batch and one run."""
     rest = None
     for frame in frames:
         if rest is not None and len(rest):
             frame = pd.concat([rest, frame], ignore_index=True)
         if frame.empty:
             continue
-        values = [frame[k].to_numpy() for k in keys]
         new = np.zeros(len(frame), dtype=bool)
         new[0] = True
-        for v in values:
+        for k in keys:
+            v = frame[k].to_numpy()
             new[1:] |= v[1:] != v[:-1]
         starts = np.flatnonzero(new)
-        for a, b in zip(starts[:-1], starts[1:]):
-            yield from work(frame.iloc[a:b])
         rest = frame.iloc[starts[-1] :]
+        if len(starts) > 1:
+            yield frame.iloc[: starts[-1]], starts[:-1]
     if rest is not None and len(rest):
-        yield from work(rest)
+        yield rest, np.zeros(1, dtype=np.int64)
+
+
+def tiles(frames: Iterable[pd.DataFrame], keys: list[str], work: Callable[[pd.DataFrame], Iterable[pd.DataFrame]]) -> Iterator[pd.DataFrame]:
+    """Calls work(tile) for each run of rows with equal keys in a partition sorted by them."""
+    for frame, starts in whole_tiles(frames, keys):
+        for a, b in zip(starts, [*starts[1:], len(frame)]):
+            yield from work(frame.iloc[a:b])
 
 
 def map_texts(docs: DataFrame, text: str, make: Callable[[], Callable[[list[str | None]], list]], fields: str, chars: int = 16_000_000) -> DataFrame:

@@ -8,8 +8,8 @@
    that link share a key. Such keys are rare among texts that only share a passage or common phrases.
 3. Each document is first compared with the least document of each of its tiles, which is linear work and joins most
    copies. Tiles whose documents are all joined by then are done.
-4. The other tiles are cut into blocks, rows sorted by set size, so that pairs outside the size band are not looked at.
-   A tile larger than a block becomes tiles for its pairs of blocks. Inside, bitmaps of the sets are multiplied: an
+4. The other tiles are cut into blocks, and pairs outside the size band are not looked
+   at. A tile larger than a block becomes tiles for its pairs of blocks. Inside, bitmaps of the sets are compared: an
    element whose bit the other bitmap lacks is in one set only, so the bit counts bound the overlap from above. Only
    pairs of different groups that pass are compared by exact intersection of the sorted arrays.
 5. Links make groups by connected components.
@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_texts, materialize, spread, tiles
+from .common import map_texts, materialize, spread, whole_tiles
 from .components import components
 
 BITS = 2048
@@ -149,28 +149,43 @@ def _verified(pairs: DataFrame, arrays: DataFrame, t: Fraction) -> DataFrame:
     return exact.filter(link("a_elements", "b_elements")).select("a", "b")
 
 
-def _tile_pairs(rows: DataFrame, t: Fraction, parts: int) -> DataFrame:
-    """Pairs of different groups in tiles (key, i, j) whose bit counts allow a link."""
+def _tile_pairs(rows: DataFrame, t: Fraction, parts: int, most: int = 400_000) -> DataFrame:
+    """Pairs of different groups in tiles (key, i, j) whose bit counts allow a link; `most` are looked at at once."""
     num, den = t.numerator, t.denominator
-
-    def work(tile: pd.DataFrame):
-        tile = tile.sort_values("n", kind="stable")
-        group, n, own, other = (tile[c].to_numpy() for c in ("group", "n", "block", "j"))
-        crossed = tile["i"].iat[0] != other[0]
-        ids = tile["id"].to_numpy()
-        bits = np.unpackbits(np.frombuffer(b"".join(tile["bits"]), dtype=np.uint8).reshape(len(tile), -1), axis=1).astype(np.float32)
-        count = bits.sum(axis=1).astype(np.int64)
-        both = (bits @ bits.T).astype(np.int64)
-        bound = np.minimum(n[:, None] - (count[:, None] - both), n[None, :] - (count[None, :] - both))
-        fits = (n[:, None] <= n[None, :]) & (n[:, None] * den >= n[None, :] * num) & (group[:, None] != group[None, :]) & _ok(bound, n[:, None], n[None, :], t)
-        if crossed:
-            fits &= own[:, None] != own[None, :]
-        x, y = np.nonzero(np.triu(fits, 1))
-        if len(x):
-            yield pd.DataFrame({"a": np.minimum(ids[x], ids[y]), "b": np.maximum(ids[x], ids[y])})
-
-    sorted_rows = rows.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return sorted_rows.mapInPandas(lambda frames: tiles(frames, ["key", "i", "j"], work), "a long, b long")
+    keys = ["key", "i", "j"]
+
+    def work(frames):
+        for frame, starts in whole_tiles(frames, keys):
+            group, n, own, ids = (frame[c].to_numpy() for c in ("group", "n", "block", "id"))
+            bits = np.frombuffer(b"".join(frame["bits"]), dtype=np.uint64).reshape(len(frame), -1)
+            at, ends = np.arange(len(frame)), np.append(starts[1:], len(frame))
+            sizes = ends - starts
+            # rows of a tile of two blocks are sorted by block: those of the first meet those of the second only
+            crossed = np.repeat(own[starts] != own[ends - 1], sizes)
+            turn = np.repeat(starts + np.add.reduceat((own == np.repeat(own[starts], sizes)).astype(np.int64), starts), sizes)
+            single = np.repeat((frame["i"].to_numpy() != frame["j"].to_numpy())[starts], sizes) & ~crossed
+            first = np.where(crossed, np.where(at < turn, turn, np.repeat(ends, sizes)), at + 1)
+            many = np.where(single, 0, np.repeat(ends, sizes) - first)
+            step = (np.cumsum(many) - many) // most
+            for k in np.unique(step):
+                own_rows = np.flatnonzero(step == k)
+                c = many[own_rows]
+                x = np.repeat(own_rows, c)
+                y = np.arange(len(x)) - np.repeat(np.cumsum(c) - c, c) + np.repeat(first[own_rows], c)
+                ok = (group[x] != group[y]) & (np.minimum(n[x], n[y]) * den >= np.maximum(n[x], n[y]) * num)
+                x, y = x[ok], y[ok]
+                if not len(x):
+                    continue
+                p, q = bits[x], bits[y]
+                both = np.bitwise_count(p & q).sum(axis=1, dtype=np.int64)
+                only_x, only_y = (np.bitwise_count(v).sum(axis=1, dtype=np.int64) - both for v in (p, q))
+                ok = _ok(np.minimum(n[x] - only_x, n[y] - only_y), n[x], n[y], t)
+                x, y = ids[x[ok]], ids[y[ok]]
+                if len(x):
+                    pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
+                    yield pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return rows.repartition(parts, *keys).sortWithinPartitions(*keys, "block").mapInPandas(work, "a long, b long")
 
 
 def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, threshold: Fraction = Fraction(85, 100)) -> DataFrame:
