@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_texts, materialize, spread, whole_tiles
+from .common import map_texts, materialize, slices, spread, whole_tiles
 from .components import components
 
 BITS = 2048
@@ -86,6 +86,13 @@ def keys(s: np.ndarray, t: Fraction) -> np.ndarray:
     return (h ^ (h >> np.uint64(31))).view(np.int64)
 
 
+def _digest(s: np.ndarray) -> int:
+    """With the size, the name of a set."""
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63 if len(s) else 0
+
+
 def bitmap(s: np.ndarray) -> bytes:
     bits = np.zeros(BITS, dtype=bool)
     bits[(s % np.uint64(BITS)).astype(np.int64)] = True
@@ -98,25 +105,46 @@ def _ok(overlap, a, b, t: Fraction):
 
 def _sets(docs: DataFrame, k: int, t: Fraction) -> DataFrame:
     def run(texts):
-        import xxhash
-
         n, digest, own = [], [], []
         for text in texts:
             s = shingles(text, k)
             n.append(len(s))
-            digest.append(xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63 if len(s) else 0)
+            digest.append(_digest(s))
             own.append(keys(s, t) if len(s) > 1 else np.zeros(0, dtype=np.int64))
         return n, digest, own
 
     return map_texts(docs, "text", lambda: run, "n long, digest long, keys array<long>").drop("text")
 
 
-def _arrays(docs: DataFrame, k: int) -> DataFrame:
-    def run(texts):
-        got = [shingles(text, k) for text in texts]
-        return [len(s) for s in got], [bitmap(s) for s in got], [s.tobytes() for s in got]
+FILTER_BITS = 1 << 23
+
+
+def _chosen(ids: DataFrame) -> np.ndarray:
+    """A bitmap of a fixed size (1 MB) over hashed ids: whatever the corpus, so much reaches the driver and no more."""
+    h = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
+    found = ids.select(h.alias("h")).groupBy(F.bitmap_bucket_number("h").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits")).collect()
+    out = np.zeros(FILTER_BITS // 8 + 2 * 4096, dtype=np.uint8)
+    for r in found:
+        out[r["bucket"] * 4096 : r["bucket"] * 4096 + 4096] = np.frombuffer(r["bits"], dtype=np.uint8)
+    return out
+
+
+def _arrays(docs: DataFrame, k: int, chosen: np.ndarray) -> DataFrame:
+    """(id, n, digest, bits, elements) of the documents that the bitmap holds (and a few more, which a join drops)."""
+    shared = docs.sparkSession.sparkContext.broadcast(chosen)
+    h = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
+    rows = docs.select("id", F.bitmap_bucket_number(h).alias("bucket"), F.bitmap_bit_position(h).alias("bit"), "text")
+
+    def work(frames):
+        bits = shared.value
+        for frame in frames:
+            at, bit = frame["bucket"].to_numpy() * 4096 + frame["bit"].to_numpy() // 8, frame["bit"].to_numpy() % 8
+            own = frame[(bits[at] >> bit) & 1 == 1]
+            for part in slices([own], "text", 8_000_000) if len(own) else ():
+                got = [shingles(text, k) for text in part["text"]]
+                yield pd.DataFrame({"id": part["id"].to_numpy(), "n": [len(s) for s in got], "digest": [_digest(s) for s in got], "bits": [bitmap(s) for s in got], "elements": [s.tobytes() for s in got]})
 
-    return map_texts(docs, "text", lambda: run, "n long, bits binary, elements binary").drop("text")
+    return rows.mapInPandas(work, "id long, n long, digest long, bits binary, elements binary")
 
 
 def _verified(pairs: DataFrame, arrays: DataFrame, t: Fraction) -> DataFrame:
@@ -208,10 +236,10 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     tiled = own.withColumns({"least": F.min("id").over(same), "most": F.max("id").over(same)}).filter("least < most")
     tiled = materialize(tiled.select("key", "id", "least").distinct(), "tiles")
 
-    candidates = tiled.select("id").distinct()
-    texts = rows.filter("id is not null").join(candidates, "id", "left_semi")
-    arrays = _arrays(texts, k).join(first.select("n", "id").distinct(), ["n", "id"], "left_semi")
-    arrays = materialize(arrays.dropDuplicates(["id", "n", "elements"]), "arrays")
+    # candidates are few: a fixed-size bitmap of them spares shuffling the other texts
+    arrays = _arrays(rows.filter("id is not null and text is not null"), k, _chosen(tiled.select("id").distinct()))
+    arrays = arrays.join(first.join(tiled.select("id").distinct(), "id", "left_semi"), ["id", "n", "digest"], "left_semi")
+    arrays = materialize(arrays.dropDuplicates(["id", "n", "digest"]).drop("digest"), "arrays")
 
     pivots = tiled.filter("id > least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
     links = materialize(_verified(pivots, arrays, t), "links")
