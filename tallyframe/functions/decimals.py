@@ -12,7 +12,7 @@ GROUPED = r"(?:\d+|\d{1,3}(?:,\d{3})+|\d{1,2}(?:,\d{2})*,\d{3})"
 
 def pattern(grouped: bool = False, trailing_minus: bool = False, parentheses: bool = False) -> str:
     whole = GROUPED if grouped else PLAIN
-    body = rf"(?:{whole}\.?\d*|\.\d+)"
+    body = rf"(?:{whole}(?:\.\d*)?|\.\d+)"
     forms = [rf"[+-]?{body}"]
     if trailing_minus:
         forms.append(rf"{body}-")

@@ -23,7 +23,7 @@ def query(oracle: str | None = None):
 # strict number text, shared by the SQL below
 _PLAIN = r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)"
 _GROUPED = r"([0-9]+|[0-9]{1,3}(,[0-9]{3})+|[0-9]{1,2}(,[0-9]{2})*,[0-9]{3})"
-_BODY = rf"({_GROUPED}\.?[0-9]*|\.[0-9]+)"
+_BODY = rf"({_GROUPED}(\.[0-9]*)?|\.[0-9]+)"
 _ANY = rf"[+-]?{_BODY}|{_BODY}-|\({_BODY}\)"
 
 

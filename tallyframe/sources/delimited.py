@@ -34,7 +34,8 @@ def records(spark: SparkSession, paths: list[str], width: int, delimiter: str =
     """(file, record, c0.., _bad) of every non-blank record, text as typed ('' for empty)."""
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)] + [T.StructField("_bad", T.StringType())])
     raw = spark.read.schema(schema).option("multiLine", True).option("header", False).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").option("sep", delimiter).option("quote", '"').option("escape", '"').csv(paths)
-    raw = raw.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"), *[F.coalesce(f"c{i}", F.lit("")).alias(f"c{i}") for i in range(width)], "_bad")
+    some = F.length(F.concat_ws("", *[f"c{i}" for i in range(width)])) >= 0  # always; the reader refuses a scan of _bad alone
+    raw = raw.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"), *[F.coalesce(f"c{i}", F.lit("")).alias(f"c{i}") for i in range(width)], F.when(some, F.col("_bad")).alias("_bad"))
     # under multiLine one file is one task, so the order of ids is the order in the file
     return raw.withColumn("record", F.row_number().over(Window.partitionBy("file").orderBy("at"))).drop("at")
 
