@@ -92,13 +92,21 @@ def tiles(frames: Iterable[pd.DataFrame], keys: list[str], work: Callable[[pd.Da
             yield from work(frame.iloc[a:b])
 
 
-def map_texts(docs: DataFrame, text: str, make: Callable[[], Callable[[list[str | None]], list]], fields: str, chars: int = 16_000_000) -> DataFrame:
+def small_batches(df: DataFrame) -> None:
+    """Arrow batches of 1,000 rows from now on: with the default of 10,000, long texts would fill tens of MB in the JVM
+    and again in each Python worker. The session keeps the setting, as plans run after the call that makes them."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
+def map_texts(docs: DataFrame, text: str, make: Callable[[], Callable[[list[str | None]], list]], fields: str, chars: int = 4_000_000) -> DataFrame:
     """All columns of docs, then `fields`, which the function that make() returns computes from a list of texts.
 
     Runs in Arrow batches cut to about `chars` code points. Columns of docs pass through untouched, whatever their
     types and names; where a field's name is taken, the new column comes last under the same name, so select first.
     """
     import pyarrow as pa
+
+    small_batches(docs)
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 

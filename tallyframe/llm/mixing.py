@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, word_count
+from .common import materialize, small_batches, word_count
 
 WEIGHTS = (3, 1, 2)  # fixed values: repeating, in order of the sources
 BLOCK = 64
@@ -168,6 +168,7 @@ def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", so
     end). Documents without taken words give no row. Of rows that repeat key, text and source, other columns come from
     one of them.
     """
+    small_batches(docs)
     pieces, _ = mix(docs, key, text, source, seed=seed, **options)
     runs = pieces.filter("times > 0").select("place", "nth", "size", "from_word", "to_word", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("round"))
     runs = runs.groupBy("place", "nth", "round").agg(F.first("size").alias("size"), F.array_sort(F.collect_list(F.struct("from_word", "to_word"))).alias("parts"))

@@ -51,7 +51,7 @@ def shingles(text: str | None, k: int) -> np.ndarray:
     words = text.encode().lower().split() if text else []
     if not words:
         return np.zeros(0, dtype=np.uint64)
-    if len(_MEMO) > 300_000:
+    if len(_MEMO) > 150_000:
         _MEMO.clear()
     get = _MEMO.__getitem__
     h = np.fromiter(map(get, words), dtype=np.uint64, count=len(words))
@@ -140,7 +140,7 @@ def _arrays(docs: DataFrame, k: int, chosen: np.ndarray) -> DataFrame:
         for frame in frames:
             at, bit = frame["bucket"].to_numpy() * 4096 + frame["bit"].to_numpy() // 8, frame["bit"].to_numpy() % 8
             own = frame[(bits[at] >> bit) & 1 == 1]
-            for part in slices([own], "text", 8_000_000) if len(own) else ():
+            for part in slices([own], "text", 3_000_000) if len(own) else ():
                 got = [shingles(text, k) for text in part["text"]]
                 yield pd.DataFrame({"id": part["id"].to_numpy(), "n": [len(s) for s in got], "digest": [_digest(s) for s in got], "bits": [bitmap(s) for s in got], "elements": [s.tobytes() for s in got]})
 
@@ -177,7 +177,7 @@ def _verified(pairs: DataFrame, arrays: DataFrame, t: Fraction) -> DataFrame:
     return exact.filter(link("a_elements", "b_elements")).select("a", "b")
 
 
-def _tile_pairs(rows: DataFrame, t: Fraction, parts: int, most: int = 400_000) -> DataFrame:
+def _tile_pairs(rows: DataFrame, t: Fraction, parts: int, most: int = 60_000) -> DataFrame:
     """Pairs of different groups in tiles (key, i, j) whose bit counts allow a link; `most` are looked at at once."""
     num, den = t.numerator, t.denominator
     keys = ["key", "i", "j"]

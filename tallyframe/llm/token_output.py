@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path, slices
+from .common import new_path, slices, small_batches
 
 _MASK = 0xA282EAD8  # fixed value of the format
 _ENTRY = "<qQQ"  # key, offset, length of a record in the index
@@ -93,7 +93,7 @@ class WordEncoder:
     PROBES = ("the", "Straße", "été", "ÀÉÎÕÜ", "x", "naïvetés", "antidisestablishmentarianism", "zwölftausend", "ñandú", "qqqzzz")
     STOPS = b".,;:!?"
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 300_000):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
@@ -168,6 +168,7 @@ def write_records(docs: DataFrame, tokenizer: str, end_id: int, key: str = "doc_
     int64 (-2**63). An empty table gives an empty manifest. Shards are cut by key and text hash, so that one repeated
     key does not fill one task. Executors write to `folder` (default: a new one in the shared folder).
     """
+    small_batches(docs)
     folder = folder or new_path(docs.sparkSession, "records")
     spark = docs.sparkSession
     least = -(2**63)
@@ -187,7 +188,7 @@ def write_records(docs: DataFrame, tokenizer: str, end_id: int, key: str = "doc_
         own = f"{base}/.{uuid.uuid4().hex}"
         n = ids = at = 0
         with store.open_output_stream(own) as out, store.open_output_stream(own + ".idx") as index:
-            for batch in slices(frames, "t", 4_000_000):
+            for batch in slices(frames, "t", 2_000_000):
                 for k, body in zip(batch["k"].tolist(), encode([None if pd.isna(x) else x for x in batch["t"]])):
                     record = frame(payload(k, np.frombuffer(body + end, dtype=np.uint32)))
                     out.write(record)
