@@ -54,6 +54,17 @@ def word_count(text: Column) -> Column:
     return F.when(text.isNull() | (text == ""), F.lit(0)).otherwise(n).cast("long")
 
 
+_HELD: dict = {}
+
+
+def held(name, make: Callable):
+    """What a Python worker remembers from task to task, one operator's at a time: the next one's takes its place."""
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = make()
+    return _HELD[name]
+
+
 def slices(frames: Iterable[pd.DataFrame], column: str, chars: int) -> Iterator[pd.DataFrame]:
     """Cuts batches so that their texts hold about `chars` code points; one row is never cut."""
     for frame in frames:

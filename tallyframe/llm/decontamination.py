@@ -192,12 +192,12 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def _blocks(items: DataFrame, item: str, text: str, most: int):
-    """The items in blocks of about `most` bytes of text, each brought to the driver by itself."""
+    """The number of blocks of about `most` bytes of text, and the blocks, each brought to the driver by itself."""
     rows = items.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("i"), F.col(text).cast("string").alias("t")).filter("t is not null")
     total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = max(1, -(-total // most))
-    for k in range(n):
-        yield [(r["i"], r["t"]) for r in (rows.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k) if n > 1 else rows).toLocalIterator()]
+    own = (rows.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k) if n > 1 else rows for k in range(n))
+    return n, ([(r["i"], r["t"]) for r in x.toLocalIterator()] for x in own)
 
 
 def find_passages(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 10, cut: bool = False, block_bytes: int = 8_000_000) -> DataFrame:
@@ -209,28 +209,35 @@ def find_passages(docs: DataFrame, items: DataFrame, text: str = "text", item: s
     gives no hits. cut=True also replaces the text by the text without the spans. No shuffle: rows stay in their task.
     """
     out = docs
-    for k, block in enumerate(_blocks(items, item, item_text, block_bytes)):
+    n, blocks = _blocks(items, item, item_text, block_bytes)
+    at_once = cut and n == 1  # then the search cuts too, and a task needs one Python worker
+    for k, block in enumerate(blocks):
         phrases = Phrases(block, window)
         before = [F.lit(None).cast("array<struct<first:long,end:long>>").alias("spans"), F.lit(None).cast("array<string>").alias("hit_items")] if not k else [out["spans"], out["hit_items"]]
         carried = docs.columns
         packed = out.select(*[F.col(f"`{c}`") for c in carried], *before) if k else out
-        packed = map_texts(packed, text, lambda p=phrases: _finder(p), "n_words long, new_spans array<struct<first:long,end:long>>, new_items array<string>")
+        packed = map_texts(packed, text, lambda p=phrases: _finder(p, at_once), "n_words long, new_spans array<struct<first:long,end:long>>, new_items array<string>" + ", less string" * at_once)
+        if at_once:
+            packed = packed.toDF(*[f"c{i}" for i in range(len(packed.columns))])
+            last, t = F.col(packed.columns[-1]), f"c{carried.index(text)}"
+            packed = packed.withColumn(t, F.coalesce(last, F.col(t))).drop(packed.columns[-1])
         cols = packed.columns
         packed = packed.toDF(*[f"c{i}" for i in range(len(cols))])
         w, s, i = (F.col(f"c{len(cols) - j}") for j in (3, 2, 1))
         if k:
             s, i = _merged(F.concat(F.col(f"c{len(cols) - 5}"), s)), F.array_union(F.col(f"c{len(cols) - 4}"), i)
         out = packed.select(*[F.col(f"c{j}").alias(c) for j, c in enumerate(carried)], w.alias("n_words"), s.alias("spans"), i.alias("hit_items"))
-    if cut:
+    if cut and not at_once:
         out = _cut(out, docs.columns, text)
     return out
 
 
-def _finder(phrases: Phrases):
+def _finder(phrases: Phrases, cut: bool):
     def run(texts):
         counts, spans, items = phrases.find(texts)
         n = range(len(texts))
-        return counts, [[{"first": a, "end": b} for a, b in spans.get(k, ())] for k in n], [sorted(items.get(k, ())) for k in n]
+        got = counts, [[{"first": a, "end": b} for a, b in spans.get(k, ())] for k in n], [sorted(items.get(k, ())) for k in n]
+        return (*got, [without(texts[k], spans[k]) if k in spans else None for k in n]) if cut else got
 
     return run
 

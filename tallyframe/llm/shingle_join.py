@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_texts, materialize, slices, spread, whole_tiles
+from .common import held, map_texts, materialize, slices, spread, whole_tiles
 from .components import components
 
 BITS = 2048
@@ -42,7 +42,6 @@ class _Memo(dict):
         return h
 
 
-_MEMO = _Memo()
 _C = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -51,9 +50,10 @@ def shingles(text: str | None, k: int) -> np.ndarray:
     words = text.encode().lower().split() if text else []
     if not words:
         return np.zeros(0, dtype=np.uint64)
-    if len(_MEMO) > 150_000:
-        _MEMO.clear()
-    get = _MEMO.__getitem__
+    memo = held("words", _Memo)
+    if len(memo) > 150_000:
+        memo.clear()
+    get = memo.__getitem__
     h = np.fromiter(map(get, words), dtype=np.uint64, count=len(words))
     take = min(k, len(words))
     with np.errstate(over="ignore"):

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path, slices, small_batches
+from .common import held, new_path, slices, small_batches
 
 _MASK = 0xA282EAD8  # fixed value of the format
 _ENTRY = "<qQQ"  # key, offset, length of a record in the index
@@ -150,14 +150,9 @@ class WordEncoder:
         return [b"".join(map(get, words)) for words in split]
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
     """One encoder per Python worker, so that its words outlive a task."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    return held(("encoder", path), lambda: WordEncoder(path))
 
 
 def write_records(docs: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text", folder: str | None = None) -> DataFrame:
