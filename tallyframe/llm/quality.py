@@ -21,27 +21,37 @@ SAMPLE_CHARS = 20_000_000
 LABELLERS = 6
 
 
-def votes(text):
-    """An array of votes, 1 good, -1 bad, 0 none, by labeller: length, letters, mean word, repeats, lines, symbols."""
-    t = F.coalesce(text, F.lit(""))
-    n = F.length(t)
-    words = F.size(F.split(t, r"\s+"))
-    letters = F.length(F.regexp_replace(t, r"[^\p{L}\s]+", ""))
-    lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.trim(x)) > 0)
-    symbols = n - F.length(F.translate(t, "|#<>{}[]=~^*_\\$%&@", ""))
-    stops = n - F.length(F.translate(t, ".!?", ""))
+def voted(docs: DataFrame) -> DataFrame:
+    """docs (with a column text) and votes: an array of 1 good, -1 bad, 0 none, by labeller: length, letters, mean word,
+    repeats, lines, symbols.
+
+    What the votes use more than once is a column of an earlier select, so Catalyst keeps it there and it is
+    computed once a row.
+    """
+    t = F.coalesce(F.col("text"), F.lit(""))
+    measures = {
+        "m_n": F.length(t),
+        "m_words": F.size(F.split(t, r"\s+")),
+        "m_letters": F.length(F.regexp_replace(t, r"[^\p{L}\s]+", "")),
+        "m_lines": F.filter(F.split(t, "\n"), lambda x: F.length(F.trim(x)) > 0),
+        "m_symbols": F.length(t) - F.length(F.translate(t, "|#<>{}[]=~^*_\\$%&@", "")),
+        "m_stops": F.length(t) - F.length(F.translate(t, ".!?", "")),
+    }
+    counted = docs.withColumns(measures).withColumns({"m_all": F.size("m_lines"), "m_own": F.size(F.array_distinct("m_lines"))})
+    n, words, letters, symbols, stops, every, own = (F.col(f"m_{c}") for c in ("n", "words", "letters", "symbols", "stops", "all", "own"))
 
     def vote(good, bad):
         return F.when(bad, -1).when(good, 1).otherwise(0)
 
-    return F.array(
+    found = F.array(
         vote(words >= 60, words < 12),
         vote(letters > 0.93 * n, (letters < 0.7 * n) | (n == 0)),
         vote((n > 4.0 * words) & (n < 9.5 * words), (n < 2.5 * words) | (n > 16.0 * words)),
-        vote(F.size(F.array_distinct(lines)) == F.size(lines), F.size(F.array_distinct(lines)) < 0.7 * F.size(lines)),
+        vote(own == every, own < 0.7 * every),
         vote((stops > 0) & (words < 45 * stops), stops * 250 < words),
         vote(symbols < 0.004 * n, symbols > 0.05 * n),
     )
+    return counted.select(*[F.col(f"`{c}`") for c in docs.columns], found.alias("votes"))
 
 
 def accuracies(patterns: np.ndarray, n: np.ndarray, rounds: int = 200) -> tuple[float, np.ndarray, np.ndarray]:
@@ -119,23 +129,23 @@ def quality(docs: DataFrame, key: str = "doc_id", text: str = "text", least: flo
     it. Null and empty texts get all bad or no votes and are not kept. An empty table gives an empty result; equal
     texts get equal results.
     """
-    voted = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("votes", votes(F.col("text")))
-    found = voted.groupBy("votes").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("c")).collect()
+    rows = voted(docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text")))
+    found = rows.groupBy("votes").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("c")).collect()
     patterns = np.array([r["votes"] for r in found], dtype=int).reshape(-1, LABELLERS)
     n = np.array([r["n"] for r in found], dtype=float)
     _, _, posterior = accuracies(patterns, n)
     known = {tuple(p): float(q) for p, q in zip(patterns.tolist(), posterior)}
     share = min(1.0, sample / max(1.0, n.sum()), SAMPLE_CHARS / max(1, sum(r["c"] or 0 for r in found)))
-    chosen = voted.filter(F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(1_000_003)) < share * 1_000_003)
+    chosen = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(1_000_003)) < share * 1_000_003)
 
     def vectors(frames):
         for frame in frames:
             got = [features(t) for t in frame["text"]]
             yield pd.DataFrame({"h": frame["doc_id"], "v": frame["votes"], "at": [a.astype("<i4").tobytes() for a, _ in got], "x": [x.astype("<f4").tobytes() for _, x in got]})
 
-    rows = chosen.select(F.xxhash64("doc_id", "text").alias("doc_id"), "votes", "text").mapInPandas(vectors, "h long, v array<int>, at binary, x binary").collect()
-    rows = sorted(rows, key=lambda r: (r["h"], tuple(r["v"])))
-    weights = fit_scorer([(np.frombuffer(r["at"], dtype="<i4"), np.frombuffer(r["x"], dtype="<f4").astype(float), known[tuple(r["v"])]) for r in rows])
+    got = chosen.select(F.xxhash64("doc_id", "text").alias("doc_id"), "votes", "text").mapInPandas(vectors, "h long, v array<int>, at binary, x binary").collect()
+    got = sorted(got, key=lambda r: (r["h"], tuple(r["v"])))
+    weights = fit_scorer([(np.frombuffer(r["at"], dtype="<i4"), np.frombuffer(r["x"], dtype="<f4").astype(float), known[tuple(r["v"])]) for r in got])
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # a fixed number of buckets
 
     def make():
@@ -153,5 +163,5 @@ def quality(docs: DataFrame, key: str = "doc_id", text: str = "text", least: flo
     code = F.aggregate("votes", F.lit(0), lambda a, v: a * 3 + v + 1)
     by_code = {sum((v + 1) * 3 ** (LABELLERS - 1 - i) for i, v in enumerate(p)): q for p, q in known.items()}
     table = F.array(*[F.lit(by_code.get(i, 0.5)) for i in range(3**LABELLERS)])
-    scored = map_texts(voted.withColumn("posterior", F.element_at(table, code + 1)).select("doc_id", "posterior", "text"), "text", make, "score double")
+    scored = map_texts(rows.withColumn("posterior", F.element_at(table, code + 1)).select("doc_id", "posterior", "text"), "text", make, "score double")
     return scored.select("doc_id", "posterior", "score", ((F.col("posterior") >= least) | (F.col("score") >= least)).alias("keep"))
