@@ -91,6 +91,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     `pieces` with null block. A source whose target is 0 gets no slots. Rows with equal keys are told apart by text.
     Reruns give the same rows: order and draws depend on keys, texts and the seed alone.
     """
+    small_batches(docs)
     rows = docs.select(F.col(key).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text).cast("string")).alias("size"), F.xxhash64(F.col(key), F.col(text).cast("string"), F.col(source).cast("string"), F.lit(seed)).alias("place"))
     rows = rows.withColumn("bucket", F.pmod(F.col("place"), F.lit(1024)))
     rows = materialize(rows, "sizes")
@@ -168,7 +169,6 @@ def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", so
     end). Documents without taken words give no row. Of rows that repeat key, text and source, other columns come from
     one of them.
     """
-    small_batches(docs)
     pieces, _ = mix(docs, key, text, source, seed=seed, **options)
     runs = pieces.filter("times > 0").select("place", "nth", "size", "from_word", "to_word", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("round"))
     runs = runs.groupBy("place", "nth", "round").agg(F.first("size").alias("size"), F.array_sort(F.collect_list(F.struct("from_word", "to_word"))).alias("parts"))
