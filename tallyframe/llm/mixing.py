@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches, word_count
+from .common import materialize, small_batches, spread, word_count
 
 WEIGHTS = (3, 1, 2)  # fixed values: repeating, in order of the sources
 BLOCK = 64
@@ -112,7 +112,8 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     begun = np.cumsum(dealt, axis=0) - dealt
     counts = spark.createDataFrame([(k, i, int(dealt[k, i]), int(begun[k, i]), int(blocks[i])) for k in range(shards) for i in range(len(names)) if dealt[k, i]], "shard int, s int, n long, begun long, blocks long")
     slot = counts.repartition(F.col("shard"), F.col("s")).select("shard", "s", "blocks", "begun", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / 4096))).alias("run"), "n")
-    slot = slot.repartition(F.col("shard"), F.col("s"), F.col("run")).select("shard", "s", "blocks", F.explode(F.sequence(F.col("begun") + F.col("run") * 4096, F.col("begun") + F.least(F.col("n"), (F.col("run") + 1) * 4096) - 1)).alias("slot"))
+    # a stated number: by size alone these few rows, each of 4,096 slots, would be merged into one task
+    slot = slot.repartition(spread(docs), "shard", "s", "run").select("shard", "s", "blocks", F.explode(F.sequence(F.col("begun") + F.col("run") * 4096, F.col("begun") + F.least(F.col("n"), (F.col("run") + 1) * 4096) - 1)).alias("slot"))
     slot = slot.withColumn("number", _number(F.col("slot"), F.col("blocks"), F.col("s"), seed))
     taken = slot.groupBy("s", "number").agg(F.count("*").alias("times"))
 
