@@ -4,8 +4,8 @@ Markup is stripped to lines: a block-level tag ends a line, an inline tag does n
 sidebars, notices, adverts, forms and reader comments, told by their elements, count as empty, and so do lines that
 are mostly links. Text lengths are summed over a window of lines that slides down the page. The text surges where a
 sum rises above a threshold and dives where it falls to nothing; the stretch with most text between a surge and its
-dive is the main text. Where the page marks its article, lines outside it count as empty and the stretch runs over all
-of the article.
+dive is the main text. The marks of articles do not choose: links do not empty a line inside an article, and where
+articles hold at least half of the stretch that was found, the text is all of these articles and nothing beside them.
 """
 
 from __future__ import annotations
@@ -129,17 +129,15 @@ def main_text(page: str | None) -> str:
         return ""
     size = np.array([0 if skip else len(t) for t, _, _, skip in got])
     inside = np.array([a for _, _, a, _ in got])
-    if (size[inside > 0] > 0).any():
-        weight = np.bincount(inside, weights=size)
-        weight[0] = 0
-        size = np.where(inside == int(weight.argmax()), size, 0)
-        on = np.flatnonzero(size)
-        first, last = on[0], on[-1] + 1
-    else:
-        linked = np.array([2 * link > len(t) for t, link, _, _ in got])
-        size = np.where(linked, 0, size)
-        first, last = _stretch(size)
-    return " ".join(t for k, (t, _, _, _) in enumerate(got[first:last], first) if size[k])
+    linked = np.array([2 * link > len(t) for t, link, _, _ in got])
+    size[linked & (inside == 0)] = 0
+    first, last = _stretch(size)
+    keep = np.zeros(len(size), dtype=bool)
+    keep[first:last] = True
+    marked = keep & (inside > 0)
+    if size[marked].sum() * 2 >= size[keep].sum():  # the page marks what was found: all of those articles, no more
+        keep = np.isin(inside, inside[marked & (size > 0)])
+    return " ".join(t for (t, _, _, _), k, n in zip(got, keep, size) if k and n)
 
 
 def _stretch(size: np.ndarray) -> tuple[int, int]:
