@@ -1,11 +1,13 @@
 """Operator 4: the main text of web pages by the distribution of text over line blocks.
 
 Markup is stripped to lines: a block-level tag ends a line, an inline tag does not. Lines of menus, headers, footers,
-sidebars, notices, adverts, forms and reader comments, told by their elements, count as empty, and so do lines that
-are mostly links. Text lengths are summed over a window of lines that slides down the page. The text surges where a
-sum rises above a threshold and dives where it falls to nothing; the stretch with most text between a surge and its
-dive is the main text. The marks of articles do not choose: links do not empty a line inside an article, and where
-articles hold at least half of the stretch that was found, the text is all of these articles and nothing beside them.
+sidebars, notices, adverts, forms and reader comments, told by their elements, are taken out; lines that are mostly
+links count as empty. Text lengths are summed over a window of lines that slides down the page. The text surges where a
+sum rises above a threshold and dives where it falls to nothing. A surge is widened back over the lines that lead to it;
+the main text is every stretch from the first surge to the last dive. What lies in a dive, a list of links, is not text;
+fewer lines of links inside a stretch, or beside its ends in the same element, are. The marks of articles do not choose:
+links do not empty a line inside an article, and where articles hold at least half of what was found, the text is all
+of the page's articles and nothing beside them.
 """
 
 from __future__ import annotations
@@ -51,21 +53,21 @@ def _not_text(tag: str, attributes: str) -> bool:
     return False
 
 
-def lines(page: str) -> list[tuple[str, int, int, bool]]:
-    """(text, characters in links, number of the article it is in or 0, counts as empty) of each line of a page."""
-    out: list[tuple[str, int, int, bool]] = []
+def lines(page: str) -> list[tuple[str, int, int, bool, int]]:
+    """(text, characters in links, number of the article it is in or 0, is not text, number of its element) of each line of a page."""
+    out: list[tuple[str, int, int, bool, int]] = []
     text: list[str] = []
     link = 0
-    stack: list[tuple[str, bool, int]] = []  # open elements: name, skipped, article
-    articles = at = 0
+    stack: list[tuple[str, bool, int, int]] = []  # open elements: name, skipped, article, number
+    articles = elements = at = 0
     n = len(page)
 
     def end_line():
         nonlocal link
         whole = " ".join("".join(text).split())
         if whole:
-            skip = bool(stack) and stack[-1][1]
-            out.append((whole, link, stack[-1][2] if stack else 0, skip))
+            _, skip, inside, element = stack[-1] if stack else ("", False, 0, 0)
+            out.append((whole, link, inside, skip, element))
         text.clear()
         link = 0
 
@@ -95,7 +97,7 @@ def lines(page: str) -> list[tuple[str, int, int, bool]]:
                 links = 0 if m[1] else 1
             if not m[1] and tag not in VOID and m[3] and _not_text(tag, m[3]):
                 end_line()
-                stack.append((tag, True, stack[-1][2] if stack else 0))
+                stack.append((tag, True, stack[-1][2] if stack else 0, 0))
             elif m[1] and stack and stack[-1][0] == tag:
                 end_line()
                 stack.pop()
@@ -116,7 +118,8 @@ def lines(page: str) -> list[tuple[str, int, int, bool]]:
                 if not inside or tag == "article" and stack and not any(s[0] == "article" for s in stack):
                     articles += 1
                     inside = articles
-            stack.append((tag, skip, inside))
+            elements += 1
+            stack.append((tag, skip, inside, elements))
     end_line()
     return out
 
@@ -124,40 +127,37 @@ def lines(page: str) -> list[tuple[str, int, int, bool]]:
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    got = lines(page)
-    if not got:
-        return ""
-    size = np.array([0 if skip else len(t) for t, _, _, skip in got])
-    inside = np.array([a for _, _, a, _ in got])
-    linked = np.array([2 * link > len(t) for t, link, _, _ in got])
+    got = [line for line in lines(page) if not line[3]]
+    size = np.array([len(t) for t, *_ in got], dtype=np.int64)
+    inside = np.array([a for _, _, a, _, _ in got], dtype=np.int64)
+    linked = np.array([2 * link > len(t) for t, link, *_ in got], dtype=bool)
     size[linked & (inside == 0)] = 0
-    first, last = _stretch(size)
     keep = np.zeros(len(size), dtype=bool)
-    keep[first:last] = True
+    for first, last in _stretches(size):
+        keep[first:last] = True
+        for at, step in ((first, -1), (last - 1, 1)):
+            own = at + step
+            while 0 <= own < len(size) and not size[own] and got[own][4] == got[at][4]:
+                own += step
+            if abs(own - at) <= WINDOW:
+                keep[min(own - step, at) : max(own - step, at) + 1] = True
     marked = keep & (inside > 0)
-    if size[marked].sum() * 2 >= size[keep].sum():  # the page marks what was found: all of those articles, no more
-        keep = np.isin(inside, inside[marked & (size > 0)])
-    return " ".join(t for (t, _, _, _), k, n in zip(got, keep, size) if k and n)
-
-
-def _stretch(size: np.ndarray) -> tuple[int, int]:
-    """Lines from the surge to the dive with most text between them."""
-    sums = np.convolve(size, np.ones(WINDOW, dtype=np.int64))[WINDOW - 1 :] if len(size) else size
-    best, found, k = (0, 0), 0, 0
-    while k < len(size):
-        if sums[k] > SURGE and size[k] > 0:
-            stop = k
-            while stop < len(size) and sums[stop] > 0:
-                stop += 1
-            total = int(size[k:stop].sum())
-            if total > found:
-                best, found = (k, stop), total
-            k = stop
-        k += 1
-    if not found and size.any():  # a page of few words: all of them
-        on = np.flatnonzero(size)
-        return int(on[0]), int(on[-1]) + 1
-    return best
+    if marked.any() and size[marked].sum() * 2 >= size[keep].sum():  # the page marks what was found: all of its articles, no more
+        keep = inside > 0
+    return " ".join(line[0] for line, k in zip(got, keep) if k)
+
+
+def _stretches(size: np.ndarray) -> list[tuple[int, int]]:
+    """Lines of each stretch from the first surge to the last dive."""
+    on = np.flatnonzero(size)
+    if not on.size:
+        return []
+    sums = np.convolve(size, np.ones(WINDOW, dtype=np.int64))[WINDOW - 1 :]
+    starts = np.flatnonzero(np.diff(on, prepend=-WINDOW - 1) > WINDOW)  # after a dive, or the page's first
+    ends = np.append(starts[1:], on.size) - 1
+    surged = np.searchsorted(starts, np.flatnonzero(sums[on] > SURGE), "right") - 1
+    first, last = (surged[0], surged[-1]) if surged.size else (0, len(starts) - 1)  # a page of few words: all of them
+    return [(int(on[a]), int(on[b]) + 1) for a, b in zip(starts[first : last + 1], ends[first : last + 1])]
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:

@@ -11,7 +11,33 @@ def test_blocks_choose_the_text_also_where_an_article_is_marked():
 
 def test_window_sums_run_for_every_page(monkeypatch):
     seen = []
-    stretch = html_text._stretch
-    monkeypatch.setattr(html_text, "_stretch", lambda size: seen.append(len(size)) or stretch(size))
+    stretches = html_text._stretches
+    monkeypatch.setattr(html_text, "_stretches", lambda size: seen.append(len(size)) or stretches(size))
     assert html_text.main_text("<article><p>" + "long text " * 40 + "</p></article>")
     assert seen
+
+
+LONG, MORE = ("long text " * 40).strip(), ("more text " * 30).strip()
+
+
+def test_div_article_keeps_both_sides_of_an_aside():
+    aside = "<aside>" + "<p>An advert of some length.</p>" * 4 + "</aside>"
+    page = f"<nav><p>Menu</p></nav><div><h1>Title</h1><p>3 May</p><p>By Jo</p><p>{LONG}</p>{aside}<p>{MORE}</p><p>End.</p></div><footer>Us</footer>"
+    assert html_text.main_text(page) == f"Title 3 May By Jo {LONG} {MORE} End."
+
+
+def test_stretches_are_joined_over_a_list_of_links():
+    links = "<ul>" + "<li><a href=/>Another page</a>" * 5 + "</ul>"
+    page = f"{links}<div><h1>A title</h1><p>3 May</p><p>By <a href=/>Jo Doe</a></p><p>{LONG}</p>{links}<p>{MORE}</p></div>{links}"
+    assert html_text.main_text(page) == f"A title 3 May By Jo Doe {LONG} {MORE}"
+
+
+def test_own_paragraphs_of_links_stay():
+    page = f"<div><p><a href=/>A series</a></p><p>{LONG}</p><p>See <a href=/>the whole of the report</a></p><p>{MORE}</p><p><a href=/>Source</a></p></div><div><a href=/>Privacy</a></div>"
+    assert html_text.main_text(page) == f"A series {LONG} See the whole of the report {MORE} Source"
+
+
+def test_all_articles_of_a_page():
+    links = "<p><a href=/>Another page</a>" * 5
+    assert html_text.main_text(f"<article>{LONG}</article>{links}<article>{MORE}</article>{links}<article>Short.</article>") == f"{LONG} {MORE} Short."
+    assert html_text.main_text(f"<main><h1>Title</h1><article>{LONG}</article></main>") == f"Title {LONG}"
