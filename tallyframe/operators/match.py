@@ -14,7 +14,10 @@ from ..config import MatchingRules
 from ..functions.text import references_agree
 from .components import components
 
-CONTENT = ("day", "amount", "reference", "record_number")
+
+def _content(side: str) -> list:
+    """Content order of a side's units: day, amount, reference (none before any), record number."""
+    return [F.col(f"{side}_day"), F.col("amount"), F.coalesce(f"{side}_reference", F.lit("")).alias("reference"), F.col(side)]
 
 
 def _side(df: DataFrame, name: str) -> DataFrame:
@@ -37,9 +40,9 @@ def _joined(bank: DataFrame, books: DataFrame, rules: MatchingRules, binned: boo
 
 
 def candidates(bank: DataFrame, books: DataFrame, rules: MatchingRules = MatchingRules(), binned: bool = False) -> DataFrame:
-    """(account, amount, bank, books, bank_day, books_day, gap, agree, tier): tier 1 where references agree, else 3."""
+    """(account, amount, bank, books, day and reference of both, gap, agree, tier): tier 1 where references agree, else 3."""
     kept = _joined(bank, books, rules, binned).filter("agree is null or agree")
-    return kept.select("account", "amount", "bank", "books", "bank_day", "books_day", F.datediff("bank_day", "books_day").alias("gap"), "agree", F.when(F.col("agree"), 1).otherwise(3).alias("tier"))
+    return kept.select("account", "amount", "bank", "books", "bank_day", "books_day", "bank_reference", "books_reference", F.datediff("bank_day", "books_day").alias("gap"), "agree", F.when(F.col("agree"), 1).otherwise(3).alias("tier"))
 
 
 def reference_conflicts(bank: DataFrame, books: DataFrame, rules: MatchingRules) -> DataFrame:
@@ -57,7 +60,7 @@ def pair_counts(bank: DataFrame, books: DataFrame, rules: MatchingRules = Matchi
 def budgeted(pairs: DataFrame, most: int) -> DataFrame:
     """The first `most` pairs of each account in content order, flagged if there were more."""
     w = Window.partitionBy("account")
-    nth = F.row_number().over(w.orderBy("bank_day", "amount", "bank", "books_day", "books"))
+    nth = F.row_number().over(w.orderBy(*_content("bank"), *_content("books")))
     return pairs.withColumns({"nth": nth, "incomplete": F.count("*").over(w) > most}).filter(F.col("nth") <= most)
 
 
@@ -78,17 +81,17 @@ def groups(pairs: DataFrame) -> DataFrame:
     node = lambda side: F.xxhash64("account", F.lit(side), F.col(side))
     edges = pairs.select(node("bank").alias("a"), node("books").alias("b"))
     named = components(edges, "a", "b")
-    tied = pairs.withColumn("node", node("bank")).join(named, "node").select("account", "amount", "bank", "books", "bank_day", "component")
+    tied = pairs.withColumn("node", node("bank")).join(named, "node").select("account", "amount", "bank", "books", "bank_day", "bank_reference", "component")
     return _numbered(tied, "component")
 
 
 def groups_by_island(pairs: DataFrame) -> DataFrame:
-    tied = pairs.join(islands(pairs), ["account", "amount", "bank"]).select("account", "amount", "bank", "books", "bank_day", F.struct("amount", "island").alias("component"))
+    tied = pairs.join(islands(pairs), ["account", "amount", "bank"]).select("account", "amount", "bank", "books", "bank_day", "bank_reference", F.struct("amount", "island").alias("component"))
     return _numbered(tied, "component")
 
 
 def _numbered(tied: DataFrame, component: str) -> DataFrame:
-    firsts = tied.groupBy("account", component).agg(F.min(F.struct("bank_day", "amount", "bank")).alias("first"))
+    firsts = tied.groupBy("account", component).agg(F.min(F.struct(*_content("bank"))).alias("first"))
     firsts = firsts.withColumn("group", F.row_number().over(Window.partitionBy("account").orderBy("first")))
     return tied.join(firsts, ["account", component]).select("account", "group", "bank", "books")
 
@@ -99,7 +102,7 @@ def group_sizes(grouped: DataFrame) -> DataFrame:
 
 def ranked(pairs: DataFrame, grouped: DataFrame) -> DataFrame:
     """Candidates in the order they are offered: group, tier, days apart, bank content, books content."""
-    w = Window.partitionBy("account").orderBy("group", "tier", F.abs("gap"), "bank_day", "bank", "books_day", "books")
+    w = Window.partitionBy("account").orderBy("group", "tier", F.abs("gap"), *_content("bank"), *_content("books"))
     return pairs.join(grouped, ["account", "bank", "books"]).withColumn("rank", F.row_number().over(w))
 
 
