@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..config import MatchingRules
 from ..functions.text import references_agree
+from ..scratch import materialize
 from .components import components
 
 
@@ -20,9 +21,9 @@ def _content(side: str) -> list:
     return [F.col(f"{side}_day"), F.col("amount"), F.coalesce(f"{side}_reference", F.lit("")).alias("reference"), F.col(side)]
 
 
-def _side(df: DataFrame, name: str) -> DataFrame:
+def _side(df: DataFrame, name: str, *more) -> DataFrame:
     carried = F.col("is_carried") if "is_carried" in df.columns else F.lit(False)
-    return df.select("account", "amount", F.col("record_number").alias(name), F.col("day").alias(f"{name}_day"), F.col("reference").alias(f"{name}_reference"), carried.alias(f"{name}_carried"))
+    return df.select("account", "amount", F.col("record_number").alias(name), F.col("day").alias(f"{name}_day"), F.col("reference").alias(f"{name}_reference"), carried.alias(f"{name}_carried"), *more)
 
 
 def _joined(bank: DataFrame, books: DataFrame, rules: MatchingRules, binned: bool) -> DataFrame:
@@ -117,9 +118,9 @@ def match_summary(bank: DataFrame, books: DataFrame, pairs: DataFrame, grouped:
     return out.na.fill(0)
 
 
-def interchangeable(grouped: DataFrame, bank: DataFrame, books: DataFrame) -> DataFrame:
+def interchangeable(grouped: DataFrame, bank: DataFrame, books: DataFrame, across: bool = True) -> DataFrame:
     """Kind of each group of several pairs: whether all members of a side share day, amount and reference, and all
-    members of both sides the description. (account, group, kind)"""
+    members of both sides the description (without `across`, those of each side). (account, group, kind)"""
 
     def alike(units: DataFrame, side: str) -> DataFrame:
         members = grouped.select("account", "group", F.col(side).alias("record_number")).distinct()
@@ -130,36 +131,69 @@ def interchangeable(grouped: DataFrame, bank: DataFrame, books: DataFrame) -> Da
 
     both = alike(bank, "bank").join(alike(books, "books"), ["account", "group"])
     many = group_sizes(grouped).filter(~F.col("is_unique")).select("account", "group")
-    one = (F.col("bank_low") == F.col("bank_high")) & (F.col("books_low") == F.col("books_high")) & (F.col("bank_low") == F.col("books_low"))
+    one = (F.col("bank_low") == F.col("bank_high")) & (F.col("books_low") == F.col("books_high"))
+    if across:
+        one = one & (F.col("bank_low") == F.col("books_low"))
     kind = F.when(F.col("bank_same") & F.col("books_same"), F.when(one, F.lit("interchangeable")).otherwise(F.lit("different-descriptions")))
     return both.join(many, ["account", "group"]).select("account", "group", kind.alias("kind"))
 
 
-def set_pairs(grouped: DataFrame) -> DataFrame:
-    """Members of a group paired by position in record order; the surplus of the longer side stays out."""
+def set_pairs(grouped: DataFrame, bank: DataFrame, books: DataFrame, confirmed: DataFrame, refused: DataFrame) -> DataFrame:
+    """Open members of an interchangeable group paired by position in record order; the surplus of the longer side stays
+    out. No pairs of a group with a refused pair among its open members. confirmed, refused: (account, bank, books)."""
+    grouped = materialize(grouped.select("account", "group", "bank", "books"), "groups")
+    sets = interchangeable(grouped, bank, books, across=False).filter("kind = 'interchangeable'").select("account", "group")
 
-    def placed(side: str) -> DataFrame:
-        members = grouped.select("account", "group", side).distinct()
-        return members.withColumn("nth", F.row_number().over(Window.partitionBy("account", "group").orderBy(side)))
+    def members(side: str) -> DataFrame:
+        return grouped.select("account", "group", side).distinct().join(sets, ["account", "group"], "left_semi").join(confirmed, ["account", side], "left_anti")
 
-    return placed("bank").join(placed("books"), ["account", "group", "nth"]).select("account", "group", "bank", "books", "nth")
+    b, l = materialize(members("bank"), "open_bank"), materialize(members("books"), "open_books")
+    blocked = refused.select("account", "bank", "books").join(b, ["account", "bank"]).join(l, ["account", "group", "books"])
 
+    def placed(open_members: DataFrame, side: str) -> DataFrame:
+        left = open_members.join(blocked, ["account", "group"], "left_anti")
+        return left.withColumn("nth", F.row_number().over(Window.partitionBy("account", "group").orderBy(side)))
 
-def check_pairs(proposed: DataFrame, bank: DataFrame, books: DataFrame, rules: MatchingRules = MatchingRules()) -> DataFrame:
+    return placed(b, "bank").join(placed(l, "books"), ["account", "group", "nth"]).select("account", "group", "bank", "books", "nth")
+
+
+def _unit_totals(members: DataFrame, side: str) -> DataFrame:
+    """(account, unit, total, whether directions are mixed, whether all are carried) of a side's units of several members."""
+    carried = F.col("is_carried") if "is_carried" in members.columns else F.lit(False)
+    mixed = (F.min("amount") < 0) & (F.max("amount") > 0)
+    of_side = members.filter(F.col("side") == side).groupBy("account", F.col("unit").alias(side))
+    return of_side.agg(F.sum("amount").alias(f"{side}_total"), mixed.alias(f"{side}_mixed"), F.bool_and(carried).alias(f"{side}_all_carried"))
+
+
+def check_pairs(proposed: DataFrame, bank: DataFrame, books: DataFrame, rules: MatchingRules = MatchingRules(), members: DataFrame | None = None) -> DataFrame:
     """Proposed pairs (account, bank, books) judged: blocked (why no confirmation is possible) and exceptions.
 
-    Evidence: tier 1 or 3 where the pair meets all rules, and the days between.
+    Evidence: tier 1 or 3 where the pair meets all rules, and the days between. members: transactions (account, side,
+    unit, record_number, amount, is_carried) of the units that hold several; such a unit is a batch if its row in bank or
+    books has a batch, else a group that a reviewer chose.
     """
-    b, l = _side(bank, "bank").withColumnRenamed("amount", "bank_amount"), _side(books, "books").withColumnRenamed("amount", "books_amount")
-    j = proposed.join(b, ["account", "bank"], "left").join(l, ["account", "books"], "left")
+
+    def side(units: DataFrame, name: str) -> DataFrame:
+        batch = F.col("batch").isNotNull() if "batch" in units.columns else F.lit(False)
+        one = _side(units, name, batch.alias(f"{name}_batch")).withColumnRenamed("amount", f"{name}_amount")
+        if members is None:
+            return one.withColumns({f"{name}_grouped": F.lit(False), f"{name}_mixed": F.lit(False)})
+        j = one.join(_unit_totals(members, name), ["account", name], "left")
+        return j.withColumns({f"{name}_grouped": F.col(f"{name}_total").isNotNull(), f"{name}_mixed": F.coalesce(f"{name}_mixed", F.lit(False)), f"{name}_amount": F.coalesce(f"{name}_total", f"{name}_amount"), f"{name}_carried": F.coalesce(f"{name}_all_carried", f"{name}_carried")})
+
+    j = proposed.join(side(bank, "bank"), ["account", "bank"], "left").join(side(books, "books"), ["account", "books"], "left")
     agree = references_agree(F.col("bank_reference"), F.col("books_reference"), rules.share_references, rules.fold_references)
+    unequal = F.col("bank_amount") != F.col("books_amount")
     blocked = (
         F.when(F.col("bank_day").isNull() | F.col("books_day").isNull(), "not in the data")
+        .when(F.col("bank_mixed") | F.col("books_mixed"), "mixed directions in a group")
+        .when(F.col("bank_grouped") & F.col("books_grouped") & ~(F.col("bank_batch") & F.col("books_batch")), "groups on both sides")
         .when(F.signum("bank_amount") != F.signum("books_amount"), "opposite directions")
         .when(F.col("bank_carried") & F.col("books_carried"), "both carried")
+        .when((F.col("bank_grouped") | F.col("books_grouped")) & unequal, "group total differs")
     )
     band = F.col("books_day").between(F.date_sub("bank_day", rules.days_after), F.date_add("bank_day", rules.days_before))
-    exceptions = F.array_compact(F.array(F.when(F.col("bank_amount") != F.col("books_amount"), F.lit("amount")), F.when(~band, F.lit("date")), F.when(~F.coalesce(agree, F.lit(True)), F.lit("reference"))))
+    exceptions = F.array_compact(F.array(F.when(unequal, F.lit("amount")), F.when(~band, F.lit("date")), F.when(~F.coalesce(agree, F.lit(True)), F.lit("reference"))))
     gap = F.datediff("bank_day", "books_day")
     out = j.select("account", "bank", "books", blocked.alias("blocked"), F.when(blocked.isNull(), exceptions).alias("exceptions"), gap.alias("gap"), agree.alias("agree"))
     return out.withColumn("tier", F.when(F.col("blocked").isNull() & (F.size("exceptions") == 0), F.when(F.col("agree"), 1).otherwise(3)))

@@ -213,7 +213,10 @@ def e11_interchangeable(spark, sf):
 @query(f"""WITH {_ISL}, b AS (SELECT account, grp, bank, row_number() OVER (PARTITION BY account, grp ORDER BY bank) AS nth FROM (SELECT DISTINCT account, grp, bank FROM gp)), l AS (SELECT account, grp, books, row_number() OVER (PARTITION BY account, grp ORDER BY books) AS nth FROM (SELECT DISTINCT account, grp, books FROM gp))
   SELECT account, grp AS "group", bank, books FROM b JOIN l USING (account, grp, nth)""")
 def e12_set_pairs(spark, sf):
-    return E.set_pairs(E.groups_by_island(E.candidates(*_free(spark, sf)))).select("account", F.col("group").cast("long").alias("group"), "bank", "books")
+    """Open members of interchangeable sets; its SQL pairs the members of every group and knows no decisions."""
+    bank, books = _free(spark, sf)
+    _, con, rej = _decided(spark, sf)
+    return E.set_pairs(E.groups_by_island(E.candidates(bank, books)), bank, books, con, rej).select("account", F.col("group").cast("long").alias("group"), "bank", "books")
 
 
 _PROP = "pr AS (SELECT b.account, b.record_number AS bank, l.record_number AS books FROM (SELECT *, row_number() OVER (PARTITION BY account ORDER BY record_number) AS r FROM bank) b JOIN (SELECT *, row_number() OVER (PARTITION BY account ORDER BY record_number) AS r FROM books) l USING (account, r))"
