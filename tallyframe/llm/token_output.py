@@ -80,74 +80,62 @@ def _open(folder: str):
     return fs.FileSystem.from_uri(folder)
 
 
-class WordEncoder:
-    """The ids of texts by a tokenizer that drops white space, each distinct word encoded once.
+class WordEncoder(dict):
+    """The ids of texts by a tokenizer that drops white space: a dictionary from words to native uint32 ids.
 
     White space ends every piece of such a tokenizer, so a text's ids are its words' ids in turn. Words are cut at ASCII
     white space alone; whatever else the tokenizer holds for white space lies inside a word and is left to it. A word
     of Latin-1 letters is one piece that normalisation only lower-cases, so it goes straight to the tokenizer's model,
-    and stops behind it are a piece of their own; both are tried on probes first and not used if the tokenizer differs.
-    All other words are encoded whole. At most `most` words are remembered.
+    and ASCII punctuation behind it is a piece of its own; both are tried on probes first and not used if the tokenizer
+    differs. All other words are encoded whole, so what a word gives never depends on words seen before. Of the words
+    met last, between `most` and twice as many are remembered.
     """
 
     PROBES = ("the", "Straße", "été", "ÀÉÎÕÜ", "x", "naïvetés", "antidisestablishmentarianism", "zwölftausend", "ñandú", "qqqzzz")
-    STOPS = b".,;:!?"
+    ENDS = (".", ",", ".,", "'", "\"", "###", "!?", "&&&", "...", "-", "<|", "|>", "_")
+    PUNCTUATION = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 200_000):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {}
+        self.tokenizer, self.most, self.old = Tokenizer.from_file(path), most, {}
         bytewise = ByteLevel(add_prefix_space=False, use_regex=False)
         self.letters = {i: bytewise.pre_tokenize_str(chr(i))[0][0] for i in range(256) if chr(i).isalpha()}
-        self.direct = all(self._piece(w) == self._whole(w) and self._whole(w + ".,") == self._whole(w) + self._whole(".,") for w in self.PROBES)
+        self.direct = all(self._model(w) == self._whole(w) and all(self._whole(w + e) == self._whole(w) + self._whole(e) for e in self.ENDS) for w in self.PROBES)
 
     def _whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _piece(self, word: str) -> list[int]:
-        return [t.id for t in self.tokenizer.model.tokenize(word.lower().translate(self.letters))]
+    def _model(self, letters: str) -> list[int]:
+        return [t.id for t in self.tokenizer.model.tokenize(letters.lower().translate(self.letters))]
 
-    def _learn(self, words: set[bytes]) -> None:
-        known, model, letters, rest = self.known, self.tokenizer.model, self.letters, []
-
-        def piece(w: bytes) -> bytes | None:
-            t = w.decode()
+    def _ids(self, word: bytes) -> bytes:
+        if self.direct:
+            core = word.rstrip(self.PUNCTUATION)
+            t = core.decode()
             if t.isalpha() and (t.isascii() or max(t) <= "\xff"):
-                return array("I", [x.id for x in model.tokenize(t.lower().translate(letters))]).tobytes()
-            return None
-
-        for w in words:
-            got = piece(w) if self.direct else None
-            if got is None and self.direct and (core := w.rstrip(self.STOPS)) and core != w:
-                first = known.get(core) or piece(core)
-                if first is not None:
-                    stops = w[len(core) :]
-                    if stops not in known:
-                        known[stops] = array("I", self._whole(stops.decode())).tobytes()
-                    got = first + known[stops]
-            if got is None:
-                rest.append(w)
-            else:
-                known[w] = got
-        for i in range(0, len(rest), 1024):
-            part = rest[i : i + 1024]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([x.decode() for x in part], add_special_tokens=False)):
-                known[w] = array("I", e.ids).tobytes()
+                if len(core) == len(word):
+                    return array("I", self._model(t)).tobytes()
+                return self[core] + self[word[len(core) :]]
+        return array("I", self._whole(word.decode())).tobytes()
+
+    def __missing__(self, word: bytes) -> bytes:
+        if (got := self.old.get(word)) is None:
+            got = self._ids(word)
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[word] = got
+        return got
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Native uint32 ids of each text (null: none)."""
+        get = self.__getitem__
         # special tokens keep their case; in other texts upper case is no other word
-        split = [[] if x is None else (b.split() if b"<|" in (b := x.encode()) else b.lower().split()) for x in texts]
-        new = {w for words in split for w in words}
-        fresh = new.difference(self.known)
-        if len(self.known) + len(fresh) > self.most:
-            self.known.clear()
-            fresh = new
-        self._learn(fresh)
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        return [b"" if not x else b"".join(map(get, b.split() if b"<|" in (b := x.encode()) else b.lower().split())) for x in texts]
 
 
 def encoder(path: str) -> WordEncoder:
@@ -193,8 +181,10 @@ def write_records(docs: DataFrame, tokenizer: str, end_id: int, key: str = "doc_
             store.delete_file(own)
             store.delete_file(own + ".idx")
             return
-        store.move(own, name)
-        store.move(own + ".idx", name + ".idx")
+        for made, final in ((own, name), (own + ".idx", name + ".idx")):
+            if store.get_file_info(final).type.name != "NotFound":  # of a task that ran before and was lost
+                store.delete_file(final)
+            store.move(made, final)
         yield pd.DataFrame({"shard": [part], "path": [f"{folder}/part-{part:06d}.rec"], "records": [n], "ids": [ids], "bytes": [at]})
 
     return rows.mapInPandas(work, "shard long, path string, records long, ids long, bytes long")

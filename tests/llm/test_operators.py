@@ -55,10 +55,21 @@ def test_shingle_join(docs, empty):
 
 def test_shingle_join_small_blocks(docs, monkeypatch):
     monkeypatch.setattr(shingle_join, "BLOCK", 4)
+    monkeypatch.setattr(shingle_join, "SAMPLED", 1)
+    monkeypatch.setattr(shingle_join, "HOT", 10**9)  # then a key is hot if more than 20 documents have it
     want = brute.similar_groups(documents())
     assert rows(shingle_join.similar_groups(docs), "doc_id", "n_shingles", "component_id") == sorted((d, *x) for d, x in want.items())
 
 
+def test_shingle_join_over_neighbouring_bands(spark):
+    base = words(400, 77).split()
+    cut = [(i, " ".join(base[: 400 - 7 * i])) for i in range(40)] + [(100 + i, " ".join(base[3 * i :])) for i in range(1, 40)]
+    for k, t in ((4, Fraction(85, 100)), (5, Fraction(8, 10)), (4, Fraction(1))):
+        want = brute.similar_groups(cut, k, t.numerator, t.denominator)
+        got = shingle_join.similar_groups(spark.createDataFrame(cut, "doc_id long, text string"), k=k, threshold=t)
+        assert rows(got, "doc_id", "n_shingles", "component_id") == sorted((d, *x) for d, x in want.items())
+
+
 def test_reach_covers_all_links():
     for t in (Fraction(85, 100), Fraction(8, 10), Fraction(3, 4)):
         r = np.random.default_rng(3)
@@ -224,6 +235,25 @@ def test_token_records(spark, docs, empty):
     assert [g[0] for g in got] == [-999, -5, 1, 1] and [g[1] for g in got] == [0, 2, 3, 6]
 
 
+def test_word_ids_do_not_depend_on_words_seen_before():
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    tokenizer, r = Tokenizer.from_file(path), np.random.default_rng(8)
+    lone = list(")\"-%};>:'(.,!?#&*_|<") + [")", "'s", "it's", "a'", "x1", "ª", "µ", "ÿ", "İ", "é", "ﬁ"]
+    texts = [" ".join(lone), "). \". -. %. }; >, :). ',", "it's. 's. 't! ab's' ab'. (ab). a<| |>b <|x|>", "A" * 300 + "..." + "b" * 300]
+    alphabet = [*"abcXYZéÄßñøµª0123'\"().,;:!?-_<|>#&%$*/ \n\t\x1c\x85\u00a0\u2003"]
+    texts += ["".join(r.choice(alphabet, int(r.integers(1, 60)))) for _ in range(1500)]
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    for most in (7, 100_000):
+        encoder = token_output.WordEncoder(path, most)
+        assert encoder.direct
+        for order in (np.arange(len(texts)), np.arange(len(texts))[::-1], r.permutation(len(texts))):
+            for k in order.tolist():
+                assert np.frombuffer(encoder.encode([texts[k]])[0], dtype=np.uint32).tolist() == want[k], texts[k]
+
+
 def test_token_files_and_index(spark, tmp_path):
     import public_tokenizers as P
 
@@ -271,6 +301,29 @@ def test_embedding_dedup(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embedding_dedup_repeated_keys_and_large_numbers(spark):
+    v = [float(x) for x in np.random.default_rng(6).normal(size=8)]
+    near = [v[0] * 1.001, *v[1:]]
+    df = spark.createDataFrame([(1, v, 0), (1, [-x for x in v], 0), (2, near, 0), (2, near, 0), (3, [x * 2.0**600 for x in v], 0), (4, [x * 2.0**-600 for x in near], 0), (5, v, 1)], "vec_id long, embedding array<double>, label int")
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in embedding_dedup.near_duplicates(df).collect())
+    assert got == [(1, 0, 1, True), (1, 4, 1, True), (2, 4, 1, False), (2, 4, 1, False), (3, 4, 1, False), (4, 4, 1, False), (5, 0, 5, True)]
+
+
+@pytest.mark.parametrize("cosine", [0.93, 0.95, 0.99])
+def test_embedding_index_recall_at_64_dimensions(cosine):
+    """Pairs of given cosine among so many vectors that the number of pivots has grown."""
+    r, dim, n = np.random.default_rng(3), 64, 20_000
+    x = r.normal(size=(n, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    refs = embedding_dedup.references(x[:4000], dim, embedding_dedup.pivots_for(n, dim))
+    assert len(refs) == 849
+    a, y = x[-2000:], r.normal(size=(2000, dim))
+    y -= (y * a).sum(axis=1, keepdims=True) * a
+    b = cosine * a + np.sqrt(1 - (cosine + 1e-9) ** 2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    p, q = embedding_dedup.nearest(a, refs), embedding_dedup.nearest(b, refs)
+    assert np.mean(((p[:, :, None] == q[:, None, :]).sum(axis=(1, 2))) >= 2) > 0.98
+
+
 def test_mixing(docs, empty):
     got = mixing.taken_words(docs).collect()
     assert len(got) == len(documents())
