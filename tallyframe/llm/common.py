@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -55,6 +56,7 @@ def word_count(text: Column) -> Column:
 
 
 _HELD: dict = {}
+_C = ctypes.CDLL(None)
 
 
 def held(name, make: Callable):
@@ -65,6 +67,14 @@ def held(name, make: Callable):
     return _HELD[name]
 
 
+def release() -> None:
+    """Gives memory that is free back to the system at the end of a task: a Python worker outlives it and would keep
+    the most it ever held, beside an executor's heap."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_C, "malloc_trim"):
+        _C.malloc_trim(0)
+
+
 def slices(frames: Iterable[pd.DataFrame], column: str, chars: int) -> Iterator[pd.DataFrame]:
     """Cuts batches so that their texts hold about `chars` code points; one row is never cut."""
     for frame in frames:
@@ -105,8 +115,12 @@ def tiles(frames: Iterable[pd.DataFrame], keys: list[str], work: Callable[[pd.Da
 
 def small_batches(df: DataFrame) -> None:
     """Arrow batches of 1,000 rows from now on: with the default of 10,000, long texts would fill tens of MB in the JVM
-    and again in each Python worker. The session keeps the setting, as plans run after the call that makes them."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    and again in each Python worker. And one pool of Python workers for all kinds of functions: with tracebacks cut
+    short for some of them alone, an executor starts two, and each keeps its idle workers. The session keeps the
+    settings, as plans run after the call that makes them."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    conf.set("spark.sql.execution.pyspark.udf.simplifiedTraceback.enabled", "false")
 
 
 def map_texts(docs: DataFrame, text: str, make: Callable[[], Callable[[list[str | None]], list]], fields: str, chars: int = 4_000_000) -> DataFrame:
@@ -139,5 +153,6 @@ def map_texts(docs: DataFrame, text: str, make: Callable[[], Callable[[list[str
                 got = fn(batch.column(at).to_pylist())
                 got = [pa.array(x, type=f.type) if not isinstance(x, pa.Array) else x.cast(f.type) for x, f in zip(got, arrow)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *got], names=out.names)
+        release()
 
     return inner.mapInArrow(work, out).toDF(*names, *new.names)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from .common import discard, materialize, spread, whole_tiles
+from .common import discard, materialize, small_batches, spread, whole_tiles
 
 NEAREST = 8  # pivots that describe a vector
 SAMPLE = 4  # vectors a reference point that the points are chosen from
@@ -74,6 +74,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     reference points (default: pivots_for).
     """
     spark = vectors.sparkSession
+    small_batches(vectors)
     x = F.col(vector).cast("array<double>")
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(label).cast("string").alias("label"), x.alias("x"))
     sound = F.col("x").isNotNull() & (F.size("x") > 0) & ~F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists("x", lambda v: v != 0)

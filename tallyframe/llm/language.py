@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, materialize
+from .common import map_texts, materialize, small_batches
 
 BUCKETS = 1 << 14
 SAMPLE = 1500  # documents sampled for each language: the bound of what the driver fits on
@@ -127,6 +127,7 @@ def fit_temperature(model: Model, rows: list[tuple[np.ndarray, np.ndarray, int]]
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample: int = SAMPLE) -> Model:
     """Fits on rows of docs with a language and letters. At most about `sample` documents of each language, chosen by a
     hash of the key, are fitted on; document frequencies cover all rows. No rows: a model that answers `und`."""
+    small_batches(docs)
     rows = docs.select(F.col(text).cast("string").alias("t"), F.col(lang).cast("string").alias("y"), F.xxhash64(F.col(key), F.lit(1)).alias("h")).filter("t is not null and y is not null")
 
     def frequencies(frames):

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import map_texts, small_batches
 
 BUCKETS = 1 << 15
 SAMPLE = 6000  # documents that the scorer is fitted on
@@ -143,6 +143,7 @@ def quality(docs: DataFrame, key: str = "doc_id", text: str = "text", least: flo
             got = [features(t) for t in frame["text"]]
             yield pd.DataFrame({"h": frame["doc_id"], "v": frame["votes"], "at": [a.astype("<i4").tobytes() for a, _ in got], "x": [x.astype("<f4").tobytes() for _, x in got]})
 
+    small_batches(chosen)
     got = chosen.select(F.xxhash64("doc_id", "text").alias("doc_id"), "votes", "text").mapInPandas(vectors, "h long, v array<int>, at binary, x binary").collect()
     got = sorted(got, key=lambda r: (r["h"], tuple(r["v"])))
     weights = fit_scorer([(np.frombuffer(r["at"], dtype="<i4"), np.frombuffer(r["x"], dtype="<f4").astype(float), known[tuple(r["v"])]) for r in got])

@@ -6,14 +6,19 @@
    the hash order, two of their first common elements stand next to each other in both arrays. So each set gives the
    neighbouring pairs of its first elements as keys (how many follows from the threshold, see `reach`), and two sets
    that link share a key. Such keys are rare among texts that only share a passage or common phrases.
-3. Each document is first compared with the least document of each of its tiles, which is linear work and joins most
-   copies. Tiles whose documents are all joined by then are done.
-4. The other tiles are cut into blocks, and pairs outside the size band are not looked
-   at. A tile larger than a block becomes tiles for its pairs of blocks. Inside, bitmaps of the sets are compared: an
-   element whose bit the other bitmap lacks is in one set only, so the bit counts bound the overlap from above. Only
-   pairs of different groups that pass are compared by exact intersection of the sorted arrays.
+3. Each document is first compared with the least document that shares its key, which is linear work and joins most
+   copies. Keys whose documents are all joined by then are done.
+4. The documents of the other keys go to size-banded tiles: bands of set sizes are so wide that sets that can link lie
+   in the same band or in neighbours, and a tile is a key with a band and the visitors from the band below. A tile
+   larger than a block becomes tiles for its pairs of blocks. Inside, bitmaps of the sets are compared: an element whose
+   bit the other bitmap lacks is in one set only, so the bit counts bound the overlap from above. Only pairs of
+   different groups that pass are compared by exact intersection of the sorted arrays.
 5. Links make groups by connected components.
 
+Keys that a large share of the documents has (found in a sample of documents; a wrong guess costs time, not links) have
+their least document found by an aggregate with partial sums and joined by broadcast, all others by a window, so that
+no task holds all rows of a hot key.
+
 No pair that links is lost: every pair with a common key is either joined already or compared.
 """
 
@@ -27,11 +32,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held, map_texts, materialize, slices, spread, whole_tiles
-from .components import components
+from ..operators.components import components
+from .common import discard, held, map_texts, materialize, release, slices, spread, whole_tiles
 
 BITS = 2048
 BLOCK = 256
+SAMPLED = 64  # one class in so many is looked at for hot keys
+HOT = 1000  # a key is hot if more than one in so many of the sampled classes has it, and more than 20
 
 
 class _Memo(dict):
@@ -143,6 +150,7 @@ def _arrays(docs: DataFrame, k: int, chosen: np.ndarray) -> DataFrame:
             for part in slices([own], "text", 3_000_000) if len(own) else ():
                 got = [shingles(text, k) for text in part["text"]]
                 yield pd.DataFrame({"id": part["id"].to_numpy(), "n": [len(s) for s in got], "digest": [_digest(s) for s in got], "bits": [bitmap(s) for s in got], "elements": [s.tobytes() for s in got]})
+        release()
 
     return rows.mapInPandas(work, "id long, n long, digest long, bits binary, elements binary")
 
@@ -178,13 +186,16 @@ def _verified(pairs: DataFrame, arrays: DataFrame, t: Fraction) -> DataFrame:
 
 
 def _tile_pairs(rows: DataFrame, t: Fraction, parts: int, most: int = 60_000) -> DataFrame:
-    """Pairs of different groups in tiles (key, i, j) whose bit counts allow a link; `most` are looked at at once."""
+    """Pairs of different groups in tiles (key, tile, i, j) whose bit counts allow a link; `most` are looked at at once.
+
+    Two visitors of a tile are at home in the tile of the band below and meet there.
+    """
     num, den = t.numerator, t.denominator
-    keys = ["key", "i", "j"]
+    keys = ["key", "tile", "i", "j"]
 
     def work(frames):
         for frame, starts in whole_tiles(frames, keys):
-            group, n, own, ids = (frame[c].to_numpy() for c in ("group", "n", "block", "id"))
+            group, n, own, ids, home = (frame[c].to_numpy() for c in ("group", "n", "block", "id", "home"))
             bits = np.frombuffer(b"".join(frame["bits"]), dtype=np.uint64).reshape(len(frame), -1)
             at, ends = np.arange(len(frame)), np.append(starts[1:], len(frame))
             sizes = ends - starts
@@ -200,7 +211,7 @@ def _tile_pairs(rows: DataFrame, t: Fraction, parts: int, most: int = 60_000) ->
                 c = many[own_rows]
                 x = np.repeat(own_rows, c)
                 y = np.arange(len(x)) - np.repeat(np.cumsum(c) - c, c) + np.repeat(first[own_rows], c)
-                ok = (group[x] != group[y]) & (np.minimum(n[x], n[y]) * den >= np.maximum(n[x], n[y]) * num)
+                ok = (home[x] | home[y]) & (group[x] != group[y]) & (np.minimum(n[x], n[y]) * den >= np.maximum(n[x], n[y]) * num)
                 x, y = x[ok], y[ok]
                 if not len(x):
                     continue
@@ -212,10 +223,46 @@ def _tile_pairs(rows: DataFrame, t: Fraction, parts: int, most: int = 60_000) ->
                 if len(x):
                     pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
                     yield pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+        release()
 
     return rows.repartition(parts, *keys).sortWithinPartitions(*keys, "block").mapInPandas(work, "a long, b long")
 
 
+def _hot_keys(own: DataFrame) -> DataFrame:
+    """Keys that many of the sampled classes have. A class has its keys once each but for chance, so with K keys a class
+    on the average there are at most K * HOT of them, whatever the number of documents."""
+    part = own.filter(F.pmod(F.xxhash64("id"), F.lit(SAMPLED)) == 0)
+    few = part.agg(F.count("*")).first()[0] // HOT
+    keyed = part.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("rows"))
+    return keyed.filter(F.col("rows") > max(20, few)).select("key")
+
+
+def _tiled(own: DataFrame) -> DataFrame:
+    """(key, id, least) of the keys of more than one document; own: (id, keys)."""
+    hot = materialize(_hot_keys(own), "hot-keys")
+    keyed = own.select("id", F.explode("keys").alias("key"))
+    same = Window.partitionBy("key")
+    cold = keyed.join(F.broadcast(hot), "key", "left_anti").withColumns({"least": F.min("id").over(same), "most": F.max("id").over(same)})
+    out = cold.filter("least < most").select("key", "id", "least")
+    if not hot.isEmpty():
+        known = materialize(keyed.join(F.broadcast(hot), "key", "left_semi").groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most").drop("most"), "hot-least")
+        out = out.unionByName(keyed.join(F.broadcast(known), "key").select("key", "id", "least"))
+    return out.distinct()
+
+
+def _banded(rows: DataFrame, sizes: DataFrame, t: Fraction) -> DataFrame:
+    """(key, tile, id, group, home, block, i, j) of tiles whose documents are not all of one group; rows: (key, id, group)."""
+    # a little narrower than 1/t, so that rounding moves no two sets that can link more than one band apart
+    width = max(-math.log(t), 0.01) * 1.001
+    banded = rows.join(sizes, "id").withColumn("band", F.floor(F.log("n") / width).cast("int"))
+    banded = banded.select("key", "id", "group", "band", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("tile")).withColumn("home", F.col("band") == F.col("tile"))
+    open_tiles = banded.groupBy("key", "tile").agg(F.min("group").alias("g0"), F.max("group").alias("g1"), F.bool_or("home").alias("any_home"), F.count("*").alias("rows"))
+    open_tiles = open_tiles.filter("g0 < g1 and any_home").select("key", "tile", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
+    blocked = banded.join(open_tiles, ["key", "tile"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    blocked = blocked.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return blocked.select("key", "tile", "id", "group", "home", "block", F.least("block", "to").alias("i"), F.greatest("block", "to").alias("j"))
+
+
 def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, threshold: Fraction = Fraction(85, 100)) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the least doc_id reachable by links, itself included).
 
@@ -228,13 +275,13 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
         raise ValueError("threshold must be from 3/4 to 1")
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     sets = materialize(_sets(rows, k, t), "sets")
-    known = sets.filter("id is not null and n > 0")
-    reps = materialize(known.groupBy("n", "digest").agg(F.min("id").alias("rep"), F.count("*").alias("rows")), "classes")
+    slim = materialize(sets.drop("keys"), "sizes")
+    reps = materialize(slim.filter("id is not null and n > 0").groupBy("n", "digest").agg(F.min("id").alias("rep")), "classes")
     first = reps.select("n", "digest", F.col("rep").alias("id"))
-    own = known.join(first, ["n", "digest", "id"]).select("id", F.explode("keys").alias("key"))
-    same = Window.partitionBy("key")
-    tiled = own.withColumns({"least": F.min("id").over(same), "most": F.max("id").over(same)}).filter("least < most")
-    tiled = materialize(tiled.select("key", "id", "least").distinct(), "tiles")
+    own = materialize(sets.filter("id is not null and n > 1").join(first, ["n", "digest", "id"], "left_semi").select("id", "keys"), "keys")
+    discard(sets)
+    tiled = materialize(_tiled(own), "tiles")
+    discard(own)
 
     # candidates are few: a fixed-size bitmap of them spares shuffling the other texts
     arrays = _arrays(rows.filter("id is not null and text is not null"), k, _chosen(tiled.select("id").distinct()))
@@ -243,21 +290,22 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
 
     pivots = tiled.filter("id > least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
     links = materialize(_verified(pivots, arrays, t), "links")
-    joined = materialize(components(links, "a", "b"), "joined")
+    groups = components(links, "a", "b")
+    joined = materialize(groups, "joined")
+    discard(links, groups)
 
     grouped = tiled.join(joined.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("group"))
-    open_tiles = grouped.groupBy("key").agg(F.min("group").alias("g0"), F.max("group").alias("g1"), F.count("*").alias("rows")).filter("g0 < g1").select("key", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
-    blocked = grouped.join(open_tiles, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    blocked = blocked.select("key", "id", "group", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("to"))
-    blocked = blocked.select("key", "id", "group", "block", F.least("block", "to").alias("i"), F.greatest("block", "to").alias("j"))
-    blocked = blocked.join(arrays.select("id", "n", "bits"), "id")
+    open_keys = grouped.groupBy("key").agg(F.min("group").alias("g0"), F.max("group").alias("g1")).filter("g0 < g1").select("key")
+    blocked = _banded(grouped.join(open_keys, "key"), first.select("id", "n"), t).join(arrays.select("id", "n", "bits"), "id")
     pairs = materialize(_tile_pairs(blocked, t, spread(docs)).distinct(), "pairs")
-    more = _verified(pairs, arrays, t)
+    more = materialize(_verified(pairs, arrays, t), "more-links")
+    discard(tiled, arrays, pairs)
 
     # equal sets of rows with different keys are tied to their class's first document
-    final = components(materialize(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), "all-links"), "a", "b")
+    final = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), "a", "b")
+    discard(joined, more)
     named = reps.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("n", "digest", F.coalesce("component", "rep").alias("component_id"))
-    out = sets.drop("keys").join(named, ["n", "digest"], "left")
+    out = slim.join(named, ["n", "digest"], "left")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
 
 

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held, new_path, slices, small_batches
+from .common import held, new_path, release, slices, small_batches
 
 _MASK = 0xA282EAD8  # fixed value of the format
 _ENTRY = "<qQQ"  # key, offset, length of a record in the index
@@ -186,6 +186,7 @@ def write_records(docs: DataFrame, tokenizer: str, end_id: int, key: str = "doc_
                 store.delete_file(final)
             store.move(made, final)
         yield pd.DataFrame({"shard": [part], "path": [f"{folder}/part-{part:06d}.rec"], "records": [n], "ids": [ids], "bytes": [at]})
+        release()
 
     return rows.mapInPandas(work, "shard long, path string, records long, ids long, bytes long")
 
