@@ -92,7 +92,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     Reruns give the same rows: order and draws depend on keys, texts and the seed alone.
     """
     small_batches(docs)
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text).cast("string")).alias("size"), F.xxhash64(F.col(key), F.col(text).cast("string"), F.col(source).cast("string"), F.lit(seed)).alias("place"))
+    rows = docs.select(F.col(key).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text).cast("string")).alias("size"), *_places(key, text, source, seed))
     rows = rows.withColumn("bucket", F.pmod(F.col("place"), F.lit(1024)))
     rows = materialize(rows, "sizes")
     per = materialize(rows.groupBy("source", "bucket").agg(F.sum("size").alias("words")), "buckets")
@@ -120,17 +120,19 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     run = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     before = per.withColumn("before", F.coalesce(F.sum("words").over(run), F.lit(0))).drop("words")
     small = sources.select("s", F.col("source").alias("name"))
-    placed = rows.join(before, rows["source"].eqNullSafe(before["source"]) & (rows["bucket"] == before["bucket"])).select("doc_id", rows["source"], "size", "place", rows["bucket"], "before")
-    order = Window.partitionBy("source", "bucket").orderBy("place", "doc_id", "size")
+    placed = rows.join(before, rows["source"].eqNullSafe(before["source"]) & (rows["bucket"] == before["bucket"])).select("doc_id", rows["source"], "size", "place", "twin", rows["bucket"], "before")
+    order = Window.partitionBy("source", "bucket").orderBy("place", "twin", "doc_id", "size")
     placed = placed.withColumns({"first": F.col("before") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"), "nth": F.row_number().over(order)})
     placed = placed.join(small, placed["source"].eqNullSafe(small["name"])).drop("name")
     pieces = placed.select("*", F.explode_outer(F.when(F.col("size") > 0, F.sequence(F.floor(F.col("first") / block), F.floor((F.col("first") + F.col("size") - 1) / block)))).alias("number"))
-    pieces = pieces.join(taken, ["s", "number"], "left").select(
+    # both sides grow with the corpus, so neither is ever broadcast
+    pieces = pieces.join(taken.hint("merge"), ["s", "number"], "left").select(
         "doc_id",
         "source",
         "s",
         "size",
         "place",
+        "twin",
         "nth",
         F.col("number").alias("block"),
         F.when(F.col("number").isNotNull(), F.greatest(F.lit(0), F.col("number") * block - F.col("first"))).alias("from_word"),
@@ -140,6 +142,12 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     return pieces, sources
 
 
+def _places(key: str, text: str, source: str, seed: int) -> list:
+    """Two hashes, 128 bits together, that name a row and give its place."""
+    own = [F.col(f"`{key}`"), F.col(f"`{text}`").cast("string"), F.col(f"`{source}`").cast("string")]
+    return [F.xxhash64(F.lit(seed), *own).alias("place"), F.xxhash64(F.lit(~seed), *own).alias("twin")]
+
+
 def _number(slot, n, source, seed):
     """Block number of a source's slot."""
 
@@ -160,7 +168,7 @@ def _slots(target: float, size: int, blocks: int, last: int, block: int, most: i
 def taken_words(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken. See mix."""
     pieces, sources = mix(docs, key, text, source, **options)
-    per = pieces.groupBy("doc_id", "s", "place", "nth").agg(F.first("size").alias("size"), F.sum(F.coalesce((F.col("to_word") - F.col("from_word")) * F.col("times"), F.lit(0))).cast("long").alias("taken"))
+    per = pieces.groupBy("doc_id", "s", "place", "twin", "nth").agg(F.first("size").alias("size"), F.sum(F.coalesce((F.col("to_word") - F.col("from_word")) * F.col("times"), F.lit(0))).cast("long").alias("taken"))
     return per.join(sources.select("s", "source_size", "target"), "s").select("doc_id", "size", "source_size", "target", "taken")
 
 
@@ -171,18 +179,17 @@ def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", so
     one of them.
     """
     pieces, _ = mix(docs, key, text, source, seed=seed, **options)
-    runs = pieces.filter("times > 0").select("place", "nth", "size", "from_word", "to_word", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("round"))
-    runs = runs.groupBy("place", "nth", "round").agg(F.first("size").alias("size"), F.array_sort(F.collect_list(F.struct("from_word", "to_word"))).alias("parts"))
-    place = F.xxhash64(F.col(key), F.col(text).cast("string"), F.col(source).cast("string"), F.lit(seed))
+    runs = pieces.filter("times > 0").select("place", "twin", "nth", "size", "from_word", "to_word", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("round"))
+    runs = runs.groupBy("place", "twin", "nth", "round").agg(F.first("size").alias("size"), F.array_sort(F.collect_list(F.struct("from_word", "to_word"))).alias("parts"))
     names = docs.columns
-    inner = docs.withColumn("__place", place).toDF(*[f"c{i}" for i in range(len(names))], "own_place").dropDuplicates(["own_place"])
+    inner = docs.select("*", *_places(key, text, source, seed)).toDF(*[f"c{i}" for i in range(len(names))], "own_place", "own_twin").dropDuplicates(["own_place", "own_twin"])
 
     @F.pandas_udf("string")
     def part(texts: pd.Series, sizes: pd.Series, parts: pd.Series) -> pd.Series:
         return pd.Series([_part(t, n, [(x["from_word"], x["to_word"]) for x in p]) for t, n, p in zip(texts, sizes, parts)], dtype=object)
 
     t = names.index(text)
-    joined = inner.join(runs, inner["own_place"] == runs["place"]).withColumn(f"c{t}", part(F.col(f"c{t}"), F.col("size"), F.col("parts")))
+    joined = inner.join(runs, (inner["own_place"] == runs["place"]) & (inner["own_twin"] == runs["twin"])).withColumn(f"c{t}", part(F.col(f"c{t}"), F.col("size"), F.col("parts")))
     if n_chars in names:
         joined = joined.withColumn(f"c{names.index(n_chars)}", F.length(F.col(f"c{t}")).cast("long"))
     return joined.select(*[F.col(f"c{i}") for i in range(len(names))]).toDF(*names)
