@@ -19,11 +19,9 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
 WINDOW = 20
-#: Character class: pattern of the whole candidate, alphabet in the order of its counts, bits from which a window counts.
-CLASSES = (
-    ("hex", r"^[0-9A-Fa-f]+$", "0123456789abcdef", 3.0),
-    ("base64", r"^[A-Za-z0-9+/_=-]+$", "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/-_=", 3.9),
-)
+CHUNK = 128  # matches that are walked together
+#: Character class: pattern of the whole candidate, bits from which a window counts.
+CLASSES = (("hex", r"^[0-9A-Fa-f]+$", 3.0), ("base64", r"^[A-Za-z0-9+/_=-]+$", 3.9))
 ALLOWED = (
     r"^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$",
     r"(?i)example|sample|placeholder|dummy|xxxx|0123456789|abcdefgh",
@@ -34,47 +32,67 @@ ALLOWED = (
 
 
 def _spans(text: Column, pattern: str, kind: str, keep=None) -> Column:
-    """(start, kind order, name, end) of each match, in code points: the pieces between matches give the places."""
+    """(start, end, kind, match) of each match, in code points: the pieces between matches give the places.
+
+    Matches are walked in chunks: a chunk's length gives where the next one starts, and no array grows one by one over
+    all matches, so a text with very many of them costs little more than its length.
+    """
     pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     steps = F.zip_with(F.slice(pieces, F.lit(1), F.size(found)), found, lambda p, m: F.struct(F.length(p).alias("gap"), F.length(m).alias("n"), (keep(m) if keep else F.lit(True)).alias("keep"), m.alias("m")))
     empty = F.array().cast("array<struct<start:int,end:int,kind:string,m:string>>")
-    walked = F.aggregate(
-        steps,
-        F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda a, x: F.struct(
-            (a["at"] + x["gap"] + x["n"]).alias("at"),
-            F.when(x["keep"], F.concat(a["out"], F.array(F.struct((a["at"] + x["gap"]).alias("start"), (a["at"] + x["gap"] + x["n"]).alias("end"), F.lit(kind).alias("kind"), x["m"].alias("m"))))).otherwise(a["out"]).alias("out"),
-        ),
-    )
-    return walked["out"]
 
+    def walk(chunk, at):
+        return F.aggregate(
+            chunk,
+            F.struct(at.alias("at"), empty.alias("out")),
+            lambda a, x: F.struct(
+                (a["at"] + x["gap"] + x["n"]).alias("at"),
+                F.when(x["keep"], F.concat(a["out"], F.array(F.struct((a["at"] + x["gap"]).alias("start"), (a["at"] + x["gap"] + x["n"]).alias("end"), F.lit(kind).alias("kind"), x["m"].alias("m"))))).otherwise(a["out"]).alias("out"),
+            ),
+        )["out"]
+
+    # one-element arrays bind what is used more than once, so that it is made once
+    def chunked(all_steps):
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_steps) - 1) / CHUNK).cast("int")), lambda k: F.slice(all_steps, k * CHUNK + 1, F.lit(CHUNK)))
+        return F.transform(F.array(chunks), placed)
+
+    def placed(chunks):
+        lengths = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda n, x: n + x["gap"] + x["n"]))
+        starts = F.aggregate(lengths, F.array(F.lit(0)), lambda out, n: F.concat(out, F.array(F.element_at(out, -1) + n)))
+        return F.flatten(F.zip_with(F.slice(starts, F.lit(1), F.size(chunks)), chunks, lambda at, c: walk(c, at)))
+
+    walked = F.flatten(F.flatten(F.transform(F.array(steps), chunked)))
+    return F.when(F.size(found) > 0, walked).otherwise(empty)
+
+
+def _window_span(m: Column, bits: float, fold: bool) -> Column:
+    """A struct with (first, last) of the windows of candidate m with `bits` or more, as code points within m; first is -1 if none.
 
-def _window_span(m: Column, alphabet: str, bits: float, fold: bool) -> Column:
-    """(first, last) of the windows of candidate m with `bits` or more, as code points within m; first is -1 if none."""
+    As the window moves by one, the count of the character that enters rises and that of the one that leaves falls, so
+    the sum of c*log2(c) changes by two differences. Both counts are those of the characters that stay, so a step looks
+    at these alone, whatever the length of the candidate.
+    """
     w = WINDOW
-    term = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(w + 2)])
-    codes = F.transform(F.split(F.lower(m) if fold else m, ""), lambda c: F.instr(F.lit(alphabet), c))
+    rise = F.array(*[F.lit((c + 1) * math.log2(c + 1) - (c * math.log2(c) if c else 0.0)) for c in range(w + 1)])
+    codes = F.transform(F.split(F.lower(m) if fold else m, ""), lambda c: F.ascii(c))
     limit = w * (math.log2(w) - bits)
-    start = F.struct(F.array_repeat(F.lit(0), len(alphabet) + 1).alias("n"), F.lit(0.0).alias("s"), F.lit(-1).alias("first"), F.lit(-1).alias("last"))
-
-    def step(a, i, all_codes):
-        new = F.get(all_codes, i)
-        old = F.when(i >= w, F.get(all_codes, i - w)).otherwise(-1)
-        c_old = F.when(i >= w, F.get(a["n"], old)).otherwise(1)
-        c_new = F.get(a["n"], new) - (new == old).cast("int")
-        s = a["s"] - F.get(term, c_old) + F.get(term, c_old - 1) - F.get(term, c_new) + F.get(term, c_new + 1)
-        hot = (i >= w - 1) & (s <= limit + 1e-9)
-        return F.struct(
-            F.transform(a["n"], lambda c, k: c + (k == new).cast("int") - (k == old).cast("int")).alias("n"),
-            s.alias("s"),
-            F.when(hot & (a["first"] < 0), i - w + 1).otherwise(a["first"]).alias("first"),
-            F.when(hot, i + 1).otherwise(a["last"]).alias("last"),
-        )
+    start = F.struct(F.lit(0).alias("i"), F.lit(0.0).alias("s"), F.lit(-1).alias("first"), F.lit(-1).alias("last"))
+
+    def walk(all_codes):
+        def change(new, i):
+            stays = F.slice(all_codes, F.greatest(i - (w - 2), F.lit(1)), F.least(i, F.lit(w - 1)))
+            count = lambda code: F.size(F.filter(stays, lambda x: x == code))
+            return F.get(rise, count(new)) - F.when(i >= w, F.get(rise, count(F.get(all_codes, i - w)))).otherwise(0.0)
+
+        def step(a, d):
+            s = a["s"] + d
+            hot = (a["i"] >= w - 1) & (s <= limit + 1e-9)
+            return F.struct((a["i"] + 1).alias("i"), s.alias("s"), F.when(hot & (a["first"] < 0), a["i"] - (w - 1)).otherwise(a["first"]).alias("first"), F.when(hot, a["i"] + 1).otherwise(a["last"]).alias("last"))
+
+        return F.aggregate(F.transform(all_codes, change), start, step)
 
     # the codes are made once: a one-element array binds them for the walk
-    walked = F.transform(F.array(codes), lambda all_codes: F.aggregate(F.sequence(F.lit(0), F.size(all_codes) - 1), start, lambda a, i: step(a, i, all_codes)))
-    end = F.get(walked, F.lit(0))
-    return F.struct(end["first"].alias("first"), end["last"].alias("last"))
+    return F.get(F.transform(F.array(codes), walk), F.lit(0))
 
 
 def _added(text: Column, allowed: tuple[str, ...]) -> Column:
@@ -88,20 +106,37 @@ def _added(text: Column, allowed: tuple[str, ...]) -> Column:
 
     candidates = _spans(text, CANDIDATE, "entropy", keep)
 
-    def judged(name, alphabet, bits):
+    def judged(name, bits):
         def judge(x):
-            place = _window_span(x["m"], alphabet, bits, name == "hex")
-            return F.struct((x["start"] + place["first"]).alias("start"), (x["start"] + place["last"]).alias("end"), F.lit("entropy").alias("kind"), F.lit(name).alias("m"), (place["first"] >= 0).alias("hot"))
+            def told(place):
+                return F.struct((x["start"] + place["first"]).alias("start"), (x["start"] + place["last"]).alias("end"), F.lit("entropy").alias("kind"), F.lit(name).alias("m"), (place["first"] >= 0).alias("hot"))
+
+            return F.get(F.transform(F.array(_window_span(x["m"], bits, name == "hex")), told), F.lit(0))
 
         return judge
 
     out, is_hex = [], CLASSES[0][1]
-    for name, _, alphabet, bits in CLASSES:
+    for name, _, bits in CLASSES:
         mine = F.filter(candidates, (lambda x: x["m"].rlike(is_hex)) if name == "hex" else (lambda x: ~x["m"].rlike(is_hex)))
-        out.append(F.filter(F.transform(mine, judged(name, alphabet, bits)), lambda x: x["hot"]))
+        out.append(F.filter(F.transform(mine, judged(name, bits)), lambda x: x["hot"]))
     return F.transform(F.concat(*out), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), x["m"].alias("m")))
 
 
+def _meets(x: Column, spans: Column) -> Column:
+    """Whether span x overlaps one of the spans of a kind, which are in order and apart: a binary search for the first
+    that ends behind x's start."""
+    n = F.size(spans)
+
+    def halve(a, _):
+        middle = F.shiftright(a["low"] + a["high"], 1)
+        before, open_ = F.get(spans, middle)["end"] <= x["start"], a["low"] < a["high"]
+        return F.struct(F.when(open_ & before, middle + 1).otherwise(a["low"]).alias("low"), F.when(open_ & ~before, middle).otherwise(a["high"]).alias("high"))
+
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(n + 1)).cast("int"))
+    found = F.aggregate(steps, F.struct(F.lit(0).alias("low"), n.alias("high")), halve)
+    return F.coalesce(F.get(spans, found["low"])["start"] < x["end"], F.lit(False))
+
+
 def secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", allowed: tuple[str, ...] = ALLOWED) -> DataFrame:
     """One row per document: doc_id, n_assign, n_access, n_hex, n_entropy, base_sha256, spans.
 
@@ -122,7 +157,7 @@ def secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", allowed: t
         F.when(t.rlike(CANDIDATE), _added(t, allowed)).otherwise(none).alias("entropy"),
     )
     base = F.concat("assign", "access", "hex")
-    found = found.withColumn("base", base).withColumn("entropy", F.filter("entropy", lambda x: ~F.exists("base", lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"]))))
+    found = found.withColumn("base", base).withColumn("entropy", F.filter("entropy", lambda x: ~(_meets(x, F.col("assign")) | _meets(x, F.col("access")) | _meets(x, F.col("hex")))))
 
     def joined(spans: Column) -> Column:
         rank = F.create_map(*[y for k, v in order.items() for y in (F.lit(k), F.lit(v))])
