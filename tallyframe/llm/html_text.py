@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -37,6 +38,7 @@ NAMES = re.compile(
     re.I,
 )
 _TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']+|\"[^\"]*\"|'[^']*')*+)[^>]*>", re.S)
+_CLOSED = re.compile(r"\A<!---?>\Z|--!?>\Z")
 _NAMED = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 
 
@@ -59,8 +61,11 @@ def lines(page: str) -> list[tuple[str, int, int, bool, int]]:
     text: list[str] = []
     link = 0
     stack: list[tuple[str, bool, int, int]] = []  # open elements: name, skipped, article, number
+    held: Counter[str] = Counter()  # how many of each are open
     articles = elements = at = 0
-    n = len(page)
+    n = page.rfind(">") + 1  # no markup ends behind it
+    if 0 <= (left := page.find("<!--", n)):
+        page = page[:left]  # a comment that is never closed
 
     def end_line():
         nonlocal link
@@ -72,9 +77,9 @@ def lines(page: str) -> list[tuple[str, int, int, bool, int]]:
         link = 0
 
     links = 0
-    while at < n:
-        m = _TOKEN.search(page, at)
-        got = page[at : m.start() if m else n]
+    while at < len(page):
+        m = _TOKEN.search(page, at, n)
+        got = page[at : m.start() if m else len(page)]
         if got:
             got = html.unescape(got)
             text.append(got)
@@ -84,13 +89,15 @@ def lines(page: str) -> list[tuple[str, int, int, bool, int]]:
             break
         at = m.end()
         if not m[2]:
+            if at == n and m[0].startswith("<!--") and not _CLOSED.search(m[0]):
+                break  # so is this one
             continue
         tag = m[2].lower()
         if tag in RAW and not m[1]:
             if m[3].rstrip().endswith("/") and tag in ("svg", "math"):
                 continue
             close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
-            at = close.end() if close else n
+            at = close.end() if close else len(page)
             continue
         if tag in INLINE:
             if tag == "a":
@@ -98,28 +105,32 @@ def lines(page: str) -> list[tuple[str, int, int, bool, int]]:
             if not m[1] and tag not in VOID and m[3] and _not_text(tag, m[3]):
                 end_line()
                 stack.append((tag, True, stack[-1][2] if stack else 0, 0))
+                held[tag] += 1
             elif m[1] and stack and stack[-1][0] == tag:
                 end_line()
                 stack.pop()
+                held[tag] -= 1
             continue
         end_line()
         if tag in VOID or tag == "p":
             continue
         if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    links = 0
+            while held[tag]:
+                gone = stack.pop()[0]
+                held[gone] -= 1
+                links = 0
+                if gone == tag:
                     break
         else:
             skip, inside = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
             skip = skip or _not_text(tag, m[3])
             if tag in ARTICLE or re.search(r"role\s*=\s*[\"']?main\b", m[3] or "", re.I):
-                if not inside or tag == "article" and stack and not any(s[0] == "article" for s in stack):
+                if not inside or tag == "article" and not held["article"]:
                     articles += 1
                     inside = articles
             elements += 1
             stack.append((tag, skip, inside, elements))
+            held[tag] += 1
     end_line()
     return out
 
