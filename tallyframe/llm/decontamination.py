@@ -6,8 +6,9 @@ shorter than the shortest phrase cannot hold one and is left out.) The sequence'
 Burrows-Wheeler column is kept in a wavelet matrix, all phrases are searched backwards at once, and the positions of
 their occurrences come from suffix positions sampled every 32 symbols and at each run's start. Spans are then merged.
 
-Test phrases go to the tasks in blocks of a bounded number of words; with more than one block the documents pass
-through one search after the other, so memory does not grow with the test set.
+Test phrases go to the tasks in blocks of a bounded number of bytes. With more than one block the documents pass through
+one search after the other and are written in between, so that one block at a time is in the driver, a plan and a Python
+worker, and memory does not grow with the test set.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import discard, map_texts, materialize
 
 #: Bytes of words stay (upper case made lower); all other ASCII bytes become a space.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -208,28 +209,28 @@ def find_passages(docs: DataFrame, items: DataFrame, text: str = "text", item: s
     that are null, empty or repeated add nothing; a null item id is written as the empty string. An empty item table
     gives no hits. cut=True also replaces the text by the text without the spans. No shuffle: rows stay in their task.
     """
-    out = docs
+    names, own = docs.columns, [f"c{i}" for i in range(len(docs.columns))]
+    t = own[names.index(text)]
+    out, spent = docs.toDF(*own), None
     n, blocks = _blocks(items, item, item_text, block_bytes)
     at_once = cut and n == 1  # then the search cuts too, and a task needs one Python worker
     for k, block in enumerate(blocks):
         phrases = Phrases(block, window)
-        before = [F.lit(None).cast("array<struct<first:long,end:long>>").alias("spans"), F.lit(None).cast("array<string>").alias("hit_items")] if not k else [out["spans"], out["hit_items"]]
-        carried = docs.columns
-        packed = out.select(*[F.col(f"`{c}`") for c in carried], *before) if k else out
-        packed = map_texts(packed, text, lambda p=phrases: _finder(p, at_once), "n_words long, new_spans array<struct<first:long,end:long>>, new_items array<string>" + ", less string" * at_once)
+        if k:
+            out = materialize(out, "searched")
+            if k > 1:
+                discard(spent)
+            spent = out
+        got = map_texts(out.drop("n_words"), t, lambda p=phrases: _finder(p, at_once), "n_words long, new_spans array<struct<first:long,end:long>>, new_items array<string>" + ", less string" * at_once)
         if at_once:
-            packed = packed.toDF(*[f"c{i}" for i in range(len(packed.columns))])
-            last, t = F.col(packed.columns[-1]), f"c{carried.index(text)}"
-            packed = packed.withColumn(t, F.coalesce(last, F.col(t))).drop(packed.columns[-1])
-        cols = packed.columns
-        packed = packed.toDF(*[f"c{i}" for i in range(len(cols))])
-        w, s, i = (F.col(f"c{len(cols) - j}") for j in (3, 2, 1))
+            got = got.withColumn(t, F.coalesce("less", t))
+        spans, hit = F.col("new_spans"), F.col("new_items")
         if k:
-            s, i = _merged(F.concat(F.col(f"c{len(cols) - 5}"), s)), F.array_union(F.col(f"c{len(cols) - 4}"), i)
-        out = packed.select(*[F.col(f"c{j}").alias(c) for j, c in enumerate(carried)], w.alias("n_words"), s.alias("spans"), i.alias("hit_items"))
+            spans, hit = _merged(F.concat("spans", spans)), F.array_union("hit_items", hit)
+        out = got.select(*own, "n_words", spans.alias("spans"), hit.alias("hit_items"))
     if cut and not at_once:
-        out = _cut(out, docs.columns, text)
-    return out
+        out = _cut(out, t)
+    return out.toDF(*names, "n_words", "spans", "hit_items")
 
 
 def _finder(phrases: Phrases, cut: bool):
@@ -257,15 +258,14 @@ def _merged(spans):
     )
 
 
-def _cut(out: DataFrame, carried: list[str], text: str) -> DataFrame:
+def _cut(out: DataFrame, text: str) -> DataFrame:
     from pyspark.sql.functions import pandas_udf
 
     @pandas_udf("string")
     def less(texts, spans):
         return texts.combine(spans, lambda t, s: t if s is None or not len(s) else without(t, [(x["first"], x["end"]) for x in s]))
 
-    t = F.col(f"`{text}`")
-    return out.withColumn(text, F.when(F.size("spans") > 0, less(t, F.col("spans"))).otherwise(t))
+    return out.withColumn(text, F.when(F.size("spans") > 0, less(F.col(text), F.col("spans"))).otherwise(F.col(text)))
 
 
 def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", window: int = 10) -> DataFrame:
