@@ -8,6 +8,8 @@ section that holds most of its bytes, the earlier one on a tie).
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +17,10 @@ from pyspark.sql import functions as F
 from .common import map_texts
 
 
+#: Runs of white space (fixed value: as the pattern's engine has it) that are too long for its look-ahead.
+_LONG = re.compile("[\t\n\x0b\f\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{2000,}")
+
+
 class Counter:
     def __init__(self, ranks_path: str, pattern: str, rule: str):
         import base64
@@ -24,14 +30,27 @@ class Counter:
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.one_piece = tiktoken.Encoding("one-piece", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})
         self.lengths = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
         for token, i in ranks.items():
             self.lengths[i] = len(token)
         self.rule = rule
 
     def ids(self, text: str) -> np.ndarray:
+        """By the pattern, white space before other text is a piece but for its last character; at a text's end all of
+        it is. Long runs are cut out as such pieces, as the pattern's engine would run out of stack on them."""
+        parts, at = [], 0
+        for run in _LONG.finditer(text):
+            end = run.end() if run.end() == len(text) else run.end() - 1
+            parts += [self._encode(self.encoding, text[at : run.start()]), self._encode(self.one_piece, text[run.start() : end])]
+            at = end
+        parts.append(self._encode(self.encoding, text[at:]))
+        return parts[0] if len(parts) == 1 else np.concatenate(parts)
+
+    @staticmethod
+    def _encode(encoding, text: str) -> np.ndarray:
         # without special tokens there is nothing to allow or forbid; this call returns an array at once
-        return np.asarray(self.encoding.encode_to_numpy(text, disallowed_special=()), dtype=np.int64)
+        return np.asarray(encoding.encode_to_numpy(text, disallowed_special=()), dtype=np.int64)
 
     def sections(self, text: str | None) -> tuple[int, int, list[int]]:
         """(tokens, tokens that cross a boundary, tokens of each section). Sections are lines with their line end."""
