@@ -26,32 +26,39 @@ FORMATS = {
 MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"  # fixed values
 
 
+def fits(trimmed: Column, form: str) -> Column:
+    return trimmed.rlike(rf"^{FORMATS[form][0]}\z")
+
+
+def read(trimmed: Column, form: str) -> Column:
+    """The date of trimmed text that fits the format, or null if there is no such date. (Other text: undefined.)"""
+    pattern, (y, m, d) = FORMATS[form]
+    full, century = rf"^{pattern}\z", "20" if "YYYY" not in form else ""
+    if "Mon" not in form:
+        return F.try_to_date(F.regexp_replace(trimmed, full, f"{century}${y}-${m}-${d}"), "yyyy-M-d")
+    part = lambda k: F.regexp_extract(trimmed, full, k)
+    at = F.instr(F.lit(MONTHS), F.lower(part(m)))
+    month = F.when(at % 3 == 1, ((at + 2) / 3).cast("int").cast("string"))
+    return F.try_to_date(F.when(month.isNotNull(), F.concat_ws("-", F.concat(F.lit(century), part(y)), month, part(d))), "yyyy-M-d")
+
+
 def parse_date(c: Column, form: str) -> Column:
     """The date, or null for a misfit, an impossible date or a blank. White space around is dropped."""
-    pattern, (y, m, d) = FORMATS[form]
     c = trim(c)
-    part = lambda k: F.regexp_extract(c, rf"^{pattern}\z", k)
-    year = part(y)
-    year = F.concat(F.lit("20"), year) if "YYYY" not in form else year
-    at = F.instr(F.lit(MONTHS), F.lower(part(m)))
-    month = F.when(at % 3 == 1, ((at + 2) / 3).cast("int").cast("string")) if "Mon" in form else part(m)
-    text = F.concat_ws("-", F.lpad(year, 4, "0"), F.lpad(month, 2, "0"), F.lpad(part(d), 2, "0"))
-    text = F.when(month.isNotNull(), text)
-    return F.when(c.rlike(rf"^{pattern}\z"), F.try_to_date(text, "yyyy-MM-dd"))
+    return F.when(fits(c, form), read(c, form))
+
+
+def problem(trimmed: Column, fitting: Column, day: Column, form: str) -> Column:
+    """Why a date cannot be read, or null if it can, from what `fits` and `read` gave."""
+    short = form.replace("YYYY", "YY")
+    two = fits(trimmed, short) if short != form and short in FORMATS else F.lit(False)
+    misfit = F.when(trimmed == "", F.lit("no date")).when(two, F.lit("two-digit year")).otherwise(F.concat(F.lit("does not fit "), F.lit(form)))
+    return F.when(~fitting, misfit).when(day.isNull(), F.lit("no such date"))
 
 
 def date_problem(c: Column, form: str) -> Column:
-    """Why a date cannot be read, or null if it can."""
-    pattern, _ = FORMATS[form]
     t = trim(F.coalesce(c, F.lit("")))
-    short = form.replace("YYYY", "YY")
-    two = t.rlike(rf"^{FORMATS[short][0]}\z") if short != form and short in FORMATS else F.lit(False)
-    return (
-        F.when(t == "", F.lit("no date"))
-        .when(two, F.lit("two-digit year"))
-        .when(~t.rlike(rf"^{pattern}\z"), F.concat(F.lit("does not fit "), F.lit(form)))
-        .when(parse_date(c, form).isNull(), F.lit("no such date"))
-    )
+    return problem(t, fits(t, form), read(t, form), form)
 
 
 def fitting_formats(df: DataFrame, column: str) -> DataFrame:

@@ -6,6 +6,9 @@ with any number of duplicates costs one row per task before the shuffle, and a f
 
 from __future__ import annotations
 
+import json
+from dataclasses import asdict
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,14 +62,15 @@ def classify(rows: DataFrame) -> DataFrame:
 
 
 def _numbers(c: Column, rule) -> Column:
-    return decimals.parse(c, "decimal(37,10)", grouped=rule.grouped, trailing_minus=True)
+    """Plain text of a number, else null; of any number of digits."""
+    return decimals.clean(c, grouped=rule.grouped, trailing_minus=True)
 
 
 def _differs(a: Column, b: Column, c: str, rules: CompareRules) -> Column:
     x, y = (text.trim(a), text.trim(b)) if rules.trim_values else (a, b)
     if c in rules.numeric:
         p, q = _numbers(x, rules.numeric[c]), _numbers(y, rules.numeric[c])
-        return F.when(p.isNotNull() & q.isNotNull(), ~decimals.within(p, q, rules.numeric[c].tolerance)).otherwise(~x.eqNullSafe(y))
+        return F.when(p.isNotNull() & q.isNotNull(), ~decimals.within_exactly(p, q, rules.numeric[c].tolerance)).otherwise(~x.eqNullSafe(y))
     if c in rules.case_insensitive:
         return ~F.lower(x).eqNullSafe(F.lower(y))
     return ~x.eqNullSafe(y)
@@ -115,6 +119,11 @@ def summary(rows: DataFrame, classes: DataFrame, compared: DataFrame) -> DataFra
     return kinds.crossJoin(values).crossJoin(empty).select("added", "removed", "changed", "unchanged", "ambiguous", "empty_key", "warnings")
 
 
+def rules_json(rules: CompareRules) -> str:
+    """The rules that a report says it used."""
+    return json.dumps(asdict(rules), default=str)
+
+
 def summary_text(summed: DataFrame, by_column: DataFrame) -> DataFrame:
     """One sentence; columns by falling count, then name."""
     named = by_column.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("records")).alias("n"), "column"))), lambda x: F.concat(x["column"], F.lit(": "), (-x["n"]).cast("string"))), ", ").alias("by"))
@@ -138,10 +147,32 @@ def changed_in(compared: DataFrame, column: str) -> DataFrame:
     return compared.filter(F.exists("changes", lambda x: x["column"] == column))
 
 
-def search_changes(compared: DataFrame, needle: str) -> DataFrame:
+def _holding(shown: Column, needle: str) -> Column:
+    """Whether any of an array of texts holds the needle; never across two of them. A blank needle is in all."""
     needle = needle.strip().lower()
-    hit = F.exists(F.flatten(F.array(F.col("old.parts"), F.flatten(F.transform("changes", lambda x: F.array(x["column"], x["before"], x["after"]))))), lambda v: F.contains(F.lower(v), F.lit(needle)))
-    return changed(compared).filter(hit)
+    return F.exists(shown, lambda v: F.contains(F.lower(v), F.lit(needle))) if needle else F.lit(True)
+
+
+def search_changes(compared: DataFrame, needle: str) -> DataFrame:
+    cells = F.flatten(F.transform("changes", lambda x: F.array(x["column"], x["before"], x["after"])))
+    return changed(compared).filter(_holding(F.concat(F.col("new.parts"), F.col("old.parts"), cells), needle))
+
+
+def search(section: str, rows: DataFrame, needle: str) -> DataFrame:
+    """Rows of a section of the report (see sinks.compare_sections, or compare_values() for Changed) with the needle in any
+    text shown: the key as typed in every section, all values of added and removed records, columns with values of
+    changed ones, columns and messages of warnings. Filter first, then page."""
+    if section == "Changed":
+        return search_changes(rows, needle)
+    if section in ("Added", "Removed"):
+        shown = F.array(*[F.coalesce(F.col("row")[c], F.lit("")) for c in rows.schema["row"].dataType.names])
+    elif section in ("Ambiguous keys", "Empty keys"):
+        shown = F.col("parts")
+    elif section == "Numeric warnings":
+        shown = F.array("column", "message")
+    else:
+        raise ValueError(f"no such section: {section}")
+    return rows.filter(_holding(shown, needle))
 
 
 def page(df: DataFrame, order: list[str], offset: int, limit: int) -> DataFrame:

@@ -10,73 +10,97 @@ from ..functions import dates, decimals
 from ..functions.text import trim
 
 
-def _amount(c: Column, m: SideMapping, minor: int, name: str) -> tuple[Column, Column]:
-    """(amount or null, problem or null) of one cell; blank gives neither."""
-    t = trim(F.coalesce(c.cast("string"), F.lit("")))
-    plain = decimals.clean(t, grouped=m.grouped, trailing_minus=m.trailing_minus, parentheses=m.parentheses)
-    value = decimals.rescaled(plain, minor)
-    problem = (
-        F.when(t == "", F.lit(None).cast("string"))
-        .when(plain.isNull(), F.concat(F.lit(f"{name}: "), t, F.lit(" is not a number")))
-        .when(decimals.fraction_digits(plain) > minor, F.concat(F.lit(f"{name}: "), t, F.lit(f" has more than {minor} decimals")))
-        .when(value.isNull(), F.concat(F.lit(f"{name}: "), t, F.lit(" is out of range")))
-    )
-    return value, problem
+def _read_amounts(rows: DataFrame, cells: dict[str, str], m: SideMapping, minor: int) -> DataFrame:
+    """Adds <name>_text, _plain, _value and _bad of each cell; blank gives neither value nor problem.
+
+    Each step is a column of its own that the next ones take by name, so no text is trimmed or matched twice.
+    """
+    of = lambda what: {n: F.col(f"{n}_{what}") for n in cells}
+    rows = rows.withColumns({f"{n}_text": trim(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))) for n, c in cells.items()})
+    rows = rows.withColumns({f"{n}_plain": decimals.clean(t, grouped=m.grouped, trailing_minus=m.trailing_minus, parentheses=m.parentheses) for n, t in of("text").items()})
+    rows = rows.withColumns({f"{n}_digits": decimals.fraction_digits(p) for n, p in of("plain").items()})
+    rows = rows.withColumns({f"{n}_value": F.when(F.col(f"{n}_digits") <= minor, p.try_cast(f"decimal(28,{minor})")) for n, p in of("plain").items()})
+
+    def bad(n: str) -> Column:
+        t, name = F.col(f"{n}_text"), n.strip("_").replace("_", " ")
+        told = lambda what: F.concat(F.lit(f"{name}: "), t, F.lit(what))
+        return (
+            F.when(t == "", F.lit(None).cast("string"))
+            .when(F.col(f"{n}_plain").isNull(), told(" is not a number"))
+            .when(F.col(f"{n}_digits") > minor, told(f" has more than {minor} decimals"))
+            .when(F.col(f"{n}_value").isNull(), told(" is out of range"))
+        )
+
+    return rows.withColumns({f"{n}_bad": bad(n) for n in cells})
 
 
-def cash_flow(m: SideMapping, minor: int) -> tuple[Column, Column]:
-    """(signed amount, problem): money in is positive. Of a split row's problems the money-in one comes first."""
+def _cash_flow(rows: DataFrame, m: SideMapping, minor: int) -> DataFrame:
+    """Adds _flow (signed amount, money in is positive) and _flow_bad (its problem). Of a split row the money-in cell is
+    read to its end first, so a problem of it, a negative amount too, comes before any of the money-out cell."""
     if m.amount is not None:
-        value, problem = _amount(F.col(f"`{m.amount}`"), m, minor, "amount")
-        problem = F.coalesce(problem, F.when(value.isNull(), F.lit("no amount")))
-        return F.when(problem.isNull(), -value if m.positive_is == "out" else value), problem
-    (i, i_bad), (o, o_bad) = _amount(F.col(f"`{m.money_in}`"), m, minor, "money in"), _amount(F.col(f"`{m.money_out}`"), m, minor, "money out")
-    if m.unused == "blank-or-zero":
-        i_used, o_used = i.isNotNull() & (i != 0), o.isNotNull() & (o != 0)
-    else:
-        i_used, o_used = i.isNotNull(), o.isNotNull()
+        rows = _read_amounts(rows, {"_amount": m.amount}, m, minor)
+        value = F.col("_amount_value")
+        problem = F.coalesce("_amount_bad", F.when(value.isNull(), F.lit("no amount")))
+        return rows.withColumns({"_flow_bad": problem, "_flow": F.when(F.col("_amount_bad").isNull(), -value if m.positive_is == "out" else value)})
+    rows = _read_amounts(rows, {"_money_in": m.money_in, "_money_out": m.money_out}, m, minor)
+    i, o = F.col("_money_in_value"), F.col("_money_out_value")
+    used = (lambda v: v.isNotNull() & (v != 0)) if m.unused == "blank-or-zero" else (lambda v: v.isNotNull())
     problem = F.coalesce(
-        i_bad,
-        o_bad,
+        F.col("_money_in_bad"),
         F.when(i < 0, F.lit("money in is negative")),
+        F.col("_money_out_bad"),
         F.when(o < 0, F.lit("money out is negative")),
-        F.when(i_used & o_used, F.lit("money in and money out are both used")),
+        F.when(used(i) & used(o), F.lit("money in and money out are both used")),
         F.when(i.isNull() & o.isNull(), F.lit("no amount")),
     )
-    value = F.when(i_used, i).when(o_used, -o).otherwise(F.lit(0))
-    return F.when(problem.isNull(), value.cast(f"decimal(28,{minor})")), problem
+    value = F.when(used(i), i).when(used(o), -o).otherwise(F.lit(0))
+    rows = rows.withColumn("_flow_bad", problem)
+    return rows.withColumn("_flow", F.when(F.col("_flow_bad").isNull(), value.cast(f"decimal(28,{minor})")))
 
 
 def normalize_side(rows: DataFrame, side: str, m: SideMapping, minor: int = 2, scope: tuple[str, ...] = ("account",)) -> DataFrame:
     """One row per record: scope, side, record_number, day, amount, reference, description, batch, problems, status.
 
     Date and amount problems are told independently; status is `problem`, `zero` or `valid`. A blank or null reference
-    or batch is null.
+    or batch is null. Names of the steps on the way begin with an underscore and replace columns of such names.
     """
     m.check(rows.columns, minor)
-    amount, bad_amount = cash_flow(m, minor)
-    day = dates.parse_date(F.col(f"`{m.date}`").cast("string"), m.date_format)
-    bad_date = dates.date_problem(F.col(f"`{m.date}`").cast("string"), m.date_format)
+    rows = _cash_flow(rows, m, minor).withColumn("_date", trim(F.coalesce(F.col(f"`{m.date}`").cast("string"), F.lit(""))))
+    rows = rows.withColumn("_date_fits", dates.fits(F.col("_date"), m.date_format))
+    rows = rows.withColumn("_day", F.when(F.col("_date_fits"), dates.read(F.col("_date"), m.date_format)))
+    rows = rows.withColumn("_date_bad", dates.problem(F.col("_date"), F.col("_date_fits"), F.col("_day"), m.date_format))
     word = lambda c: F.nullif(trim(F.col(f"`{c}`").cast("string")), F.lit("")) if c else F.lit(None).cast("string")
-    problems = F.array_compact(F.array(F.when(bad_date.isNotNull(), F.struct(F.lit("date").alias("field"), bad_date.alias("message"))), F.when(bad_amount.isNotNull(), F.struct(F.lit("amount").alias("field"), bad_amount.alias("message")))))
-    out = rows.select(*scope, F.lit(side).alias("side"), F.col("record_number").cast("long").alias("record_number"), day.alias("day"), amount.alias("amount"), word(m.reference).alias("reference"), word(m.description).alias("description"), word(m.batch).alias("batch"), problems.alias("problems"))
-    return out.withColumn("status", F.when(F.size("problems") > 0, "problem").when(F.col("amount") == 0, "zero").otherwise("valid"))
+    told = lambda field, c: F.when(F.col(c).isNotNull(), F.struct(F.lit(field).alias("field"), F.col(c).alias("message")))
+    problems = F.array_compact(F.array(told("date", "_date_bad"), told("amount", "_flow_bad")))
+    status = F.when(F.col("_date_bad").isNotNull() | F.col("_flow_bad").isNotNull(), "problem").when(F.col("_flow") == 0, "zero").otherwise("valid")
+    return rows.select(*scope, F.lit(side).alias("side"), F.col("record_number").cast("long").alias("record_number"), F.col("_day").alias("day"), F.col("_flow").alias("amount"), word(m.reference).alias("reference"), word(m.description).alias("description"), word(m.batch).alias("batch"), problems.alias("problems"), status.alias("status"))
 
 
 def problem_rows(side: DataFrame) -> DataFrame:
-    return side.select("side", "record_number", F.inline("problems"))
+    return side.select(*[c for c in ("account",) if c in side.columns], "side", "record_number", F.inline("problems"))
 
 
-def problems_by_record(side: DataFrame) -> DataFrame:
-    """Problem and zero rows, fields and messages listed date first."""
-    return side.filter("status != 'valid'").select("side", "record_number", "status", F.transform("problems", lambda p: p["field"]).alias("fields"), F.transform("problems", lambda p: p["message"]).alias("messages"))
+def problems_by_record(side: DataFrame, originals: DataFrame | None = None) -> DataFrame:
+    """Problem and zero rows, fields and messages listed date first, with the record as it came (`cells`) where originals
+    (record_number and the columns of the source) are given. Order by record_number to show them."""
+    out = side.filter("status != 'valid'").select("side", "record_number", "status", F.transform("problems", lambda p: p["field"]).alias("fields"), F.transform("problems", lambda p: p["message"]).alias("messages"))
+    if originals is None:
+        return out
+    cells = F.struct(*[F.col(f"`{c}`") for c in originals.columns if c != "record_number"])
+    return out.join(originals.select("record_number", cells.alias("cells")), "record_number", "left")
 
 
-def side_summary(side: DataFrame, scope: tuple[str, ...] = ("account",)) -> DataFrame:
+def side_summary(side: DataFrame, scope: tuple[str, ...] = ("account",), batch_problems: DataFrame | None = None) -> DataFrame:
+    """Counts of a side. `matchable` leaves out valid rows whose batch has a problem (batch_problems of batch_units)."""
+    if batch_problems is not None:
+        side = side.join(batch_problems.select(*scope, "record_number", F.lit(True).alias("blocked")).distinct(), [*scope, "record_number"], "left")
+    else:
+        side = side.withColumn("blocked", F.lit(None).cast("boolean"))
     valid = F.col("status") == "valid"
     return side.groupBy(*scope, "side").agg(
         F.count("*").alias("records"),
         F.count_if(valid).alias("valid"),
+        F.count_if(valid & F.col("blocked").isNull()).alias("matchable"),
         F.count_if(valid & (F.col("amount") > 0)).alias("money_in"),
         F.count_if(valid & (F.col("amount") < 0)).alias("money_out"),
         F.count_if(F.col("status") == "zero").alias("zero"),
@@ -86,6 +110,12 @@ def side_summary(side: DataFrame, scope: tuple[str, ...] = ("account",)) -> Data
     )
 
 
+def side_sample(rows: DataFrame, side: DataFrame, most: int = 10, scope: tuple[str, ...] = ("account",)) -> DataFrame:
+    """The first `most` records of each scope as they came beside what was read of them: a report of fixed length."""
+    nth = F.row_number().over(Window.partitionBy(*scope).orderBy("record_number"))
+    return side.withColumn("nth", nth).filter(F.col("nth") <= most).join(rows.select("record_number", *[c for c in rows.columns if c not in side.columns]), "record_number")
+
+
 def batch_units(rows: DataFrame, amount: str = "amount", scope: tuple[str, ...] = ("account",)) -> tuple[DataFrame, DataFrame]:
     """(units, problems) of rows (scope, record_number, day, amount, reference, batch, has_problem).
 
@@ -121,10 +151,10 @@ def batch_units(rows: DataFrame, amount: str = "amount", scope: tuple[str, ...]
 
 
 def batch_members(rows: DataFrame, units: DataFrame, scope: tuple[str, ...] = ("account",)) -> DataFrame:
-    """(unit record_number, member record_number, nth) of batch units, in record order."""
+    """(scope, unit record_number, member record_number, nth) of batch units, in record order."""
     named = units.filter("batch is not null").select(*scope, F.col("batch"), F.col("record_number").alias("unit"))
     nth = F.row_number().over(Window.partitionBy(*scope, "batch").orderBy("record_number"))
-    return rows.filter("batch is not null").withColumn("batch", F.col("batch").cast("string")).join(named, [*scope, "batch"]).select("unit", "record_number", nth.alias("nth"))
+    return rows.filter("batch is not null").withColumn("batch", F.col("batch").cast("string")).join(named, [*scope, "batch"]).select(*scope, "unit", "record_number", nth.alias("nth"))
 
 
 def all_carried(members: Column) -> Column:
