@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.decimals import cash_balance, clean, rescaled
+from ..functions.text import trim
+from .numbering import numbered
+
 
 def totals(units: DataFrame, side: str) -> DataFrame:
     """(account, <side>_movement, <side>_opening): items carried in are never part of the movement."""
@@ -21,14 +25,24 @@ def check_source(facts: DataFrame) -> DataFrame:
 
 def running_balance(rows: DataFrame, openings: DataFrame) -> DataFrame:
     """rows (account, record_number, amount, balance); openings (account, opening). Each balance must be the previous
-    stated one plus the amount; an unreadable (null) amount or balance breaks too. (account, state, record_number)"""
-    before = F.lag("balance").over(Window.partitionBy("account").orderBy("record_number"))
-    first = F.row_number().over(Window.partitionBy("account").orderBy("record_number")) == 1
-    walked = rows.withColumns({"first": first, "before": before}).join(openings, "account", "left")
-    want = F.when(F.col("first"), F.col("opening")).otherwise(F.col("before")) + F.col("amount")
+    stated one plus the amount; an unreadable (null) amount or balance breaks too. (account, state, record_number, and
+    the balance expected there and found)"""
+    placed = numbered(rows.select("account", "record_number", "amount", "balance"), ["account"], [F.col("record_number")], "nth")
+    previous = placed.select("account", (F.col("nth") + 1).alias("nth"), F.col("balance").alias("before"))
+    walked = placed.join(previous, ["account", "nth"], "left").join(openings, "account", "left")
+    want = F.when(F.col("nth") == 1, F.col("opening")).otherwise(F.col("before")) + F.col("amount")
     bad = F.when(F.col("amount").isNull() | F.col("balance").isNull(), "unreadable").when(~F.coalesce(want == F.col("balance"), F.lit(False)), "break")
-    found = walked.withColumn("bad", bad).groupBy("account").agg(F.min_by(F.when(F.col("bad").isNotNull(), F.struct("bad", "record_number")), F.when(F.col("bad").isNotNull(), F.col("record_number"))).alias("b"))
-    return found.select("account", F.coalesce("b.bad", F.lit("consistent")).alias("state"), F.col("b.record_number").alias("record_number"))
+    found = walked.withColumn("bad", bad).groupBy("account").agg(F.min_by(F.when(F.col("bad").isNotNull(), F.struct("bad", "record_number", want.alias("expected"), F.col("balance").alias("found"))), F.when(F.col("bad").isNotNull(), F.col("record_number"))).alias("b"))
+    return found.select("account", F.coalesce("b.bad", F.lit("consistent")).alias("state"), *[F.col(f"b.{c}").alias(c) for c in ("record_number", "expected", "found")])
+
+
+def stated_balances(stated: DataFrame, minor: int = 2) -> DataFrame:
+    """stated (account, side, kind opening or closing, text, basis asset or liability) as exact amounts: (account, side,
+    opening, closing, unreadable kinds). Text that is not a number of the currency gives null and is told."""
+    value = cash_balance(rescaled(clean(trim(F.col("text")), grouped=True), minor), F.col("basis"))
+    of = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("value"))).alias(kind)
+    bad = F.when(F.col("value").isNull() & (trim(F.coalesce("text", F.lit(""))) != ""), F.col("kind"))
+    return stated.withColumn("value", value).groupBy("account", "side").agg(of("opening"), of("closing"), F.array_sort(F.array_compact(F.collect_list(bad))).alias("unreadable"))
 
 
 def remaining(units: DataFrame, confirmed: DataFrame, side: str) -> DataFrame:
@@ -96,3 +110,14 @@ def completion(events: DataFrame, setups: DataFrame) -> DataFrame:
     events have `basis`, setups (account, fingerprint)."""
     last = events.groupBy("account").agg(F.max_by("action", "seq").alias("action"), F.max_by("basis", "seq").alias("basis"))
     return last.join(setups, "account", "left").select("account", F.coalesce((F.col("action") == "complete") & (F.col("basis") == F.col("fingerprint")), F.lit(False)).alias("current"))
+
+
+def mark_complete(events: DataFrame, log: DataFrame, status: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(accepted, refused) completion events (account, seq, basis): one is taken if its account may be completed now and
+    it is the next of its log. refused has the reasons (G13)."""
+    last = log.groupBy("account").agg(F.max("seq").alias("last"))
+    j = events.join(last, "account", "left").join(status.select("account", "can_complete", "reasons"), "account", "left")
+    stale = F.col("seq") != F.coalesce("last", F.lit(0)) + 1
+    why = F.concat(F.when(stale, F.array(F.lit("not the next event"))).otherwise(F.array().cast("array<string>")), F.when(~F.coalesce("can_complete", F.lit(False)), F.coalesce("reasons", F.array(F.lit("no status")))).otherwise(F.array().cast("array<string>")))
+    j = j.withColumn("why", F.when(~stale & F.coalesce("can_complete", F.lit(False)), F.lit(None)).otherwise(why))
+    return j.filter("why is null").select(*events.columns), j.filter("why is not null").select(*events.columns, F.col("why").alias("reasons"))

@@ -6,10 +6,10 @@ confirm, unmatch, reject and restore; classify and clear name a side and a recor
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import materialize
 from .components import components
 
 PAIR = ("confirm", "unmatch", "reject", "restore")
@@ -108,75 +108,131 @@ def snapshots(members: DataFrame, units: DataFrame) -> DataFrame:
     return members.join(units.select("account", "side", "record_number", "day", "amount", "reference"), ["account", "side", "record_number"], "left")
 
 
-def replay(events: DataFrame, verdicts: DataFrame) -> DataFrame:
+def judge(events: DataFrame, checked: DataFrame, candidates: DataFrame, units: DataFrame, missing: DataFrame | None = None) -> DataFrame:
+    """What the data say of each event (F3): (account, seq, allowed, present, why).
+
+    checked: check_pairs() of the events' pairs; candidates (account, bank, books); units (account, side, record_number,
+    amount) are the valid transactions; missing (account, seq) as missing_sources() tells. A suggested or set
+    confirmation must be a candidate still; a manual one (events without `origin` count as such) must name every rule
+    that it breaks and give a reason that is not blank; a classification must fit its unit. Other pair events are only
+    held against the history, by replay().
+    """
+    origin = F.col("origin") if "origin" in events.columns else F.lit("manual")
+    none = F.array().cast("array<string>")
+    e = events.withColumn("origin", origin).join(checked.select("account", "bank", "books", "blocked", F.col("exceptions").alias("broken"), F.lit(True).alias("checked")).dropDuplicates(["account", "bank", "books"]), ["account", "bank", "books"], "left")
+    e = e.join(candidates.select("account", "bank", "books", F.lit(True).alias("candidate")).distinct(), ["account", "bank", "books"], "left")
+    e = e.join(fitting(units).withColumnRenamed("classification", "fits").groupBy("account", "side", "record_number").agg(F.collect_set("fits").alias("fits")), ["account", "side", "record_number"], "left")
+    confirm = (
+        F.when(F.col("checked").isNull(), "not in the data")
+        .when(F.col("blocked").isNotNull(), F.col("blocked"))
+        .when(F.col("origin").isin("suggested", "set"), F.when(F.col("candidate").isNull(), "no longer suggested"))
+        .when(F.size(F.array_except(F.coalesce("broken", none), F.coalesce("exceptions", none))) > 0, "a broken rule is not named")
+        .when((F.size(F.coalesce("broken", none)) > 0) & (F.trim(F.coalesce("reason", F.lit(""))) == ""), "no reason")
+    )
+    own = F.when(F.col("fits").isNull(), "not in the data").when((F.col("action") == "classify") & ~F.array_contains("fits", F.col("classification")), "does not fit")
+    why = F.when(F.col("action") == "confirm", confirm).when(F.col("action").isin("classify", "clear"), own)
+    gone = (missing if missing is not None else events.select("account", "seq").limit(0)).select("account", "seq", F.lit(True).alias("gone")).distinct()
+    e = e.join(gone, ["account", "seq"], "left").withColumn("why", F.when(F.col("gone"), F.lit("its source is not loaded")).otherwise(why))
+    return e.select("account", "seq", F.col("why").isNull().alias("allowed"), F.col("gone").isNull().alias("present"), "why")
+
+
+def replay(events: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
     """Walks each history by seq: (account, seq, action, bank, books, side, record_number, classification, outcome).
 
-    verdicts: (account, bank, books, allowed), what the data say of a pair now. An event lapses if its pair is not
-    allowed, or if it contradicts what stands (a unit used twice, a rejected pair confirmed, a matched unit classified,
-    an unmatch of nothing); an unmatch of a lapsed confirm is skipped; rejections survive. Events that share neither a
-    unit nor an edge do not touch each other, so components of the events' members are replayed apart: no group is
-    larger than a chain of decisions about linked units.
+    verdicts: what the data say, by event (account, seq, allowed, present) as judge() gives it, or by pair (account,
+    bank, books, allowed) for confirmations; a pair that is not there is not allowed. Without verdicts only the history
+    itself is held against its own rules (F1): a unit has one active match, a pair is active, rejected or neither, a
+    matched unit is not classified, and only what is classified is cleared. An event that its source, the data or the
+    history refuses lapses. An unmatch of a pair whose confirmation lapsed is skipped, once for all lapses before it;
+    rejections survive, and a confirmation may take a unit that is classified.
+
+    Events that share neither a unit nor an edge do not touch each other, so the components of the events' members are
+    replayed apart, each as a stream in a task that holds its live state alone.
     """
     keyed = events.withColumn("node", F.xxhash64("account", F.lit("event"), "seq"))
-    members = event_members(events)
-    edges = members.select(F.xxhash64("account", F.lit("event"), "seq").alias("a"), F.xxhash64("account", F.col("side"), F.col("record_number")).alias("b"))
-    named = components(edges, "a", "b")
-    judged = keyed.join(verdicts, ["account", "bank", "books"], "left").join(named, "node", "left")
-    judged = judged.select("account", "seq", "action", "bank", "books", "side", "record_number", "classification", F.coalesce("allowed", F.lit(False)).alias("allowed"), F.coalesce("component", "node").alias("component"))
+    edges = event_members(events).select(F.xxhash64("account", F.lit("event"), "seq").alias("a"), F.xxhash64("account", F.col("side"), F.col("record_number")).alias("b"))
+    if verdicts is None:
+        judged = keyed.withColumns({"allowed": F.lit(True), "present": F.lit(True)})
+    elif "seq" in verdicts.columns:
+        judged = keyed.join(verdicts.select("account", "seq", "allowed", "present"), ["account", "seq"], "left")
+    else:
+        judged = keyed.join(verdicts.select("account", "bank", "books", "allowed"), ["account", "bank", "books"], "left").withColumn("present", F.lit(True))
+        judged = judged.withColumn("allowed", F.when(F.col("action") == "confirm", F.coalesce("allowed", F.lit(False))).otherwise(True))
+    judged = judged.join(components(edges, "a", "b"), "node", "left")
+    judged = judged.select("account", "seq", "action", "bank", "books", "side", "record_number", "classification", F.coalesce("allowed", F.lit(False)).alias("allowed"), F.coalesce("present", F.lit(True)).alias("present"), F.coalesce("component", "node").alias("component"))
+    parts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     schema = "account string, seq long, action string, bank long, books long, side string, record_number long, classification string, outcome string"
-    return judged.groupBy("component").applyInPandas(_fold, schema)
-
-
-def _fold(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values(["account", "seq"])
-    used: dict = {}
-    refused, lapsed, classified, out = set(), set(), set(), []
-    for r in rows.itertuples():
-        bank, books = (r.account, "bank", r.bank), (r.account, "books", r.books)
-        edge, own, outcome = (r.account, r.bank, r.books), (r.account, r.side, r.record_number), "applied"
+    return judged.repartition(parts, "component").sortWithinPartitions("component", "account", "seq").mapInPandas(_walk, schema)
+
+
+class _State:
+    """One component's history so far."""
+
+    def __init__(self):
+        self.used: dict = {}
+        self.refused, self.lapsed, self.classified = set(), set(), set()
+
+    def outcome(self, r) -> str:
+        if r.action == "complete":
+            return "applied"
+        if r.action in ("classify", "clear"):
+            unit = (r.account, r.side, r.record_number)
+            if not r.present or unit in self.used or r.action == "clear" and unit not in self.classified or not r.allowed:
+                return "lapsed"
+            (self.classified.add if r.action == "classify" else self.classified.discard)(unit)
+            return "applied"
+        bank, books, edge = (r.account, "bank", r.bank), (r.account, "books", r.books), (r.account, r.bank, r.books)
+        active = self.used.get(bank) == edge
+        if r.action == "unmatch" and r.present and edge in self.lapsed:
+            self.lapsed.discard(edge)
+            return "skipped"
+        holds = r.present and {
+            "confirm": edge not in self.refused and bank not in self.used and books not in self.used and r.allowed,
+            "unmatch": active,
+            "reject": not active and edge not in self.refused,
+            "restore": edge in self.refused,
+        }.get(r.action, False)
+        if not holds:
+            if r.action == "confirm":
+                self.lapsed.add(edge)
+            return "lapsed"
         if r.action == "confirm":
-            if not r.allowed or bank in used or books in used or edge in refused or bank in classified or books in classified:
-                outcome = "lapsed"
-                lapsed.add(edge)
-            else:
-                used[bank] = used[books] = edge
-                lapsed.discard(edge)
+            self.used[bank] = self.used[books] = edge
         elif r.action == "unmatch":
-            if used.get(bank) == edge:
-                del used[bank], used[books]
-            else:
-                outcome = "skipped" if edge in lapsed else "lapsed"
-                lapsed.discard(edge)
-        elif r.action == "reject":
-            if used.get(bank) == edge or edge in refused:
-                outcome = "lapsed"
-            else:
-                refused.add(edge)
-        elif r.action == "restore":
-            if edge in refused:
-                refused.discard(edge)
-            else:
-                outcome = "lapsed"
-        elif r.action == "classify":
-            if own in used:
-                outcome = "lapsed"
-            else:
-                classified.add(own)
-        elif r.action == "clear":
-            if own in classified:
-                classified.discard(own)
-            else:
-                outcome = "lapsed"
-        out.append(outcome)
-    return rows.drop(columns=["allowed", "component"]).assign(outcome=out)
+            del self.used[bank], self.used[books]
+        else:
+            (self.refused.add if r.action == "reject" else self.refused.discard)(edge)
+        return "applied"
+
+
+def _walk(frames):
+    at, state = None, _State()
+    for rows in frames:
+        outcomes = []
+        for r in rows.itertuples():
+            if r.component != at:
+                at, state = r.component, _State()
+            outcomes.append(state.outcome(r))
+        yield rows.drop(columns=["allowed", "present", "component"]).assign(outcome=outcomes)
+
+
+def load(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(events, problems) of histories (F13): an account's history is taken whole or, with any problem, not at all.
+
+    Problems are those of history_problems() and events that contradict the history before them.
+    """
+    walked = replay(events).filter("outcome != 'applied'").select("account", "seq", F.lit("contradicts the history before it").alias("message"))
+    problems = materialize(history_problems(events).unionByName(walked), "history-problems")
+    return events.join(problems.select("account").distinct(), "account", "left_anti"), problems
 
 
 def append(log: DataFrame, new: DataFrame, verdicts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(accepted, refused accounts): new events of an account are taken whole if they follow its last seq without a gap
-    and none of them would lapse, else not at all."""
-    last = log.groupBy("account").agg(F.max("seq").alias("last"))
+    and none of them would lapse, else not at all. Only histories that get new events are replayed."""
+    touched = log.join(new.select("account").distinct(), "account", "left_semi")
+    last = touched.groupBy("account").agg(F.max("seq").alias("last"))
     nth = F.row_number().over(Window.partitionBy("account").orderBy("seq"))
     stale = new.withColumn("nth", nth).join(last, "account", "left").filter(F.col("seq") != F.coalesce("last", F.lit(0)) + F.col("nth")).select("account")
-    failed = replay(log.unionByName(new), verdicts).join(new.select("account", "seq"), ["account", "seq"], "left_semi").filter("outcome != 'applied'").select("account")
+    failed = replay(touched.unionByName(new), verdicts).join(new.select("account", "seq"), ["account", "seq"], "left_semi").filter("outcome != 'applied'").select("account")
     bad = stale.unionByName(failed).distinct()
     return new.join(bad, "account", "left_anti"), bad

@@ -14,6 +14,7 @@ from ..config import MatchingRules
 from ..functions.text import references_agree
 from ..scratch import materialize
 from .components import components
+from .numbering import numbered
 
 
 def _content(side: str) -> list:
@@ -60,9 +61,8 @@ def pair_counts(bank: DataFrame, books: DataFrame, rules: MatchingRules = Matchi
 
 def budgeted(pairs: DataFrame, most: int) -> DataFrame:
     """The first `most` pairs of each account in content order, flagged if there were more."""
-    w = Window.partitionBy("account")
-    nth = F.row_number().over(w.orderBy(*_content("bank"), *_content("books")))
-    return pairs.withColumns({"nth": nth, "incomplete": F.count("*").over(w) > most}).filter(F.col("nth") <= most)
+    totals = pairs.groupBy("account").agg((F.count("*") > most).alias("incomplete"))
+    return numbered(pairs, ["account"], [*_content("bank"), *_content("books")], "nth").filter(F.col("nth") <= most).join(totals, "account")
 
 
 def islands(pairs: DataFrame) -> DataFrame:
@@ -93,7 +93,7 @@ def groups_by_island(pairs: DataFrame) -> DataFrame:
 
 def _numbered(tied: DataFrame, component: str) -> DataFrame:
     firsts = tied.groupBy("account", component).agg(F.min(F.struct(*_content("bank"))).alias("first"))
-    firsts = firsts.withColumn("group", F.row_number().over(Window.partitionBy("account").orderBy("first")))
+    firsts = numbered(firsts, ["account"], [F.col("first")], "group")
     return tied.join(firsts, ["account", component]).select("account", "group", "bank", "books")
 
 
@@ -103,19 +103,25 @@ def group_sizes(grouped: DataFrame) -> DataFrame:
 
 def ranked(pairs: DataFrame, grouped: DataFrame) -> DataFrame:
     """Candidates in the order they are offered: group, tier, days apart, bank content, books content."""
-    w = Window.partitionBy("account").orderBy("group", "tier", F.abs("gap"), *_content("bank"), *_content("books"))
-    return pairs.join(grouped, ["account", "bank", "books"]).withColumn("rank", F.row_number().over(w))
+    order = [F.col("group"), F.col("tier"), F.abs("gap"), *_content("bank"), *_content("books")]
+    return numbered(pairs.join(grouped, ["account", "bank", "books"]), ["account"], order, "rank")
 
 
 def no_candidate(units: DataFrame, pairs: DataFrame, side: str) -> DataFrame:
     return units.join(pairs.select("account", F.col(side).alias("record_number")), ["account", "record_number"], "left_anti")
 
 
-def match_summary(bank: DataFrame, books: DataFrame, pairs: DataFrame, grouped: DataFrame) -> DataFrame:
+def match_summary(bank: DataFrame, books: DataFrame, pairs: DataFrame, grouped: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """One row per account: pairs, groups, unique groups, units of each side with and without a candidate, and what
+    `more` (account, counts such as invalid, zero, reference conflicts, whether the search is incomplete) adds."""
     sizes = group_sizes(grouped).groupBy("account").agg(F.sum("pairs").alias("pairs"), F.count("*").alias("groups"), F.count_if("is_unique").alias("unique_groups"))
-    left = lambda units, side: no_candidate(units, pairs, side).groupBy("account").agg(F.count("*").alias(f"{side}_without"))
-    out = sizes.join(left(bank, "bank"), "account", "full").join(left(books, "books"), "account", "full")
-    return out.na.fill(0)
+    out = sizes
+    for units, side in ((bank, "bank"), (books, "books")):
+        out = out.join(no_candidate(units, pairs, side).groupBy("account").agg(F.count("*").alias(f"{side}_without")), "account", "full")
+        out = out.join(units.groupBy("account").agg(F.count("*").alias(f"{side}_units")), "account", "full")
+    out = out.na.fill(0)
+    out = out.select("account", "pairs", "groups", "unique_groups", *[c for side in ("bank", "books") for c in ((F.col(f"{side}_units") - F.col(f"{side}_without")).alias(f"{side}_with"), F.col(f"{side}_without"))])
+    return out if more is None else out.join(more, "account", "left")
 
 
 def interchangeable(grouped: DataFrame, bank: DataFrame, books: DataFrame, across: bool = True) -> DataFrame:
