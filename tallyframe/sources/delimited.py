@@ -91,7 +91,8 @@ def read_table(spark: SparkSession, path: str, layout: Layout = Layout(), delimi
     names = [n.strip().lstrip("﻿").strip() for n in names]
     zones = zoned(records(spark, [path], len(names), delimiter), layout)
     heads = spark.createDataFrame([(path, i, n) for i, n in enumerate(names)], "file string, place int, name string")
-    issues = record_issues(zones).select("record_number", "message", "raw").unionByName(header_issues(heads).select(F.lit(None).cast("long").alias("record_number"), "message", F.lit(None).cast("string").alias("raw")))
+    broken = encoding_issues(fingerprints(spark, [path])).select(F.lit(None).cast("long").alias("record_number"), "message", F.lit(None).cast("string").alias("raw"))
+    issues = record_issues(zones).select("record_number", "message", "raw").unionByName(broken).unionByName(header_issues(heads).select(F.lit(None).cast("long").alias("record_number"), "message", F.lit(None).cast("string").alias("raw")))
     rows = zones.filter("zone = 'data'")
     if len(set(names)) == len(names) and all(names):
         rows = rows.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)], "record_number", "file")
@@ -109,7 +110,15 @@ def manifest(rows: DataFrame, prints: DataFrame) -> DataFrame:
     return rows.groupBy("file").agg(F.count("*").alias("records")).join(prints, "file", "left").select("file", "fingerprint", "records")
 
 
-def table_fingerprint(df: DataFrame) -> DataFrame:
-    """A fingerprint of a table without bytes of its own: order-free sums of row hashes."""
-    h = F.xxhash64(*df.columns)
-    return df.agg(F.count("*").alias("records"), F.sha2(F.concat_ws("|", F.sum(h.cast("decimal(38,0)")).cast("string"), F.bit_xor(h).cast("string"), F.count("*").cast("string")), 256).alias("fingerprint"))
+def encoding_issues(prints: DataFrame) -> DataFrame:
+    """(file, message) of files that are not UTF-8: such an issue rejects the file whole (see accepted)."""
+    return prints.filter(~F.col("is_utf8")).select("file", F.lit("not valid UTF-8").alias("message"))
+
+
+def table_fingerprints(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    """(by, records, fingerprint) of sources without bytes of their own: order-free sums of row hashes, so a source of
+    any size is one row per task before the shuffle. Nulls and empty texts differ."""
+    cells = F.concat_ws("|", *[F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in columns])
+    h = F.conv(F.substring(F.md5(cells), 1, 15), 16, 10).cast("long")
+    sums = df.withColumn("h", h).groupBy(*by).agg(F.count("*").alias("records"), F.sum(F.col("h").cast("decimal(38,0)")).cast("string").alias("total"), F.bit_xor("h").cast("string").alias("mixed"))
+    return sums.select(*by, "records", F.sha2(F.concat_ws("|", "total", "mixed", F.col("records").cast("string")), 256).alias("fingerprint"))

@@ -28,3 +28,15 @@ def ledger_pair(spark: SparkSession, rows: int, amounts: int | None = None, days
         return spark.range(rows).select(F.lit(account).alias("account"), (F.col("id") + 1).alias("record_number"), F.date_add(F.lit("2026-09-01").cast("date"), (F.pmod("id", F.lit(days)) + shift).cast("int")).alias("day"), amount.cast("long").alias("amount"), F.lit(None).cast("string").alias("reference"))
 
     return one(0), one(1 if days > 1 else 0)
+
+
+def running_balances(spark: SparkSession, rows: int, opening: int = 50_000, breaks: int = 0, account: str = "A") -> tuple[DataFrame, int]:
+    """(rows, opening) of an account whose stated balances run on from row to row; each `breaks`-th one is off by 1.
+
+    The balance is in closed form, so that any number of rows is made in parallel: amounts go 1, -2, 3, -4, ...
+    """
+    n = F.col("id") + 1
+    amount = F.when(n % 2 == 1, n).otherwise(-n)
+    balance = F.lit(opening) + F.when(n % 2 == 1, (n + 1) / 2).otherwise(-n / 2).cast("long")
+    off = F.when(n % breaks == 0, 1).otherwise(0) if breaks else F.lit(0)
+    return spark.range(rows).select(F.lit(account).alias("account"), n.alias("record_number"), amount.alias("amount"), (balance + off).alias("balance")), opening
