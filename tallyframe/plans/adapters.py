@@ -61,6 +61,8 @@ def sql(query: str) -> str:
     add(re.sub(r"'[^']*'", "", query))
     ctes = ", ".join(f"{v} AS ({VIEWS[v]})" for v in need)
     own = query.strip()
+    if own.upper().startswith("WITH RECURSIVE ") and ctes:
+        return f"WITH RECURSIVE {ctes}, {own[15:]}"
     if own.upper().startswith("WITH "):
         return f"WITH {ctes}, {own[5:]}" if ctes else own
     return f"WITH {ctes} {own}" if ctes else own

@@ -67,11 +67,19 @@ def b13_parse_date(spark, sf):
     return view(spark, sf, "date_text").select("o_orderkey", F.date_format(d, "yyyy-MM-dd").alias("day"), F.unix_date(d).cast("long").alias("number"))
 
 
-@query("""SELECT 'DD/MM/YYYY' AS format, count(*) AS n FROM orders HAVING count(*) > 0""")
+# year, month and day as places in the text, and the pattern; formats with month names or two-digit years fit no such text
+_FORMS = """f(format, pattern, y, m, d) AS (VALUES ('YYYY-MM-DD', '[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}', 1, 2, 3), ('YYYY/MM/DD', '[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}', 1, 2, 3), ('DD/MM/YYYY', '[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}', 3, 2, 1), ('DD-MM-YYYY', '[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}', 3, 2, 1),
+  ('DD.MM.YYYY', '[0-9]{1,2}\\.[0-9]{1,2}\\.[0-9]{4}', 3, 2, 1), ('MM/DD/YYYY', '[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}', 3, 1, 2), ('MM-DD-YYYY', '[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}', 3, 1, 2))"""
+_RAW = """t AS (SELECT CASE WHEN day(o_orderdate) <= 12 THEN 'early' ELSE 'late' END AS part, CAST(day(o_orderdate) AS STRING) || '/' || CAST(month(o_orderdate) AS STRING) || '/' || CAST(year(o_orderdate) AS STRING) AS raw FROM orders)"""
+
+
+@query(f"""WITH {_RAW}, {_FORMS} SELECT part, format FROM t, f GROUP BY part, format HAVING bool_and(regexp_full_match(raw, pattern) AND TRY_CAST(split_part(translate(raw, '/.', '--'), '-', y) || '-' || lpad(split_part(translate(raw, '/.', '--'), '-', m), 2, '0') || '-' || lpad(split_part(translate(raw, '/.', '--'), '-', d), 2, '0') AS DATE) IS NOT NULL)""")
 def b15_fitting_formats(spark, sf):
-    """The formats that every value fits (well-formed day-first dates of orders)."""
-    rows = spark.read.parquet(f"{sf}/orders.parquet").select(F.date_format("o_orderdate", "d/M/yyyy").alias("raw"))
-    return dates.fitting_formats(rows, "raw").crossJoin(rows.agg(F.count("*").alias("n"))).select("format", "n")
+    """The formats that every value fits; days up to the twelfth fit month first as well."""
+    rows = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderdate", F.date_format("o_orderdate", "d/M/yyyy").alias("raw"))
+    early = F.dayofmonth("o_orderdate") <= 12
+    one = lambda part, when: dates.fitting_formats(rows.filter(when), "raw").select(F.lit(part).alias("part"), "format")
+    return one("early", early).unionByName(one("late", ~early))
 
 
 @query("""SELECT id, CAST(CASE WHEN CAST(id AS BIGINT) % 3 = 0 THEN CAST(acctbal AS DECIMAL(18,2)) WHEN CAST(acctbal AS DECIMAL(18,2)) < 0 THEN NULL WHEN CAST(id AS BIGINT) % 3 = 1 THEN CAST(acctbal AS DECIMAL(18,2)) ELSE -CAST(acctbal AS DECIMAL(18,2)) END * 100 AS BIGINT) AS balance,
@@ -99,7 +107,7 @@ def b21_unit_keys(spark, sf):
     return out.select("account", "batch", records.alias("records"), text.unit_key(F.lit("books"), F.col("m")).alias("unit"), "sound", text.is_sha256(F.col("fp")).alias("is_hash"))
 
 
-@query("""SELECT account, record_number, 'Bank record ' || CAST(record_number AS STRING) AS label, CASE WHEN amount > 0 THEN 'in' ELSE 'out' END AS direction, CAST(day - 3 AS DATE) AS low, CAST(day + 3 AS DATE) AS high,
+@query("""SELECT account, record_number, 'Bank record ' || format('{:,}', record_number) AS label, CASE WHEN amount > 0 THEN 'in' ELSE 'out' END AS direction, CAST(day - 3 AS DATE) AS low, CAST(day + 3 AS DATE) AS high,
   'Amount exact; ' || CASE WHEN record_number % 3 = 0 THEN 'same date' WHEN record_number % 3 = 1 THEN 'bank date 1 day after books' ELSE 'bank date 2 days before books' END || CASE WHEN reference IS NOT NULL THEN '; reference matched.' ELSE '.' END AS evidence FROM bank""")
 def b26_windows_and_labels(spark, sf):
     """Windows, labels, evidence, direction."""
@@ -115,7 +123,47 @@ def b30_search(spark, sf):
     return spark.read.parquet(f"{sf}/documents.parquet").filter(text.found(" THE ", F.col("text"), F.col("source"))).select("doc_id", "source")
 
 
-@query()
+@query("""SELECT id, sha256('{"id":"' || id || '","nation":"' || nation || '","acctbal":"' || acctbal || '"}') AS fingerprint FROM old_customer""")
 def b24_setup_fingerprint(spark, sf):
     """The hash of a setup changes with any part; only its stability is fixed."""
     return view(spark, sf, "old_customer").select("id", text.setup_fingerprint(F.col("id"), F.col("nation"), F.col("acctbal")).alias("fingerprint"))
+
+
+@query("""SELECT account, record_number, CASE WHEN amount > 0 THEN 'Only candidate for both transactions' ELSE format('{:,}', record_number) || CASE WHEN record_number = 1 THEN ' bank transaction and ' ELSE ' bank transactions and ' END || '1 books transaction compete through 2 pairs; no unique pairing' END AS competition,
+  CASE WHEN record_number % 2 = 0 THEN format('{:,}', record_number % 4 + 2) || ' bank transactions ↔ 1 books transaction' END AS relation, CASE WHEN reference IS NULL THEN 'reference absent on both sides' ELSE 'reference matched' END AS reference_text,
+  CASE record_number % 3 WHEN 0 THEN 'consistent with every record' WHEN 1 THEN 'breaks at record ' || CAST(record_number AS STRING) || ': expected ' || CAST(amount AS STRING) || ', found ' || CAST(amount + 1 AS STRING) ELSE 'can''t be checked past record ' || CAST(record_number AS STRING) END AS running,
+  CASE record_number % 4 WHEN 0 THEN 'Bank: opening and closing balances are needed' WHEN 1 THEN 'Bank: ' || CAST(record_number % 2 + 1 AS STRING) || CASE WHEN record_number % 2 = 0 THEN ' invalid record has' ELSE ' invalid records have' END || ' no trustworthy amount' WHEN 2 THEN 'Bank: opening plus movements does not equal the closing balance' END AS gap FROM bank""")
+def b28_reason_texts(spark, sf):
+    """Competition, relation and reference texts, what a running balance and a source lack."""
+    n, a = F.col("record_number"), F.col("amount")
+    state = lambda k, *names: F.element_at(F.array(*[F.lit(x) for x in names]), (n % k + 1).cast("int"))
+    return view(spark, sf, "bank").select(
+        "account",
+        "record_number",
+        text.competition_text(a > 0, n, F.lit(1), F.lit(2)).alias("competition"),
+        text.relation_text(F.when(n % 2 == 0, n % 4 + 2).otherwise(1), F.lit(1)).alias("relation"),
+        text.reference_evidence(F.col("reference").isNotNull(), F.col("reference"), F.col("reference"), True).alias("reference_text"),
+        text.running_text(state(3, "consistent", "break", "unreadable"), n, a, a + 1).alias("running"),
+        text.source_gap("bank", state(4, "missing-balances", "invalid-rows", "mismatch", "validated"), n % 2 + 1).alias("gap"),
+    )
+
+
+_UNITS = """u AS (SELECT account, batch, 'books|' || sha256(batch) || '|' AS head, min(record_number) AS low, max(record_number) AS high FROM books_lines GROUP BY account, batch)"""
+
+
+@query(f"""WITH {_UNITS}, k AS (SELECT account, batch, 'sound' AS form, head || CAST(low AS STRING) || CASE WHEN high > low THEN '+' || CAST(high AS STRING) ELSE '' END AS key, true AS ok, CASE WHEN high > low THEN 2 ELSE 1 END AS members FROM u UNION ALL SELECT account, batch, 'twice', head || CAST(low AS STRING) || '+' || CAST(low AS STRING), false, NULL FROM u
+  UNION ALL SELECT account, batch, 'order', head || CAST(high + 1 AS STRING) || '+' || CAST(low AS STRING), false, NULL FROM u UNION ALL SELECT account, batch, 'sides', head || CAST(low AS STRING) || '&' || replace(head, 'books', 'bank') || CAST(low AS STRING), false, NULL FROM u) SELECT account, batch, form, key, ok, members FROM k""")
+def b22_parse_unit_keys(spark, sf):
+    """Unit keys in canonical form, and those that repeat a record, are out of order or mix sides."""
+    head = F.concat(F.lit("books|"), F.sha2("batch", 256), F.lit("|"))
+    u = view(spark, sf, "books_lines").groupBy("account", "batch").agg(F.min("record_number").alias("low"), F.max("record_number").alias("high")).withColumn("head", head)
+    low, high = F.col("low").cast("string"), F.col("high").cast("string")
+    forms = {
+        "sound": F.concat("head", low, F.when(F.col("high") > F.col("low"), F.concat(F.lit("+"), high)).otherwise("")),
+        "twice": F.concat("head", low, F.lit("+"), low),
+        "order": F.concat("head", (F.col("high") + 1).cast("string"), F.lit("+"), low),
+        "sides": F.concat("head", low, F.lit("&"), F.replace("head", F.lit("books"), F.lit("bank")), low),
+    }
+    keys = u.select("account", "batch", F.explode(F.array(*[F.struct(F.lit(k).alias("form"), c.alias("key")) for k, c in forms.items()])).alias("x")).select("account", "batch", "x.form", "x.key")
+    members = text.unit_members(F.col("key"))
+    return keys.select("account", "batch", "form", "key", text.is_unit_key(F.col("key")).alias("ok"), F.when(members.isNotNull(), F.size(members)).alias("members"))

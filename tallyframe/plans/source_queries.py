@@ -37,10 +37,17 @@ def a02_layout_zones(spark, sf):
     return _zones(spark, sf).select("file", F.col("record").cast("long").alias("record"), "zone", "record_number")
 
 
-@query(f"WITH {_LINES} SELECT file, 'column ' || CAST(record AS STRING) || ' has no name' AS message FROM zo WHERE record = 2 UNION ALL SELECT file, 'column name used twice: ' || c0 FROM zo WHERE record <= 12 AND record <> 2 GROUP BY file, c0 HAVING count(*) > 1")
+_HEADS = "he AS (SELECT 'S' || CAST(o_custkey AS STRING) AS file, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS place, CASE WHEN o_orderkey % 29 = 0 THEN '' ELSE o_orderpriority END AS name FROM orders)"
+
+
+@query(f"WITH {_HEADS} SELECT file, 'column ' || CAST(place AS STRING) || ' has no name' AS message FROM he WHERE name = '' UNION ALL SELECT file, 'column name used twice: ' || name FROM he WHERE name <> '' GROUP BY file, name HAVING count(*) > 1")
 def a03_header_issues(spark, sf):
-    names = _zones(spark, sf).filter("record <= 12").select("file", (F.col("record") - 1).alias("place"), F.when(F.col("record") == 2, " ").otherwise(F.col("c0")).alias("name"))
-    return delimited.header_issues(names)
+    """A3: a header for each customer, its names the priorities of all their orders."""
+    from pyspark.sql import Window
+
+    orders = spark.read.parquet(f"{sf}/orders.parquet")
+    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
+    return delimited.header_issues(orders.select(F.concat(F.lit("S"), F.col("o_custkey").cast("string")).alias("file"), place.alias("place"), F.when(F.col("o_orderkey") % 29 == 0, "  ").otherwise(F.col("o_orderpriority")).alias("name")))
 
 
 @query(f"WITH {_LINES} SELECT file, record - 4 AS record_number, c0 AS raw FROM zo WHERE zone = 'data' AND bad")
@@ -61,7 +68,11 @@ def a06_skipped(spark, sf):
     return delimited.skipped(_zones(spark, sf)).select("file", "zone", F.col("record").cast("long").alias("record"))
 
 
-@query()
+_PRINT = """fp AS (SELECT 'S' || CAST(o_custkey % 40 AS STRING) AS file, CAST('0x' || substr(md5('=' || CAST(o_orderkey AS STRING) || '|=' || o_orderstatus || '|=' || o_orderpriority), 1, 15) AS BIGINT) AS h FROM orders)"""
+
+
+@query(f"WITH {_PRINT} SELECT file, count(*) AS records, sha256(CAST(sum(CAST(h AS HUGEINT)) AS STRING) || '|' || CAST(bit_xor(h) AS STRING) || '|' || CAST(count(*) AS STRING)) AS fingerprint FROM fp GROUP BY file")
 def a09_fingerprints(spark, sf):
-    """Bytes of the given files: fingerprint and UTF-8 test."""
-    return delimited.fingerprints(spark, [f"{sf}/nation.parquet", f"{sf}/region.parquet"]).select(F.element_at(F.split("file", "/"), -1).alias("file"), "fingerprint", "is_utf8")
+    """Fingerprints of sources that are tables, whatever the order of their rows."""
+    orders = spark.read.parquet(f"{sf}/orders.parquet").withColumn("file", F.concat(F.lit("S"), (F.col("o_custkey") % 40).cast("string")))
+    return delimited.table_fingerprints(orders, ["file"], ["o_orderkey", "o_orderstatus", "o_orderpriority"])
