@@ -33,8 +33,8 @@ _READ = """CASE WHEN {0} = '' THEN 'blank' WHEN NOT regexp_full_match({0}, '[+-]
 _VALUE = "CASE WHEN {1} = 'ok' THEN CAST(CAST({0} AS DECIMAL(28,2)) * 100 AS BIGINT) END"
 _DAY = """TRY_CAST(split_part(day_text, '/', 3) || '-' || lpad(split_part(day_text, '/', 2), 2, '0') || '-' || lpad(split_part(day_text, '/', 1), 2, '0') AS DATE)"""
 _SPLIT = f"""r AS (SELECT *, {_READ.format("money_in")} AS ki, {_READ.format("money_out")} AS ko, {_DAY} AS d FROM amount_text), v AS (SELECT *, {_VALUE.format("money_in", "ki")} AS i, {_VALUE.format("money_out", "ko")} AS o FROM r),
-  n AS (SELECT account, record_number, d, CASE WHEN ki = 'nan' THEN 'money in: ' || money_in || ' is not a number' WHEN ki = 'scale' THEN 'money in: ' || money_in || ' has more than 2 decimals' WHEN ko = 'nan' THEN 'money out: ' || money_out || ' is not a number'
-    WHEN ko = 'scale' THEN 'money out: ' || money_out || ' has more than 2 decimals' WHEN i < 0 THEN 'money in is negative' WHEN o < 0 THEN 'money out is negative' WHEN ki = 'ok' AND ko = 'ok' THEN 'money in and money out are both used' WHEN ki = 'blank' AND ko = 'blank' THEN 'no amount' END AS bad,
+  n AS (SELECT account, record_number, d, CASE WHEN ki = 'nan' THEN 'money in: ' || money_in || ' is not a number' WHEN ki = 'scale' THEN 'money in: ' || money_in || ' has more than 2 decimals' WHEN i < 0 THEN 'money in is negative' WHEN ko = 'nan' THEN 'money out: ' || money_out || ' is not a number'
+    WHEN ko = 'scale' THEN 'money out: ' || money_out || ' has more than 2 decimals' WHEN o < 0 THEN 'money out is negative' WHEN ki = 'ok' AND ko = 'ok' THEN 'money in and money out are both used' WHEN ki = 'blank' AND ko = 'blank' THEN 'no amount' END AS bad,
     CASE WHEN ki = 'ok' THEN i ELSE -o END AS amount FROM v), s AS (SELECT account, record_number, d, bad, CASE WHEN bad IS NULL THEN amount END AS amount, CASE WHEN bad IS NOT NULL OR d IS NULL THEN 'problem' WHEN amount = 0 THEN 'zero' ELSE 'valid' END AS status FROM n)"""
 
 
@@ -74,7 +74,26 @@ def d08_problem_rows(spark, sf):
   count(*) FILTER (WHERE status = 'zero') AS zero, count(*) FILTER (WHERE status = 'problem') AS problem_records, count(*) FILTER (WHERE d IS NULL) + count(*) FILTER (WHERE bad IS NOT NULL) AS problems FROM s GROUP BY account""")
 def d10_side_summary(spark, sf):
     """Counts of a side."""
-    return N.side_summary(_mapped(spark, sf)).drop("side", "batches")
+    return N.side_summary(_mapped(spark, sf)).drop("side", "batches", "matchable")
+
+
+@query(f"""WITH {_SPLIT}, z AS (SELECT account, record_number // 10 AS batch, status, status = 'problem' AS bad FROM s), g AS (SELECT account, batch, bool_or(bad) AS broken FROM z GROUP BY ALL)
+  SELECT z.account, count(*) FILTER (WHERE status = 'valid') AS valid, count(*) FILTER (WHERE status = 'valid' AND NOT broken) AS matchable FROM z JOIN g USING (account, batch) GROUP BY z.account""")
+def d09_matchable(spark, sf):
+    """Valid rows, and those of them whose batch has no problem."""
+    side = _mapped(spark, sf)
+    batch = F.floor(F.col("record_number") / 10)
+    broken = side.groupBy("account", batch.alias("b")).agg(F.bool_or(F.col("status") == "problem").alias("broken")).filter("broken")
+    blocked = side.withColumn("b", batch).join(broken, ["account", "b"], "left_semi").select("account", "record_number")
+    return N.side_summary(side, batch_problems=blocked).select("account", "valid", "matchable")
+
+
+@query("""SELECT account, record_number, status, acctbal, nth FROM (SELECT 'N' || nation AS account, record_number, acctbal, CASE WHEN CAST(acctbal AS DECIMAL(18,2)) = 0 THEN 'zero' ELSE 'valid' END AS status, row_number() OVER (PARTITION BY nation ORDER BY record_number) AS nth FROM old_customer) WHERE nth <= 10""")
+def d10_side_sample(spark, sf):
+    """The first ten records of each account as they came beside what was read."""
+    rows = view(spark, sf, "old_customer").select(F.concat(F.lit("N"), "nation").alias("account"), "record_number", "acctbal", F.lit("1/2/2024").alias("day_text"))
+    side = N.normalize_side(rows, "bank", SideMapping(date="day_text", date_format="DD/MM/YYYY", amount="acctbal"))
+    return N.side_sample(rows, side).select("account", "record_number", "status", "acctbal", F.col("nth").cast("long").alias("nth"))
 
 
 _BATCH = """b AS (SELECT account, batch, min(record_number) FILTER (WHERE NOT has_problem AND amount <> 0) AS record_number, max(day) FILTER (WHERE NOT has_problem AND amount <> 0) AS day, CAST(sum(amount) FILTER (WHERE NOT has_problem AND amount <> 0) AS BIGINT) AS amount,
@@ -95,7 +114,7 @@ def d12_blocked_batches(spark, sf):
 @query(f"WITH {_BATCH} SELECT b.record_number AS unit, l.record_number, row_number() OVER (PARTITION BY l.account, l.batch ORDER BY l.record_number) AS nth FROM b JOIN books_lines l ON l.batch = b.batch AND l.account = b.account WHERE NOT broken AND NOT mixed AND members > 0")
 def d11_batch_members(spark, sf):
     rows = view(spark, sf, "books_lines")
-    return N.batch_members(rows, N.batch_units(rows)[0]).withColumn("nth", F.col("nth").cast("long"))
+    return N.batch_members(rows, N.batch_units(rows)[0]).select("unit", "record_number", F.col("nth").cast("long").alias("nth"))
 
 
 @query("SELECT account, count(*) FILTER (WHERE is_carried) AS carried, count(*) FILTER (WHERE NOT is_carried) AS current, bool_and(is_carried) AS all_carried FROM bank GROUP BY account")
@@ -112,7 +131,7 @@ _PAIR = """p AS (SELECT b.account, b.amount, b.record_number AS bank, l.record_n
   FROM bank b JOIN books l ON b.account = l.account AND b.amount = l.amount AND l.day >= b.day - 3 AND l.day <= b.day + 3 WHERE NOT (b.is_carried AND l.is_carried))"""
 _P, _PS = _PAIR.format("false"), _PAIR.format("true")
 _ISL = f"""{_P}, sp AS (SELECT account, amount, bank, min(books_day) AS low, max(books_day) AS high FROM p0 GROUP BY ALL), st AS (SELECT *, CASE WHEN low > max(high) OVER (PARTITION BY account, amount ORDER BY low, high, bank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS s FROM sp),
-  isl AS (SELECT *, sum(s) OVER (PARTITION BY account, amount ORDER BY low, high, bank ROWS UNBOUNDED PRECEDING) AS island FROM st), f AS (SELECT account, amount, island, min((bank_day, amount, bank)) AS first FROM isl JOIN p0 USING (account, amount, bank) GROUP BY ALL),
+  isl AS (SELECT *, sum(s) OVER (PARTITION BY account, amount ORDER BY low, high, bank ROWS UNBOUNDED PRECEDING) AS island FROM st), f AS (SELECT account, amount, island, min((bank_day, amount, coalesce(bank_ref, ''), bank)) AS first FROM isl JOIN p0 USING (account, amount, bank) GROUP BY ALL),
   g AS (SELECT account, amount, island, row_number() OVER (PARTITION BY account ORDER BY first) AS grp FROM f), gp AS (SELECT account, grp, bank, books, bank_day, books_day, gap, bank_text, books_text, bank_ref, books_ref FROM p0 JOIN isl USING (account, amount, bank) JOIN g USING (account, amount, island))""".replace("NOT (b.is_carried AND l.is_carried)", "true").replace("p AS (", "p0 AS (", 1)
 
 
@@ -157,7 +176,7 @@ def e05_pair_counts(spark, sf):
     return E.pair_counts(*_both(spark, sf)).select("account", F.col("pairs").cast("long").alias("pairs"))
 
 
-@query(f"WITH {_P} SELECT account, bank, books, incomplete FROM (SELECT account, bank, books, count(*) OVER (PARTITION BY account) > 100 AS incomplete, row_number() OVER (PARTITION BY account ORDER BY bank_day, amount, bank, books_day, books) AS nth FROM p) WHERE nth <= 100")
+@query(f"WITH {_P} SELECT account, bank, books, incomplete FROM (SELECT account, bank, books, count(*) OVER (PARTITION BY account) > 100 AS incomplete, row_number() OVER (PARTITION BY account ORDER BY bank_day, amount, coalesce(bank_ref, ''), bank, books_day, coalesce(books_ref, ''), books) AS nth FROM p) WHERE nth <= 100")
 def e05_budgeted(spark, sf):
     """E5: an optional budget in content order, and the flag that says so."""
     return E.budgeted(_pairs(spark, sf), 100).select("account", "bank", "books", "incomplete")
@@ -181,7 +200,7 @@ def e06_groups_with_references(spark, sf):
     return E.groups(_pairs(spark, sf, SHARED))
 
 
-@query(f"WITH {_ISL} SELECT account, bank, books, row_number() OVER (PARTITION BY account ORDER BY grp, 3, abs(gap), bank_day, bank, books_day, books) AS rank FROM gp")
+@query(f"WITH {_ISL} SELECT account, bank, books, row_number() OVER (PARTITION BY account ORDER BY grp, abs(gap), bank_day, coalesce(bank_ref, ''), bank, books_day, coalesce(books_ref, ''), books) AS rank FROM gp")
 def e08_ranked(spark, sf):
     pairs = E.candidates(*_free(spark, sf))
     return E.ranked(pairs, E.groups_by_island(pairs)).select("account", "bank", "books", F.col("rank").cast("long").alias("rank"))
@@ -196,7 +215,8 @@ def e09_no_candidate(spark, sf):
 
 
 @query(f"""WITH {_ISL}, z AS (SELECT account, grp, count(*) AS n FROM gp GROUP BY ALL), a AS (SELECT account, CAST(sum(n) AS BIGINT) AS pairs, count(*) AS groups, count(*) FILTER (WHERE n = 1) AS unique_groups FROM z GROUP BY account)
-  SELECT account, pairs, groups, unique_groups, (SELECT count(*) FROM bank WHERE bank.account = a.account AND record_number NOT IN (SELECT bank FROM gp)) AS bank_without, (SELECT count(*) FROM books WHERE books.account = a.account AND record_number NOT IN (SELECT books FROM gp)) AS books_without FROM a""")
+  SELECT account, pairs, groups, unique_groups, (SELECT count(*) FROM bank WHERE bank.account = a.account AND record_number NOT IN (SELECT bank FROM gp)) AS bank_without, (SELECT count(*) FROM books WHERE books.account = a.account AND record_number NOT IN (SELECT books FROM gp)) AS books_without,
+  (SELECT count(DISTINCT bank) FROM gp WHERE gp.account = a.account) AS bank_with, (SELECT count(DISTINCT books) FROM gp WHERE gp.account = a.account) AS books_with FROM a""")
 def e10_match_summary(spark, sf):
     bank, books = _free(spark, sf)
     pairs = E.candidates(bank, books)
@@ -210,13 +230,25 @@ def e11_interchangeable(spark, sf):
     return E.interchangeable(E.groups_by_island(E.candidates(bank, books)), bank, books).withColumn("group", F.col("group").cast("long"))
 
 
-@query(f"""WITH {_ISL}, b AS (SELECT account, grp, bank, row_number() OVER (PARTITION BY account, grp ORDER BY bank) AS nth FROM (SELECT DISTINCT account, grp, bank FROM gp)), l AS (SELECT account, grp, books, row_number() OVER (PARTITION BY account, grp ORDER BY books) AS nth FROM (SELECT DISTINCT account, grp, books FROM gp))
-  SELECT account, grp AS "group", bank, books FROM b JOIN l USING (account, grp, nth)""")
+# each bank unit of an account is its customer's: sets are frequent where amounts are few, so units are told apart by sign alone
+_SETS = """mb AS (SELECT account, record_number AS bank, day, sign(amount) AS amount, reference FROM bank), ml AS (SELECT account, record_number AS books, day, sign(amount) AS amount, reference FROM books),
+  sp0 AS (SELECT mb.account, mb.amount, bank, books, mb.day AS bank_day, ml.day AS books_day, mb.reference AS br, ml.reference AS lr FROM mb JOIN ml ON mb.account = ml.account AND mb.amount = ml.amount AND mb.day = ml.day AND mb.reference = ml.reference),
+  sg AS (SELECT account, amount, bank_day, br, min(bank) AS first, count(*) AS n FROM sp0 GROUP BY ALL), sconf AS (SELECT account, bank, min(books) AS books FROM sp0 WHERE bank % 5 = 0 GROUP BY account, bank), open_b AS (SELECT DISTINCT account, amount, bank_day, br, bank FROM sp0 WHERE bank % 5 <> 0), open_l AS (SELECT DISTINCT account, amount, bank_day, br, books FROM sp0 WHERE books NOT IN (SELECT books FROM sconf)),
+  srej AS (SELECT account, bank, min(books) AS books FROM sp0 WHERE bank % 61 = 1 GROUP BY account, bank),
+  sbad AS (SELECT DISTINCT open_b.account, open_b.amount, open_b.bank_day, open_b.br FROM srej JOIN open_b USING (account, bank) JOIN open_l ON open_l.books = srej.books AND open_l.account = srej.account AND open_l.amount = open_b.amount AND open_l.bank_day = open_b.bank_day AND open_l.br = open_b.br),
+  fb AS (SELECT *, row_number() OVER (PARTITION BY account, amount, bank_day, br ORDER BY bank) AS nth FROM open_b ANTI JOIN sbad USING (account, amount, bank_day, br)), fl AS (SELECT *, row_number() OVER (PARTITION BY account, amount, bank_day, br ORDER BY books) AS nth FROM open_l ANTI JOIN sbad USING (account, amount, bank_day, br))"""
+
+
+@query(f"""WITH {_SETS} SELECT fb.account, bank, books, fb.nth FROM fb JOIN fl USING (account, amount, bank_day, br, nth) JOIN sg USING (account, amount, bank_day, br) WHERE n > 1""")
 def e12_set_pairs(spark, sf):
-    """Open members of interchangeable sets; its SQL pairs the members of every group and knows no decisions."""
-    bank, books = _free(spark, sf)
-    _, con, rej = _decided(spark, sf)
-    return E.set_pairs(E.groups_by_island(E.candidates(bank, books)), bank, books, con, rej).select("account", F.col("group").cast("long").alias("group"), "bank", "books")
+    """Open members of interchangeable sets by position; sides whose units differ in account, sign, day and reference
+    alone, so that sets are large. Every fifth bank unit is confirmed, some pairs are rejected."""
+    alike = lambda df: df.withColumns({"amount": F.signum("amount").cast("long"), "is_carried": F.lit(False), "description": F.lit("x")}).filter("reference is not null")
+    bank, books = (alike(df) for df in _both(spark, sf))
+    rules = MatchingRules(days_before=0, days_after=0, share_references=True)
+    pairs = E.candidates(bank, books, rules)
+    least = lambda when: pairs.filter(when).groupBy("account", "bank").agg(F.min("books").alias("books"))
+    return E.set_pairs(E.groups(pairs), bank, books, least("bank % 5 = 0"), least("bank % 61 = 1")).select("account", "bank", "books", F.col("nth").cast("long").alias("nth"))
 
 
 _PROP = "pr AS (SELECT b.account, b.record_number AS bank, l.record_number AS books FROM (SELECT *, row_number() OVER (PARTITION BY account ORDER BY record_number) AS r FROM bank) b JOIN (SELECT *, row_number() OVER (PARTITION BY account ORDER BY record_number) AS r FROM books) l USING (account, r))"
@@ -238,7 +270,7 @@ def e15_open_counts(spark, sf):
     return E.open_counts(_pairs(spark, sf), "bank")
 
 
-@query(f"""WITH {_ISL}, r AS (SELECT account, bank, books, row_number() OVER (PARTITION BY account ORDER BY grp, 3, abs(gap), bank_day, bank, books_day, books) AS rank FROM gp) SELECT account, bank, books, total FROM (SELECT *, row_number() OVER (PARTITION BY account, bank ORDER BY rank) AS nth, count(*) OVER (PARTITION BY account, bank) AS total FROM r) WHERE nth <= 20""")
+@query(f"""WITH {_ISL}, r AS (SELECT account, bank, books, row_number() OVER (PARTITION BY account ORDER BY grp, abs(gap), bank_day, coalesce(bank_ref, ''), bank, books_day, coalesce(books_ref, ''), books) AS rank FROM gp) SELECT account, bank, books, total FROM (SELECT *, row_number() OVER (PARTITION BY account, bank ORDER BY rank) AS nth, count(*) OVER (PARTITION BY account, bank) AS total FROM r) WHERE nth <= 20""")
 def e16_alternatives(spark, sf):
     pairs = E.candidates(*_free(spark, sf))
     return E.alternatives(E.ranked(pairs, E.groups_by_island(pairs)), "bank").select("account", "bank", "books", "total")
@@ -347,12 +379,57 @@ def f16_snapshots(spark, sf):
     return D.snapshots(members, view(spark, sf, "bank").withColumn("side", F.lit("bank"))).select("account", "record_number", "day", "amount", "reference")
 
 
-@query()
+@query("""WITH ev AS (SELECT account, seq, action, bank + 700 AS bank, books + 500 AS books, record_number, seq % 3 AS k FROM log), ub AS (SELECT account, bank + 700 AS record_number, DATE '2024-01-01' + CAST(bank AS INTEGER) AS day, (bank % 2 * 2 - 1) * 100 AS amount FROM (SELECT DISTINCT account, bank FROM log WHERE bank IS NOT NULL AND bank <> 6)), ul AS (SELECT account, books + 500 AS record_number, DATE '2024-01-03' AS day, 100 AS amount FROM (SELECT DISTINCT account, books FROM log WHERE books IS NOT NULL)),
+  j AS (SELECT ev.*, b.day AS bd, l.day AS ld, b.amount AS ba, l.amount AS la FROM ev LEFT JOIN ub b ON b.record_number = ev.bank AND b.account = ev.account LEFT JOIN ul l ON l.record_number = ev.books AND l.account = ev.account),
+  w AS (SELECT account, seq, CASE WHEN action = 'confirm' THEN CASE WHEN bd IS NULL OR ld IS NULL THEN 'not in the data' WHEN sign(ba) <> sign(la) THEN 'opposite directions' WHEN k = 0 THEN CASE WHEN NOT (ld >= bd - 1 AND ld <= bd + 1) THEN 'no longer suggested' END
+    WHEN k = 1 THEN CASE WHEN NOT (ld >= bd - 1 AND ld <= bd + 1) THEN 'a broken rule is not named' END ELSE CASE WHEN NOT (ld >= bd - 1 AND ld <= bd + 1) AND seq % 2 = 0 THEN 'no reason' END END
+    WHEN action = 'classify' THEN CASE WHEN record_number = 6 THEN 'not in the data' END END AS why FROM j) SELECT account, seq, why IS NULL AS allowed, why FROM w""")
+def f03_judged(spark, sf):
+    """what data and rules say of each event: suggested ones must be candidates still, manual ones must name the rules
+    they break and give a reason, classifications must fit. Units are made from the members of the log."""
+    log = _log(spark, sf)
+    k = F.col("seq") % 3
+    events = log.withColumns({"origin": F.when(k == 0, "suggested").otherwise("manual"), "exceptions": F.when(k == 2, F.array(F.lit("date"))), "reason": F.when((k == 2) & (F.col("seq") % 2 == 1), "told by phone"), "bank": F.col("bank") + 700, "books": F.col("books") + 500})
+    member = lambda c: log.filter(F.col(c).isNotNull()).select("account", c).distinct()
+    plain = {"reference": F.lit(None).cast("string"), "is_carried": F.lit(False)}
+    bank = member("bank").filter("bank != 6").select("account", (F.col("bank") + 700).alias("record_number"), F.date_add(F.lit("2024-01-01").cast("date"), F.col("bank").cast("int")).alias("day"), ((F.col("bank") % 2 * 2 - 1) * 100).cast("long").alias("amount")).withColumns(plain)
+    books = member("books").select("account", (F.col("books") + 500).alias("record_number"), F.lit("2024-01-03").cast("date").alias("day"), F.lit(100).cast("long").alias("amount")).withColumns(plain)
+    rules = MatchingRules(days_before=1, days_after=1)
+    checked = E.check_pairs(events.filter("bank is not null").select("account", "bank", "books").distinct(), bank, books, rules)
+    own = member("record_number").filter("record_number != 6").select("account", F.lit("bank").alias("side"), "record_number", F.lit(100).alias("amount"))
+    return D.judge(events, checked, E.candidates(bank, books, rules), own).select("account", "seq", "allowed", "why")
+
+
+@query("""WITH RECURSIVE ev AS (SELECT account, seq, action, bank, books, record_number, coalesce((bank + books) % 4 <> 0, true) AS allowed FROM log),
+  walk AS (SELECT account, CAST(0 AS BIGINT) AS seq, CAST('start' AS STRING) AS outcome, MAP([], [])::MAP(STRING, STRING) AS used, CAST([] AS STRING[]) AS refused, CAST([] AS STRING[]) AS lapsed FROM (SELECT DISTINCT account FROM log)
+    UNION ALL SELECT w.account, e.seq, o.outcome,
+      CASE WHEN o.outcome <> 'applied' THEN w.used WHEN e.action = 'confirm' THEN map_concat(w.used, MAP(['b' || e.bank, 'l' || e.books], [e.bank || '~' || e.books, e.bank || '~' || e.books])) WHEN e.action = 'unmatch' THEN map_concat(w.used, MAP(['b' || e.bank, 'l' || e.books], ['', ''])) ELSE w.used END,
+      CASE WHEN o.outcome = 'applied' AND e.action = 'reject' THEN list_append(w.refused, e.bank || '~' || e.books) WHEN o.outcome = 'applied' AND e.action = 'restore' THEN list_filter(w.refused, lambda x: x <> e.bank || '~' || e.books) ELSE w.refused END,
+      CASE WHEN o.outcome = 'lapsed' AND e.action = 'confirm' THEN list_append(w.lapsed, e.bank || '~' || e.books) WHEN o.outcome = 'skipped' THEN list_filter(w.lapsed, lambda x: x <> e.bank || '~' || e.books) ELSE w.lapsed END
+    FROM walk w JOIN ev e ON e.account = w.account AND e.seq = w.seq + 1, LATERAL (SELECT CASE e.action
+      WHEN 'confirm' THEN CASE WHEN e.allowed AND NOT list_contains(w.refused, e.bank || '~' || e.books) AND coalesce(w.used['b' || e.bank], '') = '' AND coalesce(w.used['l' || e.books], '') = '' THEN 'applied' ELSE 'lapsed' END
+      WHEN 'unmatch' THEN CASE WHEN list_contains(w.lapsed, e.bank || '~' || e.books) THEN 'skipped' WHEN coalesce(w.used['b' || e.bank], '') = e.bank || '~' || e.books THEN 'applied' ELSE 'lapsed' END
+      WHEN 'reject' THEN CASE WHEN coalesce(w.used['b' || e.bank], '') = e.bank || '~' || e.books OR list_contains(w.refused, e.bank || '~' || e.books) THEN 'lapsed' ELSE 'applied' END
+      WHEN 'restore' THEN CASE WHEN list_contains(w.refused, e.bank || '~' || e.books) THEN 'applied' ELSE 'lapsed' END
+      ELSE CASE WHEN coalesce(w.used['b' || e.record_number], '') <> '' THEN 'lapsed' ELSE 'applied' END END AS outcome) o)
+  SELECT account, seq, outcome FROM walk WHERE seq > 0""")
 def f04_replay(spark, sf):
-    """The fold over each history; tested against a plain walk."""
+    """the fold over each history; its SQL walks each history event by event."""
     log = _log(spark, sf)
     verdicts = log.filter("bank is not null").select("account", "bank", "books").distinct().withColumn("allowed", F.pmod(F.col("bank") + F.col("books"), F.lit(4)) != 0)
-    return D.replay(log, verdicts)
+    return D.replay(log, verdicts).select("account", "seq", "outcome")
+
+
+@query("""WITH n AS (SELECT account, max(seq) AS last FROM log GROUP BY account) SELECT account, last + CASE WHEN last % 3 = 0 THEN 2 ELSE 1 END AS seq, last % 3 <> 0 AS accepted FROM n""")
+def f14_append(spark, sf):
+    """one new event for each history, a pair of its own; those that do not follow the last number are refused."""
+    log = _log(spark, sf)
+    last = log.groupBy("account").agg(F.max("seq").alias("last"))
+    seq = F.col("last") + F.when(F.col("last") % 3 == 0, 2).otherwise(1)
+    new = last.select("account", seq.alias("seq"), *[F.lit(v).cast(dict(log.dtypes)[c]).alias(c) for c, v in (("action", "reject"), ("bank", 900), ("books", 900), ("side", None), ("record_number", None), ("classification", None), ("exceptions", None), ("reason", None))])
+    verdicts = log.filter("bank is not null").select("account", "bank", "books").distinct().withColumn("allowed", F.lit(True))
+    accepted, _ = D.append(log, new.select(*log.columns), verdicts)
+    return new.select("account", "seq").join(accepted.select("account", "seq", F.lit(True).alias("a")), ["account", "seq"], "left").select("account", "seq", F.coalesce("a", F.lit(False)).alias("accepted"))
 
 
 # ---- G: balances
@@ -365,12 +442,23 @@ def g01_totals(spark, sf):
     return G.totals(view(spark, sf, "bank"), "bank")
 
 
-@query(f"WITH {_TOT.format('bank')} SELECT account, CASE account WHEN 'ACC0' THEN 'validated' WHEN 'ACC1' THEN 'mismatch' WHEN 'ACC2' THEN 'missing-balances' ELSE 'invalid-rows' END AS state, CASE WHEN account = 'ACC1' THEN 1000 + movement END AS expected, CASE WHEN account = 'ACC1' THEN 7 END AS difference FROM t")
+_FACTS = """t AS (SELECT 'B' || CAST(record_number % 97 AS STRING) AS account, CAST(coalesce(sum(amount) FILTER (WHERE NOT is_carried), 0) AS BIGINT) AS movement, count(*) AS n FROM bank GROUP BY ALL),
+  f AS (SELECT account, movement, n, 100000 AS opening, CASE n % 4 WHEN 0 THEN NULL WHEN 1 THEN 100000 + movement + 7 ELSE 100000 + movement END AS closing, CASE WHEN n % 4 = 2 THEN n % 3 ELSE 0 END AS invalid FROM t)"""
+
+
+@query(f"""WITH {_FACTS} SELECT account, state, CASE WHEN state = 'mismatch' THEN opening + movement END AS expected, CASE WHEN state = 'mismatch' THEN closing - opening - movement END AS difference
+  FROM (SELECT *, CASE WHEN closing IS NULL THEN 'missing-balances' WHEN invalid > 0 THEN 'invalid-rows' WHEN opening + movement = closing THEN 'validated' ELSE 'mismatch' END AS state FROM f)""")
 def g03_check_source(spark, sf):
-    """Stated balances against movement."""
-    a = F.col("account")
-    facts = G.totals(view(spark, sf, "bank"), "bank").select("account", F.lit(1000).cast("long").alias("opening"), F.col("bank_movement").alias("movement"))
-    facts = facts.withColumns({"closing": F.when(a == "ACC2", F.lit(None)).otherwise(F.lit(1000) + F.col("movement") + F.when(a == "ACC1", 7).otherwise(0)), "invalid": F.when(a == "ACC3", 1).otherwise(0)})
+    """Stated balances, read from text and of either basis, against movement."""
+    bank = view(spark, sf, "bank").withColumn("account", F.concat(F.lit("B"), (F.col("record_number") % 97).cast("string")))
+    sums = G.totals(bank, "bank").join(bank.groupBy("account").agg(F.count("*").alias("n")), "account")
+    money = lambda c: F.format_number(c.cast("decimal(28,2)") / 100, 2)
+    closing = F.lit(100000) + F.col("bank_movement") + F.when(F.col("n") % 4 == 1, 7).otherwise(0)
+    owed = F.col("n") % 2 == 1  # a liability is stated with the other sign
+    kinds = F.array(F.struct(F.lit("opening").alias("kind"), F.lit(100000).cast("long").alias("v")), F.struct(F.lit("closing").alias("kind"), closing.alias("v")))
+    stated = sums.select("account", "n", F.inline(kinds)).select("account", F.lit("bank").alias("side"), "kind", F.when(owed, "liability").otherwise("asset").alias("basis"), F.when((F.col("kind") == "closing") & (F.col("n") % 4 == 0), "unknown").otherwise(money(F.when(owed, -F.col("v")).otherwise(F.col("v")))).alias("text"))
+    cents = lambda c: (F.col(c) * 100).cast("long").alias(c)
+    facts = G.stated_balances(stated).select("account", cents("opening"), cents("closing")).join(sums, "account").select("account", "opening", "closing", F.col("bank_movement").alias("movement"), F.when(F.col("n") % 4 == 2, F.col("n") % 3).otherwise(0).alias("invalid"))
     return G.check_source(facts).select("account", "state", F.col("expected").cast("long").alias("expected"), F.col("difference").cast("long").alias("difference"))
 
 
@@ -380,7 +468,7 @@ def g04_running_balance(spark, sf):
     rows = view(spark, sf, "bank")
     w = Window.partitionBy("account").orderBy("record_number")
     rows = rows.withColumn("balance", 500 + F.sum("amount").over(w) + F.when(F.col("record_number") % 97 == 0, 1).otherwise(0))
-    return G.running_balance(rows, rows.select("account").distinct().withColumn("opening", F.lit(500)))
+    return G.running_balance(rows, rows.select("account").distinct().withColumn("opening", F.lit(500))).select("account", "state", "record_number")
 
 
 @query(f"WITH {_DEC} SELECT account, CAST(coalesce(sum(amount) FILTER (WHERE NOT is_carried), 0) AS BIGINT) AS bank_unmatched, CAST(coalesce(sum(amount) FILTER (WHERE is_carried), 0) AS BIGINT) AS bank_carried, count(*) AS bank_open_units FROM bank WHERE record_number NOT IN (SELECT bank FROM con) GROUP BY account")
@@ -438,6 +526,14 @@ def h01_item_problems(spark, sf):
     return H.item_problems(_items(spark, sf))
 
 
+@query("""WITH it AS (SELECT 'G' || CAST(record_number % 211 AS STRING) AS file, record_number, record_number % 1009 = 3 AS bad FROM bank) SELECT file, record_number FROM it WHERE file NOT IN (SELECT file FROM it WHERE bad)""")
+def h01_accepted_items(spark, sf):
+    """H1: one item with a problem refuses its whole file."""
+    r = F.col("record_number")
+    items = view(spark, sf, "bank").select(F.concat(F.lit("G"), (r % 211).cast("string")).alias("file"), r, F.lit("bank").alias("side"), "day", F.when(r % 1009 == 3, "0.00").otherwise("1.5").alias("amount"), r.cast("string").alias("lineage"))
+    return H.accepted(items, H.item_problems(items)).select("file", "record_number")
+
+
 @query(f"""WITH {_ITEM} SELECT file, lineage, 'error' AS severity, 'another account' AS message FROM it WHERE account = 'ACC3' UNION ALL SELECT file, lineage, 'error', 'another currency' FROM it WHERE account <> 'ACC3' AND currency <> 'INR'
   UNION ALL SELECT file, lineage, 'error', 'its period is not before this one' FROM it WHERE account = 'ACC1' UNION ALL SELECT file, lineage, 'warning', 'a gap between the periods' FROM it WHERE account = 'ACC2'
   UNION ALL SELECT file, lineage, 'error', 'dated inside the period' FROM it WHERE account <> 'ACC3' AND day >= CASE account WHEN 'ACC0' THEN DATE '2024-02-01' WHEN 'ACC1' THEN DATE '2024-01-15' ELSE DATE '2024-02-20' END
@@ -485,14 +581,129 @@ def h08_order_conflicts(spark, sf):
     return H.order_conflicts(_items(spark, sf))
 
 
-@query(f"WITH {_DEC} SELECT account, 'Matches' AS section, count(*) AS \"rows\" FROM con GROUP BY account UNION ALL SELECT account, 'Outstanding', count(*) FROM bank WHERE record_number NOT IN (SELECT bank FROM con) GROUP BY account")
+_FIRST = "(SELECT account, bank, books FROM (SELECT *, row_number() OVER (PARTITION BY account, bank ORDER BY books) AS nb, row_number() OVER (PARTITION BY account, books ORDER BY bank) AS nl FROM {0}) WHERE nb = 1 AND nl = 1)"
+_CHAIN = f"""u1 AS (SELECT 'bank' AS side, account, record_number, day, amount, false AS carried FROM bank WHERE day < DATE '2024-01-11' UNION ALL SELECT 'books', account, record_number, day, amount, false FROM books WHERE day < DATE '2024-01-11'),
+  q1 AS (SELECT b.account, b.record_number AS bank, l.record_number AS books FROM u1 b JOIN u1 l ON b.side = 'bank' AND l.side = 'books' AND b.account = l.account AND b.amount = l.amount AND l.day >= b.day - 3 AND l.day <= b.day + 3), c1 AS {_FIRST.format("q1")},
+  m1 AS (SELECT *, CASE side WHEN 'bank' THEN record_number IN (SELECT bank FROM c1) ELSE record_number IN (SELECT books FROM c1) END AS used FROM u1),
+  u2 AS (SELECT 'bank' AS side, account, record_number, day, amount, false AS carried FROM bank WHERE day >= DATE '2024-01-11' UNION ALL SELECT 'books', account, record_number, day, amount, false FROM books WHERE day >= DATE '2024-01-11' UNION ALL SELECT side, account, -record_number, day, amount, true FROM m1 WHERE NOT used),
+  q2 AS (SELECT b.account, b.record_number AS bank, l.record_number AS books FROM u2 b JOIN u2 l ON b.side = 'bank' AND l.side = 'books' AND b.account = l.account AND b.amount = l.amount AND l.day >= b.day - 3 AND l.day <= b.day + 3 AND NOT (b.carried AND l.carried)), c2 AS {_FIRST.format("q2")},
+  m2 AS (SELECT *, CASE side WHEN 'bank' THEN record_number IN (SELECT bank FROM c2) ELSE record_number IN (SELECT books FROM c2) END AS used FROM u2), m AS (SELECT 'first' AS period, * FROM m1 UNION ALL SELECT 'second', * FROM m2)"""
+PERIODS = [("first", "2024-01-01", "2024-01-10"), ("second", "2024-01-11", "2024-12-31")]
+
+
+def _chained(spark, sf):
+    """Two periods in a row; of each pair of units that are each other's first candidate, the match is confirmed."""
+
+    def decide(pairs):
+        first = lambda a, b: F.row_number().over(Window.partitionBy("account", a).orderBy(b)) == 1
+        return pairs.withColumns({"x": first("bank", "books"), "y": first("books", "bank")}).filter("x and y")
+
+    bank, books = _both(spark, sf)
+    sides = bank.withColumn("side", F.lit("bank")).unionByName(books.withColumn("side", F.lit("books"))).drop("is_carried").withColumn("fingerprint", F.lit("fp"))
+    return H.chain(sides, PERIODS, decide)
+
+
+@query(f"""WITH {_CHAIN} SELECT period, account, side, CAST(coalesce(sum(amount) FILTER (WHERE carried), 0) AS BIGINT) AS opening, CAST(coalesce(sum(amount) FILTER (WHERE NOT carried), 0) AS BIGINT) AS movement, CAST(coalesce(sum(amount) FILTER (WHERE used), 0) AS BIGINT) AS matched, CAST(coalesce(sum(amount) FILTER (WHERE NOT used), 0) AS BIGINT) AS outstanding FROM m GROUP BY ALL""")
+def h09_period_sums(spark, sf):
+    """H9: what one period leaves outstanding is the next one's opening; money is conserved in each."""
+    return _chained(spark, sf)["sums"].select("period", "account", "side", "opening", "movement", "matched", "outstanding")
+
+
+@query(f"""WITH {_CHAIN} SELECT period, account, side || '|fp|' || CAST(abs(record_number) AS STRING) AS lineage, amount, carried AS inherited FROM m WHERE NOT used""")
+def h09_outstanding(spark, sf):
+    return _chained(spark, sf)["items"].select("period", "account", "lineage", "amount", "inherited")
+
+
+@query(f"""WITH {_CHAIN} SELECT period, side || '|fp|' || CAST(abs(record_number) AS STRING) AS lineage FROM m WHERE used AND carried""")
+def h09_cleared(spark, sf):
+    return _chained(spark, sf)["cleared"]
+
+
+_LINES = f"""{_DEC}, {_BATCH}, {_SPLIT}, ln AS (SELECT account, 'Matches' AS section, CAST(con.bank AS STRING) || '|' || CAST(con.books AS STRING) AS line FROM con UNION ALL SELECT account, 'Outstanding', CAST(record_number AS STRING) || '|' || CAST(amount AS STRING) || '|' || coalesce(reference, '') FROM bank WHERE record_number NOT IN (SELECT bank FROM con)
+  UNION ALL SELECT b.account, 'Group members', CAST(b.record_number AS STRING) || '|' || CAST(l.record_number AS STRING) FROM b JOIN books_lines l ON l.batch = b.batch AND l.account = b.account WHERE NOT broken AND NOT mixed AND members > 0
+  UNION ALL SELECT account, 'Problems', CAST(record_number AS STRING) || '|date|no such date' FROM s WHERE d IS NULL UNION ALL SELECT account, 'Problems', CAST(record_number AS STRING) || '|amount|' || bad FROM s WHERE bad IS NOT NULL
+  UNION ALL SELECT account, 'Decisions', 'confirm|' || CAST(bank AS STRING) || '|' || CAST(books AS STRING) FROM con UNION ALL SELECT account, 'Decisions', 'reject|' || CAST(bank AS STRING) || '|' || CAST(books AS STRING) FROM rej
+  UNION ALL SELECT account, 'Summary', CAST(sum(amount) FILTER (WHERE NOT is_carried) AS STRING) || '|' || CAST(sum(amount) FILTER (WHERE is_carried) AS STRING) FROM bank GROUP BY account)"""
+
+
+@query(f"WITH {_LINES} SELECT account, section, line FROM ln")
 def a15_reconcile_sections(spark, sf):
-    """Sections of a reconciliation report, by their row counts."""
+    """The six sections of a reconciliation report, line by line."""
     from ..sources import sinks
 
-    bank, books = _both(spark, sf)
-    _, con, _ = _decided(spark, sf)
+    bank = view(spark, sf, "bank")
+    _, con, rej = _decided(spark, sf)
     rest = bank.join(con.select("account", F.col("bank").alias("record_number")), ["account", "record_number"], "left_anti")
-    found = sinks.reconcile_sections(rest.limit(0), D.confirmed_view(con, bank, books), rest, rest, rest.limit(0), con)
-    one = lambda n: found[n].groupBy("account").agg(F.count("*").alias("rows")).select("account", F.lit(n).alias("section"), "rows")
-    return one("Matches").unionByName(one("Outstanding"))
+    lines = view(spark, sf, "books_lines")
+    members = N.batch_members(lines, N.batch_units(lines)[0])
+    said = lambda df, what: df.select("account", F.lit(what).alias("action"), "bank", "books")
+    sections = sinks.reconcile_sections(
+        G.totals(bank, "bank"),
+        con.select("account", "bank", "books"),
+        rest.select("account", "record_number", "amount", "reference"),
+        members.select("account", "unit", "record_number"),
+        N.problem_rows(_mapped(spark, sf)).select("account", "record_number", "field", "message"),
+        said(con, "confirm").unionByName(said(rej, "reject")),
+    )
+    return sinks.section_lines(sections)
+
+
+@query(f"""WITH {_DEC} SELECT account, (SELECT count(*) FROM con WHERE con.account = a.account) AS matches, (SELECT count(*) FROM rej WHERE rej.account = a.account) AS rejected, (SELECT string_agg(CAST(bank AS STRING) || '~' || CAST(books AS STRING), ',' ORDER BY bank, books) FROM con WHERE con.account = a.account) AS listed FROM (SELECT DISTINCT account FROM bank) a""")
+def a14_reconcile_report(spark, sf):
+    """The nested report of each account, by its lists."""
+    from ..sources import sinks
+
+    bridged, states, con = _bridged(spark, sf)
+    _, _, rej = _decided(spark, sf)
+    report = sinks.reconcile_report(bridged, states, matches=con.select("account", "bank", "books"), rejected=rej.select("account", "bank", "books"))
+    listed = F.array_join(F.transform("matches", lambda m: F.concat(m["bank"].cast("string"), F.lit("~"), m["books"].cast("string"))), ",")
+    return report.select("account", F.size("matches").cast("long").alias("matches"), F.size("rejected").cast("long").alias("rejected"), listed.alias("listed"))
+
+
+_DOCS = "ex AS (SELECT account, 'bank|fp|' || CAST(record_number AS STRING) AS lineage, CAST(CAST(amount AS DECIMAL(20,0)) / 100 AS DECIMAL(18,2)) AS value, reference, day FROM bank WHERE record_number % 3 = 0)"
+
+
+@query(f"WITH {_DOCS} SELECT account, lineage, day, CAST(value AS STRING) AS amount, reference FROM ex WHERE account <> 'ACC3'")
+def a16_outstanding_round_trip(spark, sf):
+    """Outstanding items of each account written as documents and read back; one account's document, whose first
+    item has a wrong direction, is refused whole."""
+    from ..scratch import new_path
+    from ..sources import documents
+
+    day = lambda text: F.lit(text).cast("date")
+    bank = view(spark, sf, "bank").filter("record_number % 3 = 0")
+    amount = (F.col("amount").cast("decimal(20,0)") / 100).cast("decimal(18,2)").cast("string")
+    items = bank.select("account", F.lit("bank").alias("side"), "day", F.concat(F.lit("bank|fp|"), F.col("record_number").cast("string")).alias("lineage"), amount.alias("amount"), "reference", "description", F.lit("s").alias("origin_session"), day("2024-01-01").alias("origin_start"), day("2024-01-31").alias("origin_end"), F.lit("f.csv").alias("origin_file"), F.lit("fp").alias("fingerprint"), "record_number")
+    heads = bank.select("account").distinct().withColumns({"session_id": F.lit("s"), "currency": F.lit("INR"), "minor_units": F.lit(2), "period_start": day("2024-01-01"), "period_end": day("2024-01-31")})
+    docs = documents.outstanding_documents(heads, items, items.select("account", "lineage").limit(0), "2024-02-01T00:00:00Z")
+    broken = F.transform("items", lambda x: x.withField("direction", F.when(F.col("account") == "ACC3", F.translate(x["direction"], "inout", "outin")).otherwise(x["direction"])))
+    path = new_path(spark, "outstanding")
+    documents.write_documents(docs.withColumn("items", broken), path)
+    found = documents.read_outstanding(spark, [path], lines=True)
+    return found["items"].join(found["files"].select("file", "account"), "file").select("account", "lineage", "day", "amount", "reference")
+
+
+@query("""SELECT account, seq, action, bank AS bank_record, books AS books_record FROM log WHERE account IN (SELECT account FROM log GROUP BY account HAVING bool_and(NOT broken))""")
+def a18_session_round_trip(spark, sf):
+    """A session document for each history, written and read back; one with an event that breaks a rule without a
+    reason is refused whole."""
+    from ..scratch import new_path
+    from ..sources import documents
+
+    log = _log(spark, sf)
+    fp = F.sha2("account", 256)
+    key = lambda side, c: F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{side}|"), fp, F.lit("|"), (F.col(c) + 1).cast("string")))
+    events = log.select(F.col("account").alias("file"), "seq", F.lit("2024-02-01T00:00:00Z").alias("at"), "action", key("bank", "bank").alias("bank"), key("books", "books").alias("books"), key("bank", "record_number").alias("key"), "classification", F.when(F.col("action") == "confirm", "manual").alias("origin"), F.when(F.size("exceptions") > 0, F.col("exceptions")).alias("exceptions"), F.lit(None).cast("string").alias("reason"), F.lit(None).cast("string").alias("basis"))
+    # the reader asks for a reason of confirmations alone, so every broken event is written as one
+    made = lambda c, broken, own: F.when(F.col("exceptions").isNotNull(), broken).otherwise(own).alias(c)
+    one = F.concat(F.lit("bank|"), F.sha2("file", 256), F.lit("|1"))
+    events = events.select("file", "seq", "at", made("action", F.lit("confirm"), F.col("action")), made("bank", one, F.col("bank")), made("books", F.replace(one, F.lit("bank"), F.lit("books")), F.col("books")), "key", "classification", made("origin", F.lit("manual"), F.col("origin")), "exceptions", "reason", "basis")
+    text = lambda json: F.lit(json)
+    source = F.concat(F.lit('{"bank":{"fingerprint":"'), F.sha2("file", 256), F.lit('"},"books":{"fingerprint":"'), F.sha2("file", 256), F.lit('"}}'))
+    sessions = events.select("file").distinct().select("file", F.col("file").alias("id"), F.lit("2024-02-01T00:00:00Z").alias("saved_at"), F.lit(1).alias("revision"), F.col("file").alias("account"), F.lit("INR").alias("currency"), F.lit(2).alias("minor_units"), text('{"bankDaysBefore":3,"bankDaysAfter":3,"referencesShared":false,"referenceCaseInsensitive":false}').alias("rules"), source.alias("sources"), text("{}").alias("mappings"), text("{}").alias("accounting"), text("[]").alias("opening"))
+    no_snapshots = events.select("file", F.lit("").alias("key"), F.lit(None).cast("date").alias("day"), *[F.lit("").alias(c) for c in ("amount", "direction", "reference", "description")]).limit(0)
+    path = new_path(spark, "sessions")
+    documents.write_sessions(documents.session_documents(sessions, events, no_snapshots), path)
+    found = documents.read_sessions(spark, [path], lines=True)
+    record = lambda c: (F.substring_index(c, "|", -1).cast("long") - 1)
+    return found["events"].join(found["sessions"].select("file", "account"), "file").select("account", "seq", "action", record("bank").alias("bank_record"), record("books").alias("books_record"))
