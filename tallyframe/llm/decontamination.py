@@ -226,7 +226,7 @@ def find_passages(docs: DataFrame, items: DataFrame, text: str = "text", item: s
             got = got.withColumn(t, F.coalesce("less", t))
         spans, hit = F.col("new_spans"), F.col("new_items")
         if k:
-            spans, hit = _merged(F.concat("spans", spans)), F.array_union("hit_items", hit)
+            spans, hit = _merged(F.concat("spans", spans)), F.array_sort(F.array_union("hit_items", hit))
         out = got.select(*own, "n_words", spans.alias("spans"), hit.alias("hit_items"))
     if cut and not at_once:
         out = _cut(out, t)

@@ -128,3 +128,101 @@ def near_duplicates(rows, threshold=0.93):
                         links.append((own[a][0], own[b][0]))
     comp = groups([r[0] for r in rows], links)
     return {r[0]: (n[r[0]], comp[r[0]], comp[r[0]] == r[0]) for r in rows}
+
+
+def entropy_spans(text, window, classes, allowed):
+    """All spans, base and added, joined as the query joins them."""
+    import math
+
+    text = text or ""
+    base = [(int(s), k, int(e)) for k, s, e in (x.split(":") for x in filter(None, base_spans(text)[4].split(",")))]
+    found = list(base)
+    for m in re.finditer(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}", text):
+        word = m[0]
+        if not re.search("[0-9]", word) or not re.search("[A-Za-z]", word) or any(re.search(a, word) for a in allowed):
+            continue
+        name = next(n for n, pattern, _ in classes if re.search(pattern, word))
+        bits = next(b for n, _, b in classes if n == name)
+        folded = word.lower() if name == "hex" else word
+        hot = []
+        for i in range(len(word) - window + 1):
+            part = folded[i : i + window]
+            if -sum(part.count(c) / window * math.log2(part.count(c) / window) for c in set(part)) >= bits - 1e-9:
+                hot.append(i)
+        if hot:
+            s, e = m.start() + hot[0], m.start() + hot[-1] + window
+            if not any(s < y and x < e for x, _, y in base):
+                found.append((s, "entropy", e))
+    order = ["assign", "access", "hex", "entropy"]
+    return ",".join(f"{k}:{s}:{e}" for s, k, e in sorted(found, key=lambda x: (x[0], order.index(x[1]), x[2])))
+
+
+def section_tokens(text, pieces, rule):
+    """pieces: bytes of each token in order -> (tokens, crossing, tokens of each line)"""
+    line_of, n = [], 0
+    for b in (text or "").encode():
+        line_of.append(n)
+        n += b == 10
+    counts, crossing, at = [0] * (line_of[-1] + 1 if line_of else 0), 0, 0
+    for p in pieces:
+        own = line_of[at : at + len(p)]
+        at += len(p)
+        crossing += own[0] != own[-1]
+        counts[own[0] if rule == "first" else max(sorted(set(own)), key=own.count)] += 1
+    return len(pieces), crossing, counts
+
+
+def mixture(rows, slots_of, number, deal, block):
+    """rows: (key, source, words, place) -> {key: words taken}; slots_of, deal and number as the operator has them."""
+    names = sorted({r[1] for r in rows if r[1] is not None}) + [None] * any(r[1] is None for r in rows)
+    packed = {s: [r for r in sorted((r for r in rows if r[1] == s), key=lambda r: (r[3] % 1024, r[3])) for _ in range(r[2])] for s in names}
+    sizes = [len(packed[s]) for s in names]
+    slots = slots_of(sizes)
+    taken = defaultdict(int)
+    for row in deal(slots):
+        for s, n in enumerate(row):
+            done = taken["slots", s]
+            for k in range(done, done + n):
+                blocks = -(-sizes[s] // block)
+                at = number(k, blocks, s) * block
+                for r in packed[names[s]][at : at + block]:
+                    taken[r[0]] += 1
+            taken["slots", s] = done + n
+    return {r[0]: taken[r[0]] for r in rows}, sizes
+
+
+def article(page):
+    """The text of the one article of a page as given: blocks parted by a space, white space made one."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        BLOCKS = frozenset("p div h1 h2 h3 h4 h5 h6 ul ol li br section blockquote pre table tr td th article figure figcaption hr".split())
+
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.depth, self.skip, self.out = 0, [], []
+
+        def handle_starttag(self, tag, attrs):
+            self.depth += tag == "article"
+            text = " ".join(v or "" for k, v in attrs if k in ("class", "id"))
+            if self.skip or tag in ("script", "style", "aside", "form", "nav", "footer", "header") or re.search(r"\b(comments?|ads?|advert|notice|share|related|sidebar|newsletter|cookie)\b", text):
+                if tag not in ("br", "hr", "img", "input", "p", "li"):
+                    self.skip.append(tag)
+            if tag in self.BLOCKS:
+                self.out.append("\n")
+
+        def handle_endtag(self, tag):
+            if self.skip and tag in self.skip:
+                while self.skip.pop() != tag:
+                    pass
+            if tag in self.BLOCKS:
+                self.out.append("\n")
+            self.depth -= tag == "article"
+
+        def handle_data(self, data):
+            if self.depth and not self.skip:
+                self.out.append(data.replace("\n", " "))
+
+    r = Reader()
+    r.feed(page or "")
+    return " ".join(" ".join(line.split()) for line in "".join(r.out).split("\n") if line.split())
