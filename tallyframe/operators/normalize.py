@@ -73,7 +73,10 @@ def normalize_side(rows: DataFrame, side: str, m: SideMapping, minor: int = 2, s
     told = lambda field, c: F.when(F.col(c).isNotNull(), F.struct(F.lit(field).alias("field"), F.col(c).alias("message")))
     problems = F.array_compact(F.array(told("date", "_date_bad"), told("amount", "_flow_bad")))
     status = F.when(F.col("_date_bad").isNotNull() | F.col("_flow_bad").isNotNull(), "problem").when(F.col("_flow") == 0, "zero").otherwise("valid")
-    return rows.select(*scope, F.lit(side).alias("side"), F.col("record_number").cast("long").alias("record_number"), F.col("_day").alias("day"), F.col("_flow").alias("amount"), word(m.reference).alias("reference"), word(m.description).alias("description"), word(m.batch).alias("batch"), problems.alias("problems"), status.alias("status"))
+    read = F.struct(F.col("_day").alias("day"), F.col("_flow").alias("amount"), word(m.reference).alias("reference"), word(m.description).alias("description"), word(m.batch).alias("batch"), problems.alias("problems"), status.alias("status"))
+    # a generator of one row: filters on what was read stay behind it, where they take it as a column; moved before the
+    # steps, they would hold every step again for each use of it
+    return rows.select(*scope, F.lit(side).alias("side"), F.col("record_number").cast("long").alias("record_number"), F.inline_outer(F.array(read)))
 
 
 def problem_rows(side: DataFrame) -> DataFrame:

@@ -194,10 +194,12 @@ def e06_groups_general(spark, sf):
     return E.groups(E.candidates(*_free(spark, sf))).withColumn("group", F.col("group").cast("long"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_PS}, k AS (SELECT * FROM p WHERE agree IS DISTINCT FROM false), near AS (SELECT DISTINCT x.account, x.bank AS a, y.bank AS b FROM k x JOIN k y ON x.account = y.account AND x.books = y.books), reach AS (SELECT account, a, b FROM near UNION SELECT r.account, r.a, n.b FROM reach r JOIN near n ON n.account = r.account AND n.a = r.b),
+  root AS (SELECT account, a AS bank, min(b) AS root FROM reach GROUP BY ALL), f AS (SELECT account, root, min((bank_day, amount, coalesce(bank_ref, ''), bank)) AS first FROM k JOIN root USING (account, bank) GROUP BY ALL), g AS (SELECT account, root, row_number() OVER (PARTITION BY account ORDER BY first) AS grp FROM f)
+  SELECT account, grp AS "group", bank, books FROM k JOIN root USING (account, bank) JOIN g USING (account, root)""")
 def e06_groups_with_references(spark, sf):
-    """Components where references drop pairs; an iterative algorithm, tested against union-find."""
-    return E.groups(_pairs(spark, sf, SHARED))
+    """Components where references drop pairs, by alternating stars."""
+    return E.groups(_pairs(spark, sf, SHARED)).withColumn("group", F.col("group").cast("long"))
 
 
 @query(f"WITH {_ISL} SELECT account, bank, books, row_number() OVER (PARTITION BY account ORDER BY grp, abs(gap), bank_day, coalesce(bank_ref, ''), bank, books_day, coalesce(books_ref, ''), books) AS rank FROM gp")
@@ -683,21 +685,23 @@ def a16_outstanding_round_trip(spark, sf):
     return found["items"].join(found["files"].select("file", "account"), "file").select("account", "lineage", "day", "amount", "reference")
 
 
-@query("""SELECT account, seq, action, bank AS bank_record, books AS books_record FROM log WHERE account IN (SELECT account FROM log GROUP BY account HAVING bool_and(NOT broken))""")
+@query("""SELECT account, seq, CASE WHEN seq = 1 THEN 'confirm' ELSE action END AS action, CASE WHEN seq = 1 THEN 0 ELSE bank END AS bank_record, CASE WHEN seq = 1 THEN 0 ELSE books END AS books_record FROM log WHERE CAST(substr(account, 2) AS BIGINT) % 3 <> 0""")
 def a18_session_round_trip(spark, sf):
-    """A session document for each history, written and read back; one with an event that breaks a rule without a
-    reason is refused whole."""
+    """A session document for each history, written and read back; those whose
+    first event breaks a rule without a reason are refused whole."""
     from ..scratch import new_path
     from ..sources import documents
 
     log = _log(spark, sf)
     fp = F.sha2("account", 256)
     key = lambda side, c: F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{side}|"), fp, F.lit("|"), (F.col(c) + 1).cast("string")))
-    events = log.select(F.col("account").alias("file"), "seq", F.lit("2024-02-01T00:00:00Z").alias("at"), "action", key("bank", "bank").alias("bank"), key("books", "books").alias("books"), key("bank", "record_number").alias("key"), "classification", F.when(F.col("action") == "confirm", "manual").alias("origin"), F.when(F.size("exceptions") > 0, F.col("exceptions")).alias("exceptions"), F.lit(None).cast("string").alias("reason"), F.lit(None).cast("string").alias("basis"))
-    # the reader asks for a reason of confirmations alone, so every broken event is written as one
-    made = lambda c, broken, own: F.when(F.col("exceptions").isNotNull(), broken).otherwise(own).alias(c)
-    one = F.concat(F.lit("bank|"), F.sha2("file", 256), F.lit("|1"))
-    events = events.select("file", "seq", "at", made("action", F.lit("confirm"), F.col("action")), made("bank", one, F.col("bank")), made("books", F.replace(one, F.lit("bank"), F.lit("books")), F.col("books")), "key", "classification", made("origin", F.lit("manual"), F.col("origin")), "exceptions", "reason", "basis")
+    first, broken = F.col("seq") == 1, F.substr("account", F.lit(2)).cast("long") % 3 == 0
+    made = lambda c, own: F.when(first, c).otherwise(own)  # noqa: E731  the first event is a confirmation that breaks a rule
+    one = lambda side: F.concat(F.lit(f"{side}|"), fp, F.lit("|1"))
+    events = log.select(
+        F.col("account").alias("file"), "seq", F.lit("2024-02-01T00:00:00Z").alias("at"), made(F.lit("confirm"), F.col("action")).alias("action"), made(one("bank"), key("bank", "bank")).alias("bank"), made(one("books"), key("books", "books")).alias("books"),
+        F.when(~first, key("bank", "record_number")).alias("key"), F.when(~first, F.col("classification")).alias("classification"), F.when(first | (F.col("action") == "confirm"), "manual").alias("origin"), F.when(first, F.array(F.lit("date"))).alias("exceptions"), F.when(first & ~broken, "told").alias("reason"), F.lit(None).cast("string").alias("basis"),
+    )
     text = lambda json: F.lit(json)
     source = F.concat(F.lit('{"bank":{"fingerprint":"'), F.sha2("file", 256), F.lit('"},"books":{"fingerprint":"'), F.sha2("file", 256), F.lit('"}}'))
     sessions = events.select("file").distinct().select("file", F.col("file").alias("id"), F.lit("2024-02-01T00:00:00Z").alias("saved_at"), F.lit(1).alias("revision"), F.col("file").alias("account"), F.lit("INR").alias("currency"), F.lit(2).alias("minor_units"), text('{"bankDaysBefore":3,"bankDaysAfter":3,"referencesShared":false,"referenceCaseInsensitive":false}').alias("rules"), source.alias("sources"), text("{}").alias("mappings"), text("{}").alias("accounting"), text("[]").alias("opening"))
