@@ -13,6 +13,7 @@ from ..functions import decimals
 from ..functions.text import lineage
 from ..scratch import materialize
 from . import match
+from .numbering import numbered
 
 ITEM = "file string, account string, currency string, period_end date, side string, record_number long, day date, amount string, reference string, lineage string"
 
@@ -87,8 +88,8 @@ def overlaps(items: DataFrame, units: DataFrame) -> DataFrame:
 
 def opening_units(items: DataFrame) -> DataFrame:
     """Carried items as units, numbered within file and side."""
-    nth = F.row_number().over(Window.partitionBy("file", "side").orderBy("day", "lineage"))
-    return items.select("account", "side", nth.cast("long").alias("item"), "file", "day", "amount", "reference", "lineage", F.lit(True).alias("is_carried"))
+    placed = numbered(items, ["file", "side"], [F.col("day"), F.col("lineage")], "item")
+    return placed.select("account", "side", F.col("item").cast("long").alias("item"), "file", "day", "amount", "reference", "lineage", F.lit(True).alias("is_carried"))
 
 
 def outstanding(open_units: DataFrame, carried: DataFrame, confirmed_lineages: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..scratch import materialize
 from .components import components
+from .numbering import numbered
 
 PAIR = ("confirm", "unmatch", "reject", "restore")
 #: What an open unit may be classified as, by side and direction (null: any).
@@ -77,7 +78,6 @@ def decision_summary(pairs_left: DataFrame, confirmed: DataFrame, refused: DataF
 
 def history_problems(events: DataFrame) -> DataFrame:
     """(account, seq, message): sequence gaps, unknown actions, missing ends, exceptions without a reason."""
-    want = F.row_number().over(Window.partitionBy("account").orderBy("seq"))
     pair = F.col("action").isin(*PAIR)
     known = [*PAIR, "classify", "clear", "complete"]
     said = F.array_compact(
@@ -88,7 +88,7 @@ def history_problems(events: DataFrame) -> DataFrame:
             F.when((F.size(F.coalesce("exceptions", F.array().cast("array<string>"))) > 0) & (F.trim(F.coalesce("reason", F.lit(""))) == ""), F.lit("exception without a reason")),
         )
     )
-    return events.withColumn("want", want).select("account", "seq", F.explode(said).alias("message"))
+    return numbered(events, ["account"], [F.col("seq")], "want").select("account", "seq", F.explode(said).alias("message"))
 
 
 def event_members(events: DataFrame) -> DataFrame:

@@ -67,11 +67,14 @@ def budgeted(pairs: DataFrame, most: int) -> DataFrame:
 
 def islands(pairs: DataFrame) -> DataFrame:
     """Conflict groups where no pair of a window was dropped: each bank unit is linked to a run of books days, so groups
-    are islands of overlapping runs in an (account, amount) bucket. (account, amount, bank, island)"""
+    are islands of overlapping runs in an (account, amount) bucket. (account, amount, bank, island)
+
+    Only distinct runs of days are put in order, so a bucket with very many units is as long as its days."""
     spans = pairs.groupBy("account", "amount", "bank").agg(F.min("books_day").alias("low"), F.max("books_day").alias("high"))
-    w = Window.partitionBy("account", "amount").orderBy("low", "high", "bank")
+    w = Window.partitionBy("account", "amount").orderBy("low", "high")
     starts = F.when(F.col("low") > F.max("high").over(w.rowsBetween(Window.unboundedPreceding, -1)), 1).otherwise(0)
-    return spans.withColumn("starts", starts).withColumn("island", F.sum("starts").over(w)).select("account", "amount", "bank", "island")
+    runs = spans.select("account", "amount", "low", "high").distinct().withColumn("starts", starts).withColumn("island", F.sum("starts").over(w)).drop("starts")
+    return spans.join(runs, ["account", "amount", "low", "high"]).select("account", "amount", "bank", "island")
 
 
 def groups(pairs: DataFrame) -> DataFrame:
@@ -158,7 +161,7 @@ def set_pairs(grouped: DataFrame, bank: DataFrame, books: DataFrame, confirmed:
 
     def placed(open_members: DataFrame, side: str) -> DataFrame:
         left = open_members.join(blocked, ["account", "group"], "left_anti")
-        return left.withColumn("nth", F.row_number().over(Window.partitionBy("account", "group").orderBy(side)))
+        return numbered(left, ["account", "group"], [F.col(side)], "nth")
 
     return placed(b, "bank").join(placed(l, "books"), ["account", "group", "nth"]).select("account", "group", "bank", "books", "nth")
 

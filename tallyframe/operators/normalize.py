@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import SideMapping
 from ..functions import dates, decimals
 from ..functions.text import trim
+from .numbering import numbered
 
 
 def _read_amounts(rows: DataFrame, cells: dict[str, str], m: SideMapping, minor: int) -> DataFrame:
@@ -156,8 +157,8 @@ def batch_units(rows: DataFrame, amount: str = "amount", scope: tuple[str, ...]
 def batch_members(rows: DataFrame, units: DataFrame, scope: tuple[str, ...] = ("account",)) -> DataFrame:
     """(scope, unit record_number, member record_number, nth) of batch units, in record order."""
     named = units.filter("batch is not null").select(*scope, F.col("batch"), F.col("record_number").alias("unit"))
-    nth = F.row_number().over(Window.partitionBy(*scope, "batch").orderBy("record_number"))
-    return rows.filter("batch is not null").withColumn("batch", F.col("batch").cast("string")).join(named, [*scope, "batch"]).select(*scope, "unit", "record_number", nth.alias("nth"))
+    members = rows.filter("batch is not null").select(*scope, F.col("batch").cast("string").alias("batch"), "record_number").join(named, [*scope, "batch"])
+    return numbered(members, [*scope, "batch"], [F.col("record_number")], "nth").select(*scope, "unit", "record_number", "nth")
 
 
 def all_carried(members: Column) -> Column:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from decimal import Decimal
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import CompareRules, NumericRule
@@ -174,18 +176,43 @@ def a11_changes_report(spark, sf):
     return C.export_rows(classes, C.compare_values(classes, C.compared_columns(old, new, RULES), RULES), cols, cols).select("change_type", "key", "column", "before", "after")
 
 
-@query(f"""WITH {_SUM} SELECT section, n AS "rows" FROM (SELECT 'Summary' AS section, 1 AS n UNION ALL SELECT 'Added', added FROM s UNION ALL SELECT 'Removed', removed FROM s UNION ALL SELECT 'Changed', (SELECT count(*) FROM ch) FROM s
-  UNION ALL SELECT 'Ambiguous keys', (SELECT count(*) FROM cls JOIN k ON k.k = cls.k WHERE o > 1 OR n > 1) FROM s UNION ALL SELECT 'Empty keys', empty_key FROM s UNION ALL SELECT 'Numeric warnings', warnings FROM s)""")
+@query(f"""WITH {_SUM}, ln AS (SELECT 'Summary' AS section, concat_ws('|', added, removed, changed, unchanged, ambiguous, empty_key, warnings) AS line FROM s UNION ALL SELECT 'Added', concat_ws('|', record_number, id) FROM cls JOIN k ON k.k = cls.k WHERE o = 0 AND n = 1
+  UNION ALL SELECT 'Removed', concat_ws('|', record_number, id) FROM cls JOIN k ON k.k = cls.k WHERE o = 1 AND n = 0 UNION ALL SELECT 'Changed', concat_ws('|', k, ro, rn, "column", before, after) FROM ch
+  UNION ALL SELECT 'Ambiguous keys', concat_ws('|', cls.k, side, record_number, id, o, n) FROM cls JOIN k ON k.k = cls.k WHERE o > 1 OR n > 1 UNION ALL SELECT 'Empty keys', concat_ws('|', side, record_number, id) FROM k WHERE k = ''
+  UNION ALL SELECT 'Numeric warnings', concat_ws('|', k, 'acctbal', side, CASE side WHEN 'old' THEN ro ELSE rn END, '"' || v || '" is not a number; compared as text') FROM (SELECT k, ro, rn, 'old' AS side, a_bal AS v, a_num AS x FROM m UNION ALL SELECT k, ro, rn, 'new', b_bal, b_num FROM m) WHERE x IS NULL) SELECT section, line FROM ln""")
 def a13_section_tables(spark, sf):
-    """The seven sections, by their row counts."""
+    """The seven sections, line by line."""
     from ..sources import sinks
 
     old, new = _sides(spark, sf)
     rows = C.keyed(old, new, RULES)
     classes = C.classify(rows)
     sections = sinks.compare_sections(rows, classes, C.compare_values(classes, C.compared_columns(old, new, RULES), RULES))
-    out = None
+    out = []
     for name, df in sections.items():
-        one = df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("section"), "rows")
-        out = one if out is None else out.unionByName(one)
-    return out
+        cells = [F.array_join(c, ",") if kind.startswith("array") else F.col(c).cast("string") for c, kind in df.drop("row").dtypes]
+        out.append(df.select(F.lit(name).alias("section"), F.concat_ws("|", *cells).alias("line")))
+    return reduce(DataFrame.unionByName, out)
+
+
+@query(f"""WITH {_SUM} SELECT 'csv-diff-report' AS format, 1 AS version, added, warnings, 'id' AS key, '0.01' AS tolerance FROM s""")
+def a12_report_manifest(spark, sf):
+    """The head of the JSON report: what it is, the rules it used and the counts."""
+    from ..sources import sinks
+
+    head = sinks.manifest(c15_compare_summary(spark, sf), RULES, "old", "new", "2024-01-01T00:00:00Z")
+    rule = lambda path: F.get_json_object("rulesUsed", path)
+    return head.select("format", "version", "summary.added", "summary.warnings", rule("$.key[0]").alias("key"), rule("$.numeric.acctbal.tolerance").alias("tolerance"))
+
+
+@query(f"""WITH {_M}, h AS (SELECT 'Added' AS section, record_number FROM cls JOIN k ON k.k = cls.k WHERE o = 0 AND n = 1 AND (contains(lower(id), 'build') OR contains(lower(name), 'build') OR contains(lower(nation), 'build') OR contains(lower(acctbal), 'build') OR contains(lower(segment), 'build'))
+  UNION ALL SELECT 'Removed', record_number FROM cls JOIN k ON k.k = cls.k WHERE o = 1 AND n = 0 AND (contains(lower(id), 'build') OR contains(lower(name), 'build') OR contains(lower(nation), 'build') OR contains(lower(acctbal), 'build') OR contains(lower(segment), 'build'))) SELECT section, record_number FROM h""")
+def c20_search_records(spark, sf):
+    """C20: records added and removed with a text in any value."""
+    from ..sources import sinks
+
+    rows = _rows(spark, sf)
+    classes = C.classify(rows)
+    sections = sinks.compare_sections(rows, classes, _compared(spark, sf))
+    one = lambda name: C.search(name, sections[name], "Build").select(F.lit(name).alias("section"), "record_number")
+    return one("Added").unionByName(one("Removed"))

@@ -484,33 +484,48 @@ def _bridged(spark, sf):
     _, con, _ = _decided(spark, sf)
     sums = G.totals(bank, "bank").join(G.totals(books, "books"), "account").join(G.remaining(bank, con, "bank"), "account").join(G.remaining(books, con, "books"), "account")
     balances = sums.select("account", (F.lit(100) + F.col("bank_opening") - F.col("books_opening")).alias("bank_open"), F.lit(100).cast("long").alias("books_open"), (F.lit(100) + F.col("bank_opening") - F.col("books_opening") + F.col("bank_movement")).alias("bank_close"), (F.lit(100) + F.col("books_movement")).alias("books_close"))
-    states = sums.select("account", F.lit("validated").alias("bank_state"), F.when(F.col("account") == "ACC1", "mismatch").otherwise("validated").alias("books_state"))
-    searched = sums.select("account", (F.col("account") == "ACC2").alias("incomplete"))
+    # what is amiss with an account follows from how many units it has
+    size = bank.groupBy("account").agg(F.count("*").alias("nb")).join(books.groupBy("account").agg(F.count("*").alias("nl")), "account")
+    states = size.select("account", F.lit("validated").alias("bank_state"), F.when(F.col("nl") % 3 == 1, "mismatch").otherwise("validated").alias("books_state"))
+    searched = size.select("account", (F.col("nb") % 3 == 1).alias("incomplete"))
     return G.bridge(balances, sums, D.confirmed_view(con, bank, books), states, searched), states, con
 
 
 @query(f"""WITH {_DEC}, o AS (SELECT account, CAST(sum(amount) AS BIGINT) AS x FROM bank WHERE record_number NOT IN (SELECT bank FROM con) GROUP BY account), q AS (SELECT account, CAST(sum(amount) AS BIGINT) AS x FROM books WHERE record_number NOT IN (SELECT books FROM con) GROUP BY account),
   c AS (SELECT account, CAST(sum(amount) AS BIGINT) AS x FROM bank GROUP BY account), d AS (SELECT account, CAST(sum(amount) AS BIGINT) AS x FROM books GROUP BY account)
-  SELECT account, true AS opening_ok, o.x - q.x AS explained, c.x - d.x AS actual, (c.x - d.x) - (o.x - q.x) AS unexplained, concat_ws(';', CASE WHEN account = 'ACC1' THEN 'books source is not validated' END, CASE WHEN account = 'ACC2' THEN 'the search is not complete' END, CASE WHEN (c.x - d.x) <> (o.x - q.x) THEN 'a difference is unexplained' END) AS gaps
-  FROM o JOIN q USING (account) JOIN c USING (account) JOIN d USING (account)""")
+  SELECT account, true AS opening_ok, o.x - q.x AS explained, c.x - d.x AS actual, (c.x - d.x) - (o.x - q.x) AS unexplained, concat_ws(';', CASE WHEN nl % 3 = 1 THEN 'books source is not validated' END, CASE WHEN nb % 3 = 1 THEN 'the search is not complete' END, CASE WHEN (c.x - d.x) <> (o.x - q.x) THEN 'a difference is unexplained' END) AS gaps
+  FROM o JOIN q USING (account) JOIN c USING (account) JOIN d USING (account) JOIN (SELECT account, count(*) AS nb FROM bank GROUP BY account) USING (account) JOIN (SELECT account, count(*) AS nl FROM books GROUP BY account) USING (account)""")
 def g08_bridge(spark, sf):
     """The bridge explains the closing difference exactly."""
     return _bridged(spark, sf)[0].select("account", "opening_ok", F.col("explained").cast("long").alias("explained"), F.col("actual").cast("long").alias("actual"), F.col("unexplained").cast("long").alias("unexplained"), F.array_join("gaps", ";").alias("gaps"))
 
 
-@query(f"""WITH {_DEC} SELECT account, account <> 'ACC1' AS sources_validated, account NOT IN ('ACC1', 'ACC2') AS bridge_complete, account = 'ACC0' AS outstanding_reviewed, account = 'ACC0' AS completed, account = 'ACC0' AS can_complete,
-  concat_ws(';', CASE WHEN account = 'ACC1' THEN 'books source is not validated' END, CASE WHEN account = 'ACC2' THEN 'the search is not complete' END, CASE WHEN account <> 'ACC0' THEN 'open items are not classified' END) AS reasons FROM (SELECT DISTINCT account FROM bank)""")
+@query(f"""WITH {_DEC}, z AS (SELECT account, nb, nl, coalesce(left_over, 0) AS left_over FROM (SELECT account, count(*) AS nb FROM bank GROUP BY account) JOIN (SELECT account, count(*) AS nl FROM books GROUP BY account) USING (account) LEFT JOIN (SELECT account, count(*) AS left_over FROM bank WHERE record_number NOT IN (SELECT bank FROM con) GROUP BY account) USING (account)),
+  y AS (SELECT *, nl % 3 <> 1 AS v, nl % 3 <> 1 AND nb % 3 <> 1 AS c, nb % 2 = 0 OR left_over = 0 AS r FROM z) SELECT account, v AS sources_validated, c AS bridge_complete, r AS outstanding_reviewed, v AND c AND r AND nb % 5 <> 0 AS completed, v AND c AND r AS can_complete,
+  concat_ws(';', CASE WHEN NOT v THEN 'books source is not validated' END, CASE WHEN nb % 3 = 1 THEN 'the search is not complete' END, CASE WHEN NOT r THEN 'open items are not classified' END) AS reasons FROM y""")
 def g10_statuses(spark, sf):
-    """Statuses, completion on the present setup, and the gate."""
+    """Statuses, and completion on the present setup."""
     bridged, states, con = _bridged(spark, sf)
     bank = view(spark, sf, "bank")
-    rest = bank.join(con.select("account", F.col("bank").alias("record_number")), ["account", "record_number"], "left_anti").select("account", F.when(F.col("account") == "ACC0", "investigate").alias("classification"))
+    size = bank.groupBy("account").agg(F.count("*").alias("nb"))
+    rest = bank.join(con.select("account", F.col("bank").alias("record_number")), ["account", "record_number"], "left_anti").join(size, "account").select("account", F.when(F.col("nb") % 2 == 0, "investigate").alias("classification"))
     variance = G.variances(D.confirmed_view(con, *_both(spark, sf)).withColumn("reason", F.lit("")))
-    events = states.select("account", F.lit(1).alias("seq"), F.lit("complete").alias("action"), F.lit("b").alias("basis"))
+    events = size.select("account", F.lit(1).alias("seq"), F.lit("complete").alias("action"), F.when(F.col("nb") % 5 == 0, "old").otherwise("b").alias("basis"))
     done = G.completion(events, states.select("account", F.lit("b").alias("fingerprint")))
     return G.statuses(bridged, states, rest, variance, done).withColumn("reasons", F.array_join("reasons", ";"))
 
 
+@query(f"""WITH t AS (SELECT account, max(seq) AS last FROM log GROUP BY account) SELECT account, last % 2 = 0 AND last % 3 <> 0 AS accepted FROM t""")
+def g13_mark_complete(spark, sf):
+    """A completion is taken where statuses allow it and it is the next event of its history."""
+    log = _log(spark, sf)
+    last = log.groupBy("account").agg(F.max("seq").alias("last"))
+    status = last.select("account", (F.col("last") % 2 == 0).alias("can_complete"), F.array(F.lit("open items are not classified")).alias("reasons"))
+    events = last.select("account", (F.col("last") + F.when(F.col("last") % 3 == 0, 2).otherwise(1)).alias("seq"), F.lit("b").alias("basis"))
+    taken, refused = G.mark_complete(events, log, status)
+    return taken.select("account", F.lit(True).alias("accepted")).unionByName(refused.select("account", F.lit(False).alias("accepted")))
+
+
 # ---- H: carry-forward
 
 _ITEM = """it AS (SELECT 'F' || CAST(record_number % 3 AS STRING) AS file, record_number % 3 AS place, account, CASE WHEN record_number % 3 = 2 THEN 'USD' ELSE 'INR' END AS currency, DATE '2024-01-31' AS period_end, 'bank' AS side, record_number, day,
