@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import direction as direction_of
+from ..functions.text import found
 from ..scratch import materialize
 from .components import components
 from .numbering import numbered
@@ -65,15 +67,41 @@ def unmatched(units: DataFrame, confirmed: DataFrame, side: str, suggestions: Da
     return rest.withColumn("suggestions", F.coalesce("suggestions", F.lit(0)))
 
 
-def confirmed_view(confirmed: DataFrame, bank: DataFrame, books: DataFrame) -> DataFrame:
+def confirmed_view(confirmed: DataFrame, bank: DataFrame, books: DataFrame, checked: DataFrame | None = None, events: DataFrame | None = None) -> DataFrame:
+    """Active matches with both units, the days between and the difference; with check_pairs() of them also the tier that
+    they meet now (null if they break a rule), with the log also the reason that was given. Order by seq to show them."""
     b = bank.select("account", F.col("record_number").alias("bank"), F.col("day").alias("bank_day"), F.col("amount").alias("bank_amount"))
     l = books.select("account", F.col("record_number").alias("books"), F.col("day").alias("books_day"), F.col("amount").alias("books_amount"))
-    return confirmed.join(b, ["account", "bank"]).join(l, ["account", "books"]).withColumns({"gap": F.datediff("bank_day", "books_day"), "difference": F.col("bank_amount") - F.col("books_amount")})
+    out = confirmed.join(b, ["account", "bank"]).join(l, ["account", "books"]).withColumns({"gap": F.datediff("bank_day", "books_day"), "difference": F.col("bank_amount") - F.col("books_amount")})
+    if checked is not None:
+        out = out.join(checked.select("account", "bank", "books", "tier"), ["account", "bank", "books"], "left")
+    if events is not None:
+        out = out.join(events.select("account", "seq", "reason"), ["account", "seq"], "left")
+    return out
 
 
-def decision_summary(pairs_left: DataFrame, confirmed: DataFrame, refused: DataFrame) -> DataFrame:
+def decision_summary(pairs_left: DataFrame, confirmed: DataFrame, refused: DataFrame, bank: DataFrame | None = None, books: DataFrame | None = None, replayed: DataFrame | None = None) -> DataFrame:
+    """One row per account: suggested, confirmed and rejected pairs; with the units of both sides also what no match uses,
+    with replay() also the events that lapsed."""
     one = lambda df, name: df.groupBy("account").agg(F.count("*").alias(name))
-    return one(pairs_left, "suggested").join(one(confirmed, "confirmed"), "account", "full").join(one(refused, "rejected"), "account", "full").na.fill(0)
+    parts = [one(pairs_left, "suggested"), one(confirmed, "confirmed"), one(refused, "rejected")]
+    for units, side in ((bank, "bank"), (books, "books")):
+        if units is not None:
+            rest = units.join(confirmed.select("account", F.col(side).alias("record_number")), ["account", "record_number"], "left_anti")
+            parts.append(one(rest, f"{side}_unmatched"))
+    if replayed is not None:
+        parts.append(one(replayed.filter("outcome = 'lapsed'"), "lapsed"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.join(p, "account", "full")
+    return out.na.fill(0)
+
+
+def shown(rows: DataFrame, texts: list[str], needle: str = "", direction: str | None = None, amount: str = "amount") -> DataFrame:
+    """A view (suggested, confirmed, unmatched, rejected, problems) as a reviewer narrows it: by a text in any of the
+    columns shown, and by the direction of an amount, which views without amounts, as that of problems, do not have."""
+    out = rows.filter(found(needle, *[F.col(c) for c in texts]))
+    return out if direction is None or amount not in rows.columns else out.filter(direction_of(F.col(amount)) == direction)
 
 
 def history_problems(events: DataFrame) -> DataFrame:
@@ -103,8 +131,12 @@ def event_members(events: DataFrame) -> DataFrame:
     return events.select("account", "seq", F.inline(ends))
 
 
-def snapshots(members: DataFrame, units: DataFrame) -> DataFrame:
-    """The values of transactions when decided."""
+def snapshots(members: DataFrame, units: DataFrame, batch: DataFrame | None = None) -> DataFrame:
+    """The values of transactions when decided. batch (account, side, unit, record_number): the members of a batch, for
+    which an event names the batch's first record; each of them gets a row."""
+    if batch is not None:
+        inside = members.withColumnRenamed("record_number", "unit").join(batch, ["account", "side", "unit"], "left")
+        members = inside.select("account", "seq", "side", F.coalesce("record_number", "unit").alias("record_number"))
     return members.join(units.select("account", "side", "record_number", "day", "amount", "reference"), ["account", "side", "record_number"], "left")
 
 

@@ -19,7 +19,7 @@ from .numbering import numbered
 
 def _content(side: str) -> list:
     """Content order of a side's units: day, amount, reference (none before any), record number."""
-    return [F.col(f"{side}_day"), F.col("amount"), F.coalesce(f"{side}_reference", F.lit("")).alias("reference"), F.col(side)]
+    return [f"{side}_day", "amount", F.coalesce(f"{side}_reference", F.lit("")).alias("reference"), side]
 
 
 def _side(df: DataFrame, name: str, *more) -> DataFrame:
@@ -65,16 +65,18 @@ def budgeted(pairs: DataFrame, most: int) -> DataFrame:
     return numbered(pairs, ["account"], [*_content("bank"), *_content("books")], "nth").filter(F.col("nth") <= most).join(totals, "account")
 
 
-def islands(pairs: DataFrame) -> DataFrame:
-    """Conflict groups where no pair of a window was dropped: each bank unit is linked to a run of books days, so groups
-    are islands of overlapping runs in an (account, amount) bucket. (account, amount, bank, island)
+def bank_groups(pairs: DataFrame) -> DataFrame:
+    """(account, bank, group): conflict groups where no pair of a window was dropped, by their bank units. Each bank unit is
+    linked to a run of books days, so groups are islands of overlapping runs in an (account, amount) bucket.
 
-    Only distinct runs of days are put in order, so a bucket with very many units is as long as its days."""
-    spans = pairs.groupBy("account", "amount", "bank").agg(F.min("books_day").alias("low"), F.max("books_day").alias("high"))
+    Pairs are only brought down to bank units; distinct runs of days are put in order, so a bucket with very many units
+    is as long as its days."""
+    units = pairs.groupBy("account", "amount", "bank", "bank_day", "bank_reference").agg(F.min("books_day").alias("low"), F.max("books_day").alias("high"))
+    units = materialize(units, "linked-units")
     w = Window.partitionBy("account", "amount").orderBy("low", "high")
     starts = F.when(F.col("low") > F.max("high").over(w.rowsBetween(Window.unboundedPreceding, -1)), 1).otherwise(0)
-    runs = spans.select("account", "amount", "low", "high").distinct().withColumn("starts", starts).withColumn("island", F.sum("starts").over(w)).drop("starts")
-    return spans.join(runs, ["account", "amount", "low", "high"]).select("account", "amount", "bank", "island")
+    runs = units.select("account", "amount", "low", "high").distinct().withColumn("starts", starts).withColumn("island", F.sum("starts").over(w)).drop("starts")
+    return _numbered(units.join(runs, ["account", "amount", "low", "high"]), ["amount", "island"]).select("account", "bank", "group")
 
 
 def groups(pairs: DataFrame) -> DataFrame:
@@ -85,19 +87,19 @@ def groups(pairs: DataFrame) -> DataFrame:
     node = lambda side: F.xxhash64("account", F.lit(side), F.col(side))
     edges = pairs.select(node("bank").alias("a"), node("books").alias("b"))
     named = components(edges, "a", "b")
-    tied = pairs.withColumn("node", node("bank")).join(named, "node").select("account", "amount", "bank", "books", "bank_day", "bank_reference", "component")
-    return _numbered(tied, "component")
+    units = pairs.select("account", "amount", "bank", "bank_day", "bank_reference").distinct().withColumn("node", node("bank")).join(named, "node")
+    return pairs.join(_numbered(units, ["component"]).select("account", "bank", "group"), ["account", "bank"]).select("account", "group", "bank", "books")
 
 
 def groups_by_island(pairs: DataFrame) -> DataFrame:
-    tied = pairs.join(islands(pairs), ["account", "amount", "bank"]).select("account", "amount", "bank", "books", "bank_day", "bank_reference", F.struct("amount", "island").alias("component"))
-    return _numbered(tied, "component")
+    """(account, group, bank, books), see bank_groups."""
+    return pairs.join(bank_groups(pairs), ["account", "bank"]).select("account", "group", "bank", "books")
 
 
-def _numbered(tied: DataFrame, component: str) -> DataFrame:
-    firsts = tied.groupBy("account", component).agg(F.min(F.struct(*_content("bank"))).alias("first"))
-    firsts = numbered(firsts, ["account"], [F.col("first")], "group")
-    return tied.join(firsts, ["account", component]).select("account", "group", "bank", "books")
+def _numbered(units: DataFrame, component: list[str]) -> DataFrame:
+    """Bank units with the number of their group in the order of the groups' first bank units."""
+    firsts = units.groupBy("account", *component).agg(F.min(F.struct(*_content("bank"))).alias("first"))
+    return units.join(numbered(firsts, ["account"], ["first"], "group").drop("first"), ["account", *component])
 
 
 def group_sizes(grouped: DataFrame) -> DataFrame:
@@ -105,9 +107,10 @@ def group_sizes(grouped: DataFrame) -> DataFrame:
 
 
 def ranked(pairs: DataFrame, grouped: DataFrame) -> DataFrame:
-    """Candidates in the order they are offered: group, tier, days apart, bank content, books content."""
-    order = [F.col("group"), F.col("tier"), F.abs("gap"), *_content("bank"), *_content("books")]
-    return numbered(pairs.join(grouped, ["account", "bank", "books"]), ["account"], order, "rank")
+    """Candidates in the order they are offered: group, tier, days apart, bank content, books content. grouped: groups of
+    pairs, or of bank units alone as bank_groups() gives them."""
+    keys = [c for c in ("account", "bank", "books") if c in grouped.columns]
+    return numbered(pairs.join(grouped, keys), ["account"], ["group", "tier", F.abs("gap"), *_content("bank"), *_content("books")], "rank")
 
 
 def no_candidate(units: DataFrame, pairs: DataFrame, side: str) -> DataFrame:
@@ -212,10 +215,22 @@ def open_counts(available: DataFrame, side: str) -> DataFrame:
     return available.groupBy("account", side).agg(F.count("*").alias("suggestions"))
 
 
-def alternatives(available: DataFrame, side: str, most: int = 20) -> DataFrame:
-    """The first candidates of each unit in rank order, with how many there are: a report, not a cut of the matching."""
-    w = Window.partitionBy("account", side)
-    return available.withColumns({"nth": F.row_number().over(w.orderBy("rank")), "total": F.count("*").over(w)}).filter(F.col("nth") <= most)
+def alternatives(available: DataFrame, side: str, most: int = 20, refused: DataFrame | None = None, source: DataFrame | None = None) -> DataFrame:
+    """The first candidates of each unit in rank order, with how many there are: a report, not a cut of the matching.
+
+    refused (account, bank, books) adds how many of the unit's pairs are rejected; source (account, record_number and the
+    columns of the other side's records) adds each candidate's record as it came (`cells`).
+    """
+    totals = available.groupBy("account", side).agg(F.count("*").alias("total"))
+    nth = F.row_number().over(Window.partitionBy("account", side).orderBy("rank"))
+    out = available.withColumn("nth", nth).filter(F.col("nth") <= most).join(totals, ["account", side])
+    if refused is not None:
+        out = out.join(refused.groupBy("account", side).agg(F.count("*").alias("rejected")), ["account", side], "left").na.fill(0, ["rejected"])
+    if source is not None:
+        other = "books" if side == "bank" else "bank"
+        cells = F.struct(*[F.col(f"`{c}`") for c in source.columns if c not in ("account", "record_number")])
+        out = out.join(source.select("account", F.col("record_number").alias(other), cells.alias("cells")), ["account", other], "left")
+    return out
 
 
 def selected_units(members: DataFrame, units: DataFrame) -> DataFrame:

@@ -7,20 +7,27 @@ from pyspark.sql import functions as F
 
 from ..scratch import materialize
 
+_PART = 33  # fixed value: bits of a row's place in its partition in monotonically_increasing_id()
 
-def numbered(df: DataFrame, by: list[str], order: list[Column], name: str) -> DataFrame:
-    """df with a column `name`: 1, 2, ... in `order` within rows of equal `by`.
 
-    Rows are dealt by ranges of (by, order), written, and numbered in each part; a part's offset is the sum of the parts
-    before it, of which there are few whatever the table. So a group of any size is spread over tasks. The order should
-    tell all rows of a group apart; rows that it ties get their numbers in any order.
+def numbered(df: DataFrame, by: list[str], order: list[str | Column], name: str) -> DataFrame:
+    """df with a column `name`: 1, 2, ... in `order` (columns by name, or expressions) within rows of equal `by`.
+
+    Rows are dealt by ranges of (by, order), sorted in their parts and written with their places there. A row's number
+    is its place from the group's first row in the part, plus what earlier parts hold of the group, of which there are
+    few whatever the table. So a group of any size is spread over tasks. The order should tell all rows of a group
+    apart; rows that it ties get their numbers in any order.
     """
-    keys = [f"__order{i}" for i in range(len(order))]
-    wide = df.select("*", *[o.alias(k) for o, k in zip(order, keys)])
+    keys = [o if isinstance(o, str) else f"__order{i}" for i, o in enumerate(order)]
+    wide = df.select("*", *[o.alias(k) for o, k in zip(order, keys) if not isinstance(o, str)])
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = materialize(wide.repartitionByRange(parts, *by, *keys).withColumn("__part", F.spark_partition_id()), "numbered")
-    counts = dealt.groupBy(*by, "__part").agg(F.count("*").alias("__rows"))
+    dealt = wide.repartitionByRange(parts, *by, *keys).sortWithinPartitions(*by, *keys).select(*df.columns, F.monotonically_increasing_id().alias("__at"))
+    dealt = materialize(dealt, "numbered").withColumn("__part", F.shiftright("__at", _PART))
+    held = dealt.groupBy(*by, "__part").agg(F.count("*").alias("__rows"), F.min("__at").alias("__first"))
     before = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*by, "__part", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__before"))
-    own = F.row_number().over(Window.partitionBy(*by, "__part").orderBy(*keys))
-    return dealt.withColumn("__own", own).join(offsets, [*by, "__part"]).withColumn(name, F.col("__own") + F.col("__before")).select(*df.columns, name)
+    own = [f"__by{i}" for i in range(len(by))]
+    held = held.select(*[F.col(c).alias(o) for c, o in zip(by, own)], F.col("__part").alias("__of"), "__first", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__before"))
+    same = F.col("__part") == F.col("__of")
+    for c, o in zip(by, own):
+        same = same & F.col(c).eqNullSafe(F.col(o))
+    return dealt.join(held, same).select(*df.columns, (F.col("__before") + F.col("__at") - F.col("__first") + 1).alias(name))

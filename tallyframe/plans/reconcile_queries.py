@@ -205,7 +205,7 @@ def e06_groups_with_references(spark, sf):
 @query(f"WITH {_ISL} SELECT account, bank, books, row_number() OVER (PARTITION BY account ORDER BY grp, abs(gap), bank_day, coalesce(bank_ref, ''), bank, books_day, coalesce(books_ref, ''), books) AS rank FROM gp")
 def e08_ranked(spark, sf):
     pairs = E.candidates(*_free(spark, sf))
-    return E.ranked(pairs, E.groups_by_island(pairs)).select("account", "bank", "books", F.col("rank").cast("long").alias("rank"))
+    return E.ranked(pairs, E.bank_groups(pairs)).select("account", "bank", "books", F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"WITH {_P} SELECT 'bank' AS side, account, record_number FROM bank WHERE record_number NOT IN (SELECT bank FROM p) UNION ALL SELECT 'books', account, record_number FROM books WHERE record_number NOT IN (SELECT books FROM p)")
@@ -267,15 +267,43 @@ def e13_check_pairs(spark, sf):
     return E.check_pairs(proposed, bank, books, SHARED).select("account", "bank", "books", "blocked", F.array_join("exceptions", ",").alias("exceptions"), F.col("gap").cast("long").alias("gap"), "tier")
 
 
+_GROUPS = """u AS (SELECT account, min(record_number) AS rn, max(day) AS day, CAST(sum(amount) AS BIGINT) AS total, count(*) AS n, min(amount) < 0 AND max(amount) > 0 AS mixed FROM books_lines GROUP BY account, batch),
+  j AS (SELECT account, rn AS books, 10 * rn AS bank, total, mixed, n > 1 AS grouped, n > 1 AND rn % 11 = 0 AS twice, CASE WHEN rn % 7 = 0 THEN total + 5 WHEN rn % 13 = 0 THEN -total ELSE total END AS amount, rn % 5 AS late FROM u WHERE total <> 0)"""
+
+
+@query(f"""WITH {_GROUPS}, k AS (SELECT *, CASE WHEN grouped AND mixed THEN 'mixed directions in a group' WHEN grouped AND twice THEN 'groups on both sides' WHEN sign(CASE WHEN twice THEN total ELSE amount END) <> sign(total) THEN 'opposite directions' WHEN grouped AND amount <> total THEN 'group total differs' END AS blocked FROM j)
+  SELECT account, bank, books, blocked, CASE WHEN blocked IS NULL THEN concat_ws(',', CASE WHEN amount <> total THEN 'amount' END, CASE WHEN late > 3 THEN 'date' END) END AS exceptions FROM k""")
+def e13_check_groups(spark, sf):
+    """Groups that a reviewer chose against single transactions and against groups: mixed directions, groups on both
+    sides, totals that differ."""
+    lines = view(spark, sf, "books_lines")
+    signs = F.min("amount"), F.max("amount")
+    u = lines.groupBy("account", "batch").agg(F.min("record_number").alias("rn"), F.max("day").alias("day"), F.sum("amount").alias("total"), F.count("*").alias("n"), ((signs[0] < 0) & (signs[1] > 0)).alias("mixed")).filter("total != 0")
+    plain = {"reference": F.lit(None).cast("string"), "is_carried": F.lit(False)}
+    rn = F.col("rn")
+    amount = F.when(rn % 7 == 0, F.col("total") + 5).when(rn % 13 == 0, -F.col("total")).otherwise(F.col("total"))
+    books = u.select("account", rn.alias("record_number"), "day", F.col("total").alias("amount")).withColumns(plain)
+    bank = u.select("account", (10 * rn).alias("record_number"), F.date_add("day", (rn % 5).cast("int")).alias("day"), amount.alias("amount")).withColumns(plain)
+    inside = lines.join(u.filter("n > 1").select("account", "batch", "rn"), ["account", "batch"])
+    one = lambda side, unit, rows: rows.select("account", F.lit(side).alias("side"), unit.alias("unit"), "record_number", "amount", F.lit(False).alias("is_carried"))
+    members = one("books", rn, inside).unionByName(one("bank", 10 * rn, inside.filter("rn % 11 = 0")))
+    proposed = u.select("account", (10 * rn).alias("bank"), rn.alias("books"))
+    return E.check_pairs(proposed, bank, books, PLAIN, members).select("account", "bank", "books", "blocked", F.array_join("exceptions", ",").alias("exceptions"))
+
+
 @query(f"WITH {_P} SELECT account, bank, count(*) AS suggestions FROM p GROUP BY account, bank")
 def e15_open_counts(spark, sf):
     return E.open_counts(_pairs(spark, sf), "bank")
 
 
-@query(f"""WITH {_ISL}, r AS (SELECT account, bank, books, row_number() OVER (PARTITION BY account ORDER BY grp, abs(gap), bank_day, coalesce(bank_ref, ''), bank, books_day, coalesce(books_ref, ''), books) AS rank FROM gp) SELECT account, bank, books, total FROM (SELECT *, row_number() OVER (PARTITION BY account, bank ORDER BY rank) AS nth, count(*) OVER (PARTITION BY account, bank) AS total FROM r) WHERE nth <= 20""")
+@query(f"""WITH {_ISL}, r AS (SELECT account, bank, books, row_number() OVER (PARTITION BY account ORDER BY grp, abs(gap), bank_day, coalesce(bank_ref, ''), bank, books_day, coalesce(books_ref, ''), books) AS rank FROM gp) SELECT account, bank, books, total, (SELECT count(*) FROM gp WHERE gp.bank = q.bank AND gp.books % 7 = 0) AS rejected, (SELECT reference FROM books l WHERE l.record_number = q.books) AS reference FROM (SELECT *, row_number() OVER (PARTITION BY account, bank ORDER BY rank) AS nth, count(*) OVER (PARTITION BY account, bank) AS total FROM r) q WHERE nth <= 20""")
 def e16_alternatives(spark, sf):
-    pairs = E.candidates(*_free(spark, sf))
-    return E.alternatives(E.ranked(pairs, E.groups_by_island(pairs)), "bank").select("account", "bank", "books", "total")
+    """The first candidates of each bank unit, how many there are and are rejected, and the books record."""
+    bank, books = _free(spark, sf)
+    pairs = E.candidates(bank, books)
+    ranks = E.ranked(pairs, E.bank_groups(pairs))
+    got = E.alternatives(ranks, "bank", refused=pairs.filter("books % 7 = 0").select("account", "bank", "books"), source=books.select("account", "record_number", "reference"))
+    return got.select("account", "bank", "books", "total", "rejected", F.col("cells.reference").alias("reference"))
 
 
 @query("SELECT account, record_number // 3 AS chosen, CAST(sum(amount) AS BIGINT) AS amount, max(day) AS day, min(record_number) AS record_number, count(*) AS members FROM bank GROUP BY account, record_number // 3")
@@ -334,17 +362,20 @@ def f08_available(spark, sf):
     return D.available(*_decided(spark, sf)).select("account", "bank", "books")
 
 
-@query(f"WITH {_DEC} SELECT account, (SELECT count(*) FROM av WHERE av.account = a.account) AS suggested, (SELECT count(*) FROM con WHERE con.account = a.account) AS confirmed, (SELECT count(*) FROM rej WHERE rej.account = a.account) AS rejected FROM (SELECT DISTINCT account FROM p) a")
+@query(f"WITH {_DEC} SELECT account, (SELECT count(*) FROM av WHERE av.account = a.account) AS suggested, (SELECT count(*) FROM con WHERE con.account = a.account) AS confirmed, (SELECT count(*) FROM rej WHERE rej.account = a.account) AS rejected, (SELECT count(*) FROM bank WHERE bank.account = a.account AND record_number NOT IN (SELECT bank FROM con)) AS bank_unmatched, (SELECT count(*) FROM books WHERE books.account = a.account AND record_number NOT IN (SELECT books FROM con)) AS books_unmatched FROM (SELECT DISTINCT account FROM p) a")
 def f09_decision_summary(spark, sf):
     pairs, con, rej = _decided(spark, sf)
-    return D.decision_summary(D.available(pairs, con, rej), con, rej)
+    return D.decision_summary(D.available(pairs, con, rej), con, rej, *_both(spark, sf))
 
 
-@query(f"WITH {_DEC} SELECT con.account, con.bank, con.books, b.day AS bank_day, l.day AS books_day, CAST(b.day - l.day AS BIGINT) AS gap, b.amount - l.amount AS difference FROM con JOIN bank b ON b.record_number = con.bank JOIN books l ON l.record_number = con.books")
+@query(f"WITH {_DEC} SELECT con.account, con.bank, con.books, b.day AS bank_day, l.day AS books_day, CAST(b.day - l.day AS BIGINT) AS gap, b.amount - l.amount AS difference, CASE WHEN b.reference = l.reference THEN 1 WHEN b.reference <> l.reference THEN NULL ELSE 3 END AS tier, CASE WHEN con.bank % 4 = 0 THEN 'told' END AS reason FROM con JOIN bank b ON b.record_number = con.bank JOIN books l ON l.record_number = con.books")
 def f10_confirmed_view(spark, sf):
-    """Active matches with both units and their difference."""
+    """Active matches with both units, their difference, the tier that they meet now and the reason given."""
     _, con, _ = _decided(spark, sf)
-    return D.confirmed_view(con, *_both(spark, sf)).select("account", "bank", "books", "bank_day", "books_day", F.col("gap").cast("long").alias("gap"), "difference")
+    bank, books = _both(spark, sf)
+    events = con.select("account", "seq", F.when(F.col("bank") % 4 == 0, "told").alias("reason"))
+    seen = D.confirmed_view(con, bank, books, E.check_pairs(con.select("account", "bank", "books"), bank, books, SHARED), events)
+    return seen.select("account", "bank", "books", "bank_day", "books_day", F.col("gap").cast("long").alias("gap"), "difference", "tier", "reason")
 
 
 @query(f"WITH {_DEC} SELECT account, record_number, (SELECT count(*) FROM av WHERE av.bank = b.record_number) AS suggestions, CASE WHEN record_number % 4 = 1 THEN 'investigate' END AS classification FROM bank b WHERE record_number NOT IN (SELECT bank FROM con)")
@@ -355,13 +386,22 @@ def f11_unmatched(spark, sf):
     return D.unmatched(bank, con, "bank", E.open_counts(D.available(pairs, con, rej), "bank"), classified).select("account", "record_number", "suggestions", "classification")
 
 
-@query(f"WITH {_DEC} SELECT av.account, bank, books FROM av JOIN bank b ON b.record_number = av.bank WHERE b.amount > 0 AND contains(lower(coalesce(b.reference, '')), 'r1')")
-def f12_filtered_view(spark, sf):
-    """suggestions by direction and text."""
-    from ..functions.text import direction, found
-
-    bank = view(spark, sf, "bank").filter((direction(F.col("amount")) == "in") & found("R1", F.col("reference"))).select("account", F.col("record_number").alias("bank"))
-    return D.available(*_decided(spark, sf)).join(bank, ["account", "bank"], "left_semi").select("account", "bank", "books")
+@query(f"""WITH {_DEC}, {_SPLIT} SELECT 'suggested' AS section, av.account, bank AS record_number, books AS other FROM av JOIN bank b ON b.record_number = av.bank WHERE b.amount > 0 AND contains(lower(coalesce(b.reference, '')), 'r1')
+  UNION ALL SELECT 'rejected', rej.account, rej.bank, rej.books FROM rej JOIN bank b ON b.record_number = rej.bank WHERE b.amount > 0 AND contains(lower(coalesce(b.reference, '')), 'r1')
+  UNION ALL SELECT 'unmatched', account, record_number, NULL FROM bank WHERE record_number NOT IN (SELECT bank FROM con) AND amount > 0 AND contains(lower(coalesce(reference, '')), 'r1')
+  UNION ALL SELECT 'problems', account, record_number, NULL FROM s WHERE bad IS NOT NULL AND contains(lower(bad), 'r1')""")
+def f12_filtered_views(spark, sf):
+    """the views narrowed by direction and text; problems by text alone."""
+    bank = view(spark, sf, "bank")
+    pairs, con, rej = _decided(spark, sf)
+    units = bank.select("account", F.col("record_number").alias("bank"), "amount", "reference")
+    none = F.lit(None).cast("long").alias("other")
+    narrowed = lambda rows: D.shown(rows, ["reference"], " R1 ", "in")
+    of_pairs = lambda rows, name: narrowed(rows.select("account", "bank", "books").join(units, ["account", "bank"])).select(F.lit(name).alias("section"), "account", F.col("bank").alias("record_number"), F.col("books").alias("other"))
+    rest = bank.join(con.select("account", F.col("bank").alias("record_number")), ["account", "record_number"], "left_anti")
+    out = of_pairs(D.available(pairs, con, rej), "suggested").unionByName(of_pairs(rej, "rejected")).unionByName(narrowed(rest).select(F.lit("unmatched").alias("section"), "account", "record_number", none))
+    problems = D.shown(N.problem_rows(_mapped(spark, sf)), ["message"], "r1", "in")
+    return out.unionByName(problems.select(F.lit("problems").alias("section"), "account", "record_number", none))
 
 
 @query("SELECT account, seq, 'exception without a reason' AS message FROM log WHERE broken")
