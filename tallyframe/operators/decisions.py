@@ -181,8 +181,9 @@ def replay(events: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
     Events that share neither a unit nor an edge do not touch each other, so the components of the events' members are
     replayed apart, each as a stream in a task that holds its live state alone.
     """
-    keyed = events.withColumn("node", F.xxhash64("account", F.lit("event"), "seq"))
-    edges = event_members(events).select(F.xxhash64("account", F.lit("event"), "seq").alias("a"), F.xxhash64("account", F.col("side"), F.col("record_number")).alias("b"))
+    event = F.struct("account", F.lit("event").alias("side"), F.col("seq").alias("record_number"))
+    keyed = events.withColumn("node", event)
+    edges = event_members(events).select(event.alias("a"), F.struct("account", "side", "record_number").alias("b"))
     if verdicts is None:
         judged = keyed.withColumns({"allowed": F.lit(True), "present": F.lit(True)})
     elif "seq" in verdicts.columns:
@@ -191,10 +192,10 @@ def replay(events: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
         judged = keyed.join(verdicts.select("account", "bank", "books", "allowed"), ["account", "bank", "books"], "left").withColumn("present", F.lit(True))
         judged = judged.withColumn("allowed", F.when(F.col("action") == "confirm", F.coalesce("allowed", F.lit(False))).otherwise(True))
     judged = judged.join(components(edges, "a", "b"), "node", "left")
-    judged = judged.select("account", "seq", "action", "bank", "books", "side", "record_number", "classification", F.coalesce("allowed", F.lit(False)).alias("allowed"), F.coalesce("present", F.lit(True)).alias("present"), F.coalesce("component", "node").alias("component"))
+    judged = judged.select("account", "seq", "action", "bank", "books", "side", "record_number", "classification", F.coalesce("allowed", F.lit(False)).alias("allowed"), F.coalesce("present", F.lit(True)).alias("present"), F.xxhash64(F.coalesce("component", "node")).alias("component"))  # components of one hash may share a state
     parts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     schema = "account string, seq long, action string, bank long, books long, side string, record_number long, classification string, outcome string"
-    return judged.repartition(parts, "component").sortWithinPartitions("component", "account", "seq").mapInPandas(_walk, schema)
+    return judged.repartition(parts, "component").sortWithinPartitions("component", "account", "seq").mapInArrow(_walk, schema)
 
 
 class _State:
@@ -205,47 +206,51 @@ class _State:
         self.refused, self.lapsed, self.classified = set(), set(), set()
 
     def outcome(self, r) -> str:
-        if r.action == "complete":
+        if r["action"] == "complete":
             return "applied"
-        if r.action in ("classify", "clear"):
-            unit = (r.account, r.side, r.record_number)
-            if not r.present or unit in self.used or r.action == "clear" and unit not in self.classified or not r.allowed:
+        if r["action"] in ("classify", "clear"):
+            unit = (r["account"], r["side"], r["record_number"])
+            if not r["present"] or unit in self.used or r["action"] == "clear" and unit not in self.classified or not r["allowed"]:
                 return "lapsed"
-            (self.classified.add if r.action == "classify" else self.classified.discard)(unit)
+            (self.classified.add if r["action"] == "classify" else self.classified.discard)(unit)
             return "applied"
-        bank, books, edge = (r.account, "bank", r.bank), (r.account, "books", r.books), (r.account, r.bank, r.books)
+        bank, books, edge = (r["account"], "bank", r["bank"]), (r["account"], "books", r["books"]), (r["account"], r["bank"], r["books"])
         active = self.used.get(bank) == edge
-        if r.action == "unmatch" and r.present and edge in self.lapsed:
+        if r["action"] == "unmatch" and r["present"] and edge in self.lapsed:
             self.lapsed.discard(edge)
             return "skipped"
-        holds = r.present and {
-            "confirm": edge not in self.refused and bank not in self.used and books not in self.used and r.allowed,
+        holds = r["present"] and {
+            "confirm": edge not in self.refused and bank not in self.used and books not in self.used and r["allowed"],
             "unmatch": active,
             "reject": not active and edge not in self.refused,
             "restore": edge in self.refused,
-        }.get(r.action, False)
+        }.get(r["action"], False)
         if not holds:
-            if r.action == "confirm":
+            if r["action"] == "confirm":
                 self.lapsed.add(edge)
             return "lapsed"
-        if r.action == "confirm":
+        if r["action"] == "confirm":
             self.used[bank] = self.used[books] = edge
-        elif r.action == "unmatch":
+        elif r["action"] == "unmatch":
             del self.used[bank], self.used[books]
         else:
-            (self.refused.add if r.action == "reject" else self.refused.discard)(edge)
+            (self.refused.add if r["action"] == "reject" else self.refused.discard)(edge)
         return "applied"
 
 
-def _walk(frames):
+def _walk(batches):
+    """Arrow rows in order of component and seq, with the outcome of each. Numbers stay whole, nulls stay nulls."""
+    import pyarrow as pa
+
     at, state = None, _State()
-    for rows in frames:
+    for batch in batches:
         outcomes = []
-        for r in rows.itertuples():
-            if r.component != at:
-                at, state = r.component, _State()
+        for r in batch.to_pylist():
+            if r["component"] != at:
+                at, state = r["component"], _State()
             outcomes.append(state.outcome(r))
-        yield rows.drop(columns=["allowed", "present", "component"]).assign(outcome=outcomes)
+        kept = [c for c in batch.schema.names if c not in ("allowed", "present", "component")]
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(outcomes, pa.string())], names=[*kept, "outcome"])
 
 
 def load(events: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -82,9 +82,9 @@ def bank_groups(pairs: DataFrame) -> DataFrame:
 def groups(pairs: DataFrame) -> DataFrame:
     """Conflict groups in general: pairs with the group of their component, numbered by first bank unit in content order.
 
-    (account, group, bank, books). Nodes are hashes of account, side and record number.
+    (account, group, bank, books).
     """
-    node = lambda side: F.xxhash64("account", F.lit(side), F.col(side))
+    node = lambda side: F.struct("account", F.lit(side).alias("side"), F.col(side).alias("record_number"))
     edges = pairs.select(node("bank").alias("a"), node("books").alias("b"))
     named = components(edges, "a", "b")
     units = pairs.select("account", "amount", "bank", "bank_day", "bank_reference").distinct().withColumn("node", node("bank")).join(named, "node")
