@@ -80,11 +80,13 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     sound = F.col("x").isNotNull() & (F.size("x") > 0) & ~F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists("x", lambda v: v != 0)
     # a class is named by 128 bits of its label and vector; -0.0 is 0.0
     text = F.concat_ws(",", F.transform("x", lambda v: F.when(v == 0, F.lit(0.0)).otherwise(v).cast("string")))
-    node = F.md5(F.concat_ws("|", F.octet_length("label").cast("string"), "label", text))
-    rows = rows.withColumn("node", F.when(sound & F.col("label").isNotNull() & F.col("id").isNotNull(), node))
-    slim = materialize(rows.select("id", "node"), "rows")
-    reps = rows.filter("node is not null").groupBy("node").agg(F.min("id").alias("rep"), F.count("*").alias("times"), F.any_value("label").alias("label"), F.any_value("x").alias("x"))
-    reps = materialize(reps.select("node", "rep", "times", "label", F.size("x").alias("dim"), "x"), "classes")
+    digest = F.md5(F.concat_ws("|", F.octet_length("label").cast("string"), "label", text))
+    rows = rows.withColumn("digest", F.when(sound & F.col("label").isNotNull() & F.col("id").isNotNull(), digest))
+    slim = materialize(rows.select("id", "digest"), "rows")
+    reps = rows.filter("digest is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("times"), F.any_value("label").alias("label"), F.any_value("x").alias("x"))
+    # nodes are in the order of the least ids, so the least node of a component tells its least id
+    node = F.concat(F.lpad((F.col("rep").cast("decimal(20,0)") + F.lit(str(2**63)).cast("decimal(20,0)")).cast("decimal(20,0)").cast("string"), 20, "0"), "digest")
+    reps = materialize(reps.select(node.alias("node"), "digest", "times", "label", F.size("x").alias("dim"), "x"), "classes")
 
     sizes = {r["dim"]: r["count"] for r in reps.groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(64).collect()}
     refs: dict[int, np.ndarray] = {}
@@ -151,10 +153,10 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     links = found.filter("n > 0").groupBy("node").agg(F.sum("n").alias("n"))
     groups = components(found.filter("other is not null"), "node", "other")
     discard(described)
-    tied = reps.select("node", "rep", "times").join(links, "node", "left").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = tied.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = tied.join(least, "component").select("node", (F.col("times") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), "component_id")
-    out = slim.join(named, "node", "left")
+    tied = reps.select("node", "digest", "times").join(links, "node", "left").join(groups, "node", "left")
+    least = (F.substring(F.coalesce("component", "node"), 1, 20).cast("decimal(20,0)") - F.lit(str(2**63)).cast("decimal(20,0)")).cast("long")
+    named = tied.select("digest", (F.col("times") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), least.alias("component_id"))
+    out = slim.join(named, "digest", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     return out.select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
 
