@@ -35,11 +35,11 @@ def read(trimmed: Column, form: str) -> Column:
     pattern, (y, m, d) = FORMATS[form]
     full, century = rf"^{pattern}\z", "20" if "YYYY" not in form else ""
     if "Mon" not in form:
-        return F.try_to_date(F.regexp_replace(trimmed, full, f"{century}${y}-${m}-${d}"), "yyyy-M-d")
+        return F.regexp_replace(trimmed, full, f"{century}${y}-${m}-${d}").try_cast("date")
     part = lambda k: F.regexp_extract(trimmed, full, k)
     at = F.instr(F.lit(MONTHS), F.lower(part(m)))
     month = F.when(at % 3 == 1, ((at + 2) / 3).cast("int").cast("string"))
-    return F.try_to_date(F.when(month.isNotNull(), F.concat_ws("-", F.concat(F.lit(century), part(y)), month, part(d))), "yyyy-M-d")
+    return F.when(month.isNotNull(), F.concat_ws("-", F.concat(F.lit(century), part(y)), month, part(d))).try_cast("date")
 
 
 def parse_date(c: Column, form: str) -> Column:

@@ -68,8 +68,13 @@ def sql(query: str) -> str:
     return f"WITH {ctes} {own}" if ctes else own
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def view(spark: SparkSession, sf_dir: str, name: str, dealt: bool = False) -> DataFrame:
+    """A view over the given tables. dealt: a table whose scan has fewer parts than there are cores (a file of one row group
+    is one part) is dealt to all of them first, for views and operators that compute much for each row."""
     for t in BASE:
         if re.search(rf"\bFROM {t}\b", VIEWS[name]):
-            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+            rows, cores = spark.read.parquet(f"{sf_dir}/{t}.parquet"), spark.sparkContext.defaultParallelism
+            if dealt and rows.rdd.getNumPartitions() < cores:
+                rows = rows.repartition(cores)
+            rows.createOrReplaceTempView(t)
     return spark.sql(VIEWS[name])

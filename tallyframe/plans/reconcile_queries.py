@@ -40,13 +40,7 @@ _SPLIT = f"""r AS (SELECT *, {_READ.format("money_in")} AS ki, {_READ.format("mo
 
 def _mapped(spark, sf):
     m = SideMapping(date="day_text", date_format="DD/MM/YYYY", money_in="money_in", money_out="money_out")
-    return N.normalize_side(_dealt(view(spark, sf, "amount_text")), "bank", m)
-
-
-def _dealt(rows):
-    """Rows of a scan with fewer parts than there are cores (a file of one row group is one), dealt to all of them."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    return N.normalize_side(view(spark, sf, "amount_text", dealt=True), "bank", m)
 
 
 def _units(c="amount"):
@@ -57,7 +51,7 @@ def _units(c="amount"):
 def d03_signed_amount(spark, sf):
     """A signed column whose positive side is money out."""
     m = SideMapping(date="day_text", date_format="DD/MM/YYYY", amount="raw", positive_is="out")
-    return N.normalize_side(_dealt(view(spark, sf, "amount_text")), "bank", m).select("record_number", _units())
+    return N.normalize_side(view(spark, sf, "amount_text", dealt=True), "bank", m).select("record_number", _units())
 
 
 @query(f"WITH {_SPLIT} SELECT record_number, d AS day, amount, status FROM s")
