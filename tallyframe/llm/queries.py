@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, embedding_dedup, html_text, language, mixing, quality, secrets, shingle_join, token_counts, token_output
+from . import decontamination, embedding_dedup, exact_dedup, html_text, language, merkle, mixing, quality, secrets, shingle_join, token_counts, token_output
 from .common import table
 
 
@@ -58,10 +58,52 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(table(spark, sf_dir, "documents"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.duplicates(table(spark, sf_dir, "documents"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tampered_manifest(table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"]).drop("proof")
+
+
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _REACH = "sym AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l), reach AS (SELECT x, y FROM sym UNION SELECT r.x, b.y FROM reach r JOIN sym b ON b.x = r.y), low AS (SELECT x, min(y) AS y FROM reach GROUP BY x)"
 
+
+
+def _merkle_sql(levels: int, upper: int) -> str:
+    """The tree level by level: n{k} has the nodes of level k, at{k} what each row has come to."""
+    field = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE octet_length(encode(CAST({c} AS VARCHAR))) || ':' || CAST({c} AS VARCHAR) END"
+    leaf = lambda text: "sha256(" + " || ".join(f"({field(c)})" for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    crc = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ord(c)::BIGINT)), lambda a, b: list_reduce([xor(a, b), 1, 1, 1, 1, 1, 1, 1, 1], lambda x, y: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)"
+    ctes = [
+        f"d AS (SELECT *, {_LOWER.format('text')} AS low, coalesce('=' || lang, '') AS g FROM documents)",
+        f"l AS (SELECT doc_id, g, {leaf('text')} AS leaf, CASE WHEN {crc} % 3 = 0 THEN {leaf('low')} ELSE {leaf('text')} END AS given FROM d)",
+        "r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id, leaf) - 1 AS i FROM l)",
+        "n0 AS (SELECT g, i, leaf AS h FROM r)",
+        "at0 AS (SELECT *, given AS f, '' AS path FROM r)",
+    ]
+
+    def climb(name: str, at: str, k: int, place: str) -> list[str]:
+        return [
+            f"w{name}{k} AS (SELECT *, list(h) OVER (PARTITION BY g, i // 8 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS hs, count(*) OVER (PARTITION BY g) AS n FROM {name}{k})",
+            f"{name}{k + 1} AS (SELECT g, i // 8 AS i, any_value(CASE WHEN n > 1 THEN sha256(array_to_string(hs, '')) ELSE h END) AS h FROM w{name}{k} GROUP BY g, i // 8)",
+            f"""{at}{k + 1} AS (SELECT a.* EXCLUDE (f, path), CASE WHEN n > 1 THEN sha256(array_to_string(hs[:{place} % 8], '') || f || array_to_string(hs[{place} % 8 + 2:], '')) ELSE f END AS f,
+              path || CASE WHEN n > 1 THEN array_to_string(hs[:{place} % 8], '') || array_to_string(hs[{place} % 8 + 2:], '') ELSE '' END AS path FROM {at}{k} a JOIN w{name}{k} w ON w.g = a.{'g' if name == 'n' else 'one'} AND w.i = {place})""".replace(f"{place} % 8", f"({place} % 8)::BIGINT"),
+        ]
+
+    for k in range(levels):
+        ctes += climb("n", "at", k, f"(a.i // {8**k})")
+    ctes += [f"t AS (SELECT g, h, row_number() OVER (ORDER BY g) - 1 AS j FROM n{levels})", "m0 AS (SELECT 1 AS g, j AS i, h FROM t)", f"up0 AS (SELECT at{levels}.*, t.h AS subroot, t.j AS j, 1 AS one FROM at{levels} JOIN t USING (g))"]
+    for k in range(upper):
+        ctes += climb("m", "up", k, f"(a.j // {8**k})")
+    return f"WITH {', '.join(ctes)} SELECT doc_id, leaf, subroot, (SELECT h FROM m{upper}) AS root, sha256(path) AS proof_sha256, f AS folded_root, f = (SELECT h FROM m{upper}) AS verified FROM up{upper}"
+
+
 ORACLES = {
+    "op11_exact_dedup": """WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', '', 'g') AS t FROM documents)
+  SELECT doc_id, first_value(doc_id) OVER best AS keep_id, count(*) OVER (PARTITION BY t) AS group_size, row_number() OVER best = 1 AS kept, sha256(t) AS text_sha256 FROM d WINDOW best AS (PARTITION BY t ORDER BY n DESC, doc_id)""",
+    "op13_merkle_manifest": _merkle_sql(7, 3),
     "op5_shingle_join": f"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
   s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE [array_to_string(w[i:i + 3], ' ') FOR i IN range(1, len(w) - 2)] END) AS sh FROM d),
   n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id), p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL),
@@ -82,7 +124,7 @@ ORACLES = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language, op2_quality, op3_secrets, op4_html, op5_shingle_join, op6_decontamination, op7_token_counts, op8_token_records, op9_embedding_dedup, op10_mixing)}
+    return {f.__name__: f for f in (op1_language, op2_quality, op3_secrets, op4_html, op5_shingle_join, op6_decontamination, op7_token_counts, op8_token_records, op9_embedding_dedup, op10_mixing, op11_exact_dedup, op13_merkle_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:
