@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, embedding_dedup, exact_dedup, html_text, language, merkle, mixing, quality, secrets, shingle_join, token_counts, token_output
+from . import decontamination, embedding_dedup, exact_dedup, html_text, language, merkle, mixing, quality, secrets, shingle_join, spelling, token_counts, token_output
 from .common import table
 
 
@@ -62,6 +62,10 @@ def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicates(table(spark, sf_dir, "documents"))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_forms(table(spark, sf_dir, "documents"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.tampered_manifest(table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"]).drop("proof")
 
@@ -69,13 +73,15 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _REACH = "sym AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l), reach AS (SELECT x, y FROM sym UNION SELECT r.x, b.y FROM reach r JOIN sym b ON b.x = r.y), low AS (SELECT x, min(y) AS y FROM reach GROUP BY x)"
 
+#: crc32 of a list of bytes
+_CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, {0}), lambda a, b: list_reduce([xor(a, b), 1, 1, 1, 1, 1, 1, 1, 1], lambda x, y: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)"
 
 
 def _merkle_sql(levels: int, upper: int) -> str:
     """The tree level by level: n{k} has the nodes of level k, at{k} what each row has come to."""
     field = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE octet_length(encode(CAST({c} AS VARCHAR))) || ':' || CAST({c} AS VARCHAR) END"
     leaf = lambda text: "sha256(" + " || ".join(f"({field(c)})" for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
-    crc = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ord(c)::BIGINT)), lambda a, b: list_reduce([xor(a, b), 1, 1, 1, 1, 1, 1, 1, 1], lambda x, y: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)"
+    crc = _CRC.format("list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ord(c)::BIGINT)")
     ctes = [
         f"d AS (SELECT *, {_LOWER.format('text')} AS low, coalesce('=' || lang, '') AS g FROM documents)",
         f"l AS (SELECT doc_id, g, {leaf('text')} AS leaf, CASE WHEN {crc} % 3 = 0 THEN {leaf('low')} ELSE {leaf('text')} END AS given FROM d)",
@@ -103,6 +109,18 @@ def _merkle_sql(levels: int, upper: int) -> str:
 ORACLES = {
     "op11_exact_dedup": """WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', '', 'g') AS t FROM documents)
   SELECT doc_id, first_value(doc_id) OVER best AS keep_id, count(*) OVER (PARTITION BY t) AS group_size, row_number() OVER best = 1 AS kept, sha256(t) AS text_sha256 FROM d WINDOW best AS (PARTITION BY t ORDER BY n DESC, doc_id)""",
+    # letters up to U+00FF: one byte, or two in UTF-8; near words have an entry (less one letter, its place) in common, or
+    # one of them is the other less a letter
+    "op12_spelling": f"""WITH RECURSIVE d AS (SELECT doc_id, unnest(regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[a-z\u00C0-\u00FF]{{7,}}')) AS run FROM documents),
+  c AS (SELECT doc_id, run, count(*) AS n, {_CRC.format("flatten(list_transform(string_split(doc_id || ':' || run, ''), lambda c: CASE WHEN ord(c) < 128 THEN [ord(c)::BIGINT] ELSE [192 + (ord(c) >> 6), 128 + (ord(c) & 63)] END))")} AS h FROM d GROUP BY doc_id, run),
+  o AS (SELECT CASE WHEN h % 31 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM c),
+  w AS (SELECT word, sum(n)::BIGINT AS n FROM o WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+  e AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS p, unnest([left(word, k - 1) || substr(word, k + 1) FOR k IN range(1, length(word) + 1)]) AS e FROM w),
+  p AS (SELECT a.word, b.word AS near, b.n AS m FROM e a JOIN e b ON a.e = b.e AND a.p = b.p AND a.word <> b.word UNION SELECT e.word, w.word, w.n FROM e JOIN w ON w.word = e.e UNION SELECT w.word, e.word, e.n FROM e JOIN w ON w.word = e.e),
+  b AS (SELECT word, count(*) AS n_near, arg_max(near, (m, -r)) AS near, max(m) AS m FROM (SELECT *, rank() OVER (ORDER BY encode(near)) AS r FROM p) GROUP BY word),
+  f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * w.n THEN near END AS form, CASE WHEN m >= 10 * w.n THEN m END AS form_n FROM w LEFT JOIN b USING (word)),
+  t AS (SELECT word, word AS root, 0 AS k FROM f UNION ALL SELECT t.word, f.form, k + 1 FROM t JOIN f ON f.word = t.root WHERE f.form IS NOT NULL)
+  SELECT word, form, arg_max(root, k) AS root, any_value(n) AS n, any_value(n_near) AS n_near, any_value(form_n) AS form_n FROM f JOIN t USING (word) GROUP BY word, form""",
     "op13_merkle_manifest": _merkle_sql(7, 3),
     "op5_shingle_join": f"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
   s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE [array_to_string(w[i:i + 3], ' ') FOR i IN range(1, len(w) - 2)] END) AS sh FROM d),
@@ -124,7 +142,7 @@ ORACLES = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language, op2_quality, op3_secrets, op4_html, op5_shingle_join, op6_decontamination, op7_token_counts, op8_token_records, op9_embedding_dedup, op10_mixing, op11_exact_dedup, op13_merkle_manifest)}
+    return {f.__name__: f for f in (op1_language, op2_quality, op3_secrets, op4_html, op5_shingle_join, op6_decontamination, op7_token_counts, op8_token_records, op9_embedding_dedup, op10_mixing, op11_exact_dedup, op12_spelling, op13_merkle_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:
