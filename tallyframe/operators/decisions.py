@@ -1,16 +1,19 @@
 """The decision log and what it makes of candidates (F1-F16).
 
-Events: (account, seq, action, bank, books, side, record_number, classification, exceptions, reason). Pair actions are
-confirm, unmatch, reject and restore; classify and clear name a side and a record; complete names nothing.
+Events come in two forms. By record: (account, seq, action, bank, books, side, record_number, classification, exceptions,
+reason) with whole numbers. By unit key, as session documents have them: (account, seq, action, bank, books, key,
+classification, ...) with texts, where a key of several members is a group. Pair actions are confirm, unmatch, reject
+and restore; classify and clear name a record or key; complete names nothing.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.text import direction as direction_of
-from ..functions.text import found
+from ..functions.text import found, unit_members
 from ..scratch import materialize
 from .components import components
 from .numbering import numbered
@@ -119,8 +122,29 @@ def history_problems(events: DataFrame) -> DataFrame:
     return numbered(events, ["account"], [F.col("seq")], "want").select("account", "seq", F.explode(said).alias("message"))
 
 
+def _by_key(events: DataFrame) -> bool:
+    return "key" in events.columns
+
+
+def _members(events: DataFrame) -> dict[str, Column]:
+    """The members that bank, books and own (what classify names) stand for, as arrays of text, empty where there is none.
+    A text that is no unit key stands for itself."""
+    none = F.array().cast("array<string>")
+    if _by_key(events):
+        one = lambda m: F.concat_ws("|", m["side"], m["fingerprint"], m["record"].cast("string"))
+        listed = lambda c: F.when(F.col(c).isNull(), none).otherwise(F.coalesce(F.transform(unit_members(F.col(c)), one), F.array(c)))
+        return {"bank": listed("bank"), "books": listed("books"), "own": listed("key")}
+    end = lambda side, c: F.when(F.col(c).isNull(), none).otherwise(F.array(F.concat_ws("|", side, F.col(c).cast("string"))))
+    return {"bank": end(F.lit("bank"), "bank"), "books": end(F.lit("books"), "books"), "own": end(F.col("side"), "record_number")}
+
+
 def event_members(events: DataFrame) -> DataFrame:
-    """Each event's transactions: (account, seq, side, record_number)."""
+    """Each event's transactions (F15): (account, seq, side, record_number); of events by unit key each member of a group,
+    with its fingerprint: (account, seq, side, fingerprint, record_number). Keys in no canonical form have none."""
+    if _by_key(events):
+        named = F.array_compact(F.array("bank", "books", "key"))
+        one = events.select("account", "seq", F.explode(named).alias("unit")).select("account", "seq", F.inline(unit_members(F.col("unit"))))
+        return one.select("account", "seq", "side", "fingerprint", F.col("record").alias("record_number"))
     ends = F.array_compact(
         F.array(
             F.when(F.col("bank").isNotNull(), F.struct(F.lit("bank").alias("side"), F.col("bank").alias("record_number"))),
@@ -168,34 +192,59 @@ def judge(events: DataFrame, checked: DataFrame, candidates: DataFrame, units: D
     return e.select("account", "seq", F.col("why").isNull().alias("allowed"), F.col("gone").isNull().alias("present"), "why")
 
 
-def replay(events: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
-    """Walks each history by seq: (account, seq, action, bank, books, side, record_number, classification, outcome).
+#: Accounts with more events than this are replayed by components of linked events, all others each as a whole.
+WHOLE = 200_000
 
-    verdicts: what the data say, by event (account, seq, allowed, present) as judge() gives it, or by pair (account,
-    bank, books, allowed) for confirmations; a pair that is not there is not allowed. Without verdicts only the history
-    itself is held against its own rules (F1): a unit has one active match, a pair is active, rejected or neither, a
-    matched unit is not classified, and only what is classified is cleared. An event that its source, the data or the
-    history refuses lapses. An unmatch of a pair whose confirmation lapsed is skipped, once for all lapses before it;
-    rejections survive, and a confirmation may take a unit that is classified.
 
-    Events that share neither a unit nor an edge do not touch each other, so the components of the events' members are
-    replayed apart, each as a stream in a task that holds its live state alone.
+def replay(events: DataFrame, verdicts: DataFrame | None = None, state: DataFrame | None = None) -> DataFrame:
+    """Walks each history by seq: the events by record or by unit key, each with its outcome and, if it lapsed, why.
+
+    verdicts: what the data say, by event (account, seq, allowed, present, why) as judge() gives it, or by pair (account,
+    bank, books, allowed) for confirmations; a pair that is not there is not allowed. Without verdicts only the history
+    itself is held against its own rules (F1): a transaction has one active match, also as a member of a group; a pair of
+    units is active, rejected or neither; a unit with a matched transaction is not classified, and only what is classified
+    is cleared. An event that its source, the data or the history refuses lapses. An unmatch of a pair whose confirmation
+    lapsed is skipped, once for all lapses before it; rejections survive, and a confirmation may take a unit that is
+    classified. state: what histories before these events have come to, as facts() tells; the walk starts from there.
+
+    A history is a stream in one task, which holds its live state alone. Where an account has more than WHOLE events, those
+    that share no transaction, not even through others, do not touch each other, and each component is a stream of its own.
     """
-    event = F.struct("account", F.lit("event").alias("side"), F.col("seq").alias("record_number"))
-    keyed = events.withColumn("node", event)
-    edges = event_members(events).select(event.alias("a"), F.struct("account", "side", "record_number").alias("b"))
+    own = ["key"] if _by_key(events) else ["side", "record_number"]
+    shown = ["account", "seq", "action", "bank", "books", *own, "classification"]
     if verdicts is None:
-        judged = keyed.withColumns({"allowed": F.lit(True), "present": F.lit(True)})
+        judged = events.withColumns({"allowed": F.lit(True), "present": F.lit(True), "why": F.lit(None).cast("string")})
     elif "seq" in verdicts.columns:
-        judged = keyed.join(verdicts.select("account", "seq", "allowed", "present"), ["account", "seq"], "left")
+        why = F.col("why") if "why" in verdicts.columns else F.lit(None).cast("string").alias("why")
+        judged = events.drop("allowed", "present", "why").join(verdicts.select("account", "seq", "allowed", "present", why), ["account", "seq"], "left")
     else:
-        judged = keyed.join(verdicts.select("account", "bank", "books", "allowed"), ["account", "bank", "books"], "left").withColumn("present", F.lit(True))
+        judged = events.drop("allowed", "present", "why").join(verdicts.select("account", "bank", "books", "allowed"), ["account", "bank", "books"], "left").withColumns({"present": F.lit(True), "why": F.lit(None).cast("string")})
         judged = judged.withColumn("allowed", F.when(F.col("action") == "confirm", F.coalesce("allowed", F.lit(False))).otherwise(True))
-    judged = judged.join(components(edges, "a", "b"), "node", "left")
-    judged = judged.select("account", "seq", "action", "bank", "books", "side", "record_number", "classification", F.coalesce("allowed", F.lit(False)).alias("allowed"), F.coalesce("present", F.lit(True)).alias("present"), F.xxhash64(F.coalesce("component", "node")).alias("component"))  # components of one hash may share a state
+    unit = F.col("key") if _by_key(events) else F.concat_ws("|", "side", F.col("record_number").cast("string"))
+    judged = judged.select(
+        *shown, F.coalesce("allowed", F.lit(False)).alias("allowed"), F.coalesce("present", F.lit(True)).alias("present"), "why",
+        *[m.alias(f"{k}_members") for k, m in _members(judged).items()], F.col("bank").cast("string").alias("bank_unit"), F.col("books").cast("string").alias("books_unit"), unit.alias("own_unit"), F.lit(False).alias("given"),
+    )
+    if state is not None:
+        judged = judged.unionByName(_given(state), allowMissingColumns=True)
+    many = events.groupBy("account").count().filter(F.col("count") > WHOLE)
+    if many.isEmpty():
+        dealt = judged.withColumn("component", F.xxhash64("account"))
+    else:
+        dealt = _apart(judged, many.select("account"))
     parts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    schema = "account string, seq long, action string, bank long, books long, side string, record_number long, classification string, outcome string"
-    return judged.repartition(parts, "component").sortWithinPartitions("component", "account", "seq").mapInArrow(_walk, schema)
+    schema = StructType([*judged.select(*shown).schema.fields, StructField("outcome", StringType()), StructField("reason_lapsed", StringType())])
+    return dealt.repartition(parts, "component").sortWithinPartitions("component", "account", "seq").mapInArrow(_walk, schema)
+
+
+def _apart(judged: DataFrame, accounts: DataFrame) -> DataFrame:
+    """Rows with the component of events and facts that share transactions, in the accounts that are too long to be whole."""
+    node = F.struct("account", F.lit("event").alias("kind"), F.concat_ws("|", F.col("seq").cast("string"), F.col("given").cast("string"), "bank_unit", "books_unit", "own_unit").alias("name"))
+    long = judged.join(accounts, "account", "left_semi").withColumn("node", node)
+    member = F.explode(F.concat("bank_members", "books_members", "own_members"))
+    edges = long.select("node", "account", member.alias("name")).select(F.col("node").alias("a"), F.struct("account", F.lit("member").alias("kind"), "name").alias("b"))
+    named = long.join(components(edges, "a", "b"), "node", "left").withColumn("component", F.xxhash64(F.coalesce("component", "node"))).drop("node")  # components of one hash may share a state
+    return judged.join(accounts, "account", "left_anti").withColumn("component", F.xxhash64("account")).unionByName(named)
 
 
 class _State:
@@ -203,44 +252,71 @@ class _State:
 
     def __init__(self):
         self.used: dict = {}
-        self.refused, self.lapsed, self.classified = set(), set(), set()
-
-    def outcome(self, r) -> str:
-        if r["action"] == "complete":
-            return "applied"
-        if r["action"] in ("classify", "clear"):
-            unit = (r["account"], r["side"], r["record_number"])
-            if not r["present"] or unit in self.used or r["action"] == "clear" and unit not in self.classified or not r["allowed"]:
-                return "lapsed"
-            (self.classified.add if r["action"] == "classify" else self.classified.discard)(unit)
-            return "applied"
-        bank, books, edge = (r["account"], "bank", r["bank"]), (r["account"], "books", r["books"]), (r["account"], r["bank"], r["books"])
-        active = self.used.get(bank) == edge
-        if r["action"] == "unmatch" and r["present"] and edge in self.lapsed:
+        self.active, self.refused, self.lapsed, self.classified = set(), set(), set(), set()
+
+    def outcome(self, r) -> tuple[str, str | None]:
+        action, account = r["action"], r["account"]
+        if action == "complete":
+            return "applied", None
+        if action in ("classify", "clear"):
+            unit = (account, r["own_unit"])
+            why = (
+                None if r["given"]
+                else "its source is not loaded" if not r["present"]
+                else "a matched transaction is not classified" if any((account, m) in self.used for m in r["own_members"])
+                else "it is not classified" if action == "clear" and unit not in self.classified
+                else None if r["allowed"]
+                else r["why"] or "the data do not allow it"
+            )
+            if why is None:
+                (self.classified.add if action == "classify" else self.classified.discard)(unit)
+            return ("lapsed", why) if why else ("applied", None)
+        edge = (account, r["bank_unit"], r["books_unit"])
+        if action == "lapse":  # of a state: a confirmation that lapsed and that no unmatch has met yet
+            self.lapsed.add(edge)
+            return "applied", None
+        if action == "unmatch" and r["present"] and edge in self.lapsed:
             self.lapsed.discard(edge)
-            return "skipped"
-        holds = r["present"] and {
-            "confirm": edge not in self.refused and bank not in self.used and books not in self.used and r["allowed"],
-            "unmatch": active,
-            "reject": not active and edge not in self.refused,
-            "restore": edge in self.refused,
-        }.get(r["action"], False)
-        if not holds:
-            if r["action"] == "confirm":
+            return "skipped", None
+        members = [(account, m) for m in (*r["bank_members"], *r["books_members"])]
+        why = None if r["given"] else self.against(r, edge, action)
+        if why is not None:
+            if action == "confirm":
                 self.lapsed.add(edge)
-            return "lapsed"
-        if r["action"] == "confirm":
-            self.used[bank] = self.used[books] = edge
-        elif r["action"] == "unmatch":
-            del self.used[bank], self.used[books]
+            return "lapsed", why
+        if action == "confirm":
+            self.active.add(edge)
+            self.used.update(dict.fromkeys(members, edge))
+        elif action == "unmatch":
+            self.active.discard(edge)
+            for m in members:
+                self.used.pop(m, None)
         else:
-            (self.refused.add if r["action"] == "reject" else self.refused.discard)(edge)
-        return "applied"
+            (self.refused.add if action == "reject" else self.refused.discard)(edge)
+        return "applied", None
+
+    def against(self, r, edge, action) -> str | None:
+        """What speaks against a pair event, in the order: source, history, data."""
+        if not r["present"]:
+            return "its source is not loaded"
+        if action == "confirm":
+            if edge in self.refused:
+                return "the pair is rejected"
+            for side in ("bank", "books"):
+                if any((r["account"], m) in self.used for m in r[f"{side}_members"]):
+                    return f"a {side} transaction is in another match" if edge not in self.active else "the pair is matched"
+            return None if r["allowed"] else r["why"] or "the data do not allow it"
+        if action == "unmatch":
+            return None if edge in self.active else "the pair is not matched"
+        if action == "reject":
+            return "the pair is matched" if edge in self.active else "the pair is rejected" if edge in self.refused else None
+        return "unknown action" if action != "restore" else None if edge in self.refused else "the pair is not rejected"
 
 
 def _walk(batches):
     """Arrow rows in order of component and seq, with the outcome of each. Numbers stay whole, nulls stay nulls."""
     import pyarrow as pa
+    import pyarrow.compute
 
     at, state = None, _State()
     for batch in batches:
@@ -249,8 +325,60 @@ def _walk(batches):
             if r["component"] != at:
                 at, state = r["component"], _State()
             outcomes.append(state.outcome(r))
-        kept = [c for c in batch.schema.names if c not in ("allowed", "present", "component")]
-        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(outcomes, pa.string())], names=[*kept, "outcome"])
+        kept = batch.schema.names[: batch.schema.names.index("allowed")]
+        out = pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *[pa.array([o[i] for o in outcomes], pa.string()) for i in range(2)]], names=[*kept, "outcome", "reason_lapsed"])
+        yield out.filter(pa.compute.invert(batch.column("given")))
+
+
+#: What identifies a fact of a history's state. unit: what a classification is of.
+FACT = ["account", "kind", "bank", "books", "unit"]
+
+
+def facts(replayed: DataFrame, state: DataFrame | None = None) -> DataFrame:
+    """What histories have come to: (account, kind, bank, books, unit, members, value, seq), a row per fact, from the outcomes
+    of replay() and the state that it began with.
+
+    kind pair: value confirm (active) or reject; lapse: a confirmation that lapsed and that no unmatch has met; unit: value
+    is the classification; account: seq is the last one; complete: that of the last completion. A null value says that the
+    fact holds no more, so that it can overrule an older one. Everything is a last event by key: no walk.
+    """
+    by_key = _by_key(replayed)
+    text = lambda c: F.col(c).cast("string").alias(c)
+    none = F.lit(None).cast("string")
+    m = _members(replayed)
+    unit = F.col("key") if by_key else F.when(F.col("record_number").isNotNull(), F.concat_ws("|", "side", F.col("record_number").cast("string")))
+    rows = replayed.select("account", "seq", "action", text("bank"), text("books"), unit.alias("unit"), "classification", "outcome", F.concat(m["bank"], m["books"], m["own"]).alias("members"))
+    done = F.col("outcome") == "applied"
+    pair, own = F.col("action").isin(*PAIR), F.col("action").isin("classify", "clear")
+    lapse = ((F.col("action") == "confirm") & (F.col("outcome") == "lapsed")) | (F.col("outcome") == "skipped")
+    no_members = F.array().cast("array<string>")
+
+    def made(when, kind, value, of_account=False):
+        ends = [none.alias("bank"), none.alias("books"), none.alias("unit")] if of_account else ["bank", "books", "unit"]
+        return rows.filter(when).select("account", F.lit(kind).alias("kind"), *ends, (no_members if of_account else F.col("members")).alias("members"), value.cast("string").alias("value"), "seq")
+
+    new = made(done & pair, "pair", F.when(F.col("action").isin("confirm", "reject"), F.col("action")))
+    new = new.unionByName(made(lapse & pair, "lapse", F.when(F.col("action") == "confirm", F.lit("confirm"))))
+    new = new.unionByName(made(done & own, "unit", F.when(F.col("action") == "classify", F.coalesce("classification", F.lit("")))))
+    new = new.unionByName(made(F.lit(True), "account", F.lit("last"), True)).unionByName(made(F.col("action") == "complete", "complete", F.lit("complete"), True))
+    return latest(new if state is None else new.unionByName(state.select(new.columns)))
+
+
+def latest(rows: DataFrame) -> DataFrame:
+    """Of facts that tell of one thing, the one with the last seq."""
+    at = F.struct("seq", "value", "members")
+    return rows.groupBy(*FACT).agg(F.max(at).alias("at")).select(*FACT, F.col("at")["members"].alias("members"), F.col("at")["value"].alias("value"), F.col("at")["seq"].alias("seq"))
+
+
+def _given(state: DataFrame) -> DataFrame:
+    """Facts as rows that a walk takes as they are."""
+    none = F.array().cast("array<string>")
+    action = F.when(F.col("kind") == "lapse", "lapse").when(F.col("kind") == "unit", "classify").otherwise(F.col("value"))
+    live = state.filter("value IS NOT NULL AND kind IN ('pair', 'lapse', 'unit')")
+    return live.select(
+        "account", "seq", action.alias("action"), F.lit(True).alias("allowed"), F.lit(True).alias("present"), F.lit(None).cast("string").alias("why"), F.col("members").alias("bank_members"), none.alias("books_members"), none.alias("own_members"),
+        F.col("bank").alias("bank_unit"), F.col("books").alias("books_unit"), F.col("unit").alias("own_unit"), F.lit(True).alias("given"),
+    )
 
 
 def load(events: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -265,11 +393,29 @@ def load(events: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def append(log: DataFrame, new: DataFrame, verdicts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(accepted, refused accounts): new events of an account are taken whole if they follow its last seq without a gap
-    and none of them would lapse, else not at all. Only histories that get new events are replayed."""
+    and none of them would lapse, else not at all. Only histories that get new events are replayed; `advance` starts from
+    a state that was kept, History keeps it in a folder."""
     touched = log.join(new.select("account").distinct(), "account", "left_semi")
-    last = touched.groupBy("account").agg(F.max("seq").alias("last"))
-    nth = F.row_number().over(Window.partitionBy("account").orderBy("seq"))
-    stale = new.withColumn("nth", nth).join(last, "account", "left").filter(F.col("seq") != F.coalesce("last", F.lit(0)) + F.col("nth")).select("account")
+    bad = out_of_turn(new, touched.groupBy("account").agg(F.max("seq").alias("last")))
     failed = replay(touched.unionByName(new), verdicts).join(new.select("account", "seq"), ["account", "seq"], "left_semi").filter("outcome != 'applied'").select("account")
-    bad = stale.unionByName(failed).distinct()
+    bad = bad.unionByName(failed).distinct()
     return new.join(bad, "account", "left_anti"), bad
+
+
+def out_of_turn(new: DataFrame, last: DataFrame) -> DataFrame:
+    """Accounts whose new events do not follow the last seq (account, last) one by one."""
+    asked = new.groupBy("account").agg(F.min("seq").alias("low"), F.max("seq").alias("high"), F.count("*").alias("n"), F.countDistinct("seq").alias("seqs"))
+    after = F.coalesce("last", F.lit(0)) + 1
+    return asked.join(last, "account", "left").filter((F.col("low") != after) | (F.col("n") != F.col("seqs")) | (F.col("high") != F.col("low") + F.col("n") - 1)).select("account")
+
+
+def advance(state: DataFrame, new: DataFrame, verdicts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(replayed, refused accounts): new events walked from the state (facts) that histories have come to, so the time does
+    not depend on how long they are. Only facts of the transactions that new events name are walked through; which accounts
+    are taken is as in append()."""
+    named = new.select("account", F.explode(F.concat(*_members(new).values())).alias("member")).distinct()
+    met = state.withColumn("member", F.explode("members")).join(named, ["account", "member"], "left_semi").drop("member").distinct()
+    replayed = replay(new, verdicts, met)
+    last = state.filter("kind = 'account'").select("account", F.col("seq").alias("last"))
+    bad = out_of_turn(new, last).unionByName(replayed.filter("outcome != 'applied'").select("account")).distinct()
+    return replayed, bad
