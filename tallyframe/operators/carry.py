@@ -78,6 +78,22 @@ def order_conflicts(items: DataFrame) -> DataFrame:
     return items.withColumn("earlier", F.min("place").over(w)).filter("earlier is not null").select("place", "lineage", "earlier")
 
 
+def import_order(items: DataFrame, cleared: DataFrame) -> DataFrame:
+    """What files say against the files before them: (place, lineage, message, earlier).
+
+    items and cleared (place, lineage): what each file lists as outstanding and as cleared; files are imported by place. A
+    listed item that an earlier file lists or clears, and a clearance of what an earlier file lists, are told with the
+    first such place. All that earlier files say counts, also of files that are refused. A lineage's fold over the files
+    comes to its first listing and first clearance, so no lineage is gathered.
+    """
+    marks = items.select("place", "lineage", F.lit(True).alias("listed")).unionByName(cleared.select("place", "lineage", F.lit(False).alias("listed")))
+    first = marks.groupBy("lineage").agg(F.min(F.when(F.col("listed"), F.col("place"))).alias("l"), F.min(F.when(~F.col("listed"), F.col("place"))).alias("c"))
+    say = lambda when, message, earlier: F.when(when & (F.col(earlier) < F.col("place")), F.struct(F.lit(message).alias("message"), F.col(earlier).alias("earlier")))
+    listed = F.col("listed")
+    said = F.array_compact(F.array(say(listed, "already imported", "l"), say(listed, "already cleared", "c"), say(~listed, "cleared there, but imported here as outstanding", "l")))
+    return marks.join(first, "lineage").select("place", "lineage", F.inline(said))
+
+
 def overlaps(items: DataFrame, units: DataFrame) -> DataFrame:
     """Carried items equal to a current transaction on side, day, amount and reference (null equals null); reported,
     never dropped. (lineage, record_numbers)"""

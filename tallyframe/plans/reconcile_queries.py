@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..config import MatchingRules, SideMapping
+from ..functions.text import unit_key
 from ..operators import accounting as G
 from ..operators import carry as H
 from ..operators import decisions as D
@@ -474,6 +475,89 @@ def f14_append(spark, sf):
     return new.select("account", "seq").join(accepted.select("account", "seq", F.lit(True).alias("a")), ["account", "seq"], "left").select("account", "seq", F.coalesce("a", F.lit(False)).alias("accepted"))
 
 
+def _walk_sql(ev: str) -> str:
+    """Histories walked event by event, on sets of used transactions, active and rejected pairs and open lapses. ev has
+    account, seq, action, edge, bm, lm and om (members of bank, books and what is classified), allowed."""
+    own = "CASE WHEN list_contains(w.active, e.edge) THEN 'the pair is matched' ELSE 'a {} transaction is in another match' END"
+    less = lambda xs, x: f"list_filter(w.{xs}, lambda x: NOT list_contains({x}, x))"
+    return f"""WITH RECURSIVE ev AS ({ev}),
+  walk AS (SELECT account, CAST(0 AS BIGINT) AS seq, CAST('start' AS STRING) AS outcome, CAST(NULL AS STRING) AS why, CAST([] AS STRING[]) AS used, CAST([] AS STRING[]) AS active, CAST([] AS STRING[]) AS refused, CAST([] AS STRING[]) AS lapsed FROM (SELECT DISTINCT account FROM ev)
+    UNION ALL SELECT w.account, e.seq, o.outcome, CASE WHEN o.outcome = 'lapsed' THEN n.why END,
+      CASE WHEN o.outcome <> 'applied' THEN w.used WHEN e.action = 'confirm' THEN list_concat(w.used, list_concat(e.bm, e.lm)) WHEN e.action = 'unmatch' THEN {less("used", "list_concat(e.bm, e.lm)")} ELSE w.used END,
+      CASE WHEN o.outcome <> 'applied' THEN w.active WHEN e.action = 'confirm' THEN list_append(w.active, e.edge) WHEN e.action = 'unmatch' THEN {less("active", "[e.edge]")} ELSE w.active END,
+      CASE WHEN o.outcome <> 'applied' THEN w.refused WHEN e.action = 'reject' THEN list_append(w.refused, e.edge) WHEN e.action = 'restore' THEN {less("refused", "[e.edge]")} ELSE w.refused END,
+      CASE WHEN o.outcome = 'lapsed' AND e.action = 'confirm' THEN list_append(w.lapsed, e.edge) WHEN o.outcome = 'skipped' THEN {less("lapsed", "[e.edge]")} ELSE w.lapsed END
+    FROM walk w JOIN ev e ON e.account = w.account AND e.seq = w.seq + 1,
+    LATERAL (SELECT CASE e.action
+      WHEN 'confirm' THEN CASE WHEN list_contains(w.refused, e.edge) THEN 'the pair is rejected' WHEN list_has_any(w.used, e.bm) THEN {own.format("bank")} WHEN list_has_any(w.used, e.lm) THEN {own.format("books")} WHEN NOT e.allowed THEN 'the data do not allow it' END
+      WHEN 'unmatch' THEN CASE WHEN list_contains(w.lapsed, e.edge) THEN 'skip' WHEN NOT list_contains(w.active, e.edge) THEN 'the pair is not matched' END
+      WHEN 'reject' THEN CASE WHEN list_contains(w.active, e.edge) THEN 'the pair is matched' WHEN list_contains(w.refused, e.edge) THEN 'the pair is rejected' END
+      WHEN 'restore' THEN CASE WHEN NOT list_contains(w.refused, e.edge) THEN 'the pair is not rejected' END
+      ELSE CASE WHEN list_has_any(w.used, e.om) THEN 'a matched transaction is not classified' END END AS why) n,
+    LATERAL (SELECT CASE WHEN n.why IS NULL THEN 'applied' WHEN n.why = 'skip' THEN 'skipped' ELSE 'lapsed' END AS outcome) o)"""
+
+
+_FP = "sha256(account)"
+# a third of the bank numbers of the log stand for groups of two records, which overlap the units of other numbers
+_RECORDS = "CASE WHEN {0} % 3 = 0 THEN [{0} + 1, {0} + 2] ELSE [{0} + 1] END"
+_KEYED = f"""SELECT account, seq, action, CASE WHEN bank IS NOT NULL THEN {_RECORDS.format("bank")} END AS b, CASE WHEN books IS NOT NULL THEN [books + 1] END AS l, CASE WHEN record_number IS NOT NULL THEN {_RECORDS.format("record_number")} END AS o,
+  coalesce((bank + books) % 4 <> 0, true) AS allowed FROM log"""
+_MEMBERS = """list_transform(coalesce({0}, []), lambda r: '{1}|' || r)"""
+_EV = f"""SELECT account, seq, action, array_to_string(b, '+') || '~' || array_to_string(l, '+') AS edge, {_MEMBERS.format("b", "bank")} AS bm, {_MEMBERS.format("l", "books")} AS lm, {_MEMBERS.format("o", "bank")} AS om, allowed FROM ({_KEYED})"""
+
+
+def _group_log(spark, sf):
+    """The log by unit keys: numbers that three divides are groups of two bank records."""
+    log = _log(spark, sf)
+    fp = F.sha2("account", 256)
+
+    def unit(side, c, grouped=True):
+        n = F.col(c)
+        records = F.when((n % 3 == 0) & F.lit(grouped), F.array(n + 1, n + 2)).otherwise(F.array(n + 1))
+        return F.when(n.isNotNull(), unit_key(F.lit(side), F.transform(records, lambda r: F.struct(fp.alias("fingerprint"), r.alias("record")))))
+
+    events = log.select("account", "seq", "action", unit("bank", "bank").alias("bank"), unit("books", "books", False).alias("books"), unit("bank", "record_number").alias("key"), "classification")
+    verdicts = log.select("account", "seq", F.coalesce(F.pmod(F.col("bank") + F.col("books"), F.lit(4)) != 0, F.lit(True)).alias("allowed"), F.lit(True).alias("present"))
+    return events, verdicts
+
+
+@query(f"{_walk_sql(_EV)} SELECT account, seq, outcome, why FROM walk WHERE seq > 0")
+def f04_group_replay(spark, sf):
+    """histories over group units. A confirmed group holds each of its members; what lapses says why."""
+    return D.replay(*_group_log(spark, sf)).select("account", "seq", "outcome", F.col("reason_lapsed").alias("why"))
+
+
+@query(f"""{_walk_sql(_EV)}, e AS (SELECT * FROM walk WHERE seq = (SELECT max(seq) FROM ev WHERE ev.account = walk.account)) SELECT account, 'confirm' AS value, unnest(active) AS edge FROM e UNION ALL SELECT account, 'reject', unnest(refused) FROM e UNION ALL SELECT account, 'lapse', edge FROM (SELECT DISTINCT account, unnest(lapsed) AS edge FROM e)""")
+def f05_group_facts(spark, sf):
+    """what those histories have come to: active and rejected pairs of units and lapses that no unmatch has met, each
+    the last event of its kind by pair."""
+    got = D.facts(D.replay(*_group_log(spark, sf))).filter("kind IN ('pair', 'lapse') AND value IS NOT NULL")
+    last = lambda c: F.substring_index(c, "|", -1)
+    return got.select("account", F.when(F.col("kind") == "lapse", "lapse").otherwise(F.col("value")).alias("value"), F.concat_ws("~", last("bank"), last("books")).alias("edge"))
+
+
+@query(f"{_walk_sql(_EV)} SELECT account, seq, outcome, why FROM walk WHERE seq > 0")
+def f14_kept_history(spark, sf):
+    """histories that come in four parts and are kept in a folder: each part is walked from the kept facts alone, and
+    all outcomes are those of one walk over the whole."""
+    from ..operators.history import History
+    from ..scratch import new_path
+
+    events, verdicts = _group_log(spark, sf)
+    kept = History(spark, new_path(spark, "history"))
+    for low, high in ((0, 3), (3, 4), (4, 12), (12, None)):
+        part = F.col("seq") > low if high is None else F.col("seq").between(low + 1, high)
+        kept.append(events.filter(part), verdicts.filter(part), lapsing=True)
+    return kept.events().select("account", "seq", "outcome", F.col("reason_lapsed").alias("why"))
+
+
+@query("""WITH m AS (SELECT account, seq, 'bank' AS side, bank AS n FROM log WHERE bank IS NOT NULL UNION ALL SELECT account, seq, 'bank', record_number FROM log WHERE record_number IS NOT NULL)
+  SELECT account, seq, side, unnest(CASE WHEN n % 3 = 0 THEN [n + 1, n + 2] ELSE [n + 1] END) AS record_number FROM m UNION ALL SELECT account, seq, 'books', books + 1 FROM log WHERE books IS NOT NULL""")
+def f15_group_members(spark, sf):
+    """the transactions of each event, groups expanded."""
+    return D.event_members(_group_log(spark, sf)[0]).select("account", "seq", "side", "record_number")
+
+
 # ---- G: balances
 
 _TOT = "t AS (SELECT account, CAST(coalesce(sum(amount) FILTER (WHERE NOT is_carried), 0) AS BIGINT) AS movement, CAST(coalesce(sum(amount) FILTER (WHERE is_carried), 0) AS BIGINT) AS opening FROM {0} GROUP BY account)"
@@ -638,6 +722,17 @@ def h08_order_conflicts(spark, sf):
     return H.order_conflicts(_items(spark, sf))
 
 
+@query("""WITH f AS (SELECT 'L' || CAST(l_partkey AS STRING) AS lineage, CAST(l_orderkey % 12 AS BIGINT) AS place, l_linenumber % 2 = 1 AS listed FROM lineitem), a AS (SELECT DISTINCT lineage, place, listed FROM f),
+  c AS (SELECT a.*, (SELECT min(place) FROM a b WHERE b.lineage = a.lineage AND b.listed AND b.place < a.place) AS l, (SELECT min(place) FROM a b WHERE b.lineage = a.lineage AND NOT b.listed AND b.place < a.place) AS g FROM a)
+  SELECT place, lineage, 'already imported' AS message, l AS earlier FROM c WHERE listed AND l IS NOT NULL UNION ALL SELECT place, lineage, 'already cleared', g FROM c WHERE listed AND g IS NOT NULL
+  UNION ALL SELECT place, lineage, 'cleared there, but imported here as outstanding', l FROM c WHERE NOT listed AND l IS NOT NULL""")
+def h08_import_order(spark, sf):
+    """H8: twelve files in order, which list and clear lineages: each against all that earlier files said."""
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").select(F.concat(F.lit("L"), "l_partkey").alias("lineage"), (F.col("l_orderkey") % 12).cast("long").alias("place"), (F.col("l_linenumber") % 2 == 1).alias("listed"))
+    said = lambda listed: rows.filter(F.col("listed") == listed).select("place", "lineage").distinct()
+    return H.import_order(said(True), said(False))
+
+
 _FIRST = "(SELECT account, bank, books FROM (SELECT *, row_number() OVER (PARTITION BY account, bank ORDER BY books) AS nb, row_number() OVER (PARTITION BY account, books ORDER BY bank) AS nl FROM {0}) WHERE nb = 1 AND nl = 1)"
 _CHAIN = f"""u1 AS (SELECT 'bank' AS side, account, record_number, day, amount, false AS carried FROM bank WHERE day < DATE '2024-01-11' UNION ALL SELECT 'books', account, record_number, day, amount, false FROM books WHERE day < DATE '2024-01-11'),
   q1 AS (SELECT b.account, b.record_number AS bank, l.record_number AS books FROM u1 b JOIN u1 l ON b.side = 'bank' AND l.side = 'books' AND b.account = l.account AND b.amount = l.amount AND l.day >= b.day - 3 AND l.day <= b.day + 3), c1 AS {_FIRST.format("q1")},
@@ -744,6 +839,22 @@ def a16_outstanding_round_trip(spark, sf):
 def a18_session_round_trip(spark, sf):
     """A session document for each history, written and read back; those whose
     first event breaks a rule without a reason are refused whole."""
+    found = _sessions(spark, sf)
+    record = lambda c: (F.substring_index(c, "|", -1).cast("long") - 1)
+    return found["events"].join(found["sessions"].select("file", "account"), "file").select("account", "seq", "action", record("bank").alias("bank_record"), record("books").alias("books_record"))
+
+
+@query(f"""{_walk_sql("""SELECT account, seq, action, bank || '~' || books AS edge, CASE WHEN bank IS NOT NULL THEN ['bank|' || bank] ELSE [] END AS bm, CASE WHEN books IS NOT NULL THEN ['books|' || books] ELSE [] END AS lm, CASE WHEN own IS NOT NULL THEN ['bank|' || own] ELSE [] END AS om, true AS allowed
+  FROM (SELECT account, seq, CASE WHEN seq = 1 THEN 'confirm' ELSE action END AS action, CASE WHEN seq = 1 THEN 0 ELSE bank END AS bank, CASE WHEN seq = 1 THEN 0 ELSE books END AS books, CASE WHEN seq > 1 THEN record_number END AS own FROM log WHERE CAST(substr(account, 2) AS BIGINT) % 3 <> 0)""")} SELECT account, seq, outcome, why FROM walk WHERE seq > 0""")
+def f04_session_replay(spark, sf):
+    """The events of session documents go into the replay as they are read."""
+    found = _sessions(spark, sf)
+    events = found["events"].join(found["sessions"].select("file", "account"), "file")
+    return D.replay(events).select("account", "seq", "outcome", F.col("reason_lapsed").alias("why"))
+
+
+def _sessions(spark, sf):
+    """Session documents of the log, written and read back."""
     from ..scratch import new_path
     from ..sources import documents
 
@@ -763,6 +874,4 @@ def a18_session_round_trip(spark, sf):
     no_snapshots = events.select("file", F.lit("").alias("key"), F.lit(None).cast("date").alias("day"), *[F.lit("").alias(c) for c in ("amount", "direction", "reference", "description")]).limit(0)
     path = new_path(spark, "sessions")
     documents.write_sessions(documents.session_documents(sessions, events, no_snapshots), path)
-    found = documents.read_sessions(spark, [path], lines=True)
-    record = lambda c: (F.substring_index(c, "|", -1).cast("long") - 1)
-    return found["events"].join(found["sessions"].select("file", "account"), "file").select("account", "seq", "action", record("bank").alias("bank_record"), record("books").alias("books_record"))
+    return documents.read_sessions(spark, [path], lines=True)
