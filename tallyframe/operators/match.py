@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from ..config import MatchingRules
 from ..functions.text import references_agree
-from ..scratch import materialize
+from ..scratch import materialize, reading
 from .components import components
 from .numbering import numbered
 
@@ -65,6 +66,172 @@ def budgeted(pairs: DataFrame, most: int) -> DataFrame:
     return numbered(pairs, ["account"], [*_content("bank"), *_content("books")], "nth").filter(F.col("nth") <= most).join(totals, "account")
 
 
+def _weights(bank: DataFrame, books: DataFrame, rules: MatchingRules) -> DataFrame:
+    """Bank units with `weight`, the number of their candidates, and without any pair made: from counts of books by amount
+    and day and, where references are shared, by reference too."""
+    fold = F.lower if rules.fold_references else (lambda c: c)
+    b = _side(bank, "bank").withColumn("r", fold(F.col("bank_reference")))
+    l = _side(books, "books").withColumn("r", fold(F.col("books_reference")))
+    band = F.col("books_day").between(F.date_sub("bank_day", rules.days_after), F.date_add("bank_day", rules.days_before))
+    plain, no_ref = ~F.col("books_carried"), F.col("r").isNull()
+    kinds = {"all_p": plain, "all_c": ~plain, "null_p": plain & no_ref, "null_c": ~plain & no_ref}
+
+    def counted(keys: list[str], rows: DataFrame, what: dict) -> DataFrame:
+        by_day = rows.groupBy(*keys, "books_day").agg(*[F.count_if(c).alias(k) for k, c in what.items()])
+        days = b.select(*keys, "bank_day").distinct().join(by_day, keys).filter(band)
+        return days.groupBy(*keys, "bank_day").agg(*[F.sum(k).alias(k) for k in what])
+
+    out = b.join(counted(["account", "amount"], l, kinds), ["account", "amount", "bank_day"])
+    both = lambda p, c: F.col(p) + F.when(F.col("bank_carried"), 0).otherwise(F.col(c))
+    weight = both("all_p", "all_c")
+    if rules.share_references:
+        same = counted(["account", "amount", "r"], l.filter("r is not null"), {"eq_p": plain, "eq_c": ~plain})
+        out = out.join(same, ["account", "amount", "r", "bank_day"], "left").na.fill(0, ["eq_p", "eq_c"])
+        weight = F.when(F.col("r").isNull(), weight).otherwise(both("null_p", "null_c") + both("eq_p", "eq_c"))
+    return out.select("account", "amount", "bank", "bank_day", "bank_reference", "bank_carried", weight.cast("long").alias("weight")).filter("weight > 0")
+
+
+def budgeted_candidates(bank: DataFrame, books: DataFrame, rules: MatchingRules, most: int) -> DataFrame:
+    """The first `most` candidates of each account in content order, and whether there are more (E5): what budgeted() gives
+    of all candidates, without making them.
+
+    Bank units are put in order with the number of pairs each would have; only units that begin within the budget are
+    joined, and only the last of them is cut.
+    """
+    units = numbered(_weights(bank, books, rules), ["account"], _content("bank"), "nth", "weight")
+    kept = materialize(units.filter(F.col("before") < most), "within-budget")
+    incomplete = units.groupBy("account").agg((F.sum("weight") > most).alias("incomplete"))
+    chosen = kept.select("account", "amount", F.col("bank").alias("record_number"), F.col("bank_day").alias("day"), F.col("bank_reference").alias("reference"), F.col("bank_carried").alias("is_carried"))
+    pairs = candidates(chosen, books, rules).join(kept.select("account", "bank", "before", "weight"), ["account", "bank"])
+    whole = pairs.filter(F.col("before") + F.col("weight") <= most)
+    nth = F.row_number().over(Window.partitionBy("account").orderBy(*_content("books")))  # of one bank unit
+    cut = pairs.filter(F.col("before") + F.col("weight") > most).withColumn("nth", nth).filter(F.col("nth") <= most).filter(F.col("nth") <= most - F.col("before")).drop("nth")
+    return reading(whole.unionByName(cut).drop("before", "weight").join(incomplete, "account"), units, kept)
+
+
+#: Units of one account, amount and day that a window may put in order in one task, and pairs that a task makes of them.
+RUN = 1_000_000
+
+
+def suggestions(bank: DataFrame, books: DataFrame, rules: MatchingRules = MatchingRules()) -> DataFrame:
+    """Candidates with their conflict group and rank (E1, E4, E6-E8): what ranked() gives of candidates and their groups.
+
+    Units of one account, amount and day have the same candidates on the other side, so groups, and where a pair stands in
+    the order of its group, follow from counts by day: pairs are made last, with their ranks, and never sorted. That holds
+    unless references or carried items drop pairs; where they may, groups are components and pairs are put in order.
+    """
+    key, content = ["account", "amount"], lambda s: F.struct(F.coalesce(f"{s}_reference", F.lit("")).alias("reference"), F.col(s))
+    b, l = _side(bank, "bank"), _side(books, "books")
+    days = lambda df, side, n, *more: df.groupBy(*key, f"{side}_day").agg(F.count("*").alias(n), F.count_if(f"{side}_carried").alias(f"{n}_carried"), *more)
+    band = F.col("books_day").between(F.date_sub("bank_day", rules.days_after), F.date_add("bank_day", rules.days_before))
+    met = days(b, "bank", "nb", F.min(content("bank")).alias("first")).join(days(l, "books", "nl"), key).filter(band)
+    runs = most = None
+    if not rules.share_references:
+        runs = materialize(_runs(met), "runs")
+        most = runs.agg(F.max("nb"), F.max("nl"), F.max("salts"), F.max("nb_carried"), F.max("nl_carried")).first()
+    if runs is None or most[3] and most[4]:
+        pairs = materialize(candidates(bank, books, rules), "candidates")
+        grouped = groups(pairs)
+        return reading(ranked(pairs, grouped), pairs, grouped, *([runs] if runs is not None else []))
+    firsts = runs.filter("opens").select(*key, "island", "bank_day", F.col("first")["reference"].alias("reference"), F.col("first")["bank"].alias("unit"), "pairs")
+    placed = numbered(firsts, ["account"], ["bank_day", "amount", "reference", "unit"], "group", "pairs")
+    runs_placed = runs.drop("first", "opens", "pairs").join(placed.select(*key, "island", "group", "before"), [*key, "island"])
+
+    def indexed(units: DataFrame, side: str, longest: int) -> DataFrame:
+        at, order = [*key, f"{side}_day"], [F.coalesce(f"{side}_reference", F.lit("")), F.col(side)]
+        if longest <= RUN:
+            return units.withColumn(f"i_{side}", F.row_number().over(Window.partitionBy(*at).orderBy(*order)).cast("long"))
+        return numbered(units, at, order, f"i_{side}")
+
+    left, right = indexed(b, "bank", most[0] or 0), indexed(l, "books", most[1] or 0)
+    out, on = left.join(runs_placed, [*key, "bank_day"]), [*key, "books_day"]
+    if (most[2] or 1) > 1:  # a day's units that make very many pairs are dealt to several tasks
+        spread = runs.select(*on, "salts").distinct().select(*on, F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
+        out, full, on = out.withColumn("salt", F.pmod("i_bank", "salts")), right.join(spread, on), [*on, "salt"]
+    else:
+        full = right
+    rank = F.col("before") + F.col("offset") + (F.col("i_bank") - 1) * F.col("together") + F.col("shift") + F.col("i_books")
+    none = F.lit(None).cast("boolean").alias("agree")
+    got = out.join(full, on).select(*key, "bank", "books", "bank_day", "books_day", "bank_reference", "books_reference", F.datediff("bank_day", "books_day").alias("gap"), none, F.lit(3).alias("tier"), "group", rank.cast("long").alias("rank"))
+    return reading(got, runs, placed, left, right)
+
+
+def _runs(met: DataFrame) -> DataFrame:
+    """Bank day and books day that meet, with what places their pairs in the order of their group.
+
+    island: groups are islands of overlapping runs of books days; opens: the row with a group's first bank unit; pairs: of
+    the group; offset: pairs of the group that stand before those of this gap and bank day; together: candidates that one
+    bank unit has at this gap; shift: those of them on an earlier day; salts: tasks that the pairs of a books day take.
+    """
+    schema = StructType([*met.schema.fields, *[StructField(c, LongType()) for c in _PLACES], StructField("opens", BooleanType())])
+    parts = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    most = RUN
+    return met.repartition(parts, "account", "amount").sortWithinPartitions("account", "amount", "bank_day", "books_day").mapInArrow(lambda batches: _placed(batches, most), schema)
+
+
+_PLACES = ("island", "pairs", "offset", "together", "shift", "salts")
+
+
+def _placed(batches, most: int):
+    """Whole buckets (account, amount) at a time, of which one has as many rows as days that meet."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def changes(*columns):
+        """Where runs of equal rows begin."""
+        new = np.zeros(len(columns[0]), dtype=bool)
+        new[:1] = True
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+        return new
+
+    def sums(values, starts):
+        """(sum of each row's run, sum of its run before it)"""
+        at, run = np.flatnonzero(starts), np.cumsum(starts) - 1
+        before = np.cumsum(values) - values
+        return np.add.reduceat(values, at)[run], before - before[at][run]
+
+    def computed(rows: pa.RecordBatch, buckets) -> pa.RecordBatch:
+        day = lambda c: rows.column(c).cast(pa.int32()).to_numpy().astype(np.int64)
+        d, l, nb, nl = day("bank_day"), day("books_day"), rows.column("nb").to_numpy(), rows.column("nl").to_numpy()
+        n, one = nb * nl, changes(buckets, d)
+        at = np.flatnonzero(one)
+        low, high = l[at], l[np.append(at[1:], len(l)) - 1]  # both rise with the bank day
+        opens = changes(buckets[at])
+        opens[1:] |= low[1:] > high[:-1]
+        island = (np.cumsum(opens) - 1)[np.cumsum(one) - 1]
+        first = changes(island)
+        pairs, _ = sums(n, first)
+        gap = np.abs(d - l)
+        order = np.lexsort((l, d, gap, island))
+        _, ahead = sums(n[order], changes(island[order]))
+        group = changes(island[order], gap[order], d[order])
+        together, shift = sums(nl[order], group)
+        offset = ahead[np.flatnonzero(group)][np.cumsum(group) - 1]
+        back = np.argsort(order)
+        by_day = np.lexsort((l, buckets))
+        made, _ = sums(n[by_day], changes(buckets[by_day], l[by_day]))
+        salts = -(-made[np.argsort(by_day)] // most)
+        cols = [island, pairs, offset[back], together[back], shift[back], salts]
+        return pa.RecordBatch.from_arrays([*rows.columns, *[pa.array(c.astype(np.int64)) for c in cols], pa.array(first)], names=[*rows.schema.names, *_PLACES, "opens"])
+
+    rest = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if rest is not None:
+            batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+        ids = [pc.dictionary_encode(batch.column(c)).indices.to_numpy() for c in ("account", "amount")]
+        new = changes(*ids)
+        last = int(np.flatnonzero(new)[-1])
+        if last:
+            yield computed(batch.slice(0, last), np.cumsum(new)[:last])
+        rest = batch.slice(last)
+    if rest is not None and rest.num_rows:
+        yield computed(rest, np.ones(rest.num_rows, dtype=np.int64))
+
+
 def bank_groups(pairs: DataFrame) -> DataFrame:
     """(account, bank, group): conflict groups where no pair of a window was dropped, by their bank units. Each bank unit is
     linked to a run of books days, so groups are islands of overlapping runs in an (account, amount) bucket.

@@ -179,8 +179,14 @@ def e05_pair_counts(spark, sf):
 
 @query(f"WITH {_P} SELECT account, bank, books, incomplete FROM (SELECT account, bank, books, count(*) OVER (PARTITION BY account) > 100 AS incomplete, row_number() OVER (PARTITION BY account ORDER BY bank_day, amount, coalesce(bank_ref, ''), bank, books_day, coalesce(books_ref, ''), books) AS nth FROM p) WHERE nth <= 100")
 def e05_budgeted(spark, sf):
-    """E5: an optional budget in content order, and the flag that says so."""
-    return E.budgeted(_pairs(spark, sf), 100).select("account", "bank", "books", "incomplete")
+    """E5: an optional budget in content order, and the flag that says so, without making the pairs beyond it."""
+    return E.budgeted_candidates(*_both(spark, sf), PLAIN, 100).select("account", "bank", "books", "incomplete")
+
+
+@query(f"WITH {_PS} SELECT account, bank, books, incomplete FROM (SELECT account, bank, books, count(*) OVER (PARTITION BY account) > 1000 AS incomplete, row_number() OVER (PARTITION BY account ORDER BY bank_day, amount, coalesce(bank_ref, ''), bank, books_day, coalesce(books_ref, ''), books) AS nth FROM p WHERE agree IS DISTINCT FROM false) WHERE nth <= 1000")
+def e05_budgeted_references(spark, sf):
+    """E5 where references drop pairs: counts by reference say how many each unit keeps."""
+    return E.budgeted_candidates(*_both(spark, sf), SHARED, 1000).select("account", "bank", "books", "incomplete")
 
 
 @query(f"WITH {_ISL} SELECT account, grp AS \"group\", bank, books FROM gp")
@@ -209,6 +215,12 @@ def e08_ranked(spark, sf):
     return E.ranked(pairs, E.bank_groups(pairs)).select("account", "bank", "books", F.col("rank").cast("long").alias("rank"))
 
 
+@query(f"WITH {_ISL} SELECT account, grp AS \"group\", bank, books, row_number() OVER (PARTITION BY account ORDER BY grp, abs(gap), bank_day, coalesce(bank_ref, ''), bank, books_day, coalesce(books_ref, ''), books) AS rank FROM gp")
+def e08_suggestions(spark, sf):
+    """E1, E6-E8 in one: pairs are made last, from counts by day, with their group and rank."""
+    return E.suggestions(*_free(spark, sf)).select("account", "group", "bank", "books", "rank")
+
+
 @query(f"WITH {_P} SELECT 'bank' AS side, account, record_number FROM bank WHERE record_number NOT IN (SELECT bank FROM p) UNION ALL SELECT 'books', account, record_number FROM books WHERE record_number NOT IN (SELECT books FROM p)")
 def e09_no_candidate(spark, sf):
     bank, books = _both(spark, sf)

@@ -38,9 +38,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def reading(out: DataFrame, *tables: DataFrame) -> DataFrame:
+    """out, which knows that it reads these tables (or what they read), so that `discard` of it deletes them."""
+    out.scratch_tables = [*getattr(out, "scratch_tables", ()), *tables]
+    return out
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables of `materialize` that nothing reads any more, not even a plan that is still to run."""
     for df in tables:
+        discard(*getattr(df, "scratch_tables", ()))
         if path := getattr(df, "scratch_path", None):
             context = df.sparkSession.sparkContext
             place = context._jvm.org.apache.hadoop.fs.Path(path)
