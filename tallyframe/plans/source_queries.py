@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..sources import delimited
+from ..sources import delimited, ranges
 from .adapters import sql
 
 QUERIES: dict = {}
@@ -76,3 +76,42 @@ def a09_fingerprints(spark, sf):
     """Fingerprints of sources that are tables, whatever the order of their rows."""
     orders = spark.read.parquet(f"{sf}/orders.parquet").withColumn("file", F.concat(F.lit("S"), (F.col("o_custkey") % 40).cast("string")))
     return delimited.table_fingerprints(orders, ["file"], ["o_orderkey", "o_orderstatus", "o_orderpriority"])
+
+
+_DOCS = "dx AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(text, '') AS body, coalesce(lang, '') AS lang FROM documents)"
+
+
+def _written(spark, sf):
+    """documents as quoted CSV, a folder for each language, texts with their quotes and line ends."""
+    from ..scratch import new_path
+
+    path = new_path(spark, "delimited")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    none = F.lit("")
+    rows = docs.select(F.coalesce("lang", none).alias("lang"), F.concat(F.lit("K"), F.coalesce("lang", none)).alias("folder"), F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("source", none).alias("source"), F.coalesce("text", none).alias("body"))
+    rows.repartition("folder").sortWithinPartitions("folder", "doc_id").write.partitionBy("folder").option("quoteAll", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("escape", '"').option("lineSep", "\n").csv(path)
+    return path
+
+
+@query(f"WITH {_DOCS} SELECT doc_id, source, lang, md5(body) AS body, CAST(row_number() OVER (PARTITION BY lang ORDER BY CAST(doc_id AS STRING)) AS BIGINT) AS record FROM dx")
+def a01_ranged_scan(spark, sf):
+    """A1, A5: a quoted file for each language, read by ranges: every field as it was, every record with its number."""
+    found = ranges.records(spark, [_written(spark, sf)], 4)
+    return found.select(F.col("c1").cast("long").alias("doc_id"), F.col("c2").alias("source"), F.col("c0").alias("lang"), F.md5("c3").alias("body"), F.col("record").cast("long").alias("record"))
+
+
+@query(f"""WITH {_DOCS}, n AS (SELECT *, row_number() OVER w AS r, count(*) OVER (PARTITION BY lang) AS n FROM dx WINDOW w AS (PARTITION BY lang ORDER BY CAST(doc_id AS STRING))), q AS (SELECT *, '"' || lang || '","' || doc_id || '","' || source || '","' || replace(body, '"', '""') || '"' AS raw FROM n)
+  SELECT lang, CASE WHEN r < 3 THEN 'before' WHEN r <= 6 THEN 'after' ELSE 'end' END AS zone, CAST(r AS BIGINT) AS record, md5(raw) AS raw FROM q WHERE r <= 6 AND r <> 3 OR r > 6 AND r > n - 4""")
+def a06_ranged_skipped(spark, sf):
+    """Records around the data keep the text that they were typed as."""
+    texts, files = ranges.record_texts(spark, [_written(spark, sf)])
+    zones = ranges.zoned(texts, files, delimited.Layout(3, 3, 4))
+    lang = F.regexp_extract("file", "folder=K([^/]*)/", 1)
+    return delimited.skipped(zones).select(lang.alias("lang"), "zone", F.col("record").cast("long").alias("record"), F.md5("text").alias("raw"))
+
+
+@query(f"""WITH {_DOCS} SELECT lang, sha256(string_agg('"' || lang || '","' || doc_id || '","' || source || '","' || replace(body, '"', '""') || '"' || chr(10), '' ORDER BY CAST(doc_id AS STRING))) AS fingerprint, true AS is_utf8 FROM dx GROUP BY lang""")
+def a07_ranged_fingerprints(spark, sf):
+    """Hash and encoding of whole files, each streamed in constant memory."""
+    found = ranges.fingerprints(spark, [_written(spark, sf)])
+    return found.select(F.regexp_extract("file", "folder=K([^/]*)/", 1).alias("lang"), "fingerprint", "is_utf8")
