@@ -196,7 +196,7 @@ def judge(events: DataFrame, checked: DataFrame, candidates: DataFrame, units: D
 WHOLE = 200_000
 
 
-def replay(events: DataFrame, verdicts: DataFrame | None = None, state: DataFrame | None = None) -> DataFrame:
+def replay(events: DataFrame, verdicts: DataFrame | None = None, state: DataFrame | None = None, few: bool = False) -> DataFrame:
     """Walks each history by seq: the events by record or by unit key, each with its outcome and, if it lapsed, why.
 
     verdicts: what the data say, by event (account, seq, allowed, present, why) as judge() gives it, or by pair (account,
@@ -209,6 +209,7 @@ def replay(events: DataFrame, verdicts: DataFrame | None = None, state: DataFram
 
     A history is a stream in one task, which holds its live state alone. Where an account has more than WHOLE events, those
     that share no transaction, not even through others, do not touch each other, and each component is a stream of its own.
+    few: events that are known to name few transactions are walked in one task, and not counted first.
     """
     own = ["key"] if _by_key(events) else ["side", "record_number"]
     shown = ["account", "seq", "action", "bank", "books", *own, "classification"]
@@ -227,14 +228,15 @@ def replay(events: DataFrame, verdicts: DataFrame | None = None, state: DataFram
     )
     if state is not None:
         judged = judged.unionByName(_given(state), allowMissingColumns=True)
-    many = events.groupBy("account").count().filter(F.col("count") > WHOLE)
-    if many.isEmpty():
+    many = None if few else events.groupBy("account").count().filter(F.col("count") > WHOLE)
+    if few or many.isEmpty():
         dealt = judged.withColumn("component", F.xxhash64("account"))
     else:
         dealt = _apart(judged, many.select("account"))
     parts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     schema = StructType([*judged.select(*shown).schema.fields, StructField("outcome", StringType()), StructField("reason_lapsed", StringType())])
-    return dealt.repartition(parts, "component").sortWithinPartitions("component", "account", "seq").mapInArrow(_walk, schema)
+    dealt = dealt.coalesce(1) if few else dealt.repartition(parts, "component")
+    return dealt.sortWithinPartitions("component", "account", "seq").mapInArrow(_walk, schema)
 
 
 def _apart(judged: DataFrame, accounts: DataFrame) -> DataFrame:
@@ -404,9 +406,15 @@ def append(log: DataFrame, new: DataFrame, verdicts: DataFrame) -> tuple[DataFra
 
 def out_of_turn(new: DataFrame, last: DataFrame) -> DataFrame:
     """Accounts whose new events do not follow the last seq (account, last) one by one."""
-    asked = new.groupBy("account").agg(F.min("seq").alias("low"), F.max("seq").alias("high"), F.count("*").alias("n"), F.countDistinct("seq").alias("seqs"))
-    after = F.coalesce("last", F.lit(0)) + 1
-    return asked.join(last, "account", "left").filter((F.col("low") != after) | (F.col("n") != F.col("seqs")) | (F.col("high") != F.col("low") + F.col("n") - 1)).select("account")
+    return turns(new, last).filter("out_of_turn").select("account")
+
+
+def turns(new: DataFrame, last: DataFrame, *more: Column) -> DataFrame:
+    """(account, out_of_turn, ...): whether an account's new events do not follow its last seq one by one."""
+    once = F.countDistinct("seq") == F.count("*")
+    asked = new.groupBy("account").agg(F.min("seq").alias("low"), (once & (F.max("seq") - F.min("seq") + 1 == F.count("*"))).alias("whole"), *more)
+    out = (F.col("low") != F.coalesce("last", F.lit(0)) + 1) | ~F.col("whole")
+    return asked.join(last, "account", "left").withColumn("out_of_turn", out).drop("low", "whole", "last")
 
 
 def advance(state: DataFrame, new: DataFrame, verdicts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:

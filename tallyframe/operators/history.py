@@ -17,7 +17,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..scratch import discard, materialize
+from ..scratch import discard, materialize, reading
 from . import decisions
 
 #: Up to so many (account, transaction) of new events are sent to the scan of the facts as a filter; more are joined.
@@ -93,29 +93,32 @@ class History:
         rows = self._read("facts", self._commit(self.version() if version is None else version)["facts"])
         return None if rows is None else decisions.latest(rows).filter("value IS NOT NULL")
 
-    def _met(self, commit: dict, new: DataFrame) -> DataFrame | None:
-        """Facts of the transactions and accounts that new events name."""
+    def _met(self, commit: dict, new: DataFrame) -> tuple[DataFrame | None, bool]:
+        """(facts of the transactions and accounts that new events name, whether these are few)"""
+        of_account = new.select("account", F.lit("").alias("member"))
+        named = new.select("account", F.explode(F.concat(*decisions._members(new).values())).alias("member")).unionByName(of_account).distinct()
+        some = named.limit(NAMED + 1).collect()
+        few = len(some) <= NAMED
         rows = self._read("facts", commit["facts"])
         if rows is None:
-            return None
-        of_account = new.select("account", F.lit("").alias("member")).distinct()
-        named = new.select("account", F.explode(F.concat(*decisions._members(new).values())).alias("member")).distinct().unionByName(of_account)
-        few = named.limit(NAMED + 1).collect()
-        if len(few) <= NAMED:
-            rows = rows.filter(F.col("account").isin([*{r[0] for r in few}]) & F.col("member").isin([*{r[1] for r in few}]))
-        rows = rows.join(named, ["account", "member"], "left_semi")
-        return decisions.latest(rows)
+            return None, few
+        if few:  # both columns reach the scan
+            pairs = {(r[0], r[1]) for r in some}
+            rows = rows.filter(F.col("account").isin([*{a for a, _ in pairs}]) & F.col("member").isin([*{m for _, m in pairs}]))
+            named = self.spark.createDataFrame([*pairs], named.schema) if pairs else named
+        return decisions.latest(rows.join(F.broadcast(named) if few else named, ["account", "member"], "left_semi")), few
 
     def _write(self, kind: str, rows: DataFrame) -> str:
         name = uuid.uuid4().hex
         rows.write.parquet(f"{self.folder}/{kind}/{name}")
         return name
 
-    def _facts(self, rows: DataFrame) -> DataFrame:
+    def _facts(self, rows: DataFrame, few: bool = False) -> DataFrame:
         """Facts as they are kept: a row for each transaction, in order of account and transaction."""
         member = F.explode(F.when(F.size("members") > 0, F.col("members")).otherwise(F.array(F.lit(""))))
-        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        return rows.withColumn("member", member).repartitionByRange(parts, "account", "member").sortWithinPartitions("account", "member")
+        parts, rows = int(self.spark.conf.get("spark.sql.shuffle.partitions")), rows.withColumn("member", member)
+        rows = rows.coalesce(1) if few else rows.repartitionByRange(parts, "account", "member")
+        return rows.sortWithinPartitions("account", "member")
 
     def append(self, new: DataFrame, verdicts: DataFrame | None = None, lapsing: bool = False, tries: int = 10) -> tuple[DataFrame, DataFrame]:
         """(taken, refused): the events that are in the history now, with their outcomes, and the accounts of which none is.
@@ -127,33 +130,34 @@ class History:
         for _ in range(tries):
             version = self.version()
             commit = self._commit(version)
-            met = self._met(commit, new)
-            walked = materialize(decisions.replay(new, verdicts, met), "walked")
-            last = new.select("account").limit(0).withColumn("last", F.lit(0).cast("long")) if met is None else met.filter("kind = 'account'").select("account", F.col("seq").alias("last"))
-            bad = decisions.out_of_turn(new, last)
-            if not lapsing:
-                bad = bad.unionByName(walked.filter("outcome != 'applied'").select("account"))
-            bad = materialize(bad.distinct(), "refused")
-            taken = walked.join(bad, "account", "left_anti")
-            if taken.isEmpty():
-                discard(walked)
-                return self._none(walked, commit), bad
-            name = self._write("events", taken)
+            met, few = self._met(commit, new)
+            name = self._write("events", decisions.replay(new, verdicts, met, few))
+            walked = self._read("events", [name])
+            last = self._none("account string, last long") if met is None else met.filter("kind = 'account'").select("account", F.col("seq").alias("last"))
+            lapse = F.lit(False) if lapsing else F.bool_or(F.col("outcome") != "applied")
+            turns = materialize(decisions.turns(walked, last, lapse.alias("lapse")), "turns")
+            bad = reading(turns.filter("out_of_turn OR lapse").select("account"), turns)
+            some = turns.agg(F.count("*"), F.count_if(F.col("out_of_turn") | F.col("lapse"))).first()
+            if some[0] == some[1]:
+                self._forget({"events": [name], "facts": []}, {"events": [], "facts": []})
+                return self._none(walked.schema), bad
+            if some[1]:  # written again without the accounts that are refused
+                taken = self._write("events", walked.join(bad, "account", "left_anti"))
+                self._forget({"events": [name], "facts": []}, {"events": [], "facts": []})
+                name = taken
             kept = self._read("events", [name])
-            told = decisions.facts(kept) if met is None else decisions.facts(kept, met)
-            more = {"events": [*commit["events"], name], "facts": [*commit["facts"], self._write("facts", self._facts(told))]}
+            more = {"events": [*commit["events"], name], "facts": [*commit["facts"], self._write("facts", self._facts(decisions.facts(kept, met), few))]}
             if len(more["facts"]) > FOLDERS:
                 whole = decisions.latest(self._read("facts", more["facts"])).filter("value IS NOT NULL")
                 more["facts"] = [self._write("facts", self._facts(whole))]
-            discard(walked)
             if put_if_absent(self.spark, f"{self.folder}/commits/{version + 1:020d}.json", json.dumps(more)):
                 return kept, bad
             self._forget(more, commit)
-            discard(bad)
+            discard(turns)
         raise Conflict(f"{tries} times another writer was first")
 
-    def _none(self, walked: DataFrame, commit: dict) -> DataFrame:
-        return self.spark.createDataFrame([], walked.schema)
+    def _none(self, schema) -> DataFrame:
+        return self.spark.createDataFrame([], schema)
 
     def _forget(self, more: dict, commit: dict) -> None:
         """Deletes what a commit that failed has written."""
