@@ -5,9 +5,9 @@ sidebars, notices, adverts, forms and reader comments, told by their elements, a
 links count as empty. Text lengths are summed over a window of lines that slides down the page. The text surges where a
 sum rises above a threshold and dives where it falls to nothing. A surge is widened back over the lines that lead to it;
 the main text is every stretch from the first surge to the last dive. What lies in a dive, a list of links, is not text;
-fewer lines of links inside a stretch, or beside its ends in the same element, are. The marks of articles do not choose:
-links do not empty a line inside an article, and where articles hold at least half of what was found, the text is all
-of the page's articles and nothing beside them.
+fewer lines of links inside a stretch, or beside its ends in the same element, are. Marks of articles choose nothing: they
+only say that links are part of a line's text, that where an article begins or ends a stretch does, and that of stretches
+without a surge between others those stay that are, as the others, inside or outside of articles.
 """
 
 from __future__ import annotations
@@ -32,16 +32,30 @@ RAW = frozenset("script style noscript template svg math iframe object canvas au
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ARTICLE = frozenset("article main".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar alertdialog".split())
-NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|adsense|banner|sponsor|sponsored|promo|promotion|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|sidebar|side-bar|aside"
-    r"|footer|header|masthead|cookie|cookies|consent|notice|notification|alert|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|pagination|pager|comment|comments|commentlist|disqus|replies|respond|widget|toolbar|skip)(?:$|[\s_-])",
-    re.I,
+NAMES = frozenset(
+    "ad ads advert adverts advertisement adsense banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer header masthead cookie cookies consent"
+    " notice notification alert popup modal overlay newsletter subscribe signup login share sharing social related recommended pagination pager comment comments commentlist disqus replies respond widget toolbar skip".split()
+)
+#: What else a name of several words may consist of and still be that of a page part: `cookie-bar`, not `cookie-recipes`.
+PARTS = frozenset(
+    "site page main top bottom left right side box block list bar wrap wrapper container section area link links button buttons post posts article articles story stories item items icon icons form panel slot"
+    " unit inner outer group row column col primary secondary global mobile desktop sticky fixed center middle small large text title content body message module to".split()
 )
 _TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']+|\"[^\"]*\"|'[^']*')*+)[^>]*>", re.S)
 _CLOSED = re.compile(r"\A<!---?>\Z|--!?>\Z")
 _NAMED = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 
 
+def names_a_part(value: str) -> bool:
+    """Whether a class or id names a part of a page that is not its text: one of its names is in NAMES, or is made of words
+    of which one is and all others are in PARTS or numbers."""
+    for name in value.lower().split():
+        words = [w for w in re.split("[_-]+", name) if w]
+        if any(w in NAMES for w in words) and all(w in NAMES or w in PARTS or w.isdigit() for w in words):
+            return True
+    return False
+
+
 def _not_text(tag: str, attributes: str) -> bool:
     if tag in SKIPPED:
         return True
@@ -50,7 +64,7 @@ def _not_text(tag: str, attributes: str) -> bool:
     for name, a, b, c in _NAMED.findall(attributes):
         value = a or b or c
         name = name.lower()
-        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "role" and value.lower() in ROLES or name in ("class", "id") and NAMES.search(value):
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "role" and value.lower() in ROLES or name in ("class", "id") and names_a_part(value):
             return True
     return False
 
@@ -76,6 +90,14 @@ def lines(page: str) -> list[tuple[str, int, int, bool, int]]:
         text.clear()
         link = 0
 
+    def leave(tag):
+        nonlocal links
+        gone = None
+        while gone != tag:
+            gone = stack.pop()[0]
+            held[gone] -= 1
+            links = 0
+
     links = 0
     while at < len(page):
         m = _TOKEN.search(page, at, n)
@@ -112,15 +134,18 @@ def lines(page: str) -> list[tuple[str, int, int, bool, int]]:
                 held[tag] -= 1
             continue
         end_line()
-        if tag in VOID or tag == "p":
+        if tag in VOID:
+            continue
+        if held["p"]:  # only paragraphs that are not text are held; a block's tag ends one that is open
+            leave("p")
+        if tag == "p":
+            if not m[1] and m[3] and _not_text(tag, m[3]):
+                stack.append((tag, True, stack[-1][2] if stack else 0, 0))
+                held[tag] += 1
             continue
         if m[1]:
-            while held[tag]:
-                gone = stack.pop()[0]
-                held[gone] -= 1
-                links = 0
-                if gone == tag:
-                    break
+            if held[tag]:
+                leave(tag)
         else:
             skip, inside = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
             skip = skip or _not_text(tag, m[3])
@@ -138,13 +163,23 @@ def lines(page: str) -> list[tuple[str, int, int, bool, int]]:
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    got = [line for line in lines(page) if not line[3]]
+    got: list = []
+    for line in lines(page):
+        if line[3]:
+            continue
+        if got and (got[-1][2] > 0) != (line[2] > 0):  # where an article begins or ends the window sums fall to nothing
+            got += [_GAP] * (WINDOW + 1)
+        got.append(line)
     size = np.array([len(t) for t, *_ in got], dtype=np.int64)
     inside = np.array([a for _, _, a, _, _ in got], dtype=np.int64)
     linked = np.array([2 * link > len(t) for t, link, *_ in got], dtype=bool)
     size[linked & (inside == 0)] = 0
     keep = np.zeros(len(size), dtype=bool)
-    for first, last in _stretches(size):
+    found = _stretches(size)
+    kinds = {inside[first] > 0 for first, _, surged in found if surged}
+    for first, last, surged in found:
+        if kinds and not surged and (inside[first] > 0) not in kinds:
+            continue  # few words between articles, or an article of few words between other text
         keep[first:last] = True
         for at, step in ((first, -1), (last - 1, 1)):
             own = at + step
@@ -152,14 +187,14 @@ def main_text(page: str | None) -> str:
                 own += step
             if abs(own - at) <= WINDOW:
                 keep[min(own - step, at) : max(own - step, at) + 1] = True
-    marked = keep & (inside > 0)
-    if marked.any() and size[marked].sum() * 2 >= size[keep].sum():  # the page marks what was found: all of its articles, no more
-        keep = inside > 0
-    return " ".join(line[0] for line, k in zip(got, keep) if k)
+    return " ".join(line[0] for line, k in zip(got, keep) if k and line[0])
+
+
+_GAP = ("", 0, -1, False, -1)
 
 
-def _stretches(size: np.ndarray) -> list[tuple[int, int]]:
-    """Lines of each stretch from the first surge to the last dive."""
+def _stretches(size: np.ndarray) -> list[tuple[int, int, bool]]:
+    """Lines of each stretch from the first surge to the last dive, and whether the text surges in it."""
     on = np.flatnonzero(size)
     if not on.size:
         return []
@@ -168,7 +203,8 @@ def _stretches(size: np.ndarray) -> list[tuple[int, int]]:
     ends = np.append(starts[1:], on.size) - 1
     surged = np.searchsorted(starts, np.flatnonzero(sums[on] > SURGE), "right") - 1
     first, last = (surged[0], surged[-1]) if surged.size else (0, len(starts) - 1)  # a page of few words: all of them
-    return [(int(on[a]), int(on[b]) + 1) for a, b in zip(starts[first : last + 1], ends[first : last + 1])]
+    own = np.isin(np.arange(len(starts)), surged)
+    return [(int(on[a]), int(on[b]) + 1, bool(s)) for a, b, s in zip(starts[first : last + 1], ends[first : last + 1], own[first : last + 1])]
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
