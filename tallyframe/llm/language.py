@@ -13,13 +13,15 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_texts, materialize, small_batches
 
 BUCKETS = 1 << 14
 SAMPLE = 1500  # documents sampled for each language: the bound of what the driver fits on
+TOTAL = 12_000  # and for all languages together
+CLASSES = 256  # languages that are learned: the bound of the model that is broadcast
 SAMPLE_CHARS = 4_000_000  # and of the code points sampled for each language
 _LETTER: np.ndarray | None = None
 
@@ -125,10 +127,12 @@ def fit_temperature(model: Model, rows: list[tuple[np.ndarray, np.ndarray, int]]
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample: int = SAMPLE) -> Model:
-    """Fits on rows of docs with a language and letters. At most about `sample` documents of each language, chosen by a
-    hash of the key, are fitted on; document frequencies cover all rows. No rows: a model that answers `und`."""
+    """Fits on rows of docs with a language and letters. Of each language at most `sample` rows, and of all at most TOTAL,
+    are fitted on: those with the least hashes of key and text, so that repeated keys, null keys and repeated rows do not
+    bring more. The CLASSES commonest languages are learned. Document frequencies cover all rows. No rows: a model that
+    answers `und`."""
     small_batches(docs)
-    rows = docs.select(F.col(text).cast("string").alias("t"), F.col(lang).cast("string").alias("y"), F.xxhash64(F.col(key), F.lit(1)).alias("h")).filter("t is not null and y is not null")
+    rows = docs.select(F.col(text).cast("string").alias("t"), F.col(lang).cast("string").alias("y"), F.xxhash64(F.col(key), F.col(text), F.lit(1)).alias("h")).filter("t is not null and y is not null")
 
     def frequencies(frames):
         df, total = np.zeros(BUCKETS, dtype=np.int64), 0
@@ -149,12 +153,16 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
         else:
             df[r["bucket"]] = r["n"]
     idf = np.log((1 + total) / (1 + df)) + 1
-    per = {r["y"]: (r["n"], r["c"]) for r in rows.groupBy("y").agg(F.count("*").alias("n"), F.sum(F.length("t")).alias("c")).collect()}
+    # shares are of different hashes: rows that repeat pass or fail together, and the window bounds those that pass
+    by_lang = rows.groupBy("y").agg(F.count("*").alias("n"), F.sum(F.length("t")).alias("c"), F.approx_count_distinct("h").alias("d"))
+    per = {r["y"]: (r["d"], r["c"] * r["d"] / r["n"]) for r in by_lang.orderBy(F.col("n").desc(), "y").limit(CLASSES).collect()}
     model = Model(sorted(per), idf, np.zeros((BUCKETS, len(per))))
     if not per:
         return model
-    share = F.coalesce(*[F.when(F.col("y") == y, F.lit(min(1.0, sample / n, SAMPLE_CHARS / max(1, c)))) for y, (n, c) in per.items()])
-    chosen = rows.filter(F.pmod("h", F.lit(1_000_003)) < share * 1_000_003)
+    sample = min(sample, TOTAL // len(per))
+    shares = F.create_map(*[F.lit(v) for y, (d, c) in per.items() for v in (y, min(1.0, 1.2 * sample / d, SAMPLE_CHARS / max(1, c)))])
+    nth = F.row_number().over(Window.partitionBy("y").orderBy("h"))
+    chosen = rows.filter(F.pmod("h", F.lit(1_000_003)) < F.try_element_at(shares, F.col("y")) * 1_000_003).withColumn("nth", nth).filter(F.col("nth") <= sample)
 
     def vectors(frames):
         for frame in frames:

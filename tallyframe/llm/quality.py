@@ -10,13 +10,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_texts, small_batches
 
 BUCKETS = 1 << 15
 SAMPLE = 6000  # documents that the scorer is fitted on
+PARTS = 64  # of the hashes' range, each of which gives as many of them
 SAMPLE_CHARS = 20_000_000
 LABELLERS = 6
 
@@ -79,7 +80,7 @@ def accuracies(patterns: np.ndarray, n: np.ndarray, rounds: int = 200) -> tuple[
 
 
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed words of a whole text with damped counts and a few shape features, of length one."""
+    """Hashed words of a whole text with damped counts, of length one."""
     words = (text or "").lower().split()
     if not words:
         return np.zeros(1, dtype=np.int64), np.ones(1)
@@ -127,16 +128,22 @@ def quality(docs: DataFrame, key: str = "doc_id", text: str = "text", least: flo
 
     keep is posterior or score at `least` or more: a document goes only if both its votes and its words speak against
     it. Null and empty texts get all bad or no votes and are not kept. An empty table gives an empty result; equal
-    texts get equal results.
+    texts get equal results. The scorer is fitted on `sample` rows at most (rounded up to PARTS), those with the least hashes
+    of key and text, whatever the keys are.
     """
     rows = voted(docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text")))
-    found = rows.groupBy("votes").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("c")).collect()
+    h = F.xxhash64("doc_id", "text", F.lit(2))
+    found = rows.groupBy("votes").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("c"), F.approx_count_distinct(h).alias("d")).collect()
     patterns = np.array([r["votes"] for r in found], dtype=int).reshape(-1, LABELLERS)
     n = np.array([r["n"] for r in found], dtype=float)
     _, _, posterior = accuracies(patterns, n)
     known = {tuple(p): float(q) for p, q in zip(patterns.tolist(), posterior)}
-    share = min(1.0, sample / max(1.0, n.sum()), SAMPLE_CHARS / max(1, sum(r["c"] or 0 for r in found)))
-    chosen = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(1_000_003)) < share * 1_000_003)
+    # a share of different hashes: rows that repeat pass or fail together, and the window bounds those that pass
+    d = max(1.0, sum(r["d"] for r in found))
+    share = min(1.0, 1.2 * sample / d, SAMPLE_CHARS / max(1.0, sum(r["c"] or 0 for r in found) * d / max(1.0, n.sum())))
+    nth = F.row_number().over(Window.partitionBy("part").orderBy("h"))
+    some = rows.select("*", h.alias("h"), F.pmod(h, F.lit(PARTS)).alias("part")).filter(F.pmod("h", F.lit(1_000_003)) < share * 1_000_003)
+    chosen = some.withColumn("nth", nth).filter(F.col("nth") <= -(-sample // PARTS))
 
     def vectors(frames):
         for frame in frames:
@@ -144,7 +151,7 @@ def quality(docs: DataFrame, key: str = "doc_id", text: str = "text", least: flo
             yield pd.DataFrame({"h": frame["doc_id"], "v": frame["votes"], "at": [a.astype("<i4").tobytes() for a, _ in got], "x": [x.astype("<f4").tobytes() for _, x in got]})
 
     small_batches(chosen)
-    got = chosen.select(F.xxhash64("doc_id", "text").alias("doc_id"), "votes", "text").mapInPandas(vectors, "h long, v array<int>, at binary, x binary").collect()
+    got = chosen.select(F.col("h").alias("doc_id"), "votes", "text").mapInPandas(vectors, "h long, v array<int>, at binary, x binary").collect()
     got = sorted(got, key=lambda r: (r["h"], tuple(r["v"])))
     weights = fit_scorer([(np.frombuffer(r["at"], dtype="<i4"), np.frombuffer(r["x"], dtype="<f4").astype(float), known[tuple(r["v"])]) for r in got])
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # a fixed number of buckets
