@@ -20,13 +20,22 @@ def key_part(c: Column, trimmed: bool = True, folded: bool = False) -> Column:
     return F.lower(c) if folded else c
 
 
+def _json(parts: Column) -> Column:
+    """A list as JSON, control characters with lower-case digits (Spark writes \\u001F)."""
+    out = F.to_json(parts)
+    lowered = out
+    for code in (0x0B, 0x0E, 0x0F, *range(0x1A, 0x20)):  # the only escapes that have letters
+        lowered = F.regexp_replace(lowered, rf"(?<!\\)((?:\\\\)*)\\u{code:04X}", rf"$1\\u{code:04x}")
+    return F.when(out.rlike(r"\\u00[01][A-F]"), lowered).otherwise(out)
+
+
 def encode_key(parts: Column) -> Column:
     """Text that no two different lists of parts share."""
-    return F.to_json(parts)
+    return _json(parts)
 
 
 def key_cell(parts: Column) -> Column:
-    return F.when(F.size(parts) == 1, parts[0]).otherwise(F.to_json(parts))
+    return F.when(F.size(parts) == 1, parts[0]).otherwise(_json(parts))
 
 
 def is_plain_decimal(c: Column) -> Column:

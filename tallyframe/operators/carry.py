@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..config import MatchingRules
 from ..functions import decimals
 from ..functions.text import lineage
-from ..scratch import materialize
+from ..scratch import discard, materialize, reading
 from . import match
 from .numbering import numbered
 
@@ -105,7 +105,7 @@ def overlaps(items: DataFrame, units: DataFrame) -> DataFrame:
 def opening_units(items: DataFrame) -> DataFrame:
     """Carried items as units, numbered within file and side."""
     placed = numbered(items, ["file", "side"], [F.col("day"), F.col("lineage")], "item")
-    return placed.select("account", "side", F.col("item").cast("long").alias("item"), "file", "day", "amount", "reference", "lineage", F.lit(True).alias("is_carried"))
+    return reading(placed.select("account", "side", F.col("item").cast("long").alias("item"), "file", "day", "amount", "reference", "lineage", F.lit(True).alias("is_carried")), placed)
 
 
 def outstanding(open_units: DataFrame, carried: DataFrame, confirmed_lineages: DataFrame) -> DataFrame:
@@ -140,7 +140,7 @@ def chain(sides: DataFrame, periods: list[tuple[str, str, str]], decide: Callabl
     """
     carried = sides.limit(0).select("account", "side", "record_number", "day", "amount", "reference", "description").withColumn("lineage", F.lit(None).cast("string"))
     gone = carried.select("lineage")
-    sums, items, cleared = [], [], []
+    sums, items, cleared, kept = [], [], [], []
     for name, first, last in periods:
         own = sides.filter(F.col("day").between(F.lit(first).cast("date"), F.lit(last).cast("date")))
         pool = materialize(own.withColumns({"is_carried": F.lit(False), "lineage": lineage(F.col("side"), F.col("fingerprint"), F.col("record_number"))}).drop("fingerprint").unionByName(carried.withColumn("is_carried", F.lit(True))), "pool")
@@ -149,11 +149,15 @@ def chain(sides: DataFrame, periods: list[tuple[str, str, str]], decide: Callabl
         used = confirmed.select("account", F.lit("bank").alias("side"), F.col("bank").alias("record_number")).unionByName(confirmed.select("account", F.lit("books").alias("side"), F.col("books").alias("record_number")))
         marked = pool.join(used.distinct().withColumn("used", F.lit(True)), ["account", "side", "record_number"], "left").withColumn("used", F.coalesce("used", F.lit(False)))
         marked = materialize(marked, "marked")
+        discard(pool, confirmed)
+        kept.append(marked)
         total = lambda when, c: F.coalesce(F.sum(F.when(when, F.col("amount"))), F.lit(0)).alias(c)
         sums.append(marked.groupBy("account", "side").agg(total(F.col("is_carried"), "opening"), total(~F.col("is_carried"), "movement"), total(F.col("used"), "matched"), total(~F.col("used"), "outstanding")).withColumn("period", F.lit(name)))
         left = marked.filter("not used")
         items.append(left.select(F.lit(name).alias("period"), "account", "side", "day", "amount", "reference", "description", "lineage", F.col("is_carried").alias("inherited")))
+        kept.append(gone)
         gone = materialize(cleared_lineages(gone, marked.filter("used and is_carried")), "cleared")
         cleared.append(gone.select(F.lit(name).alias("period"), "lineage"))
         carried = left.select("account", "side", (-F.abs("record_number")).alias("record_number"), "day", "amount", "reference", "description", "lineage")
-    return {"sums": reduce(DataFrame.unionByName, sums), "items": reduce(DataFrame.unionByName, items), "cleared": reduce(DataFrame.unionByName, cleared)}
+    # all three read the tables of the periods, which go with the sums
+    return {"sums": reading(reduce(DataFrame.unionByName, sums), *kept, gone), "items": reduce(DataFrame.unionByName, items), "cleared": reduce(DataFrame.unionByName, cleared)}

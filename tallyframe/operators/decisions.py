@@ -14,7 +14,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.text import direction as direction_of
 from ..functions.text import found, unit_members
-from ..scratch import materialize
+from ..scratch import discard, materialize, reading
 from .components import components
 from .numbering import numbered
 
@@ -119,7 +119,8 @@ def history_problems(events: DataFrame) -> DataFrame:
             F.when((F.size(F.coalesce("exceptions", F.array().cast("array<string>"))) > 0) & (F.trim(F.coalesce("reason", F.lit(""))) == ""), F.lit("exception without a reason")),
         )
     )
-    return numbered(events, ["account"], [F.col("seq")], "want").select("account", "seq", F.explode(said).alias("message"))
+    placed = numbered(events, ["account"], [F.col("seq")], "want")
+    return reading(placed.select("account", "seq", F.explode(said).alias("message")), placed)
 
 
 def _by_key(events: DataFrame) -> bool:
@@ -389,8 +390,10 @@ def load(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     Problems are those of history_problems() and events that contradict the history before them.
     """
     walked = replay(events).filter("outcome != 'applied'").select("account", "seq", F.lit("contradicts the history before it").alias("message"))
-    problems = materialize(history_problems(events).unionByName(walked), "history-problems")
-    return events.join(problems.select("account").distinct(), "account", "left_anti"), problems
+    told = history_problems(events)
+    problems = materialize(told.unionByName(walked), "history-problems")
+    discard(told)
+    return reading(events.join(problems.select("account").distinct(), "account", "left_anti"), problems), problems
 
 
 def append(log: DataFrame, new: DataFrame, verdicts: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -63,7 +63,8 @@ def pair_counts(bank: DataFrame, books: DataFrame, rules: MatchingRules = Matchi
 def budgeted(pairs: DataFrame, most: int) -> DataFrame:
     """The first `most` pairs of each account in content order, flagged if there were more."""
     totals = pairs.groupBy("account").agg((F.count("*") > most).alias("incomplete"))
-    return numbered(pairs, ["account"], [*_content("bank"), *_content("books")], "nth").filter(F.col("nth") <= most).join(totals, "account")
+    placed = numbered(pairs, ["account"], [*_content("bank"), *_content("books")], "nth")
+    return reading(placed.filter(F.col("nth") <= most).join(totals, "account"), placed)
 
 
 def _weights(bank: DataFrame, books: DataFrame, rules: MatchingRules) -> DataFrame:
@@ -243,7 +244,8 @@ def bank_groups(pairs: DataFrame) -> DataFrame:
     w = Window.partitionBy("account", "amount").orderBy("low", "high")
     starts = F.when(F.col("low") > F.max("high").over(w.rowsBetween(Window.unboundedPreceding, -1)), 1).otherwise(0)
     runs = units.select("account", "amount", "low", "high").distinct().withColumn("starts", starts).withColumn("island", F.sum("starts").over(w)).drop("starts")
-    return _numbered(units.join(runs, ["account", "amount", "low", "high"]), ["amount", "island"]).select("account", "bank", "group")
+    placed = _numbered(units.join(runs, ["account", "amount", "low", "high"]), ["amount", "island"])
+    return reading(placed.select("account", "bank", "group"), placed, units)
 
 
 def groups(pairs: DataFrame) -> DataFrame:
@@ -255,18 +257,21 @@ def groups(pairs: DataFrame) -> DataFrame:
     edges = pairs.select(node("bank").alias("a"), node("books").alias("b"))
     named = components(edges, "a", "b")
     units = pairs.select("account", "amount", "bank", "bank_day", "bank_reference").distinct().withColumn("node", node("bank")).join(named, "node")
-    return pairs.join(_numbered(units, ["component"]).select("account", "bank", "group"), ["account", "bank"]).select("account", "group", "bank", "books")
+    placed = _numbered(units, ["component"])
+    return reading(pairs.join(placed.select("account", "bank", "group"), ["account", "bank"]).select("account", "group", "bank", "books"), placed, named)
 
 
 def groups_by_island(pairs: DataFrame) -> DataFrame:
     """(account, group, bank, books), see bank_groups."""
-    return pairs.join(bank_groups(pairs), ["account", "bank"]).select("account", "group", "bank", "books")
+    grouped = bank_groups(pairs)
+    return reading(pairs.join(grouped, ["account", "bank"]).select("account", "group", "bank", "books"), grouped)
 
 
 def _numbered(units: DataFrame, component: list[str]) -> DataFrame:
     """Bank units with the number of their group in the order of the groups' first bank units."""
     firsts = units.groupBy("account", *component).agg(F.min(F.struct(*_content("bank"))).alias("first"))
-    return units.join(numbered(firsts, ["account"], ["first"], "group").drop("first"), ["account", *component])
+    placed = numbered(firsts, ["account"], ["first"], "group")
+    return reading(units.join(placed.drop("first"), ["account", *component]), placed)
 
 
 def group_sizes(grouped: DataFrame) -> DataFrame:
@@ -333,7 +338,8 @@ def set_pairs(grouped: DataFrame, bank: DataFrame, books: DataFrame, confirmed:
         left = open_members.join(blocked, ["account", "group"], "left_anti")
         return numbered(left, ["account", "group"], [F.col(side)], "nth")
 
-    return placed(b, "bank").join(placed(l, "books"), ["account", "group", "nth"]).select("account", "group", "bank", "books", "nth")
+    left, right = placed(b, "bank"), placed(l, "books")
+    return reading(left.join(right, ["account", "group", "nth"]).select("account", "group", "bank", "books", "nth"), left, right, b, l, grouped)
 
 
 def _unit_totals(members: DataFrame, side: str) -> DataFrame:

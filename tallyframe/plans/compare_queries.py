@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import CompareRules, NumericRule
 from ..operators import compare as C
+from ..operators import paging
 from .adapters import sql, view
 
 QUERIES: dict = {}
@@ -160,6 +161,18 @@ def c21_page(spark, sf):
     return C.page(matched, ["r"], 100, 50).select("key")
 
 
+@query(f"""WITH {_CLS}, o AS (SELECT k AS key, min(record_number) AS r FROM k JOIN cls USING (k) WHERE o = 1 AND n = 1 GROUP BY k), t AS (SELECT count(*) AS total FROM o), s AS (SELECT * FROM o WHERE contains(key, '1'))
+  SELECT 'page' AS what, key, (SELECT total FROM t) AS total FROM (SELECT * FROM o ORDER BY r LIMIT 100 OFFSET 50) UNION ALL SELECT 'last', key, (SELECT total FROM t) FROM (SELECT * FROM o ORDER BY r LIMIT 50 OFFSET (SELECT total - 7 FROM t))
+  UNION ALL SELECT 'search', key, (SELECT count(*) FROM s) FROM (SELECT * FROM s ORDER BY r LIMIT 40 OFFSET 20)""")
+def c21_kept_pages(spark, sf):
+    """Pages of a kept result, its last one, and a page of a search in it, with the totals."""
+    matched = _classes(spark, sf).filter("kind = 'matched'").select(F.col("key")[0].alias("key"), F.col("old.record_number").alias("r"))
+    kept = paging.paged(matched, ["r"])
+    hits = kept.where(F.contains("key", F.lit("1")))
+    one = lambda name, pages, at, n: pages.page(at, n).select(F.lit(name).alias("what"), "key", F.lit(pages.total).cast("long").alias("total"))
+    return one("page", kept, 50, 100).unionByName(one("last", kept, kept.total - 7, 50)).unionByName(one("search", hits, 20, 40))
+
+
 @query(f"WITH {_K} SELECT record_number, (SELECT count(*) FROM k WHERE k = '') AS total FROM k WHERE k = '' ORDER BY record_number LIMIT 5")
 def c22_preview(spark, sf):
     return C.preview(C.empty_keys(_rows(spark, sf)).select("record_number"), ["record_number"], 5)

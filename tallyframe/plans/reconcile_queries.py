@@ -12,6 +12,7 @@ from ..operators import carry as H
 from ..operators import decisions as D
 from ..operators import match as E
 from ..operators import normalize as N
+from ..operators.numbering import numbered
 from .adapters import sql, view
 
 QUERIES: dict = {}
@@ -275,8 +276,8 @@ _PROP = "pr AS (SELECT b.account, b.record_number AS bank, l.record_number AS bo
 def e13_check_pairs(spark, sf):
     """Proposed pairs judged, with evidence."""
     bank, books = _both(spark, sf)
-    nth = F.row_number().over(Window.partitionBy("account").orderBy("record_number"))
-    proposed = bank.select("account", F.col("record_number").alias("bank"), nth.alias("r")).join(books.select("account", F.col("record_number").alias("books"), nth.alias("r")), ["account", "r"]).drop("r")
+    nth = lambda units, side: numbered(units.select("account", F.col("record_number").alias(side)), ["account"], [side], "r")
+    proposed = nth(bank, "bank").join(nth(books, "books"), ["account", "r"]).drop("r")
     return E.check_pairs(proposed, bank, books, SHARED).select("account", "bank", "books", "blocked", F.array_join("exceptions", ",").alias("exceptions"), F.col("gap").cast("long").alias("gap"), "tier")
 
 

@@ -82,8 +82,8 @@ def read_table(spark: SparkSession, path: str, layout: Layout = Layout(), delimi
     if delimiter is None:
         found = detect_delimiter(spark, [path], layout.header_record).first()
         delimiter = found["delimiter"] if found else ","
-    wide = records(spark, [path], 512, delimiter)  # only to see the header's width
-    head = wide.filter(F.col("record") == layout.header_record).first()
+    one = records(spark, [path], 1, delimiter)  # a header of several columns is a bad record of one, with its text
+    head = one.filter(F.col("record") == layout.header_record).first()
     if head is None:
         raise ValueError(f"{path}: no header record")
     text = head["_bad"]
