@@ -824,10 +824,35 @@ def a14_reconcile_report(spark, sf):
     listed = F.array_join(F.transform("matches", lambda m: F.concat(m["bank"].cast("string"), F.lit("~"), m["books"].cast("string"))), ",")
     return report.select("account", F.size("matches").cast("long").alias("matches"), F.size("rejected").cast("long").alias("rejected"), listed.alias("listed"))
 
+@query(f"""WITH {_DEC} SELECT account, (SELECT count(*) FROM con WHERE con.account = a.account) AS matches, (SELECT count(*) FROM rej WHERE rej.account = a.account) AS rejected, (SELECT string_agg(CAST(bank AS STRING) || '~' || CAST(books AS STRING), ',' ORDER BY bank, books) FROM con WHERE con.account = a.account) AS listed FROM (SELECT DISTINCT account FROM bank) a""")
+def a14_report_pieces(spark, sf):
+    """The same reports as documents in ordered pieces, whose lists no task holds."""
+    from ..scratch import new_path
+    from ..sources import pieces, sinks
+
+    bridged, states, con = _bridged(spark, sf)
+    _, _, rej = _decided(spark, sf)
+    path = new_path(spark, "reports")
+    pieces.write(sinks.reconcile_report_pieces(bridged, states, matches=con.select("account", "bank", "books"), rejected=rej.select("account", "bank", "books")), path)
+    read = F.from_json("value", "matches array<struct<bank:long,books:long>>, rejected array<struct<bank:long,books:long>>")
+    docs = pieces.joined(spark, path).select(F.col("document").alias("account"), read.alias("d")).select("account", "d.*")
+    listed = F.array_join(F.transform("matches", lambda m: F.concat(m["bank"].cast("string"), F.lit("~"), m["books"].cast("string"))), ",")
+    return docs.select("account", F.size("matches").cast("long").alias("matches"), F.size("rejected").cast("long").alias("rejected"), listed.alias("listed"))
+
 
 _DOCS = "ex AS (SELECT account, 'bank|fp|' || CAST(record_number AS STRING) AS lineage, CAST(CAST(amount AS DECIMAL(20,0)) / 100 AS DECIMAL(18,2)) AS value, reference, day FROM bank WHERE record_number % 3 = 0)"
 
 
+def _items_to_carry(spark, sf):
+    """Heads and items of outstanding-item documents, one for each account."""
+    day = lambda text: F.lit(text).cast("date")
+    bank = view(spark, sf, "bank").filter("record_number % 3 = 0")
+    amount = (F.col("amount").cast("decimal(20,0)") / 100).cast("decimal(18,2)").cast("string")
+    items = bank.select("account", F.lit("bank").alias("side"), "day", F.concat(F.lit("bank|fp|"), F.col("record_number").cast("string")).alias("lineage"), amount.alias("amount"), "reference", "description", F.lit("s").alias("origin_session"), day("2024-01-01").alias("origin_start"), day("2024-01-31").alias("origin_end"), F.lit("f.csv").alias("origin_file"), F.lit("fp").alias("fingerprint"), "record_number")
+    heads = bank.select("account").distinct().withColumns({"session_id": F.lit("s"), "currency": F.lit("INR"), "minor_units": F.lit(2), "period_start": day("2024-01-01"), "period_end": day("2024-01-31")})
+    return heads, items
+
+
 @query(f"WITH {_DOCS} SELECT account, lineage, day, CAST(value AS STRING) AS amount, reference FROM ex WHERE account <> 'ACC3'")
 def a16_outstanding_round_trip(spark, sf):
     """Outstanding items of each account written as documents and read back; one account's document, whose first
@@ -835,11 +860,7 @@ def a16_outstanding_round_trip(spark, sf):
     from ..scratch import new_path
     from ..sources import documents
 
-    day = lambda text: F.lit(text).cast("date")
-    bank = view(spark, sf, "bank").filter("record_number % 3 = 0")
-    amount = (F.col("amount").cast("decimal(20,0)") / 100).cast("decimal(18,2)").cast("string")
-    items = bank.select("account", F.lit("bank").alias("side"), "day", F.concat(F.lit("bank|fp|"), F.col("record_number").cast("string")).alias("lineage"), amount.alias("amount"), "reference", "description", F.lit("s").alias("origin_session"), day("2024-01-01").alias("origin_start"), day("2024-01-31").alias("origin_end"), F.lit("f.csv").alias("origin_file"), F.lit("fp").alias("fingerprint"), "record_number")
-    heads = bank.select("account").distinct().withColumns({"session_id": F.lit("s"), "currency": F.lit("INR"), "minor_units": F.lit(2), "period_start": day("2024-01-01"), "period_end": day("2024-01-31")})
+    heads, items = _items_to_carry(spark, sf)
     docs = documents.outstanding_documents(heads, items, items.select("account", "lineage").limit(0), "2024-02-01T00:00:00Z")
     broken = F.transform("items", lambda x: x.withField("direction", F.when(F.col("account") == "ACC3", F.translate(x["direction"], "inout", "outin")).otherwise(x["direction"])))
     path = new_path(spark, "outstanding")
@@ -888,3 +909,17 @@ def _sessions(spark, sf):
     path = new_path(spark, "sessions")
     documents.write_sessions(documents.session_documents(sessions, events, no_snapshots), path)
     return documents.read_sessions(spark, [path], lines=True)
+
+
+@query(f"WITH {_DOCS} SELECT account, lineage, day, CAST(value AS STRING) AS amount, reference FROM ex")
+def a17_document_pieces(spark, sf):
+    """The documents of a16 written as ordered pieces, so that no task holds an account's items, and read back."""
+    from ..scratch import new_path
+    from ..sources import documents, pieces
+
+    heads, items = _items_to_carry(spark, sf)
+    path, whole = new_path(spark, "pieces"), new_path(spark, "outstanding")
+    pieces.write(documents.outstanding_pieces(heads, items, items.select("account", "lineage").limit(0), "2024-02-01T00:00:00Z"), path)
+    pieces.joined(spark, path).select("value").write.text(whole)
+    found = documents.read_outstanding(spark, [whole], lines=True)
+    return found["items"].join(found["files"].select("file", "account"), "file").select("account", "lineage", "day", "amount", "reference")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import dates, decimals
 from ..functions.text import is_sha256, is_txn_key, is_unit_key
 from ..operators.decisions import PAIR
+from . import pieces
 
 OUTSTANDING, SESSION, VERSION = "outstanding-items", "reconciliation-session", 1
 #: What events may say.
@@ -99,7 +100,7 @@ def read_outstanding(spark: SparkSession, paths: list[str], lines: bool = False)
         (_day(item, "date").isNotNull(), "date must be a date"),
         (_text(item, "lineage").isNotNull(), "lineage must be text"),
         *[(_text_or_null(item, c), f"{c} must be text or null") for c in ("reference", "description")],
-        (_whole(item, "origin.recordNumber") >= 1, "origin.recordNumber must be a whole number"),
+        (_whole(item, "origin.recordNumber") >= 1, "origin.recordNumber is not a number from 1 on"),
         *[(_text(item, f"origin.{c}").isNotNull(), f"origin.{c} must be text") for c in ("sessionId", "fileName", "fingerprint")],
         *_period_checks(item, "origin.period"),
     )
@@ -121,23 +122,41 @@ def read_outstanding(spark: SparkSession, paths: list[str], lines: bool = False)
     }
 
 
-def outstanding_documents(files: DataFrame, items: DataFrame, cleared: DataFrame, exported_at: str) -> DataFrame:
-    """One row per account with the whole document as a struct; the columns are those of read_outstanding, by account.
-
-    Items are in the order of side, day and lineage, cleared lineages in their own.
-    """
+def _outstanding(files: DataFrame, items: DataFrame, exported_at: str) -> tuple[list, Column]:
+    """(fields of the document's head from files, one item from items)"""
     day = lambda c: F.date_format(c, "yyyy-MM-dd")
     value = F.col("amount").try_cast("decimal(38,4)")
     origin = F.struct(F.col("origin_session").alias("sessionId"), F.struct(day("origin_start").alias("start"), day("origin_end").alias("end")).alias("period"), F.col("origin_file").alias("fileName"), "fingerprint", F.col("record_number").alias("recordNumber"))
     one = F.struct("side", day("day").alias("date"), "lineage", "amount", F.when(value > 0, "in").otherwise("out").alias("direction"), "reference", "description", origin.alias("origin"))
+    head = [
+        F.lit(OUTSTANDING).alias("format"), F.lit(VERSION).alias("version"), F.lit(exported_at).alias("exportedAt"), F.col("session_id").alias("sessionId"), F.col("account"), F.col("currency"), F.col("minor_units").alias("minorUnits"),
+        F.struct(day("period_start").alias("start"), day("period_end").alias("end")).alias("period"),
+    ]
+    return head, one
+
+
+def outstanding_documents(files: DataFrame, items: DataFrame, cleared: DataFrame, exported_at: str) -> DataFrame:
+    """One row per account with the whole document as a struct; the columns are those of read_outstanding, by account.
+
+    Items are in the order of side, day and lineage, cleared lineages in their own. outstanding_pieces() is the form for
+    documents of any length.
+    """
+    head, one = _outstanding(files, items, exported_at)
     of_items = items.groupBy("account").agg(F.array_sort(F.collect_list(one)).alias("items"))
     of_cleared = cleared.groupBy("account").agg(F.array_sort(F.collect_set("lineage")).alias("cleared"))
     docs = files.join(of_items, "account", "left").join(of_cleared, "account", "left")
     no_items = F.array().cast(of_items.schema["items"].dataType)
-    return docs.select(
-        F.lit(OUTSTANDING).alias("format"), F.lit(VERSION).alias("version"), F.lit(exported_at).alias("exportedAt"), F.col("session_id").alias("sessionId"), "account", "currency", F.col("minor_units").alias("minorUnits"),
-        F.struct(day("period_start").alias("start"), day("period_end").alias("end")).alias("period"), F.coalesce("items", no_items).alias("items"), F.coalesce("cleared", F.array().cast("array<string>")).alias("cleared"),
-    )
+    return docs.select(*head, F.coalesce("items", no_items).alias("items"), F.coalesce("cleared", F.array().cast("array<string>")).alias("cleared"))
+
+
+def outstanding_pieces(files: DataFrame, items: DataFrame, cleared: DataFrame, exported_at: str) -> DataFrame:
+    """The same documents as lines for pieces.write(): no account's items are gathered. Two accounts of one name would be
+    one document, so files has each account once."""
+    head, one = _outstanding(files, items, exported_at)
+    heads = files.select(F.col("account").alias("name"), *head)
+    listed = items.select(F.col("account").alias("name"), one.alias("item"), "side", "day", "lineage")
+    gone = cleared.select(F.col("account").alias("name"), F.col("lineage").alias("item")).distinct()
+    return pieces.lines(heads, {"items": (listed, ["side", "day", "lineage"]), "cleared": (gone, [])}, by="name")
 
 
 def write_documents(docs: DataFrame, folder: str) -> None:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..config import CompareRules
 from ..functions.text import escape_formula
 from ..operators import compare as C
+from . import pieces
 
 REPORT = "csv-diff-report"  # fixed value: what the document calls itself
 
@@ -82,3 +83,14 @@ def reconcile_report(bridge: DataFrame, statuses: DataFrame, **lists: DataFrame)
         listed = df.groupBy("account").agg(F.array_sort(F.collect_list(F.struct(*cols))).alias(name))
         out = out.join(listed, "account", "left").withColumn(name, F.coalesce(name, F.array().cast(listed.schema[name].dataType)))
     return out
+
+
+def reconcile_report_pieces(bridge: DataFrame, statuses: DataFrame, **lists: DataFrame) -> DataFrame:
+    """The same reports as lines for pieces.write(), a document per account with lists of any length; a list's items are in
+    the order of their columns."""
+    heads = bridge.join(statuses.drop("bridge_complete"), "account", "left")
+    own = {}
+    for name, df in lists.items():
+        cols = [c for c in df.columns if c != "account"]
+        own[name] = (df.select("account", F.struct(*cols).alias("item"), *cols), cols)
+    return pieces.lines(heads, own)

@@ -215,3 +215,23 @@ def test_a_file_that_is_not_utf8_is_refused(spark, tmp_path):
     p.write_bytes(b"id,v\n1,caf\xe9\n")
     _, _, issues = delimited.read_table(spark, str(p), delimiter=",")
     assert "not valid UTF-8" in {r["message"] for r in issues.collect()}
+
+
+def test_documents_of_any_length_in_pieces(spark, tmp_path, monkeypatch):
+    from tallyframe import scratch
+    from tallyframe.sources import pieces
+
+    monkeypatch.setattr(scratch, "shared_folder", lambda spark: f"file://{tmp_path}/s")
+    heads = spark.createDataFrame([("A", 1, None), ("B/é", 2, "x"), ("C", 3, 'q"\n')], "account string, n int, t string")
+    made = {"A": 400, "B/é": 3}
+    items = spark.createDataFrame([(a, k, (k * 7919) % n, f'v"{k}\n') for a, n in made.items() for k in range(n)] + [("gone", 1, 1, "")], "account string, k int, at int, v string").repartition(5)
+    names = spark.createDataFrame([("A", "two"), ("A", "one"), ("A", "one"), ("C", "}],{")], "account string, item string")
+    out = pieces.lines(heads, {"items": (items.select("account", F.struct("k", "v", F.lit(None).cast("int").alias("z")).alias("item"), "at"), ["at"]), "names": (names, ["item"])})
+    pieces.write(out, f"{tmp_path}/d", 9)
+    got = {r["document"]: json.loads(r["value"]) for r in pieces.joined(spark, f"{tmp_path}/d").collect()}
+    want = lambda n: [{"k": k, "v": f'v"{k}\n', "z": None} for k in sorted(range(n), key=lambda k: (k * 7919) % n)]
+    assert got == {"A": {"n": 1, "t": None, "items": want(400), "names": ["one", "one", "two"]}, "B/é": {"n": 2, "t": "x", "items": want(3), "names": []}, "C": {"n": 3, "t": 'q"\n', "items": [], "names": ["}],{"]}}
+    parts = sorted(p for p in (tmp_path / "d" / "document=A").iterdir() if p.name.startswith("part-"))
+    assert len(parts) > 3 and json.loads("".join(p.read_text() for p in parts)) == got["A"]
+    scratch.discard(out)
+    assert not list((tmp_path / "s").iterdir())
