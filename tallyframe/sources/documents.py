@@ -83,7 +83,7 @@ def read_outstanding(spark: SparkSession, paths: list[str], lines: bool = False)
         heads.filter("doc is not null"),
         (_text(doc, "format") == OUTSTANDING, "not an outstanding-items document"),
         (_whole(doc, "version") == VERSION, "its version is not supported"),
-        (_list(doc, "items").isNotNull() & _list(doc, "cleared").isNotNull(), "items and cleared must be lists"),
+        (_list(doc, "items").isNotNull() & _list(doc, "cleared").isNotNull(), "items or cleared is not a list"),
         (minor.between(0, 4), "minorUnits must be from 0 to 4"),
         *[(_text(doc, c).isNotNull(), f"{c} must be text") for c in ("exportedAt", "sessionId", "account", "currency")],
         *_period_checks(doc, "period"),
@@ -95,7 +95,7 @@ def read_outstanding(spark: SparkSession, paths: list[str], lines: bool = False)
         listed.withColumn("place", F.concat(F.lit("items["), F.col("nth").cast("string"), F.lit("]"))),
         (plain.isNotNull() & (decimals.fraction_digits(plain) <= F.col("minor")), "amount must be exact decimal text of the currency"),
         (F.coalesce(value != 0, F.lit(True)), "amount is zero"),
-        (F.coalesce(_text(item, "direction") == F.when(value > 0, "in").otherwise("out"), value.isNull()), "direction does not match the amount's sign"),
+        (F.coalesce(_text(item, "direction") == F.when(value > 0, "in").otherwise("out"), value.isNull()), "its direction is not that of its amount"),
         (_text(item, "side").isin("bank", "books"), "side must be bank or books"),
         (_day(item, "date").isNotNull(), "date must be a date"),
         (_text(item, "lineage").isNotNull(), "lineage must be text"),
