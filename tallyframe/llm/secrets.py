@@ -3,7 +3,7 @@
 Base spans come from three patterns. The method adds spans: in candidate strings (long runs of token characters) a
 window slides, with the counts of its characters and the sum of c*log2(c) kept up to date as one character enters and
 one leaves; the window's Shannon entropy is log2(w) - sum/w. Each character class has a threshold of its own. An
-allow-list suppresses added spans; base spans always stay.
+allow-list of shapes and words suppresses added spans; base spans always stay.
 """
 
 from __future__ import annotations
@@ -22,13 +22,19 @@ WINDOW = 20
 CHUNK = 128  # matches that are walked together
 #: Character class: pattern of the whole candidate, bits from which a window counts.
 CLASSES = (("hex", r"^[0-9A-Fa-f]+$", 3.0), ("base64", r"^[A-Za-z0-9+/_=-]+$", 3.9))
-ALLOWED = (
+#: Characters of candidates and of lower-cased hex ones; each has a count of its own in a window.
+SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+HEX_SYMBOLS = "0123456789abcdef"
+#: Allow-list, shapes: a candidate that is one of these as a whole is no secret.
+SHAPES = (
     r"^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$",
-    r"(?i)example|sample|placeholder|dummy|xxxx|0123456789|abcdefgh",
     r"^[A-Za-z]+$",
     r"^[0-9+/_=-]+$",
     r"^[a-z]+(?:[-_/][a-z0-9]+)+$",
 )
+#: Allow-list, words: windows that come within REACH characters of one do not count; those further away in a long candidate do.
+WORDS = r"(?i:example|sample|placeholder|dummy|xxxx|0123456789|abcdefgh)"
+REACH = 32
 
 
 def _spans(text: Column, pattern: str, kind: str, keep=None) -> Column:
@@ -65,53 +71,74 @@ def _spans(text: Column, pattern: str, kind: str, keep=None) -> Column:
     return F.when(F.size(found) > 0, walked).otherwise(empty)
 
 
-def _window_span(m: Column, bits: float, fold: bool) -> Column:
+def _window_span(m: Column, bits: float, fold: bool, near: Column) -> Column:
     """A struct with (first, last) of the windows of candidate m with `bits` or more, as code points within m; first is -1 if none.
 
-    As the window moves by one, the count of the character that enters rises and that of the one that leaves falls, so
-    the sum of c*log2(c) changes by two differences. Both counts are those of the characters that stay, so a step looks
-    at these alone, whatever the length of the candidate.
+    The fold carries the counts of the window's characters: one goes up and one goes down as the window moves by one, and
+    the sum of c*log2(c) changes by two differences. A step costs the same whatever the candidate and the window hold.
+    Windows that overlap one of the spans `near` do not count.
     """
     w = WINDOW
     rise = F.array(*[F.lit((c + 1) * math.log2(c + 1) - (c * math.log2(c) if c else 0.0)) for c in range(w + 1)])
-    codes = F.transform(F.split(F.lower(m) if fold else m, ""), lambda c: F.ascii(c))
+    # counts of 5 bits, 12 in a long; no character is place -1, whose count stays 0
+    symbols = HEX_SYMBOLS if fold else SYMBOLS
+    places = [symbols.find(chr(c)) for c in range(128)]
+    place = F.array(*[F.lit(k) for k in places])
+    codes = F.transform(F.split(F.lower(m) if fold else m, ""), lambda c: F.get(place, F.ascii(c)))
     limit = w * (math.log2(w) - bits)
-    start = F.struct(F.lit(0).alias("i"), F.lit(0.0).alias("s"), F.lit(-1).alias("first"), F.lit(-1).alias("last"))
+    start = F.struct(F.array(*[F.lit(0).cast("long")] * -(-len(symbols) // 12)).alias("counts"), F.lit(0).alias("i"), F.lit(0.0).alias("s"), F.lit(-1).alias("first"), F.lit(-1).alias("last"))
+    long_of = lambda k: F.call_function("shiftright", k * 43, F.lit(9))  # noqa: E731  k / 12 for places up to 71
+    bit_of = lambda k: (k - long_of(k) * 12) * 5
 
     def walk(all_codes):
-        def change(new, i):
-            stays = F.slice(all_codes, F.greatest(i - (w - 2), F.lit(1)), F.least(i, F.lit(w - 1)))
-            count = lambda code: F.size(F.filter(stays, lambda x: x == code))
-            return F.get(rise, count(new)) - F.when(i >= w, F.get(rise, count(F.get(all_codes, i - w)))).otherwise(0.0)
-
-        def step(a, d):
-            s = a["s"] + d
-            hot = (a["i"] >= w - 1) & (s <= limit + 1e-9)
-            return F.struct((a["i"] + 1).alias("i"), s.alias("s"), F.when(hot & (a["first"] < 0), a["i"] - (w - 1)).otherwise(a["first"]).alias("first"), F.when(hot, a["i"] + 1).otherwise(a["last"]).alias("last"))
-
-        return F.aggregate(F.transform(all_codes, change), start, step)
+        def moves(new, i):
+            old = F.coalesce(F.get(all_codes, i - w), F.lit(-1))
+            return F.struct(new.alias("new"), long_of(new).alias("nl"), bit_of(new).alias("nb"), old.alias("old"), F.when(old < 0, -1).otherwise(long_of(old)).alias("ol"), F.when(old < 0, 0).otherwise(bit_of(old)).alias("ob"))
+
+        def step(a, x):
+            one = F.lit(1).cast("long")
+            count = lambda at, bit: F.call_function("shiftright", F.get(a["counts"], at), bit).bitwiseAND(F.lit(31).cast("long")).cast("int")
+            up, down = F.call_function("shiftleft", one, x["nb"]), F.call_function("shiftleft", one, x["ob"])
+            grown = F.get(rise, count(x["nl"], x["nb"]) - F.when(x["new"] == x["old"], 1).otherwise(0))
+            fallen = F.when(x["old"] < 0, F.lit(0.0)).otherwise(F.get(rise, count(x["ol"], x["ob"]) - 1))
+            # one-element arrays bind the sum and the verdict, so that each is made once
+            told = F.transform(F.array(a["s"] + grown - fallen), lambda s: F.struct(s.alias("s"), ((a["i"] >= w - 1) & (s <= limit + 1e-9) & ~touched(a["i"])).alias("hot")))
+            counts = F.transform(a["counts"], lambda c, k: c + F.when(k == x["nl"], up).otherwise(0) - F.when(k == x["ol"], down).otherwise(0))
+            nxt = lambda t: F.struct(counts.alias("counts"), (a["i"] + 1).alias("i"), t["s"].alias("s"), F.when(t["hot"] & (a["first"] < 0), a["i"] - (w - 1)).otherwise(a["first"]).alias("first"), F.when(t["hot"], a["i"] + 1).otherwise(a["last"]).alias("last"))
+            return F.get(F.transform(told, nxt), F.lit(0))
+
+        def touched(i):
+            return F.when(F.size(near) > 0, _meets(F.struct((i - (w - 1)).alias("start"), (i + 1).alias("end")), near)).otherwise(False)
+
+        return F.aggregate(F.transform(all_codes, moves), start, step, lambda a: F.struct(a["first"].alias("first"), a["last"].alias("last")))
 
     # the codes are made once: a one-element array binds them for the walk
     return F.get(F.transform(F.array(codes), walk), F.lit(0))
 
 
-def _added(text: Column, allowed: tuple[str, ...]) -> Column:
-    """Spans of high-entropy windows in candidates that no allow-list pattern suppresses."""
+def _added(text: Column, shapes: tuple[str, ...], words: str) -> Column:
+    """Spans of high-entropy windows in candidates that the allow-list leaves."""
 
     def keep(m):
         ok = m.rlike("[0-9]") & m.rlike("[A-Za-z]")
-        for pattern in allowed:
+        for pattern in shapes:
             ok = ok & ~m.rlike(pattern)
         return ok
 
     candidates = _spans(text, CANDIDATE, "entropy", keep)
+    none = F.array().cast("array<struct<start:int,end:int>>")
+
+    def near(m):
+        found = F.transform(_spans(m, words, "word"), lambda x: F.struct((x["start"] - REACH).alias("start"), (x["end"] + REACH).alias("end")))
+        return F.when(m.rlike(words), found).otherwise(none)
 
     def judged(name, bits):
         def judge(x):
             def told(place):
                 return F.struct((x["start"] + place["first"]).alias("start"), (x["start"] + place["last"]).alias("end"), F.lit("entropy").alias("kind"), F.lit(name).alias("m"), (place["first"] >= 0).alias("hot"))
 
-            return F.get(F.transform(F.array(_window_span(x["m"], bits, name == "hex")), told), F.lit(0))
+            spans = F.transform(F.array(near(x["m"])), lambda allowed: _window_span(x["m"], bits, name == "hex", allowed))
+            return F.get(F.transform(spans, told), F.lit(0))
 
         return judge
 
@@ -137,12 +164,13 @@ def _meets(x: Column, spans: Column) -> Column:
     return F.coalesce(F.get(spans, found["low"])["start"] < x["end"], F.lit(False))
 
 
-def secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", allowed: tuple[str, ...] = ALLOWED) -> DataFrame:
+def secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", shapes: tuple[str, ...] = SHAPES, words: str = WORDS) -> DataFrame:
     """One row per document: doc_id, n_assign, n_access, n_hex, n_entropy, base_sha256, spans.
 
     Places are code points, ends exclusive. A null text counts as empty: no spans, the hash of the empty string. An
     added span runs from the first to the last window of its candidate that counts, and goes if it overlaps a base
-    span. Rows are judged one by one, so repeated rows and keys give repeated results.
+    span. The allow-list suppresses candidates by their shape, and windows within REACH characters of its words: a short
+    candidate with such a word goes, a long one is judged by its other windows. Rows are judged one by one, so repeated rows and keys give repeated results.
     """
     order = {"assign": 0, "access": 1, "hex": 2, "entropy": 3}
     none = F.array().cast("array<struct<start:int,end:int,kind:string,m:string>>")
@@ -154,7 +182,7 @@ def secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", allowed: t
         F.when(t.rlike(ASSIGN), _spans(t, ASSIGN, "assign", value)).otherwise(none).alias("assign"),
         F.when(F.contains(t, F.lit("AKIA")), _spans(t, ACCESS, "access")).otherwise(none).alias("access"),
         F.when(t.rlike(HEX), _spans(t, HEX, "hex")).otherwise(none).alias("hex"),
-        F.when(t.rlike(CANDIDATE), _added(t, allowed)).otherwise(none).alias("entropy"),
+        F.when(t.rlike(CANDIDATE), _added(t, shapes, words)).otherwise(none).alias("entropy"),
     )
     base = F.concat("assign", "access", "hex")
     found = found.withColumn("base", base).withColumn("entropy", F.filter("entropy", lambda x: ~(_meets(x, F.col("assign")) | _meets(x, F.col("access")) | _meets(x, F.col("hex")))))

@@ -130,7 +130,7 @@ def near_duplicates(rows, threshold=0.93):
     return {r[0]: (n[r[0]], comp[r[0]], comp[r[0]] == r[0]) for r in rows}
 
 
-def entropy_spans(text, window, classes, allowed):
+def entropy_spans(text, window, classes, shapes, words, reach):
     """All spans, base and added, joined as the query joins them."""
     import math
 
@@ -139,13 +139,15 @@ def entropy_spans(text, window, classes, allowed):
     found = list(base)
     for m in re.finditer(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}", text):
         word = m[0]
-        if not re.search("[0-9]", word) or not re.search("[A-Za-z]", word) or any(re.search(a, word) for a in allowed):
+        if not re.search("[0-9]", word) or not re.search("[A-Za-z]", word) or any(re.search(a, word) for a in shapes):
             continue
         name = next(n for n, pattern, _ in classes if re.search(pattern, word))
         bits = next(b for n, _, b in classes if n == name)
         folded = word.lower() if name == "hex" else word
-        hot = []
+        hot, near = [], [(x.start() - reach, x.end() + reach) for x in re.finditer(words, word)]
         for i in range(len(word) - window + 1):
+            if any(i < e and s < i + window for s, e in near):
+                continue
             part = folded[i : i + window]
             if -sum(part.count(c) / window * math.log2(part.count(c) / window) for c in set(part)) >= bits - 1e-9:
                 hot.append(i)

@@ -133,6 +133,7 @@ def test_secrets(spark, empty):
         "x " * 5000 + f"secret = {key}",
         key * 400,
         "thelongestofallwordsthatthereare",
+        key * 3 + "xxxx" + key * 3,
     ]
     df = spark.createDataFrame([(i, t, "c") for i, t in enumerate(texts)] + [(6, texts[6], "c")], "doc_id long, text string, spans string")
     got = {r["doc_id"]: r for r in secrets.secrets(df).collect()}
@@ -142,6 +143,7 @@ def test_secrets(spark, empty):
         assert set(filter(None, joined.split(","))) <= set(got[i]["spans"].split(","))
     assert got[6]["spans"] == f"entropy:4:{4 + len(key)}"  # the allow-list suppresses the others
     assert got[8]["n_entropy"] == 1 and got[9]["n_entropy"] == 0
+    assert got[10]["spans"] == f"entropy:0:{len(texts[10])}"  # a word of the allow-list hides what is near it, not a long candidate
     assert secrets.secrets(empty).count() == 0
 
 

@@ -32,12 +32,15 @@ def test_entropy_spans(spark):
             parts.append(str(r.choice(["", "token=", "é", "secret: ", "AKIA", "example", "-"])) + word)
         texts.append(str(r.choice([" ", ", ", "\n", "."])).join(parts))
     texts += [" ".join("".join(r.choice(list(sets[0]), 32)) for _ in range(700)), "".join(r.choice(list(sets[2]), 5000))]
+    # words of the allow-list in short and in long candidates, alone, repeated and at either end
+    key = "".join(r.choice(list(sets[2][:62]), 120))
+    texts += [key[:60] + "xxxx" + key[60:], "example" + key, key + "xxxxxxxx", key[:20] + "Sample" + key[20:40], key + "dummy" + key + "xxxx" + key + "xxxx", f"a {key}0123456789{key} b"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    want = [(i, brute.entropy_spans(t, secrets.WINDOW, secrets.CLASSES, secrets.ALLOWED)) for i, t in enumerate(texts)]
+    want = [(i, brute.entropy_spans(t, secrets.WINDOW, secrets.CLASSES, secrets.SHAPES, secrets.WORDS, secrets.REACH)) for i, t in enumerate(texts)]
     assert rows(secrets.secrets(df), "doc_id", "spans") == want
     assert sum("entropy" in w for _, w in want) > 50
     real = spark.read.parquet(f"{SF}/documents.parquet")
-    assert rows(secrets.secrets(real), "doc_id", "spans") == sorted((d["doc_id"], brute.entropy_spans(d["text"], secrets.WINDOW, secrets.CLASSES, secrets.ALLOWED)) for d in real.collect())
+    assert rows(secrets.secrets(real), "doc_id", "spans") == sorted((d["doc_id"], brute.entropy_spans(d["text"], secrets.WINDOW, secrets.CLASSES, secrets.SHAPES, secrets.WORDS, secrets.REACH)) for d in real.collect())
 
 
 @pytest.mark.parametrize("rule", ["first", "most"])
