@@ -7,8 +7,10 @@ are verified by cosine in double precision. Equal vectors are one class and are
 
 The number of reference points grows with the square root of the number of classes, so that a list stays as long on a
 larger table, up to what a broadcast of a stated size holds. They come from a bounded sample of the vectors, thinned so
-that a dense cluster does not take them all, and filled up with seeded random directions; every row is indexed. A list
-longer than a block is dealt to tasks by pairs of blocks.
+that a dense cluster does not take them all, and filled up with seeded random directions; every row is indexed. Where
+vectors have few dimensions, or vary in few of them, many points would part near vectors: so pairs at the threshold itself
+are made from the sample, and the points are halved until enough of these pairs would meet. A list longer than a block is
+dealt to tasks by pairs of blocks.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ NEAREST = 8  # pivots that describe a vector
 SAMPLE = 4  # vectors a reference point that the points are chosen from
 BROADCAST = 1 << 22  # numbers in all reference points, at most: 32 MB
 BLOCK = 128
+PROBES = 1024  # sampled vectors that the number of points is tried with
+MET = 0.95  # of pairs at the threshold, the share that must meet
 
 
 def pivots_for(classes: int, dim: int) -> int:
@@ -64,6 +68,33 @@ def nearest(x: np.ndarray, refs: np.ndarray, count: int = NEAREST) -> np.ndarray
     return np.argsort(-near, axis=1, kind="stable")[:, :count]
 
 
+def share_met(sample: np.ndarray, refs: np.ndarray, threshold: float, count: int = NEAREST) -> float:
+    """Of pairs at the threshold, made of each sampled vector and the direction of the next one, the share that two pivots join."""
+    x = scaled(sample[:PROBES])
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    y = np.roll(x, 1, axis=0)
+    y = y - (y * x).sum(axis=1, keepdims=True) * x
+    size = np.linalg.norm(y, axis=1)
+    x, y = x[size > 1e-6], y[size > 1e-6] / size[size > 1e-6, None]
+    if not len(x):
+        return 1.0
+    z = threshold * x + math.sqrt(max(0.0, 1 - threshold * threshold)) * y
+    a, b = nearest(x, refs, count), nearest(z, refs, count)
+    return float(np.mean((a[:, :, None] == b[:, None, :]).sum(axis=(1, 2)) >= 2))
+
+
+def fitted(sample: np.ndarray, refs: np.ndarray, threshold: float, count: int = NEAREST) -> np.ndarray:
+    """The first of refs, as many as are left when MET of the pairs at the threshold meet. With `count` all vectors meet."""
+    while len(refs) > count and share_met(sample, refs, threshold, count) < MET:
+        refs = refs[: max(count, len(refs) // 2)]
+    return refs
+
+
+def random_pivots(dim: int) -> int:
+    """Points of a length that has no sample of its own: 192, fewer below 12 dimensions, where 192 would part near vectors."""
+    return max(NEAREST, min(192, 16 * dim))
+
+
 def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = 0.93, pivots: int | None = None, count: int = NEAREST) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept.
 
@@ -71,7 +102,8 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     null or non-finite component link with nothing, and so do rows with a null key (null component_id, not kept). Equal
     vectors link with each other (their cosine is 1). A row is a vector of its own: rows that repeat a key, with the
     same vector or another, count and are counted by what their own vectors link with. `pivots` fixes the number of
-    reference points (default: pivots_for).
+    reference points (default: pivots_for, halved until pairs at the threshold meet). Up to 64 vector lengths have points
+    from a sample; vectors of further lengths are described by random directions.
     """
     spark = vectors.sparkSession
     small_batches(vectors)
@@ -93,7 +125,10 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     for dim, n in sizes.items():  # a length beyond the 64 commonest is described by random directions
         many = pivots or pivots_for(n, dim)
         sample = reps.filter(F.col("dim") == dim).select("x", F.xxhash64("node", F.lit(4)).alias("h"), "node").orderBy("h", "node").limit(SAMPLE * many).select("x").toPandas()["x"]
-        refs[dim] = references(scaled(np.array(sample.tolist())), dim, many)
+        vectors_of = scaled(np.array(sample.tolist()))
+        refs[dim] = references(vectors_of, dim, many)
+        if not pivots:
+            refs[dim] = fitted(vectors_of, refs[dim], threshold, count)
         if sum(r.size for r in refs.values()) > BROADCAST:
             break
     shared = spark.sparkContext.broadcast(refs)
@@ -103,7 +138,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
             for dim, own in frame.groupby("dim"):
                 at = shared.value.get(dim)
                 if at is None:
-                    at = references(np.zeros((0, dim)), dim, pivots or 192)
+                    at = references(np.zeros((0, dim)), dim, pivots or random_pivots(dim))
                 near = nearest(np.array(own["x"].tolist()), at, count)
                 yield pd.DataFrame({"node": own["node"].to_numpy(), "label": own["label"].to_numpy(), "dim": dim, "near": np.sort(near, axis=1).astype(np.int32).tolist()})
 

@@ -326,6 +326,49 @@ def test_embedding_index_recall_at_64_dimensions(cosine):
     assert np.mean(((p[:, :, None] == q[:, None, :]).sum(axis=(1, 2))) >= 2) > 0.98
 
 
+def at_cosine(a, cosine, r):
+    y = r.normal(size=a.shape)
+    y -= (y * a).sum(axis=1, keepdims=True) * a
+    return cosine * a + np.sqrt(1 - (cosine + 1e-9) ** 2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+
+
+def recall(refs, cosine, dim, inner=None):
+    """Of random pairs of a cosine, which vary in the first `inner` dimensions, the share that two pivots join."""
+    r, inner = np.random.default_rng(5), inner or dim
+    a = r.normal(size=(1000, inner))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    a, b = (np.pad(v, ((0, 0), (0, dim - inner))) for v in (a, at_cosine(a, cosine, r)))
+    p, q = embedding_dedup.nearest(a, refs), embedding_dedup.nearest(b, refs)
+    return np.mean((p[:, :, None] == q[:, None, :]).sum(axis=(1, 2)) >= 2)
+
+
+@pytest.mark.parametrize("classes", [400_000, 10_000_000])
+@pytest.mark.parametrize("dim, inner", [(64, 64), (64, 4), (3, 3), (2, 2)])
+def test_embedding_pivots_of_large_tables(classes, dim, inner):
+    """As many pivots as such tables have, fitted: in few dimensions their number falls until near vectors meet."""
+    x = np.pad(np.random.default_rng(3).normal(size=(1500, inner)), ((0, 0), (0, dim - inner)))
+    refs = embedding_dedup.fitted(x, embedding_dedup.references(x, dim, embedding_dedup.pivots_for(classes, dim)), 0.93)
+    assert inner < 64 or len(refs) >= embedding_dedup.pivots_for(classes, dim) // 2
+    assert recall(refs, 0.93, dim, inner) > 0.93 and recall(refs, 0.99, dim, inner) > 0.98
+
+
+@pytest.mark.parametrize("dim", [2, 3, 5, 8, 11, 12, 16, 64, 384])
+def test_embedding_recall_of_lengths_without_a_sample(dim):
+    refs = embedding_dedup.references(np.zeros((0, dim)), dim, embedding_dedup.random_pivots(dim))
+    assert recall(refs, 0.93, dim) > 0.95 and recall(refs, 0.99, dim) > 0.98
+
+
+def test_embedding_dedup_in_few_dimensions_with_clashing_columns(spark):
+    """All links of vectors in a plane and in space, against brute force; columns named as those of the result."""
+    r = np.random.default_rng(8)
+    xs = [*r.normal(size=(150, 2)), *r.normal(size=(150, 3))]
+    df = spark.createDataFrame([(i, x.tolist(), "a", 0, "k") for i, x in enumerate(xs)], "vec_id long, embedding array<double>, label string, n_links int, node string")
+    got = {v["vec_id"]: v["n_links"] for v in embedding_dedup.near_duplicates(df).collect()}
+    unit = [x / np.linalg.norm(x) for x in xs]
+    want = {i: sum(len(u) == len(v) and u @ v >= 0.93 for v in unit) - 1 for i, u in enumerate(unit)}
+    assert sum(got.values()) > 0.95 * sum(want.values()) and all(got[i] <= want[i] for i in want)
+
+
 def test_mixing(docs, empty):
     got = mixing.taken_words(docs).collect()
     assert len(got) == len(documents())
