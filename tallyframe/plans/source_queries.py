@@ -115,3 +115,21 @@ def a07_ranged_fingerprints(spark, sf):
     """Hash and encoding of whole files, each streamed in constant memory."""
     found = ranges.fingerprints(spark, [_written(spark, sf)])
     return found.select(F.regexp_extract("file", "folder=K([^/]*)/", 1).alias("lang"), "fingerprint", "is_utf8")
+
+
+@query("""SELECT lang, CASE ascii(lang || 'x') % 3 WHEN 0 THEN ',' WHEN 1 THEN ';' ELSE chr(9) END AS delimiter FROM (SELECT DISTINCT coalesce(lang, '') AS lang FROM documents)""")
+def a08_delimiters(spark, sf):
+    """A file for each language, its fields parted as the language's first letter has it; every delimiter also stands
+    inside quotes, in the header and in texts."""
+    from ..scratch import new_path
+
+    path = new_path(spark, "delimiters")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("lang", F.coalesce("lang", F.lit("")))
+    mark = F.element_at(F.array(*[F.lit(d) for d in delimited.DELIMITERS]), F.ascii(F.concat("lang", F.lit("x"))) % 3 + 1)
+    body = F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\r\n]", ";"), '"', '""'), F.lit('"'))
+    folder = F.concat(F.lit("K"), F.col("lang")).alias("folder")
+    heads = docs.select("lang").distinct().select(folder, F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit('"a,b;c;d\t,;\t"'), mark, F.lit("source"), mark, F.lit("text")).alias("value"))
+    rows = docs.select(folder, "doc_id", F.concat(F.col("doc_id").cast("string"), mark, F.coalesce("source", F.lit("")), mark, body).alias("value"))
+    written = heads.unionByName(rows).repartition("folder").sortWithinPartitions("folder", F.asc_nulls_first("doc_id"))
+    written.select("folder", "value").write.partitionBy("folder").text(path)
+    return delimited.detect_delimiter(spark, [path]).select(F.regexp_extract("file", "folder=K([^/]*)/", 1).alias("lang"), "delimiter")

@@ -20,14 +20,30 @@ class Layout:
     skip_trailing: int = 0
 
 
+#: Lines from the header on that a delimiter is told by.
+LOOKED_AT = 10
+
+
 def detect_delimiter(spark: SparkSession, paths: list[str], header_record: int = 1) -> DataFrame:
-    """(file, delimiter): the candidate with most fields in the header line; a single column counts as commas."""
+    """(file, delimiter): candidates are tried in order, and one takes the place of the one before if its number of fields
+    changes no more from line to line and is larger on average. A single column counts as commas.
+
+    Delimiters inside quotes are no delimiters. Up to LOOKED_AT non-blank lines from the header on are looked at.
+    """
     lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), "value", F.monotonically_increasing_id().alias("at")).filter(F.trim(F.regexp_replace("value", "﻿", "")) != "")
-    nth = F.row_number().over(Window.partitionBy("file").orderBy("at"))
-    head = lines.withColumn("nth", nth).filter(F.col("nth") == header_record)
-    counted = F.array(*[F.struct((F.size(F.split("value", f"[{d}]")) - 1).alias("n"), F.lit(-i).alias("place"), F.lit(d).alias("d")) for i, d in enumerate(DELIMITERS)])
-    best = F.array_max(counted)
-    return head.select("file", F.when(best["n"] == 0, F.lit(",")).otherwise(best["d"]).alias("delimiter"))
+    first = lines.withColumn("nth", F.row_number().over(Window.partitionBy("file").orderBy("at"))).filter(F.col("nth") < header_record + LOOKED_AT)
+    bare = F.regexp_replace("value", '"[^"]*("|$)', "")
+    fields = first.filter(F.col("nth") >= header_record).select("file", "nth", *[F.size(F.split(bare, f"[{d}]")).alias(f"n{i}") for i, d in enumerate(DELIMITERS)])
+    seen = fields.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("nth", *[f"n{i}" for i in range(len(DELIMITERS))]))).alias("lines"))
+
+    def judged(i: int, d: str):
+        n = F.transform("lines", lambda x: x[f"n{i}"])
+        change = F.aggregate(F.sequence(F.lit(1), F.size(n)), F.lit(0), lambda c, k: c + F.abs(F.get(n, k - 1) - F.get(n, F.greatest(k - 2, F.lit(0)))))
+        return F.struct(change.alias("change"), (F.aggregate(n, F.lit(0), lambda c, x: c + x) / F.size(n)).alias("mean"), F.lit(d).alias("d"))
+
+    start = F.struct(F.lit(2**31 - 1).alias("change"), F.lit(1.99).cast("double").alias("mean"), F.lit(",").alias("d"))
+    best = F.aggregate(F.array(*[judged(i, d) for i, d in enumerate(DELIMITERS)]), start, lambda a, x: F.when((x["change"] <= a["change"]) & (x["mean"] > a["mean"]), x).otherwise(a))
+    return seen.select("file", best["d"].alias("delimiter"))
 
 
 def records(spark: SparkSession, paths: list[str], width: int, delimiter: str = ",") -> DataFrame:

@@ -138,3 +138,22 @@ def test_fingerprints_are_those_of_the_bytes(spark, cut, tmp_path):
     cut(100)
     found = {r["file"].split("/")[-1]: (r["fingerprint"], r["is_utf8"]) for r in ranges.fingerprints(spark, [str(tmp_path / n) for n in files]).collect()}
     assert found == {n: (hashlib.sha256(data).hexdigest(), n != "f") for n, data in files.items()}
+
+
+@pytest.mark.parametrize(
+    "text, header, want",
+    [
+        ("a;b\n1,5;2,5\n3,5;4,5\n", 1, ","),  # commas change more but are tried first, and semicolons make no more fields
+        ("a;b;c\n1,5;2;3\n3;4,5;6\n", 1, ";"),
+        ('"a,b,c";d\n1;2\n', 1, ";"),
+        ('"a ""x"", y";b\n"1,2,3";4\n', 1, ";"),
+        ("one column\n1\n", 1, ","),
+        ("\ufeffa\tb\tc\n1\t2\t3\n", 1, "\t"),
+        ("Account, of; the\n\na;b;c\n1;2;3\n", 2, ";"),
+        ("a,b\n1,2\n", 1, ","),
+    ],
+)
+def test_delimiters(spark, tmp_path, text, header, want):
+    path = tmp_path / "x.csv"
+    path.write_text(text, encoding="utf-8")
+    assert [r["delimiter"] for r in delimited.detect_delimiter(spark, [str(path)], header).collect()] == [want]
