@@ -12,7 +12,7 @@ from ..config import MatchingRules
 from ..functions import decimals
 from ..functions.text import lineage
 from ..scratch import discard, materialize, reading
-from . import match
+from . import classes, match
 from .numbering import numbered
 
 ITEM = "file string, account string, currency string, period_end date, side string, record_number long, day date, amount string, reference string, lineage string"
@@ -127,12 +127,12 @@ def cleared_lineages(inherited: DataFrame, consumed: DataFrame) -> DataFrame:
     return inherited.select("lineage").union(consumed.select("lineage")).distinct()
 
 
-def chain(sides: DataFrame, periods: list[tuple[str, str, str]], decide: Callable[[DataFrame], DataFrame], rules: MatchingRules = MatchingRules()) -> dict[str, DataFrame]:
+def chain(sides: DataFrame, periods: list[tuple[str, str, str]], decide: Callable[[DataFrame], DataFrame] | None, rules: MatchingRules = MatchingRules()) -> dict[str, DataFrame]:
     """Runs periods one after the other, each with the items that the one before left outstanding (H9).
 
     sides (account, side, fingerprint, record_number, day, amount, reference, description) holds the units of all
     periods; periods are (name, first day, last day) in order; decide takes candidates and gives the confirmed (account,
-    bank, books). A carried unit keeps its lineage and the negative of its record number.
+    bank, books); without it, units that are each other's first candidate are, for which no candidates are made. A carried unit keeps its lineage and the negative of its record number.
 
     Returns `sums` (period, account, side, opening, movement, matched, outstanding; opening + movement = matched +
     outstanding), `items` outstanding at the end of each period (period and what outstanding() gives) and `cleared`
@@ -145,7 +145,8 @@ def chain(sides: DataFrame, periods: list[tuple[str, str, str]], decide: Callabl
         own = sides.filter(F.col("day").between(F.lit(first).cast("date"), F.lit(last).cast("date")))
         pool = materialize(own.withColumns({"is_carried": F.lit(False), "lineage": lineage(F.col("side"), F.col("fingerprint"), F.col("record_number"))}).drop("fingerprint").unionByName(carried.withColumn("is_carried", F.lit(True))), "pool")
         of = lambda side, pool=pool: pool.filter(F.col("side") == side)
-        confirmed = materialize(decide(match.candidates(of("bank"), of("books"), rules)).select("account", "bank", "books"), "confirmed")
+        chosen = classes.mutual_firsts(of("bank"), of("books"), rules) if decide is None else decide(match.candidates(of("bank"), of("books"), rules))
+        confirmed = materialize(chosen.select("account", "bank", "books"), "confirmed")
         used = confirmed.select("account", F.lit("bank").alias("side"), F.col("bank").alias("record_number")).unionByName(confirmed.select("account", F.lit("books").alias("side"), F.col("books").alias("record_number")))
         marked = pool.join(used.distinct().withColumn("used", F.lit(True)), ["account", "side", "record_number"], "left").withColumn("used", F.coalesce("used", F.lit(False)))
         marked = materialize(marked, "marked")
