@@ -84,10 +84,11 @@ def confirmed_view(confirmed: DataFrame, bank: DataFrame, books: DataFrame, chec
 
 
 def decision_summary(pairs_left: DataFrame, confirmed: DataFrame, refused: DataFrame, bank: DataFrame | None = None, books: DataFrame | None = None, replayed: DataFrame | None = None) -> DataFrame:
-    """One row per account: suggested, confirmed and rejected pairs; with the units of both sides also what no match uses,
+    """One row per account: suggested (pairs, or the `suggestions` of units), confirmed and rejected pairs; with the units of both sides also what no match uses,
     with replay() also the events that lapsed."""
     one = lambda df, name: df.groupBy("account").agg(F.count("*").alias(name))
-    parts = [one(pairs_left, "suggested"), one(confirmed, "confirmed"), one(refused, "rejected")]
+    suggested = pairs_left.groupBy("account").agg(F.sum("suggestions").alias("suggested")) if "suggestions" in pairs_left.columns else one(pairs_left, "suggested")
+    parts = [suggested, one(confirmed, "confirmed"), one(refused, "rejected")]
     for units, side in ((bank, "bank"), (books, "books")):
         if units is not None:
             rest = units.join(confirmed.select("account", F.col(side).alias("record_number")), ["account", "record_number"], "left_anti")
