@@ -81,22 +81,32 @@ def a09_fingerprints(spark, sf):
 _DOCS = "dx AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(text, '') AS body, coalesce(lang, '') AS lang FROM documents)"
 
 
+#: Bytes of texts in a part of a written file, on average.
+PART = 1 << 25
+
+
+def _in_parts(docs, rows, *order):
+    """rows dealt by ranges of their order, to as many parts as the texts of docs need."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return rows.repartitionByRange(size // PART + 1, *order).sortWithinPartitions(*order)
+
+
 def _written(spark, sf):
-    """documents as quoted CSV, a folder for each language, texts with their quotes and line ends."""
+    """documents as quoted CSV, a file of ordered parts (a folder) for each language, texts with their quotes and line ends."""
     from ..scratch import new_path
 
     path = new_path(spark, "delimited")
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     none = F.lit("")
     rows = docs.select(F.coalesce("lang", none).alias("lang"), F.concat(F.lit("K"), F.coalesce("lang", none)).alias("folder"), F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("source", none).alias("source"), F.coalesce("text", none).alias("body"))
-    rows.repartition("folder").sortWithinPartitions("folder", "doc_id").write.partitionBy("folder").option("quoteAll", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("escape", '"').option("lineSep", "\n").csv(path)
+    _in_parts(docs, rows, "folder", "doc_id").write.partitionBy("folder").option("quoteAll", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("escape", '"').option("lineSep", "\n").csv(path)
     return path
 
 
 @query(f"WITH {_DOCS} SELECT doc_id, source, lang, md5(body) AS body, CAST(row_number() OVER (PARTITION BY lang ORDER BY CAST(doc_id AS STRING)) AS BIGINT) AS record FROM dx")
 def a01_ranged_scan(spark, sf):
     """A1, A5: a quoted file for each language, read by ranges: every field as it was, every record with its number."""
-    found = ranges.records(spark, [_written(spark, sf)], 4)
+    found = ranges.records(spark, [_written(spark, sf)], 4, parts=True)
     return found.select(F.col("c1").cast("long").alias("doc_id"), F.col("c2").alias("source"), F.col("c0").alias("lang"), F.md5("c3").alias("body"), F.col("record").cast("long").alias("record"))
 
 
@@ -104,7 +114,7 @@ def a01_ranged_scan(spark, sf):
   SELECT lang, CASE WHEN r < 3 THEN 'before' WHEN r <= 6 THEN 'after' ELSE 'end' END AS zone, CAST(r AS BIGINT) AS record, md5(raw) AS raw FROM q WHERE r <= 6 AND r <> 3 OR r > 6 AND r > n - 4""")
 def a06_ranged_skipped(spark, sf):
     """Records around the data keep the text that they were typed as."""
-    texts, files = ranges.record_texts(spark, [_written(spark, sf)])
+    texts, files = ranges.record_texts(spark, [_written(spark, sf)], parts=True)
     zones = ranges.zoned(texts, files, delimited.Layout(3, 3, 4))
     lang = F.regexp_extract("file", "folder=K([^/]*)/", 1)
     return delimited.skipped(zones).select(lang.alias("lang"), "zone", F.col("record").cast("long").alias("record"), F.md5("text").alias("raw"))
@@ -112,8 +122,8 @@ def a06_ranged_skipped(spark, sf):
 
 @query(f"""WITH {_DOCS} SELECT lang, sha256(string_agg('"' || lang || '","' || doc_id || '","' || source || '","' || replace(body, '"', '""') || '"' || chr(10), '' ORDER BY CAST(doc_id AS STRING))) AS fingerprint, true AS is_utf8 FROM dx GROUP BY lang""")
 def a07_ranged_fingerprints(spark, sf):
-    """Hash and encoding of whole files, each streamed in constant memory."""
-    found = ranges.fingerprints(spark, [_written(spark, sf)])
+    """Hash and encoding of whole files, hashed piece by piece in constant memory."""
+    found = ranges.fingerprints(spark, [_written(spark, sf)], parts=True)
     return found.select(F.regexp_extract("file", "folder=K([^/]*)/", 1).alias("lang"), "fingerprint", "is_utf8")
 
 
@@ -128,8 +138,11 @@ def a08_delimiters(spark, sf):
     mark = F.element_at(F.array(*[F.lit(d) for d in delimited.DELIMITERS]), F.ascii(F.concat("lang", F.lit("x"))) % 3 + 1)
     body = F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\r\n]", ";"), '"', '""'), F.lit('"'))
     folder = F.concat(F.lit("K"), F.col("lang")).alias("folder")
-    heads = docs.select("lang").distinct().select(folder, F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit('"a,b;c;d\t,;\t"'), mark, F.lit("source"), mark, F.lit("text")).alias("value"))
-    rows = docs.select(folder, "doc_id", F.concat(F.col("doc_id").cast("string"), mark, F.coalesce("source", F.lit("")), mark, body).alias("value"))
-    written = heads.unionByName(rows).repartition("folder").sortWithinPartitions("folder", F.asc_nulls_first("doc_id"))
+    rows = docs.select(folder, F.lit(1).alias("nth"), "lang", "doc_id", "source", "text")
+    heads = docs.select("lang").distinct().select(folder, F.lit(0).alias("nth"), "lang")
+    dealt = _in_parts(docs, heads.unionByName(rows, allowMissingColumns=True), "folder", "nth", "doc_id")  # lines are made behind it, once
+    head = F.concat(F.lit('"a,b;c;d\t,;\t"'), mark, F.lit("source"), mark, F.lit("text"))
+    line = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), mark, F.coalesce("source", F.lit("")), mark, body)
+    written = dealt.withColumn("value", F.when(F.col("nth") == 0, head).otherwise(line))
     written.select("folder", "value").write.partitionBy("folder").text(path)
-    return delimited.detect_delimiter(spark, [path]).select(F.regexp_extract("file", "folder=K([^/]*)/", 1).alias("lang"), "delimiter")
+    return delimited.detect_delimiter(spark, [path], parts=True).select(F.regexp_extract("file", "folder=K([^/]*)/", 1).alias("lang"), "delimiter")

@@ -24,13 +24,16 @@ class Layout:
 LOOKED_AT = 10
 
 
-def detect_delimiter(spark: SparkSession, paths: list[str], header_record: int = 1) -> DataFrame:
+def detect_delimiter(spark: SparkSession, paths: list[str], header_record: int = 1, parts: bool = False) -> DataFrame:
     """(file, delimiter): candidates are tried in order, and one takes the place of the one before if its number of fields
     changes no more from line to line and is larger on average. A single column counts as commas.
 
     Delimiters inside quotes are no delimiters. Up to LOOKED_AT non-blank lines from the header on are looked at.
+    parts: a folder is one file, as in `ranges`.
     """
-    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), "value", F.monotonically_increasing_id().alias("at")).filter(F.trim(F.regexp_replace("value", "﻿", "")) != "")
+    path = F.col("_metadata.file_path")
+    at = F.struct(path.alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    lines = spark.read.text(paths).select((F.regexp_replace(path, r"[^/]*\z", "") if parts else path).alias("file"), "value", at.alias("at")).filter(F.trim(F.regexp_replace("value", "﻿", "")) != "")
     first = lines.withColumn("nth", F.row_number().over(Window.partitionBy("file").orderBy("at"))).filter(F.col("nth") < header_record + LOOKED_AT)
     bare = F.regexp_replace("value", '"[^"]*("|$)', "")
     fields = first.filter(F.col("nth") >= header_record).select("file", "nth", *[F.size(F.split(bare, f"[{d}]")).alias(f"n{i}") for i, d in enumerate(DELIMITERS)])

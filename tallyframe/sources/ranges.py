@@ -7,15 +7,19 @@ Only the pieces of records that cross from one range into another are shuffled.
 
 Lines end with a line feed or carriage return and line feed. A quote opens a field only at the field's start, and stands
 for itself inside other text, as RFC 4180 readers have it.
+
+With `parts` a folder is one file: the files in it, each of which ends with a line feed, are its text in the order of their
+names, as Spark writes a table in order. Records may cross parts. Its name is the folder's, with a slash at its end.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..scratch import materialize, reading
+from ..functions import sha256
+from ..scratch import discard, materialize, new_path, reading
 from . import delimited
 
 #: Ranges that the second reading may know of, a few tens of bytes each.
@@ -23,16 +27,32 @@ MOST_RANGES = 2_000_000
 BOM = "﻿"
 
 
-def _lines(spark: SparkSession, paths: list[str], *more) -> DataFrame:
+def _name(path: Column, parts: bool) -> Column:
+    return F.regexp_replace(path, r"[^/]*\z", "") if parts else path
+
+
+def _lines(spark: SparkSession, paths: list[str], *more, parts: bool = False) -> DataFrame:
     """(file, block, value, ...) of every line, in order within a block (the place in its file where a range begins)."""
     raw = spark.read.option("lineSep", "\n").text(paths)
-    return raw.select(F.xxhash64(F.col("_metadata.file_path")).alias("file"), F.col("_metadata.file_block_start").alias("block"), "value", *more)
+    path, block = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
+    if not parts:
+        return raw.select(F.xxhash64(path).alias("file"), block.alias("block"), "value", *more)
+    held = raw.select(F.xxhash64(path).alias("part"), block.alias("at_part"), "value", *more)
+    whole = _parts(spark, paths, True).select(F.xxhash64("path").alias("part"), F.xxhash64("file").alias("file"), "start")
+    return held.join(F.broadcast(whole), "part").select("file", (F.col("at_part") + F.col("start")).alias("block"), *[c for c in held.columns if c not in ("part", "at_part")])
+
 
+def _parts(spark: SparkSession, paths: list[str], parts: bool) -> DataFrame:
+    """(path, file, length, start) of every file that is there, without reading any, and where it begins in its whole."""
+    one = spark.read.format("binaryFile").load(paths).select(F.col("_metadata.file_path").alias("path"), "length")
+    one = one.withColumn("file", _name(F.col("path"), parts))
+    earlier = Window.partitionBy("file").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
+    return one.withColumn("start", F.coalesce(F.sum("length").over(earlier), F.lit(0)))
 
-def _files(spark: SparkSession, paths: list[str]) -> DataFrame:
+
+def _files(spark: SparkSession, paths: list[str], parts: bool = False) -> DataFrame:
     """(id, file, length) of every file, without reading any. Spark's readers leave out files of no bytes."""
-    one = spark.read.format("binaryFile").load(paths)
-    return one.select(F.xxhash64(F.col("_metadata.file_path")).alias("id"), F.col("_metadata.file_path").alias("file"), "length")
+    return _parts(spark, paths, parts).groupBy("file").agg(F.sum("length").alias("length")).select(F.xxhash64("file").alias("id"), "file", "length")
 
 
 def inside_after(line: str, inside: bool, delimiter: str) -> bool:
@@ -161,10 +181,10 @@ def _cut(delimiter: str, starts):
     return work
 
 
-def record_texts(spark: SparkSession, paths: list[str], delimiter: str = ",") -> tuple[DataFrame, DataFrame]:
+def record_texts(spark: SparkSession, paths: list[str], delimiter: str = ",", parts: bool = False) -> tuple[DataFrame, DataFrame]:
     """(texts, files): (file, record, text) of every non-blank record, numbered from 1, and (file, records, open) of every
     file; open tells that its last record has a quote that is never closed."""
-    lines, files = _lines(spark, paths), _files(spark, paths)
+    lines, files = _lines(spark, paths, parts=parts), _files(spark, paths, parts)
     sums = lines.mapInArrow(_summed(delimiter), "file long, block long, out_open boolean, out_records long, in_open boolean, in_records long")
     walked = materialize(sums.groupBy("file").applyInPandas(_walked, "file long, block long, inside boolean, before long, total long, open boolean"), "ranges")
     starts = walked.limit(MOST_RANGES + 1).select("file", "block", "inside", "before").collect()
@@ -176,17 +196,18 @@ def record_texts(spark: SparkSession, paths: list[str], delimiter: str = ",") ->
     texts = cut.filter("not piece").select("file", "record", "text").unionByName(crossing)
     counted = walked.groupBy("file").agg(F.max("total").alias("records"), F.bool_or("open").alias("open")).withColumnRenamed("file", "id")
     named = files.join(counted, "id", "left").select("id", "file", F.coalesce("records", F.lit(0)).cast("long").alias("records"), F.coalesce("open", F.lit(False)).alias("open"))
-    texts = texts.withColumnRenamed("file", "id").join(named.select("id", "file"), "id").select("file", "record", F.regexp_replace("text", r"\r\z", "").alias("text"))
+    # of files there are fewer than ranges; joined by shuffle, a file's texts would be one task's
+    texts = texts.withColumnRenamed("file", "id").join(F.broadcast(named.select("id", "file")), "id").select("file", "record", F.regexp_replace("text", r"\r\z", "").alias("text"))
     return reading(texts, walked), reading(named.drop("id"), walked)
 
 
-def records(spark: SparkSession, paths: list[str], width: int, delimiter: str = ",") -> DataFrame:
+def records(spark: SparkSession, paths: list[str], width: int, delimiter: str = ",", parts: bool = False) -> DataFrame:
     """(file, record, c0.., _bad) as delimited.records() gives them, by ranges; a quote that is never closed is bad too."""
-    texts, files = record_texts(spark, paths, delimiter)
+    texts, files = record_texts(spark, paths, delimiter, parts)
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)] + [T.StructField("_bad", T.StringType())])
     parsed = F.from_csv("text", schema.simpleString()[7:-1].replace(":", " "), {"sep": delimiter, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad", "maxCharsPerColumn": "-1", "maxColumns": str(max(width + 1, 20480))})
     unclosed = files.filter("open").select("file", F.col("records").alias("record"), F.lit(True).alias("unclosed"))
-    rows = texts.join(unclosed, ["file", "record"], "left").withColumn("r", parsed)
+    rows = texts.join(F.broadcast(unclosed), ["file", "record"], "left").withColumn("r", parsed)
     bad = F.when(F.col("unclosed"), F.col("text")).otherwise(F.col("r._bad"))
     out = rows.select("file", "record", *[F.coalesce(F.col(f"r.c{i}"), F.lit("")).alias(f"c{i}") for i in range(width)], bad.alias("_bad"))
     return reading(out, texts)
@@ -195,7 +216,7 @@ def records(spark: SparkSession, paths: list[str], width: int, delimiter: str =
 def zoned(rows: DataFrame, files: DataFrame, layout: delimited.Layout) -> DataFrame:
     """rows with zone and record_number as delimited.zoned() gives them; files (file, records) says how long each is."""
     h, first = layout.header_record, layout.header_record + layout.skip_leading
-    out = rows.join(files.select("file", "records"), "file")
+    out = rows.join(F.broadcast(files.select("file", "records")), "file")
     zone = F.when(F.col("record") < h, "before").when(F.col("record") == h, "header").when(F.col("record") <= first, "after").when(F.col("record") > F.col("records") - layout.skip_trailing, "end").otherwise("data")
     out = out.withColumn("zone", zone).drop("records")
     return out.withColumn("record_number", F.when(F.col("zone") == "data", (F.col("record") - first).cast("long")))
@@ -217,46 +238,91 @@ def header(spark: SparkSession, texts: DataFrame, record: int, delimiter: str) -
     return heads.select("file", F.posexplode("names").alias("place", "name"))
 
 
-def encoding(spark: SparkSession, paths: list[str]) -> DataFrame:
+def encoding(spark: SparkSession, paths: list[str], parts: bool = False) -> DataFrame:
     """(file, is_utf8): a line feed is never part of a longer character, so a file is valid if each of its lines is."""
-    valid = _lines(spark, paths).groupBy("file").agg(F.bool_and(F.is_valid_utf8("value")).alias("ok")).withColumnRenamed("file", "id")
-    return _files(spark, paths).join(valid, "id", "left").select("file", F.coalesce("ok", F.lit(True)).alias("is_utf8"))
+    valid = _lines(spark, paths, parts=parts).groupBy("file").agg(F.bool_and(F.is_valid_utf8("value")).alias("ok")).withColumnRenamed("file", "id")
+    return _files(spark, paths, parts).join(valid, "id", "left").select("file", F.coalesce("ok", F.lit(True)).alias("is_utf8"))
 
 
-def fingerprints(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(file, fingerprint, is_utf8) of files of any length, as delimited.fingerprints() gives them.
+#: A file is hashed by pieces of so many bytes (and what a range has more), each by a task of its own.
+PIECE = 1 << 27
 
-    SHA-256 is a chain, so a file's lines stream through one task in order, from a sort that spills; nothing holds a file.
-    """
-    files = _files(spark, paths)
-    rows = _lines(spark, paths, F.monotonically_increasing_id().alias("at")).withColumn("value", F.col("value").cast("binary"))
-    ends = files.select(F.col("id").alias("file"), F.lit(1 << 62).alias("block"), F.lit(None).cast("binary").alias("value"), F.col("length").alias("at"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    stream = rows.unionByName(ends).repartition(parts, "file").sortWithinPartitions("file", "block", "at")
 
-    def hashed(batches):
+def _hashed(begun: dict | None):
+    """(id, fingerprint, state, size) of each file's lines in order: the hash if its end is reached, else where the chain has
+    come to. begun: where it had come to before these lines; None if they are whole files."""
+
+    def work(batches):
         import hashlib
 
+        import numpy as np
         import pyarrow as pa
 
-        at, digest, size, out = None, None, 0, []
+        at, chain, size, out = None, None, 0, []
         for batch in batches:
-            for file, value, n in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                if file != at:
-                    at, digest, size, last = file, hashlib.sha256(), 0, b""
-                if value is None:  # the file's end; its length tells whether the last line had a line feed
-                    if size and size == n + 1:
-                        digest.update(last[:-1])
-                    else:
-                        digest.update(last)
-                    out.append((file, digest.hexdigest()))
-                    continue
-                digest.update(last)
-                last, size = value + b"\n", size + len(value) + 1
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.string())], names=["id", "fingerprint"])
-
-    told = stream.select("file", "block", "value", "at").mapInArrow(hashed, "id long, fingerprint string")
-    return files.join(told, "id").join(encoding(spark, paths), "file").select("file", "fingerprint", "is_utf8")
+            file = batch.column(0).to_numpy()
+            cuts = np.flatnonzero(file[1:] != file[:-1]) + 1
+            for a, b in zip([0, *cuts], [*cuts, batch.num_rows]) if batch.num_rows else ():
+                if file[a] != at:
+                    if at is not None:
+                        out.append((at, None, chain.state, size))
+                    at = int(file[a])
+                    state, size = (begun or {}).get(at, (None, 0))
+                    chain = hashlib.sha256() if begun is None else sha256.Chain(state)
+                values = batch.column(2).slice(a, b - a).to_pylist()
+                ended = values[-1] is None
+                values = values[:-1] if ended else values
+                if values:
+                    chain.update(b"\n".join([b"", *values] if size else values))
+                    size += sum(map(len, values)) + len(values)
+                if ended:  # its length tells whether the last line had a line feed
+                    if size and size != batch.column(3)[b - 1].as_py() + 1:
+                        chain.update(b"\n")
+                    out.append((at, chain.hexdigest(), None, size))
+                    at = None
+        if at is not None:
+            out.append((at, None, chain.state, size))
+        kinds = {"id": pa.int64(), "fingerprint": pa.string(), "state": pa.binary(), "size": pa.int64()}
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds.values())], names=[*kinds])
+
+    return work
+
+
+def fingerprints(spark: SparkSession, paths: list[str], parts: bool = False, piece: int = PIECE) -> DataFrame:
+    """(file, fingerprint, is_utf8) of files of any length, as delimited.fingerprints() gives them.
+
+    SHA-256 is a chain: the pieces of a file are hashed one after the other, each by a task that begins where the one before
+    has come to, those of one place of all files side by side. The states of files longer than a piece, of 112 bytes each,
+    go through the driver. Where the C library keeps its states to itself, a file is one piece.
+    """
+    piece, resumed = (piece, True) if sha256.resumes() else (1 << 62, False)
+    files, folder = materialize(_files(spark, paths, parts), "files"), new_path(spark, "pieces")
+    place = lambda c: F.floor(c / F.lit(piece)).cast("long").alias("place")
+    lines = _lines(spark, paths, F.monotonically_increasing_id().alias("at"), parts=parts)
+    lines.select("file", "block", F.col("value").cast("binary").alias("value"), "at", place(F.col("block"))).write.partitionBy("place").parquet(folder)
+    written = spark.read.schema("file long, block long, value binary, at long, place long").parquet(folder)
+    written.scratch_path = folder
+    ends = files.select(F.col("id").alias("file"), F.lit(1 << 62).alias("block"), F.lit(None).cast("binary").alias("value"), F.col("length").alias("at"), place(F.greatest(F.col("length") - 1, F.lit(0))))
+    tasks, kind = int(spark.conf.get("spark.sql.shuffle.partitions")), "id long, fingerprint string, state binary, size long"
+
+    def hashed(k: int, begun: dict | None) -> DataFrame:
+        held = written.unionByName(ends).filter(F.col("place") == k).repartition(tasks, "file").sortWithinPartitions("file", "block", "at")
+        return held.select("file", "block", "value", "at").mapInArrow(_hashed(begun), kind)
+
+    first = materialize(hashed(0, {} if resumed else None), "hashed")
+    told, states = [], {r["id"]: (bytes(r["state"]), r["size"]) for r in first.filter("state IS NOT NULL").collect()}
+    longest = files.agg(F.max("length")).first()[0] or 0
+    for k in range(1, (longest - 1) // piece + 1):
+        for r in hashed(k, states).collect():
+            if r["state"] is None:
+                told.append((r["id"], r["fingerprint"]))
+                del states[r["id"]]
+            else:
+                states[r["id"]] = (bytes(r["state"]), r["size"])
+    discard(written)
+    found = first.filter("state IS NULL").select("id", "fingerprint").unionByName(spark.createDataFrame(told, "id long, fingerprint string"))
+    out = files.join(found, "id").join(encoding(spark, paths, parts), "file").select("file", "fingerprint", "is_utf8")
+    return reading(out, files, first)
 
 
 def read_table(spark: SparkSession, path: str, layout: delimited.Layout = delimited.Layout(), delimiter: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -140,6 +140,71 @@ def test_fingerprints_are_those_of_the_bytes(spark, cut, tmp_path):
     assert found == {n: (hashlib.sha256(data).hexdigest(), n != "f") for n, data in files.items()}
 
 
+@pytest.mark.parametrize("resumed", [True, False])
+def test_fingerprints_of_files_hashed_in_pieces(spark, cut, tmp_path, monkeypatch, resumed):
+    from tallyframe.functions import sha256
+
+    files = {"b": b"\n", "c": b"x" * 700 + b"\n\n", "d": b"a\r\n\xff\n" * 190 + b"tail", "e": "é,\n".encode() * 299, "f": b"y\n" * 50 + b"z" * 1500 + b"\n", "g": b"\n" * 400}
+    for n, data in files.items():
+        (tmp_path / n).write_bytes(data)
+    cut(100)
+    held, seen = ranges._hashed, []
+    monkeypatch.setattr(ranges, "_hashed", lambda begun: seen.append(begun) or held(begun))
+    if resumed:
+        assert sha256.resumes()
+    else:
+        monkeypatch.setattr(sha256, "resumes", lambda: False)
+    found = {r["file"].split("/")[-1]: r["fingerprint"] for r in ranges.fingerprints(spark, [str(tmp_path / n) for n in files], piece=256).collect()}
+    assert found == {n: hashlib.sha256(data).hexdigest() for n, data in files.items()}
+    assert len(seen) == (7 if resumed else 1)
+
+
+def in_parts(tmp_path, text, lines):
+    """A folder for each file, its text dealt to parts of some lines."""
+    rows = text.splitlines(keepends=True)
+    for k in range(0, len(rows), lines):
+        for name in ("b", "a"):
+            (tmp_path / f"n={name}").mkdir(exist_ok=True)
+            (tmp_path / f"n={name}" / f"part-{k:05d}").write_text("".join(rows[k : k + lines] if name == "a" else rows[: k + lines][-lines:]), newline="")
+
+
+@pytest.mark.parametrize("lines,size", [(1, 30), (4, 10**6), (9, 60)])
+def test_a_folder_of_parts_is_one_file(spark, cut, tmp_path, lines, size):
+    text = made(5, 40)
+    text += "" if text.endswith("\n") else "\n"
+    in_parts(tmp_path, text, lines)
+    cut(size)
+    want = [tuple(row) for row in csv.reader(io.StringIO(text, newline="")) if row]
+    found = ranges.records(spark, [str(tmp_path)], 4, parts=True).filter("file like '%/n=a/'").collect()
+    assert [tuple(r[f"c{i}"] for i in range(4)) for r in sorted(found, key=lambda r: r["record"])] == want
+    assert sorted(r["record"] for r in found) == list(range(1, len(want) + 1))
+    whole = {f"n={n}": hashlib.sha256(b"".join(p.read_bytes() for p in sorted((tmp_path / f"n={n}").iterdir()))).hexdigest() for n in "ab"}
+    assert {r["file"].split("/")[-2]: r["fingerprint"] for r in ranges.fingerprints(spark, [str(tmp_path)], parts=True, piece=500).collect()} == whole
+
+
+def test_delimiter_of_a_folder_of_parts(spark, tmp_path):
+    for k, text in enumerate(["h\n" * 3, "a;b,c\n" * 12, "a,b,c,d;e\n" * 40]):  # the longest part comes last
+        (tmp_path / f"part-{k}").write_text(text)
+    assert [tuple(r) for r in delimited.detect_delimiter(spark, [str(tmp_path)], 4, parts=True).select("delimiter").collect()] == [(",",)]
+    assert delimited.detect_delimiter(spark, [str(tmp_path)], 4, parts=True).count() == 1
+
+
+@pytest.mark.parametrize("part", [1 << 25, 20_000])
+def test_written_files_are_dealt_to_parts(spark, tmp_path, monkeypatch, part):
+    from tallyframe.plans import source_queries
+
+    monkeypatch.setattr(source_queries, "PART", part)
+    path = source_queries._written(spark, "/root/testdata/sf0.001")
+    parts = spark.read.format("binaryFile").load(path).select("length").collect()
+    assert len(parts) > 20 if part == 20_000 else len(parts) < 8
+    assert part > 20_000 or max(r[0] for r in parts) < 12 * part
+    found = source_queries.a01_ranged_scan(spark, "/root/testdata/sf0.001").select("lang", "record").collect()
+    n = {}
+    for r in found:
+        n.setdefault(r["lang"], []).append(r["record"])
+    assert all(sorted(v) == list(range(1, len(v) + 1)) for v in n.values())
+
+
 @pytest.mark.parametrize(
     "text, header, want",
     [
