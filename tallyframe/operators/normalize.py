@@ -94,24 +94,35 @@ def problems_by_record(side: DataFrame, originals: DataFrame | None = None) -> D
     return out.join(originals.select("record_number", cells.alias("cells")), "record_number", "left")
 
 
-def side_summary(side: DataFrame, scope: tuple[str, ...] = ("account",), batch_problems: DataFrame | None = None) -> DataFrame:
-    """Counts of a side. `matchable` leaves out valid rows whose batch has a problem (batch_problems of batch_units)."""
-    if batch_problems is not None:
+def side_summary(side: DataFrame, scope: tuple[str, ...] = ("account",), batch_problems: DataFrame | None = None, by_batch: bool = False) -> DataFrame:
+    """Counts of a side. `matchable` leaves out valid rows whose batch has a problem (batch_problems of batch_units).
+
+    by_batch: a batch has a problem if one of its own records in `side` has; this is told from counts by batch, in one
+    reading of the side and without a join. Rows without a batch are each on their own.
+    """
+    valid = F.col("status") == "valid"
+    counts = {
+        "records": F.count("*"),
+        "valid": valid,
+        "matchable": valid & F.col("blocked").isNull(),
+        "money_in": valid & (F.col("amount") > 0),
+        "money_out": valid & (F.col("amount") < 0),
+        "zero": F.col("status") == "zero",
+        "problem_records": F.col("status") == "problem",
+        "problems": F.coalesce(F.sum(F.size("problems")), F.lit(0)).cast("long"),
+    }
+    if by_batch:
+        side = side.withColumn("blocked", F.lit(None).cast("boolean"))
+    elif batch_problems is not None:
         side = side.join(batch_problems.select(*scope, "record_number", F.lit(True).alias("blocked")).distinct(), [*scope, "record_number"], "left")
     else:
         side = side.withColumn("blocked", F.lit(None).cast("boolean"))
-    valid = F.col("status") == "valid"
-    return side.groupBy(*scope, "side").agg(
-        F.count("*").alias("records"),
-        F.count_if(valid).alias("valid"),
-        F.count_if(valid & F.col("blocked").isNull()).alias("matchable"),
-        F.count_if(valid & (F.col("amount") > 0)).alias("money_in"),
-        F.count_if(valid & (F.col("amount") < 0)).alias("money_out"),
-        F.count_if(F.col("status") == "zero").alias("zero"),
-        F.count_if(F.col("status") == "problem").alias("problem_records"),
-        F.coalesce(F.sum(F.size("problems")), F.lit(0)).cast("long").alias("problems"),
-        F.countDistinct("batch").alias("batches"),
-    )
+    aggs = [(c if n in ("records", "problems") else F.count_if(c)).alias(n) for n, c in counts.items()]
+    if not by_batch:
+        return side.groupBy(*scope, "side").agg(*aggs, F.countDistinct("batch").alias("batches"))
+    whole = side.groupBy(*scope, "side", "batch").agg(*aggs)
+    whole = whole.withColumn("matchable", F.when(F.col("batch").isNotNull() & (F.col("problem_records") > 0), F.lit(0)).otherwise(F.col("matchable")))
+    return whole.groupBy(*scope, "side").agg(*[F.sum(n).alias(n) for n in counts], F.count("batch").alias("batches"))
 
 
 def side_sample(rows: DataFrame, side: DataFrame, most: int = 10, scope: tuple[str, ...] = ("account",)) -> DataFrame:

@@ -136,3 +136,17 @@ def test_changes_report(spark, tmp_path):
     back = spark.read.option("header", True).csv(str(tmp_path / "r"))
     assert {(r["change_type"], r["key"], r["column"]) for r in back.collect()} == {("added", "3", "id"), ("added", "3", "v"), ("removed", "2", "id"), ("removed", "2", "v"), ("changed", "1", "v")}
     assert back.filter("change_type = 'changed'").first()["before"] == "'=a"
+
+
+def test_side_summary_by_batch_is_that_of_blocked_records(spark):
+    from tallyframe.operators import normalize
+
+    rows = [("A" if k % 5 else "B", "bank", k, None if k % 7 == 3 else str(k // 4), [], "problem" if k % 11 == 2 else "zero" if k % 6 == 0 else "valid", (-1) ** k * k) for k in range(90)]
+    side = spark.createDataFrame(rows, "account string, side string, record_number long, batch string, problems array<string>, status string, amount long")
+    broken = side.filter("status = 'problem' AND batch IS NOT NULL").select("account", "batch").distinct()
+    blocked = side.join(broken, ["account", "batch"], "left_semi").select("account", "record_number")
+    want = normalize.side_summary(side, batch_problems=blocked)
+    found = normalize.side_summary(side, by_batch=True)
+    assert found.columns == want.columns and [t for _, t in found.dtypes] == [t for _, t in want.dtypes]
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
