@@ -96,9 +96,13 @@ class History:
     def _met(self, commit: dict, new: DataFrame) -> tuple[DataFrame | None, bool]:
         """(facts of the transactions and accounts that new events name, whether these are few)"""
         of_account = new.select("account", F.lit("").alias("member"))
-        named = new.select("account", F.explode(F.concat(*decisions._members(new).values())).alias("member")).unionByName(of_account).distinct()
-        some = named.limit(NAMED + 1).collect()
-        few = len(some) <= NAMED
+        named = new.select("account", F.explode(F.concat(*decisions._members(new).values())).alias("member")).unionByName(of_account)
+        begun = {tuple(r) for r in named.limit(20 * NAMED).collect()}
+        named = named.distinct()
+        few = len(begun) <= NAMED
+        if few:  # told apart in full only if the first rows leave it open
+            some = named.limit(NAMED + 1).collect()
+            few = len(some) <= NAMED
         rows = self._read("facts", commit["facts"])
         if rows is None:
             return None, few
@@ -106,7 +110,8 @@ class History:
             pairs = {(r[0], r[1]) for r in some}
             rows = rows.filter(F.col("account").isin([*{a for a, _ in pairs}]) & F.col("member").isin([*{m for _, m in pairs}]))
             named = self.spark.createDataFrame([*pairs], named.schema) if pairs else named
-        return decisions.latest(rows.join(F.broadcast(named) if few else named, ["account", "member"], "left_semi")), few
+        met = decisions.latest(rows.join(F.broadcast(named) if few else named, ["account", "member"], "left_semi"))
+        return (met if few else materialize(met, "met")), few
 
     def _write(self, kind: str, rows: DataFrame) -> str:
         name = uuid.uuid4().hex
@@ -125,8 +130,9 @@ class History:
 
         An account's new events are taken whole if they follow its last seq one by one and none would lapse; lapsing
         takes those that lapse too, as when a history is imported. Events come in one form, by record or by unit key, in
-        a folder. Raises Conflict if other writers come first `tries` times.
+        a folder. Raises Conflict if other writers come first `tries` times. What new events come from is computed once.
         """
+        new = materialize(new, "new-events")
         for _ in range(tries):
             version = self.version()
             commit = self._commit(version)
@@ -140,6 +146,7 @@ class History:
             some = turns.agg(F.count("*"), F.count_if(F.col("out_of_turn") | F.col("lapse"))).first()
             if some[0] == some[1]:
                 self._forget({"events": [name], "facts": []}, {"events": [], "facts": []})
+                discard(new, *([met] if met is not None else []))
                 return self._none(walked.schema), bad
             if some[1]:  # written again without the accounts that are refused
                 taken = self._write("events", walked.join(bad, "account", "left_anti"))
@@ -151,9 +158,10 @@ class History:
                 whole = decisions.latest(self._read("facts", more["facts"])).filter("value IS NOT NULL")
                 more["facts"] = [self._write("facts", self._facts(whole))]
             if put_if_absent(self.spark, f"{self.folder}/commits/{version + 1:020d}.json", json.dumps(more)):
+                discard(new, *([met] if met is not None else []))
                 return kept, bad
             self._forget(more, commit)
-            discard(turns)
+            discard(turns, *([met] if met is not None else []))
         raise Conflict(f"{tries} times another writer was first")
 
     def _none(self, schema) -> DataFrame:

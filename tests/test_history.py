@@ -190,3 +190,23 @@ def test_put_if_absent_has_one_winner(spark, tmp_path):
     for t in threads:
         t.join(60)
     assert len(won) == 1 and (tmp_path / "x.json").read_text() == str(won[0]) and [p.name for p in tmp_path.iterdir() if p.suffix == ".tmp"] == []
+
+
+def test_new_events_are_computed_once(spark, tmp_path):
+    from tallyframe.operators import history as H
+
+    made = spark.sparkContext.accumulator(0)
+    schema = "account string, seq long, action string, bank long, books long, side string, record_number long, classification string"
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    n = 40 * H.NAMED
+    row = "'A' account, id + 1 seq, 'confirm' action, id bank, id books"
+    new = spark.range(0, n, 1, 2).selectExpr(*row.split(", "), "cast(null as string) side", "cast(null as long) record_number", "cast(null as string) classification").mapInArrow(counted, schema)
+    kept = H.History(spark, str(tmp_path / "h"))
+    taken, refused = kept.append(new)
+    assert taken.count() == n and refused.count() == 0
+    assert made.value == n
