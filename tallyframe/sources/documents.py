@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import dates, decimals
 from ..functions.text import is_sha256, is_txn_key, is_unit_key
 from ..operators.decisions import PAIR
+from ..scratch import materialize, reading
 from . import pieces
 
 OUTSTANDING, SESSION, VERSION = "outstanding-items", "reconciliation-session", 1
@@ -215,8 +216,9 @@ def read_sessions(spark: SparkSession, paths: list[str], lines: bool = False) ->
         (_text(e, "direction").isin("in", "out"), "direction must be in or out"),
         *[(_text_or_null(e, c), f"{c} must be text or null") for c in ("reference", "description")],
     )
-    problems = said.unionByName(of_events).unionByName(of_snaps)
-    sound = lambda df: df.join(problems.select("file").distinct(), "file", "left_anti")
+    # judged once, for all that is read of sound documents
+    problems = materialize(said.unionByName(of_events).unionByName(of_snaps), "session-problems")
+    sound = lambda df: reading(df.join(problems.select("file").distinct(), "file", "left_anti"), problems)
     as_text = lambda c: F.to_json(_get(doc, c, "variant"))
     return {
         "sessions": sound(docs.select("file", _text(doc, "id").alias("id"), _text(doc, "savedAt").alias("saved_at"), _whole(doc, "revision").alias("revision"), _text(doc, "context.account").alias("account"), _text(doc, "context.currency").alias("currency"), _whole(doc, "context.minorUnits").cast("int").alias("minor_units"), *[as_text(c).alias(c) for c in ("rules", "sources", "mappings", "accounting", "opening")])),

@@ -235,3 +235,13 @@ def test_documents_of_any_length_in_pieces(spark, tmp_path, monkeypatch):
     assert len(parts) > 3 and json.loads("".join(p.read_text() for p in parts)) == got["A"]
     scratch.discard(out)
     assert not list((tmp_path / "s").iterdir())
+
+
+def test_sessions_are_judged_once(spark, tmp_path):
+    from tallyframe.sources import documents
+
+    (tmp_path / "s.json").write_text('{"format": "other", "events": [], "snapshots": []}')
+    found = documents.read_sessions(spark, [str(tmp_path / "s.json")])
+    assert found["problems"].count() > 5 and found["sessions"].count() == 0
+    for name in ("sessions", "events", "snapshots", "problems"):
+        assert any("/session-problems-" in f for f in found[name].inputFiles())
